@@ -130,7 +130,7 @@ def _(t):
     return t.books.rollup("format", "author").agg(F.count("*").alias("n"), F.sum("total_characters").alias("chars"))
 
 
-@query("elapsed", "", "SELECT event_id, (epoch_ms(ts) - 1704067200000) // 1000 AS seconds FROM events")
+@query("elapsed", "", "SELECT event_id, (epoch_us(ts) // 1000 - 1704067200000) // 1000 AS seconds FROM events")
 def _(t):
     return t.raw("events").select("event_id", s.elapsed_seconds(F.lit(1704067200000), F.unix_millis(F.col("ts").cast("timestamp"))).alias("seconds"))
 

@@ -120,7 +120,7 @@ def _(t):
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.round(done, 6).alias("progress"))
 
 
-@query("silence_runs", "", """WITH e AS (SELECT user_id, epoch_ms(ts) // 1000 AS a, epoch_ms(ts) // 1000 + (value * 100)::BIGINT AS b FROM events),
+@query("silence_runs", "", """WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS a, epoch_us(ts) // 1000000 + (value * 100)::BIGINT AS b FROM events),
 r AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a - reach > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM r)
 SELECT user_id, min(a) AS a, max(b) AS b FROM g GROUP BY user_id, run HAVING max(b) - min(a) >= 2000""")
