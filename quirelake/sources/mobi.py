@@ -55,6 +55,50 @@ def pack_palmdoc(data: bytes) -> bytes:
     return bytes(out)
 
 
+class Huffman:
+    """HUFF and CDIC records: codes that stand for phrases, which may be packed themselves."""
+
+    def __init__(self, huff: bytes, cdics: list[bytes]):
+        if huff[:4] != b"HUFF":
+            raise ValueError("not a HUFF record")
+        first, limits = struct.unpack(">II", huff[8:16])
+        # by the first byte of a code: its length, whether that is final, and the largest code of the length
+        self.first = [(v & 31, bool(v & 128), v >> 8) for v in struct.unpack_from(">256I", huff, first)]
+        both = struct.unpack_from(">64I", huff, limits)
+        self.least, self.largest = both[::2], both[1::2]
+        self.phrases: list[tuple[bytes, bool]] = []
+        for c in cdics:
+            if c[:4] != b"CDIC":
+                raise ValueError("not a CDIC record")
+            total, bits = struct.unpack(">II", c[8:16])
+            for off in struct.unpack_from(f">{min(1 << bits, total - len(self.phrases))}H", c, 16):
+                size = struct.unpack_from(">H", c, 16 + off)[0]
+                self.phrases.append((c[18 + off : 18 + off + (size & 0x7FFF)], bool(size & 0x8000)))
+
+    def unpack(self, data: bytes, depth: int = 0) -> bytes:
+        if depth > 32:
+            raise ValueError("phrases that hold each other")
+        total, at, out = 8 * len(data), 0, []
+        bits = int.from_bytes(data + b"\0" * 4, "big")
+        while at < total:
+            window = bits >> (total - at) & 0xFFFFFFFF
+            size, final, largest = self.first[window >> 24]
+            if not final:
+                while size < 32 and window >> (32 - size) < self.least[size - 1]:
+                    size += 1
+                largest = self.largest[size - 1]
+            at += size
+            if at > total:
+                break
+            i = largest - (window >> (32 - size))
+            phrase, plain = self.phrases[i]
+            if not plain:
+                phrase = self.unpack(phrase, depth + 1)
+                self.phrases[i] = (phrase, True)
+            out.append(phrase)
+        return b"".join(out)
+
+
 def records(raw: bytes) -> list[bytes]:
     if raw[60:68] != b"BOOKMOBI":
         raise ValueError("not a MOBI file")
@@ -113,7 +157,7 @@ def parse(raw: bytes) -> tuple[dict, str]:
     packing, _, length, count, _, crypto = struct.unpack(">HHIHHH", head[:14])
     if crypto:
         raise ValueError("the file is encrypted")
-    if packing not in (1, 2):
+    if packing not in (1, 2, 17480):
         raise ValueError(f"compression {packing} isn't read")
     size, _, encoding = struct.unpack(">III", head[20:32])
     flags = struct.unpack(">H", head[242:244])[0] if len(head) >= 244 and size >= 228 else 0
@@ -128,6 +172,9 @@ def parse(raw: bytes) -> tuple[dict, str]:
                 meta.setdefault(EXTH[kind], _decode(head[at + 20 : at + 12 + n], encoding))
             at += n
     unpack = unpack_palmdoc if packing == 2 else bytes
+    if packing == 17480:
+        at, n = struct.unpack(">II", head[112:120])
+        unpack = Huffman(recs[at], recs[at + 1 : at + n]).unpack
     text = b"".join(unpack(r[: len(r) - _trailing(r, flags)]) for r in recs[1 : count + 1])
     return meta, _decode(text[:length] if length else text, encoding)
 

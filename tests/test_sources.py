@@ -61,6 +61,22 @@ def test_mobi():
         mobi.parse(b"x" * 100)
 
 
+def test_huffman():
+    import struct
+
+    first = b"".join(struct.pack(">I", 255 << 8 | 128 | 8) for _ in range(256))
+    huff = b"HUFF\0\0\0\x18" + struct.pack(">II", 16, 16 + len(first)) + first + b"\0" * 256
+    phrases = [(b"ab", True), (bytes([255, 255]), False), (b"c", True)]
+    body, offsets = b"", []
+    for data, plain in phrases:
+        offsets.append(2 * len(phrases) + len(body))
+        body += struct.pack(">H", len(data) | (0x8000 if plain else 0)) + data
+    cdic = b"CDIC\0\0\0\x10" + struct.pack(">II", len(phrases), 8) + struct.pack(">3H", *offsets) + body
+    h = mobi.Huffman(huff, [cdic])
+    assert h.unpack(bytes([255, 253, 254])) == b"abcabab"
+    assert h.unpack(b"") == b""
+
+
 def test_feeds():
     atom = b"""<feed xmlns="http://www.w3.org/2005/Atom" xmlns:opds="http://opds-spec.org/2010/catalog" xmlns:thr="http://purl.org/syndication/thread/1.0"><title>F</title>
     <entry><title>Book</title><id>1</id><author><name>N</name></author><link rel="http://opds-spec.org/acquisition/buy" href="b.epub" type="application/epub+zip"/><link rel="collection" href="g" title="G"/></entry>
@@ -115,3 +131,25 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 3
     rollups.live(stream(), spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), "k", str(tmp_path / "c4"), str(tmp_path / "v"))
     assert {r["v"] for r in spark.read.parquet(str(tmp_path / "v")).collect()} == {"a"}
+
+
+def test_addresses_and_pieces(spark):
+    from quirelake.functions import urls, wordpiece
+    from quirelake.operators import licences
+
+    assert urls.resolve("http://h/a/b.html", "../c?x#y") == "http://h/c?x#y"
+    assert urls.resolve("a/b.html", "c.html") == "a/c.html" and urls.resolve("/a/b", "/c") == "/c"
+    assert urls.relativise("http://h/a/", "http://h/a/b/c") == "b/c" and urls.relativise("http://h/a/", "http://g/b") == "http://g/b"
+    assert urls.normalise("HTTP://Example.com/a/./b/../%41 c?q=1") == "http://example.com/a/A%20c?q=1"
+    assert urls.template_names("/u{?a,b}/{c}") == ["a", "b", "c"]
+    assert urls.expand_template("/s{?q,p}", {"q": "a b"}) == "/s?q=a%20b" and urls.expand_template("/{x}/y{?q}", {"x": "1"}) == "/1/y"
+    one = spark.createDataFrame([("http://H/a?b=c%20d",)], "u string")
+    assert one.select(urls.host(F.col("u")), urls.query_value(F.col("u"), "b")).first()[0] == "h"
+    vocab = {"[CLS]": 101, "[SEP]": 102, "[UNK]": 100, "play": 1, "##ing": 2, "中": 3, "!": 4}
+    assert wordpiece.encode("Playing 中! zzz", vocab) == [101, 1, 2, 3, 4, 100, 102]
+    assert len(wordpiece.encode("play " * 600, vocab)) == 512
+    pieces = spark.createDataFrame(list(vocab.items()), "piece string, id int")
+    assert wordpiece.with_ids(spark.createDataFrame([("play",), (None,)], "text string"), pieces).select("token_ids").collect()[1][0] == [101, 102]
+    left, granted = licences.use_up(spark.createDataFrame([(1, 5), (2, None), (3, 1)], "id int, prints int"), spark.createDataFrame([(1, 2), (1, 2), (2, 9), (3, 2)], "id int, n int"), "prints")
+    assert dict(tuple(r) for r in left.collect()) == {1: 1, 2: None, 3: 1}
+    assert {r["id"]: r["granted"] for r in granted.collect()} == {1: True, 2: True, 3: False}
