@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 
 def resolve(base: str, href: str) -> str:
     """href as seen from base; a base without a scheme works too."""
-    return urljoin(base, href) if urlsplit(base).scheme or urlsplit(href).scheme else urljoin("x:/" + base.lstrip("/"), href).removeprefix("x:/") if not base.startswith("/") else urljoin(base, href)
+    if urlsplit(base).scheme or urlsplit(href).scheme or base.startswith("/"):
+        return urljoin(base, href)
+    return urljoin("http://x/" + base, href).removeprefix("http://x/")
 
 
 def relativise(base: str, url: str) -> str:
