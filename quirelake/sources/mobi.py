@@ -179,20 +179,32 @@ def parse(raw: bytes) -> tuple[dict, str]:
     return meta, _decode(text[:length] if length else text, encoding)
 
 
+_BREAK, _HEADING = re.compile(r"(?i)<mbp:pagebreak\s*/?>"), re.compile(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1>")
+_ENTRY = re.compile(r"(?is)<a\b[^>]*\bfilepos=[\"']?(\d+)[^>]*>(.*?)</a>")
+
+
 def split_chapters(markup: str) -> list[tuple[str, str]]:
-    """(title, text) by page breaks, else by headings of 100 characters at most, else whole."""
-    parts = re.split(r"(?i)<mbp:pagebreak\s*/?>", markup)
-    if len(parts) < 2:
-        at = [m.start() for m in re.finditer(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1>", markup) if 0 < len(block_text(m[2])) <= 100]
-        cuts = sorted({0, *at, len(markup)})
-        parts = [markup[a:b] for a, b in zip(cuts, cuts[1:])]
-    out = []
+    """(title, text) by page breaks, else by headings of 100 characters at most, else whole.
+
+    The part with most entries that point to places (two at least) is the table
+    of contents; a part's title is the first entry that points into it, else
+    its heading, else its number."""
+    cuts = [m.end() for m in _BREAK.finditer(markup)] or [m.start() for m in _HEADING.finditer(markup) if 0 < len(block_text(m[2])) <= 100]
+    edges = sorted({0, *cuts, len(markup)})
+    parts = [markup[a:b] for a, b in zip(edges, edges[1:])]
+    entries = [[(int(at), t) for at, inner in _ENTRY.findall(p) if len(t := block_text(inner)) >= 2] for p in parts]
+    contents = max(entries, key=len, default=[])
+    contents = contents if len(contents) >= 2 else []
+    out, start = [], 0
     for p in parts:
-        text = block_text(p)
+        end = start + len(p.encode("utf-8"))
+        text = block_text(_BREAK.sub("", p))
         if text:
-            head = re.search(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1>", p)
-            title = block_text(head[2]) if head else ""
+            listed = next((t for at, t in contents if start <= at < end), None)
+            head = _HEADING.search(p)
+            title = listed or (block_text(head[2]) if head else "")
             out.append((title if 0 < len(title) <= 100 else f"第{len(out) + 1}部分", text))
+        start = end
     return out
 
 

@@ -153,3 +153,32 @@ def test_addresses_and_pieces(spark):
     left, granted = licences.use_up(spark.createDataFrame([(1, 5), (2, None), (3, 1)], "id int, prints int"), spark.createDataFrame([(1, 2), (1, 2), (2, 9), (3, 2)], "id int, n int"), "prints")
     assert dict(tuple(r) for r in left.collect()) == {1: 1, 2: None, 3: 1}
     assert {r["id"]: r["granted"] for r in granted.collect()} == {1: True, 2: True, 3: False}
+
+
+def test_media_and_accessibility(spark):
+    from quirelake.functions import accessibility as acc
+    from quirelake.sources import media
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n in ("c/10.jpg", "c/2.jpg", "x.txt", "a/1.mp3"):
+            z.writestr(n, "data")
+    assert [r[1] for r in media.comic_pages(out.getvalue())] == ["c/2.jpg", "c/10.jpg"]
+    assert [r[2] for r in media.audio_tracks(out.getvalue())] == ["1"]
+    assert len(list(media.pdf_pages(b"%PDF-1.4 /Type /Pages /Type /Page /Type/Page "))) == 2
+    font = bytes(range(256)) * 8
+    assert media.plain_font(media.plain_font(font, "urn:x y"), "urn:x y") == font
+    key = "urn:uuid:00112233-4455-6677-8899-aabbccddeeff"
+    assert media.plain_font(font, key, "adobe")[:2] == bytes([0, 1 ^ 0x11]) and media.plain_font(font, key, "adobe")[1024:] == font[1024:]
+    row = spark.createDataFrame([(["textual", "visual"], [["textual"]], ["MathML", "tableOfContents"], ["flashing"]), (["visual"], None, None, ["none"])], "m array<string>, s array<array<string>>, f array<string>, h array<string>")
+    got = row.select(acc.nonvisual_reading(F.col("m"), F.col("s"), F.col("f")), acc.navigation(F.col("f")), acc.rich_content(F.col("f")), acc.hazards(F.col("h")), acc.visual_adjustments(F.col("f"), F.lit(True)), acc.prerecorded_audio(F.col("m"), F.col("s"), F.col("f"))).collect()
+    assert tuple(got[0]) == ("readable", ["table of contents"], ["math as MathML"], ["flashing"], "unmodifiable", "unknown")
+    assert got[1][0] == "unreadable" and got[1][3] == ["none"]
+
+
+def test_mobi_titles_by_place():
+    body = "<p>x</p><mbp:pagebreak/><h1>own</h1><p>y</p><mbp:pagebreak/><p>z</p>"
+    toc = "<p><a filepos=%010d>Alpha</a> <a filepos=%010d>Beta</a></p><mbp:pagebreak/>"
+    size = len(toc % (0, 0))
+    first, second = size + body.index("<h1>"), size + body.index("<p>z")
+    assert [t for t, _ in mobi.split_chapters(toc % (first, second) + body)] == ["第1部分", "第2部分", "Alpha", "Beta"]
