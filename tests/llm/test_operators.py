@@ -328,12 +328,26 @@ def levenshtein(a, b):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 14))
-def test_banded_distance(a, b, most):
+@given(st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), max_size=30), st.integers(0, 30), st.sampled_from([0, 2, 128]))
+def test_banded_distance(a, b, most, scalar):
+    order_minhash.SCALAR = scalar
     d = levenshtein(a, b)
     assert order_minhash.distance(np.array(a, "u4"), np.array(b, "u4"), most) == (d if d <= most else None)
 
 
+def test_neighbours_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = sorted((rng.randint(0, 1), bytes([0] * 7 + [rng.randint(0, 20)]) + bytes([rng.randint(0, 3)]), i, 5) for i in range(60))
+    want = [(r[2], rows[i - 1][2] if i and rows[i - 1][0] == r[0] and rows[i - 1][1][:8] == r[1][:8] else None) for i, r in enumerate(rows)]
+    paired = {d for d, b in want if b is not None} | {b for _, b in want if b is not None}
+    for size in (1, 2, 3, 7, 60):
+        batches = [pa.RecordBatch.from_pydict(dict(zip(("t", "key", "doc_id", "size"), map(list, zip(*rows[i : i + size]))))) for i in range(0, 60, size)]
+        got = [(r["doc_id"], r["before"]) for b in order_minhash._neighbours(iter(batches)) for r in b.to_pylist()]
+        assert got == [(d, b) for d, b in want if d in paired]
+
+
 def brute_classes(rows, similarity=0.8):
     seqs = {i: order_minhash.words_of(t).tolist() for i, t, *_ in rows if i is not None}
     raw = {i: t or "" for i, t, *_ in rows if i is not None}
@@ -353,9 +367,9 @@ def brute_classes(rows, similarity=0.8):
     return {i: find(i) for i in seqs}
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_order_minhash(spark, odd, monkeypatch, small):
-    monkeypatch.setattr(order_minhash, "SMALL", small)
+@pytest.mark.parametrize("back", [4, 1])
+def test_order_minhash(spark, odd, monkeypatch, back):
+    monkeypatch.setattr(order_minhash, "LOOK_BACK", back)
     got = order_minhash.near_classes(spark, docs_of(spark, odd)).collect()
     assert len(got) == len(odd)
     assert {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None} == brute_classes(odd)
@@ -371,10 +385,13 @@ def test_order_minhash_empty_and_drop(spark, odd):
 
 def test_signatures_keep_order():
     w = order_minhash.words_of(" ".join(f"w{i}" for i in range(300)))
-    assert (order_minhash.signature(w) == order_minhash.signature(w.copy())).all()
+    assert order_minhash.signature(w) == order_minhash.signature(w.copy())
     turned = np.concatenate([w[150:], w[:150]])  # nearly the same k-mers in another order
-    same = order_minhash.signature(w).reshape(order_minhash.TABLES, -1)[:, 1] == order_minhash.signature(turned).reshape(order_minhash.TABLES, -1)[:, 1]
-    assert same.mean() < 0.5
+    deep = slice(0, 4 * 6)  # up to twelve k-mers
+    assert sum(x[deep] == y[deep] for x, y in zip(order_minhash.signature(w), order_minhash.signature(turned))) <= 2
+    near = w.copy()
+    near[40] = 5
+    assert sum(x[:8] == y[:8] for x, y in zip(order_minhash.signature(w), order_minhash.signature(near))) >= 12
     g = order_minhash.labelled_kmers(order_minhash.words_of("a b c d e " * 3))
     assert len(set(g.tolist())) == len(g)  # occurrences tell repeated k-mers apart
 
