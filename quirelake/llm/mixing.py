@@ -28,7 +28,7 @@ BLOCK_BYTES = 256 * 1024
 #: Slots of a frame at least; more if there are many sources.
 FRAME = 256
 #: Rows that a part of a source holds: parts are numbered on their own, so a hot source is no single task.
-PART_ROWS = 20_000
+PART_ROWS = 4096
 #: Weight of a source without a given one: its bytes to this power.
 POWER = 0.5
 
