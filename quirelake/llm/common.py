@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a narrow (at most about 48 bytes a row) table up to which it is broadcast;
@@ -60,6 +60,23 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def lowest_by_hash(df: DataFrame, key: str, n: int, by: str | None = None) -> DataFrame:
+    """A fixed sample: the n rows with the least hashes of key, of each value of by if given.
+
+    Rows whose hash can't be among the n least, by four times the share that
+    n is of the count, are left out where they are read; so what is sorted and
+    numbered stays about 4 n rows, however many tasks there are."""
+    span = 1 << 40
+    hashed = df.withColumn("_u", F.pmod(F.xxhash64(key), F.lit(span)))
+    if by is None:
+        total = df.count()
+        return hashed.where(F.col("_u") <= span * min(1.0, 4 * n / max(total, 1))).orderBy("_u", key).limit(n).drop("_u")
+    total = df.groupBy(by).agg(F.count("*").alias("_total"))
+    few = hashed.join(sized(total), by).where(F.col("_u") <= F.least(F.lit(1.0), F.lit(4.0 * n) / F.col("_total")) * span)
+    order = F.row_number().over(Window.partitionBy(by).orderBy("_u", key))
+    return few.withColumn("_n", order).where(F.col("_n") <= n).drop("_u", "_n", "_total")
+
+
 def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in dropped(doc_id)."""
     return docs.join(sized(dropped.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)

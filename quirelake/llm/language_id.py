@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import lowest_by_hash, read, small_batches
 
 #: Bounds of the training sample: documents of each language, and bytes of a dictionary.
 SAMPLE_DOCS, DICTIONARY_BYTES = 400, 32 * 1024
@@ -38,8 +38,7 @@ def held_out() -> F.Column:
 def learn(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Language -> raw dictionary content, from docs(doc_id, text, lang) that may be learned from."""
     fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike("\\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = fit.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang").distinct()
+    chosen = lowest_by_hash(fit.select("doc_id", "lang"), "doc_id", sample, "lang").distinct()
     texts = fit.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", "text")
     pieces = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?s).{1,%d}" % PIECE), F.lit(0))).alias("piece"))
     ranked = pieces.distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")))
