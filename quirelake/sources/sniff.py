@@ -10,7 +10,7 @@ FORMATS: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = [
     ("html", ("htm", "html", "xht", "xhtml"), ("text/html", "application/xhtml+xml")),
     ("opds1", (), ("application/atom+xml;profile=opds-catalog",)),
     ("opds2", (), ("application/opds+json", "application/opds-publication+json")),
-    ("lcp_license", ("lcpl",), ("application/vnd.readium.lcp.license.v1.0+json",)),
+    ("lcp_license", ("lcpl",), ()),
     ("bitmap", ("avif", "bmp", "gif", "jpg", "jpeg", "jxl", "png", "tif", "tiff", "webp"), ("image/avif", "image/bmp", "image/gif", "image/jpeg", "image/jxl", "image/png", "image/tiff", "image/webp")),
     ("audio", ("aac", "aiff", "flac", "m4a", "m4b", "mp3", "oga", "ogg", "opus", "wav", "webm"), ("audio/aac", "audio/aiff", "audio/flac", "audio/mp4", "audio/mpeg", "audio/ogg", "audio/opus", "audio/wav", "audio/webm")),
     ("webpub_manifest", ("json",), ("application/webpub+json", "application/audiobook+json", "application/divina+json")),
