@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, written
+from .common import lowest_by_hash, read, small_batches, written
 from .words import ODD, WHITE_SPACE, word_hashes
 
 BUCKETS = 1 << 14
@@ -109,7 +109,7 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, share: flo
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     share = n.get(1, 0) / max(1, sum(n.values())) if share is None else share
-    good = written(spark, known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")), "good")
+    good = written(spark, lowest_by_hash(known.where("quality = 1"), "doc_id", TARGET_DOCS).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")), "good")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     marked = rows.join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))  # good: TARGET_DOCS rows at most
     counts = marked.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
