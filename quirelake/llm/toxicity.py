@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, sized, small_batches, without_ids, written
+from .common import lowest_by_hash, read, small_batches, without_ids, written
 
 #: Bounds of the training sample: labelled documents of each label.
 SAMPLE = 6000
-#: Stems kept at most, their letters, documents that must hold one, and how much likelier toxic ones must be to.
-STEMS, SHORTEST, LONGEST, LEAST_DOCS, LEAST_ODDS = 4000, 4, 12, 3, 3.0
+#: Stems kept at most, their letters, documents that must hold one, how much likelier toxic ones must be to (as a
+#: logarithm), and the least log-likelihood ratio: rare stems that toxic documents hold by chance stay under it.
+STEMS, SHORTEST, LONGEST, LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 4000, 4, 12, 3, 3.0, 30.0
 PLAIN, TARGETED, NEGATED, REPORTED, THREAT, THREAT_TARGET = range(6)
 FEATURES = 6
 OTHER, INSULT, MENACE, TARGET, NEGATION, SPEECH = "OIMTNS"
@@ -117,8 +118,13 @@ class Grammar:
             self.clause(low[max(ends) + 1 : done], out)
         return out
 
+    def evidence(self, text: str | None) -> np.ndarray:
+        """The features, and the features for each hundred words: a long text holds a stray match or two."""
+        f = self.features(text)
+        return np.concatenate([f, f * (100 / (text.count(" ") + 1 if text else 1))])
+
     def score(self, text: str | None) -> float:
-        x = self.layer[0] + float(np.log1p(self.features(text)) @ self.layer[1:])
+        x = self.layer[0] + float(np.log1p(self.evidence(text)) @ self.layer[1:])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
@@ -148,13 +154,25 @@ def _count_stems(batches):
         yield pa.RecordBatch.from_pydict({"stem": part, "toxic": [toxic.get(s, 0) for s in part], "clean": [clean.get(s, 0) for s in part]})
 
 
+def likelihood_ratio(a: int, b: int, toxic: int, clean: int) -> float:
+    """Twice the log-likelihood ratio of a toxic and b clean documents against chance."""
+    share = toxic / (toxic + clean)
+    return 2 * sum(x * math.log(x / ((a + b) * p)) for x, p in ((a, share), (b, 1 - share)) if x)
+
+
 def choose_stems(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """The shortest stems that are telling, with the logarithm of their odds as weight."""
+    """Stems with the logarithm of their odds as weight: of stems that begin each other, the one that tells most.
+
+    What a stem tells is its toxic documents times its weight: a longer stem
+    wins if it leaves clean words behind, a shorter one if it gathers more forms."""
+    counts = [(s, a, b) for s, a, b in counts if likelihood_ratio(a, b, toxic, clean) >= LEAST_RATIO]
     odds = {s: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) for s, a, b in counts}
     out: dict[str, float] = {}
-    for s in sorted(odds, key=lambda s: (len(s), s)):
-        if odds[s] >= LEAST_ODDS and not any(s[:n] in out for n in range(SHORTEST, len(s))):
+    begun: set[str] = set()
+    for s, _, _ in sorted(counts, key=lambda x: (-x[1] * odds[x[0]], len(x[0]), x[0])):
+        if odds[s] >= LEAST_ODDS and s not in begun and not any(s[:n] in out for n in range(SHORTEST, len(s))):
             out[s] = odds[s]
+            begun.update(s[:n] for n in range(SHORTEST, len(s)))
     return out
 
 
@@ -185,9 +203,9 @@ def fit_layer(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 def _features_of(stems: dict[str, float]):
     def run(batches):
-        g = Grammar(stems, [0.0] * (FEATURES + 1))
+        g = Grammar(stems, [0.0] * (2 * FEATURES + 1))
         for batch in batches:
-            got = [g.features(t).tolist() for t in batch.column("text").to_pylist()]
+            got = [g.evidence(t).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(got, pa.list_(pa.float64()))], ["toxic", "x"])
 
     return run
@@ -196,13 +214,13 @@ def _features_of(stems: dict[str, float]):
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> str:
     """The model, as JSON, from docs(doc_id, text) and labels(doc_id, toxic) that may be learned from."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = written(spark, known.where("toxic = 1").orderBy(*order).limit(SAMPLE).union(known.where("toxic = 0").orderBy(*order).limit(SAMPLE)), "labelled")
+    of = lambda label: lowest_by_hash(known.where(F.col("toxic") == label), "doc_id", SAMPLE)
+    ids = written(spark, of(1).union(of(0)), "labelled")
     texts = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select("text", "toxic")
     texts = written(spark, texts, "labelled-texts")
     n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
-        return json.dumps({"stems": {}, "layer": [-3.0] + [1.0] * FEATURES})
+        return json.dumps({"stems": {}, "layer": [-3.0] + [1.0] * (2 * FEATURES)})
     stems = texts.mapInArrow(_count_stems, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= LEAST_DOCS)
     telling = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
     top = stems.where(telling >= LEAST_ODDS).orderBy(F.desc("toxic"), "stem").limit(STEMS).collect()

@@ -422,7 +422,7 @@ def test_language(spark):
 
 
 def test_grammar_states():
-    g = toxicity.Grammar({"idio": 2.0}, [0.0] * 7)
+    g = toxicity.Grammar({"idio": 2.0}, [0.0] * 13)
     assert g.features("you idiot. fine").tolist() == [2, 2, 0, 0, 0, 0]
     assert g.features("not an idiot! IDIOTS").tolist() == [2, 0, 2, 0, 0, 0]
     assert g.features("he said you are an idiot").tolist() == [0, 2, 0, 2, 0, 0]
@@ -431,6 +431,11 @@ def test_grammar_states():
     assert g.features(None).tolist() == [0] * 6
 
 
+def test_stems_are_chosen_by_what_they_tell():
+    counts = [("lose", 60, 9), ("loser", 55, 0), ("losers", 20, 0), ("lowe", 80, 0), ("lowei", 40, 0), ("rare", 3, 0), ("word", 90, 900)]
+    assert set(toxicity.choose_stems(counts, 200, 2000)) == {"loser", "lowe"}
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -441,7 +446,7 @@ def test_toxicity(spark):
             text[rng.randint(0, 39)] = rng.choice(["grumbolt", "grumbolts", "vexling"])
         rows.append((i, " ".join(text), "en", "s"))
         labels.append((i, 1, int(toxic)))
-    rows += [(900, None, None, None), (901, "", "en", "s"), (902, "Grumbolted " + LONG, "en", "s"), (None, "vexling", "en", "s")]
+    rows += [(900, None, None, None), (901, "", "en", "s"), (902, "Grumbolted " + LONG[:500], "en", "s"), (903, "grumbolt vexling. " * 400 + LONG, "en", "s"), (None, "vexling", "en", "s")]
     labels = spark.createDataFrame([*labels, (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     df = docs_of(spark, rows)
     by = {r["doc_id"]: r for r in toxicity.score(spark, df, labels).collect()}
@@ -449,7 +454,7 @@ def test_toxicity(spark):
     held = [i for i in range(400) if by[i]["held_out"]]
     assert held and all(by[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(400))
     assert all(by[i]["predicted"] == int(i % 6 == 0) for i in held)
-    assert by[900]["score"] == by[901]["score"] < 0.5 and by[902]["predicted"] == 1 and by[None]["predicted"] == 1
+    assert by[900]["score"] == by[901]["score"] < 0.5 and by[902]["predicted"] == by[903]["predicted"] == by[None]["predicted"] == 1
     assert all((r["score"] >= 0.5) == bool(r["predicted"]) for r in by.values())
     assert toxicity.score(spark, empty(spark), labels).count() == 0
     assert all(r["predicted"] == 0 for r in toxicity.score(spark, df, labels.limit(0)).collect())
