@@ -13,9 +13,13 @@ agree on one level agree on all before it, sorting by the key puts a text next
 to those it shares most with. First each text meets the one before it, if both
 share the first level; then, with the components of those links, the last
 texts of up to LOOK_BACK other components. Rows are dealt by ranges of the
-key, so a passage or a group of copies of any size is spread over tasks, each
-text gives a bounded number of pairs, and large groups are connected through
-their neighbours in all tables.
+key, so a passage or a group of copies of any size is spread over tasks, and
+large groups are connected through their neighbours in all tables.
+
+What is left then is compared whole: in each bucket every pair of different
+components meets, block by block, and is aligned unless the sizes or the word
+counts of the two alone exclude it. No pair of a bucket is given up, however
+many texts share its passage.
 """
 
 from __future__ import annotations
@@ -34,6 +38,10 @@ K, TABLES, LEVELS = 5, 16, (2, 3, 4, 6, 8, 12, 16, 24, 32)
 SIMILARITY = 0.8
 #: Components that a text is compared with in each table, besides its neighbour.
 LOOK_BACK = 4
+#: Places of a text's word counts, and rows of a bucket that meet in one task.
+SKETCH, BLOCK = 128, 2048
+#: Pairs of a bucket that are looked at together.
+CHUNK = 1 << 16
 #: Edits up to which the alignment runs diagonal by diagonal.
 SCALAR = 128
 _SEEDS = mixed(np.arange(1, TABLES + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
@@ -175,15 +183,32 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return distance(a, b, most) is not None
 
 
+def sketch(words: np.ndarray) -> np.ndarray:
+    """Counts of the words by hash, 255 at most: each edit moves two of them by one at most."""
+    return np.minimum(np.bincount((words % np.uint64(SKETCH)).astype("i8"), minlength=SKETCH), 255).astype("u1")
+
+
+def meeting_keys(sign: list[bytes]) -> np.ndarray:
+    """The keys of the buckets in which a text meets all others: the first level of each table."""
+    with np.errstate(over="ignore"):
+        return mixed(np.array([int.from_bytes(x[:8], "big") for x in sign], "u8") ^ _SEEDS).view("i8")
+
+
+_SIGNED = "doc_id long, key binary, size int, sign array<binary>, meets array<long>, sketch binary"
+
+
 def _sign(batches):
     for batch in batches:
-        keys, sizes, signs = [], [], []
+        keys, sizes, signs, meets, sketches = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             words = words_of(text)
             keys.append(blake2b(words.tobytes() if len(words) else (text or "").encode("utf-8") + b"\0", digest_size=16).digest())
             sizes.append(len(words))
             signs.append(signature(words) if len(words) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.list_(pa.binary()))], ["doc_id", "key", "size", "sign"])
+            meets.append(meeting_keys(signs[-1]) if len(words) else None)
+            sketches.append(sketch(words).tobytes() if len(words) else None)
+        columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.list_(pa.binary())), pa.array(meets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "size", "sign", "meets", "sketch"])
 
 
 def _sequences(batches):
@@ -276,6 +301,91 @@ def _look_back(similarity: float, most: int):
     return run
 
 
+def _meet(similarity: float):
+    """Rows sorted by group and size (group: key, cell, low, high) -> all pairs (a, b) of a group that may be similar.
+
+    Left out are pairs of one component, and those whose sizes or word counts
+    alone take more edits than similarity allows. Of two blocks (low < high),
+    rows of the same block have met elsewhere; rows that are not own are there
+    to be met by smaller ones."""
+
+    def pairs(rows: pa.Table, ends: np.ndarray):
+        doc, size, component, block = (rows[c].to_numpy() for c in ("doc_id", "size", "component", "block"))
+        apart = rows["low"].to_numpy() != rows["high"].to_numpy()
+        counts = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "u1").reshape(-1, SKETCH).astype("i2")
+        others = np.where(rows["own"].to_numpy(zero_copy_only=False), ends - np.arange(len(doc)) - 1, 0)
+        upto = np.cumsum(others)
+        row, found = 0, []
+        while row < len(doc):
+            stop = max(row + 1, int(np.searchsorted(upto, upto[row] - others[row] + CHUNK, "right")))
+            n = others[row:stop]
+            i = np.repeat(np.arange(row, stop), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            row = stop
+            most = ((1 - similarity) * size[j] + 1e-9).astype("i8")
+            may = (size[j] - size[i] <= most) & (component[i] != component[j]) & ~(apart[i] & (block[i] == block[j]))
+            i, j, most = i[may], j[may], most[may]
+            may = np.abs(counts[i] - counts[j]).sum(axis=1) + size[j] - size[i] <= 2 * most
+            found.append((np.minimum(doc[i], doc[j])[may], np.maximum(doc[i], doc[j])[may]))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            new = np.zeros(rows.num_rows - 1, bool)
+            for c in ("key", "cell", "low", "high"):
+                x = rows[c].to_numpy()
+                new |= x[1:] != x[:-1]
+            cuts = np.flatnonzero(new) + 1
+            if len(cuts):
+                yield from pairs(rows.slice(0, cuts[-1]), np.repeat(cuts, np.diff(cuts, prepend=0)))
+                rows = rows.slice(cuts[-1])
+            held = rows
+        if held is not None:
+            yield from pairs(held.combine_chunks(), np.full(held.num_rows, held.num_rows))
+
+    return run
+
+
+def _met(spark: SparkSession, reps: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different components that share a key and may be similar.
+
+    A bucket is parted into cells by size, so that a text meets those of its
+    own cell and the next larger ones, and cells of over BLOCK rows into
+    blocks: a task holds two blocks, however many texts share a passage."""
+    placed = reps.select("doc_id", "size", "meets").join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.select("doc_id", "size", F.coalesce("component", "doc_id").alias("component"), F.explode("meets").alias("key"))
+    differ = F.min("component") < F.max("component")
+    shared = written(spark, placed.groupBy("key").agg(differ.alias("differ")).where("differ").select("key"), "shared-keys")
+    rows = written(spark, placed.join(sized(shared), "key", "left_semi"), "sharing")
+    step = F.lit(float(np.log(1.01 / similarity)))  # similar texts are in one cell or the next
+    cell = F.floor(F.log("size") / step).cast("int")
+    cells = rows.withColumn("_cell", cell).withColumn("cell", F.explode(F.array("_cell", F.col("_cell") - 1))).withColumn("own", F.col("cell") == F.col("_cell")).drop("_cell")
+    counts = cells.groupBy("key", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("own").alias("any"), differ.alias("differ"))
+    counts = written(spark, counts.where("any and differ").select("key", "cell", "blocks"), "cells")
+    sketches = reps.groupBy("doc_id").agg(F.first("sketch").alias("sketch"))
+    dealt = cells.join(sized(counts), ["key", "cell"]).join(sketches, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "cell", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "block", "doc_id", "size", "component", "own", "sketch")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    group = ("key", "cell", "low", "high")
+    return dealt.repartition(n, *group).sortWithinPartitions(*group, "size", "doc_id").mapInArrow(_meet(similarity), "a long, b long").where("a <> b").distinct()
+
+
+def _joined(spark: SparkSession, members: DataFrame, links: DataFrame) -> DataFrame:
+    """members(node, component) with the components that links(a, b) join put together: only those are put together again."""
+    at = lambda c: members.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = connected_components(spark, between).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    direct = members.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    alone = joined.join(members.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
+    return direct.union(alone)
+
+
 def _sorted(spark: SparkSession, rows: DataFrame) -> DataFrame:
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartitionByRange(n, "t", "key", "doc_id").sortWithinPartitions("t", "key", "doc_id")
@@ -291,7 +401,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = texts.where("doc_id is not null")
-    signed = written(spark, named.mapInArrow(_sign, "doc_id long, key binary, size int, sign array<binary>"), "signatures")
+    signed = written(spark, named.mapInArrow(_sign, _SIGNED), "signatures")
     copies = written(spark, signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep"), "same-words")
     reps = signed.join(sized(copies), "key", "left").where("sign is not null and (rep is null or rep = doc_id)")
     keys = reps.select("doc_id", "size", F.posexplode("sign").alias("t", "key")).select("t", "key", "doc_id", "size")
@@ -307,13 +417,10 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
     more = _sorted(spark, placed).mapInArrow(_look_back(similarity, LOOK_BACK), "a long, b long").where("a <> b").distinct()
     links = _verified(spark, texts, written(spark, more.join(pairs, ["a", "b"], "left_anti"), "second-pairs"), similarity)
 
-    # the second links join components: only those are put together again
-    at = lambda c: members.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = connected_components(spark, between).select(F.col("node").alias("component"), F.col("component").alias("joined"))
-    direct = members.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
-    alone = joined.join(members.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
-    members_of = direct.union(alone)
+    members = written(spark, _joined(spark, members, links), "members")
+
+    pairs = written(spark, _met(spark, reps, members, similarity), "met-pairs")
+    members_of = _joined(spark, members, _verified(spark, texts, pairs, similarity))
 
     one = signed.select("doc_id", "key").join(sized(copies), "key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     joined = one.join(members_of.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))

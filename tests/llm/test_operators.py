@@ -396,6 +396,22 @@ def test_signatures_keep_order():
     assert len(set(g.tolist())) == len(g)  # occurrences tell repeated k-mers apart
 
 
+def test_near_copies_in_a_crowded_bucket(spark, monkeypatch):
+    """Thousands of texts share a passage, and what a copy has in common with its text is that passage alone."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 300, raising=False)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passage = [word() for _ in range(66)]
+    base = [[*passage, *(word() for _ in range(34))] for _ in range(2000)]
+    copies = [[word() if i >= 66 and (i - 66) % 4 == 0 else w for i, w in enumerate(t)] for t in base[:60]]
+    rows = [(i, " ".join(t), "en", "a") for i, t in enumerate(base)] + [(5000 + i, " ".join(t), "en", "a") for i, t in enumerate(copies)]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(spark, docs_of(spark, rows)).collect()}
+    assert all(got[i] == i for i in range(2000))
+    assert all(got[5000 + i] in (i, 5000 + i) for i in range(60))
+    found = sum(got[5000 + i] == i for i in range(60))
+    assert found >= 54, found
+
+
 # --- 8 --------------------------------------------------------------------------------------
 
 
