@@ -19,7 +19,9 @@ large groups are connected through their neighbours in all tables.
 What is left then is compared whole: in each bucket every pair of different
 components meets, block by block, and is aligned unless the sizes or the word
 counts of the two alone exclude it. No pair of a bucket is given up, however
-many texts share its passage.
+many texts share its passage. The keys of these buckets are single shorter
+k-mers (two words in short texts), in as many tables as keep the chance that
+a pair at the threshold shares none under MISS.
 """
 
 from __future__ import annotations
@@ -38,10 +40,14 @@ K, TABLES, LEVELS = 5, 16, (2, 3, 4, 6, 8, 12, 16, 24, 32)
 SIMILARITY = 0.8
 #: Components that a text is compared with in each table, besides its neighbour.
 LOOK_BACK = 4
-#: Places of a text's word counts, and rows of a bucket that meet in one task.
-SKETCH, BLOCK = 128, 2048
-#: Pairs of a bucket that are looked at together.
-CHUNK = 1 << 16
+#: Places of a text's word counts, least and most, and rows of a bucket that meet in one task.
+SKETCH, BLOCK = (32, 4096), 2048
+#: Pairs of a bucket that are looked at together, and counts of them.
+CHUNK, COUNTS = 1 << 16, 1 << 22
+#: Chance that a pair at SIMILARITY shares no bucket, whatever its edits.
+MISS = 1e-3
+#: Words of a k-mer in the keys of buckets, and of the texts up to which two words are a key.
+MEET_K, SHORT = 3, 24
 #: Edits up to which the alignment runs diagonal by diagonal.
 SCALAR = 128
 _SEEDS = mixed(np.arange(1, TABLES + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
@@ -184,14 +190,50 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def sketch(words: np.ndarray) -> np.ndarray:
-    """Counts of the words by hash, 255 at most: each edit moves two of them by one at most."""
-    return np.minimum(np.bincount((words % np.uint64(SKETCH)).astype("i8"), minlength=SKETCH), 255).astype("u1")
+    """Counts of the words by hash, 255 at most: each edit moves two of them by one at most.
 
+    As many places as words, in powers of two, so that longer sketches fold to shorter ones."""
+    n = min(max(SKETCH[0], 1 << max(0, len(words) - 1).bit_length()), SKETCH[1])
+    return np.minimum(np.bincount((words % np.uint64(n)).astype("i8"), minlength=n), 255).astype("u1")
 
-def meeting_keys(sign: list[bytes]) -> np.ndarray:
-    """The keys of the buckets in which a text meets all others: the first level of each table."""
+
+def least_share(n: int, similarity: float = SIMILARITY) -> float:
+    """The least chance that a text of n words and one similar to it, no longer, agree on a key.
+
+    Each of the edits takes k of the n - k + 1 k-mers at most, and adds k; a
+    short text's key is its two least words."""
+    edits = int((1 - similarity) * n + 1e-9)
+    k = 1 if n <= SHORT else MEET_K
+    own = n - k + 1
+    shared = max(0, own - k * edits)
+    union = 2 * own - shared
+    return shared * (shared - 1) / (union * (union - 1)) if n <= SHORT else shared / union
+
+
+def meeting_tables(similarity: float = SIMILARITY) -> int:
+    """Keys of a text, so that a pair at similarity misses all with a chance of MISS at most."""
+    texts = range(int(1 / (1 - similarity) + 1e-9), 100)
+    least = min(least_share(n, similarity) for n in texts)
+    return int(np.ceil(np.log(MISS) / np.log(1 - least)))
+
+
+_MEET_SEEDS = mixed(np.arange(101, 101 + meeting_tables(), dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
+
+
+def meeting_keys(words: np.ndarray) -> np.ndarray:
+    """The keys of the buckets in which a text meets all others.
+
+    In each table the least labelled k-mer; the two least words in texts of up
+    to SHORT words. Texts that may be similar to one on the other side of
+    SHORT have both. With fewer than two words no edit is allowed."""
+    out = [np.array([], "u8")]
     with np.errstate(over="ignore"):
-        return mixed(np.array([int.from_bytes(x[:8], "big") for x in sign], "u8") ^ _SEEDS).view("i8")
+        if len(words) > SIMILARITY * SHORT:
+            out.append(mixed(((labelled_kmers(words, MEET_K)[None, :] ^ _MEET_SEEDS[:, None]) * (_MEET_SEEDS[:, None] | np.uint64(1))).min(axis=1) ^ _MEET_SEEDS))
+        if 1 < len(words) <= SHORT:
+            least = np.sort((labelled_kmers(words, 1)[None, :] ^ _MEET_SEEDS[:, None]) * (_MEET_SEEDS[:, None] | np.uint64(1)), axis=1)[:, :2]
+            out.append(mixed(least[:, 0] + least[:, 1] * POWERS[1] + _MEET_SEEDS))
+    return np.concatenate(out).view("i8")
 
 
 _SIGNED = "doc_id long, key binary, size int, sign array<binary>, meets array<long>, sketch binary"
@@ -205,7 +247,7 @@ def _sign(batches):
             keys.append(blake2b(words.tobytes() if len(words) else (text or "").encode("utf-8") + b"\0", digest_size=16).digest())
             sizes.append(len(words))
             signs.append(signature(words) if len(words) else None)
-            meets.append(meeting_keys(signs[-1]) if len(words) else None)
+            meets.append(meeting_keys(words) if len(words) else None)
             sketches.append(sketch(words).tobytes() if len(words) else None)
         columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.list_(pa.binary())), pa.array(meets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "size", "sign", "meets", "sketch"])
@@ -312,7 +354,24 @@ def _meet(similarity: float):
     def pairs(rows: pa.Table, ends: np.ndarray):
         doc, size, component, block = (rows[c].to_numpy() for c in ("doc_id", "size", "component", "block"))
         apart = rows["low"].to_numpy() != rows["high"].to_numpy()
-        counts = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "u1").reshape(-1, SKETCH).astype("i2")
+        starts = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+        sketches = [np.frombuffer(x, "u1") for x in rows["sketch"].to_pylist()]
+        width = np.repeat(np.minimum.reduceat([len(x) for x in sketches], starts), np.diff(starts, append=len(doc)))
+        folded, place = {}, np.zeros(len(doc), "i8")
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            place[at] = np.arange(len(at))
+            folded[w] = np.stack([sketches[i].reshape(-1, w).sum(axis=0, dtype="i2") for i in at])
+
+        def moved(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """How far the word counts of each pair differ."""
+            out = np.zeros(len(i), "i8")
+            for w, counts in folded.items():
+                at = np.flatnonzero(width[i] == w)
+                for x in np.split(at, range(COUNTS // w, len(at), COUNTS // w)):
+                    out[x] = np.abs(counts[place[i[x]]] - counts[place[j[x]]]).sum(axis=1, dtype="i8")
+            return out
+
         others = np.where(rows["own"].to_numpy(zero_copy_only=False), ends - np.arange(len(doc)) - 1, 0)
         upto = np.cumsum(others)
         row, found = 0, []
@@ -325,7 +384,7 @@ def _meet(similarity: float):
             most = ((1 - similarity) * size[j] + 1e-9).astype("i8")
             may = (size[j] - size[i] <= most) & (component[i] != component[j]) & ~(apart[i] & (block[i] == block[j]))
             i, j, most = i[may], j[may], most[may]
-            may = np.abs(counts[i] - counts[j]).sum(axis=1) + size[j] - size[i] <= 2 * most
+            may = moved(i, j) + size[j] - size[i] <= 2 * most
             found.append((np.minimum(doc[i], doc[j])[may], np.maximum(doc[i], doc[j])[may]))
         a, b = (np.concatenate(x) for x in zip(*found))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])

@@ -412,6 +412,25 @@ def test_near_copies_in_a_crowded_bucket(spark, monkeypatch):
     assert found >= 54, found
 
 
+def test_keys_of_buckets_by_a_stated_miss():
+    assert (1 - min(order_minhash.least_share(n) for n in range(5, 3000))) ** order_minhash.meeting_tables() <= order_minhash.MISS
+
+
+def test_near_copies_at_the_threshold(spark):
+    """One word in five replaced, evenly spread: what 5-word k-mers share least."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows, n = [], 0
+    for size in [5, 6, 7, 8, 9, 10, 12, 14, 20, 24, 25, 29, 30, 40, 60, 100, 300]:
+        for _ in range(6):
+            text = [word() for _ in range(size)]
+            edited = [word() if i % 5 == 2 and i // 5 < size // 5 else w for i, w in enumerate(text)]
+            rows += [(n, " ".join(text), "en", "a"), (10_000 + n, " ".join(edited), "en", "a")]
+            n += 1
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(spark, docs_of(spark, rows)).collect()}
+    assert sum(got[10_000 + i] != i for i in range(n)) <= 1
+
+
 # --- 8 --------------------------------------------------------------------------------------
 
 
