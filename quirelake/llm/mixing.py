@@ -1,31 +1,30 @@
 """Operator 2: mixing sources to target weights by Pfair scheduling.
 
 Each source's documents, in an order drawn by hash, are cut into blocks of
-about BLOCK_BYTES. Weights are kept as whole shares n of a frame of H slots;
-block i (from 1) of a source has release time floor((i-1)H/n) and deadline
-ceil(iH/n), and earliest deadline first gives every slot to one block. Then
-each source's blocks stay within one of its share at every slot. The schedule
-of a frame repeats, so one frame is scheduled on the driver (H entries) and
-the slot of any block is arithmetic on its number.
-
-A source that runs out leaves the frame, and the others keep their ratio: so
-the mix has phases, at most two for each source, and no document is dropped or
-repeated. What reaches the driver is one row for each source.
+about BLOCK_BYTES. With w a source's exact share of the weights, its block i
+(from 1) has release time floor((i-1)/w) and deadline ceil(i/w), and earliest
+deadline first gives every slot to one block. Then each source's blocks stay
+within one of its share at every slot, however long the mix is.
+
+A source that runs out leaves the mix, and the others keep their ratio: so the
+mix has phases, at most one for each source, and no document is dropped or
+repeated. What reaches the driver is one row for each source; it schedules a
+slot for each block (4000 for a GB).
 """
 
 from __future__ import annotations
 
 import heapq
 from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import read, sized, written
 
 BLOCK_BYTES = 256 * 1024
-#: Slots of a frame at least; more if there are many sources.
+#: Blocks of a source in a row of the schedule.
 FRAME = 256
 #: Rows that a part of a source holds: parts are numbered on their own, so a hot source is no single task.
 PART_ROWS = 4096
@@ -33,14 +32,15 @@ PART_ROWS = 4096
 POWER = 0.5
 
 
-def pfair(shares: dict[str, int]) -> list[str]:
-    """One frame: the source of each slot, by earliest deadline first among released blocks."""
+def pfair(shares: dict[str, int], left: dict[str, int] | None = None) -> list[str]:
+    """The source of each slot, by earliest deadline first among released blocks: one frame, or until a source has none left."""
     h = sum(shares.values())
     waiting = [(0, -(-h // n), s, 1) for s, n in sorted(shares.items()) if n]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(h):
+    out: list[str] = []
+    while left is not None or len(out) < h:
+        slot = len(out)
         while waiting and waiting[0][0] <= slot:
             _, deadline, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, s, i))
@@ -48,43 +48,38 @@ def pfair(shares: dict[str, int]) -> list[str]:
         if deadline <= slot:
             raise AssertionError("a deadline is missed")
         out.append(s)
-        if i < shares[s]:
+        if left is not None and i == left[s]:
+            break
+        if left is not None or i < shares[s]:
             n = shares[s]
             heapq.heappush(waiting, (i * h // n, -(-(i + 1) * h // n), s, i + 1))
     return out
 
 
-def frame_shares(weights: dict[str, float], h: int) -> dict[str, int]:
-    """Whole shares of h slots, one at least, that are nearest the weights (largest remainders)."""
-    total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) / total * h for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
-    for s in order[: max(0, h - sum(out.values()))]:
-        out[s] += 1
-    return out
+def whole_shares(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers in exactly the same ratio."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    common = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * common) for s, x in exact.items()}
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float], frame: int = FRAME) -> list[tuple[str, int, int, int, int, list[int]]]:
-    """(source, first block, blocks, first slot, frame length, slots of its blocks in the frame) for each source and phase."""
+    """(source, first block, blocks, first slot, slots of the phase, slots of its blocks in the phase) in parts of at most frame blocks."""
     left, done, start = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0
     out = []
     while left:
-        shares = frame_shares({s: weights[s] for s in left}, max(frame, 4 * len(left)))
-        whole = min(left[s] // shares[s] for s in left)
-        if not whole:  # some source ends inside this frame
-            shares, whole = {s: min(n, left[s]) for s, n in shares.items()}, 1
+        order = pfair(whole_shares({s: weights[s] for s in left}), left)
         slots: dict[str, list[int]] = {}
-        for at, s in enumerate(pfair(shares)):
+        for at, s in enumerate(order):
             slots.setdefault(s, []).append(at)
-        h = sum(shares.values())
         for s, at in slots.items():
-            n = whole * len(at)
-            out.append((s, done[s], n, start, h, at))
-            done[s] += n
-            left[s] -= n
+            for i in range(0, len(at), frame):
+                part = at[i : i + frame]
+                out.append((s, done[s], len(part), start, len(order), part))
+                done[s] += len(part)
+                left[s] -= len(part)
         left = {s: n for s, n in left.items() if n}
-        start += whole * h
+        start += len(order)
     return out
 
 
@@ -115,13 +110,14 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None =
     wanted = {k: (weights or {}).get(names[k], sizes[k][1] ** POWER) for k in sizes}
     if any(w <= 0 for w in wanted.values()):
         raise ValueError("weights must be positive")
-    plan = [(k, i, first, n, start, h, at) for i, (k, first, n, start, h, at) in enumerate(phases(blocks, wanted))]
-    kind = T.StructType([T.StructField("_key", T.StringType()), T.StructField("_phase", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ("_first", "_n", "_slot0", "_h")] + [T.StructField("_slots", T.ArrayType(T.IntegerType()))])
-    # a row per source: its phases, in order; phases of a source are at most two for each source
-    table = spark.createDataFrame(plan, kind).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_first", "_n", "_slot0", "_h", "_slots"))).alias("_phases"))
-    p = F.element_at(F.filter("_phases", lambda x: x["_first"] <= F.col("block")), -1)
-    out = placed.join(sized(table, len(sizes)), "_key").withColumn("_p", p).withColumn("_i", F.col("block") - F.col("_p._first")).withColumn("_c", F.size("_p._slots"))
-    slot = F.col("_p._slot0") + F.floor(F.col("_i") / F.col("_c")).cast("long") * F.col("_p._h") + F.element_at(F.col("_p._slots"), (F.col("_i") % F.col("_c") + 1).cast("int"))
+    slots: dict[str, list[int]] = {k: [] for k in blocks}
+    for k, _, _, start, _, at in phases(blocks, wanted):
+        slots[k] += [start + x for x in at]
+    # a row for FRAME blocks of a source
+    plan = [(k, i // FRAME, at[i : i + FRAME]) for k, at in slots.items() for i in range(0, len(at), FRAME)]
+    table = spark.createDataFrame(plan, "_key string, _frame long, _slots array<long>")
+    out = placed.withColumn("_frame", F.floor(F.col("block") / FRAME).cast("long")).join(sized(table, sum(blocks.values())), ["_key", "_frame"])
+    slot = F.element_at("_slots", (F.col("block") % FRAME + 1).cast("int"))
     return out.select("doc_id", "source", "block", slot.cast("long").alias("slot"), F.col("_at").alias("seat"), *keep)
 
 

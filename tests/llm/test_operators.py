@@ -118,6 +118,17 @@ def test_phases_use_each_block_and_slot_once(sources):
     assert sorted(slots) == list(range(sum(blocks.values())))
 
 
+def test_mix_keeps_to_the_true_weights_over_many_frames():
+    weights = {"a": 0.7490, "b": 0.2003, "c": 0.05, "d": 0.0007}
+    total, order, seen = sum(weights.values()), {}, dict.fromkeys(weights, 0)
+    for s, first, n, start, h, at in mixing.phases({s: 100_000 for s in weights}, weights):
+        if not start:
+            order |= {i // len(at) * h + at[i % len(at)]: s for i in range(n)}
+    for slot in range(20_000):
+        seen[order[slot]] += 1
+        assert all(abs(seen[s] - w / total * (slot + 1)) < 1 + 1e-6 for s, w in weights.items()), slot
+
+
 def test_mixing(spark, odd, monkeypatch):
     monkeypatch.setattr(mixing, "PART_ROWS", 7)
     df = docs_of(spark, odd)
