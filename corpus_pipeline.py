@@ -33,7 +33,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, docs)
+    """Sequences numbered in the order of the mix.
+
+    Files are read in the order of their sizes, so the mix is dealt again; it
+    depends on the documents alone, so it's the same one."""
+    return packing.pack(spark, mixing.mixed(spark, docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -105,7 +105,9 @@ def _packer(name: str, capacity: int):
         def flush():
             nonlocal made, ids, docs, held
             rows: list[tuple] = []
-            for pieces in assign([len(x) for x in ids], capacity):
+            # numbered by where their tokens stood, so that ids follow the order of the rows
+            stood = lambda pieces: sum(doc * n for doc, _, n in pieces) / sum(n for _, _, n in pieces)
+            for pieces in sorted(assign([len(x) for x in ids], capacity), key=stood):
                 offset = 0
                 for doc, start, n in pieces:
                     piece = ids[doc][start : start + n]

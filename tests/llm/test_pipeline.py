@@ -1,14 +1,16 @@
 """The pipeline on small tables, and the registered queries on the driver's."""
 
 import os
+import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quirelake import llm
-from quirelake.llm import exact_dedup, order_minhash, packing, toxicity
+from quirelake.llm import exact_dedup, mixing, order_minhash, packing, toxicity
 
 from .test_operators import docs_of, odd  # noqa: F401  a fixture
 
@@ -36,6 +38,30 @@ def test_stages(spark, odd, tmp_path):  # noqa: F811
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == total
 
 
+def test_sequences_follow_the_mix(spark, tmp_path):
+    rng = random.Random(5)
+    # the hot source's files, last in the mix, are the longest: its text is the least compressible
+    hot = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(300)), "en", "hot") for i in range(1500)]
+    small = [(5000 + i, f"calm {i} " + "words that come again " * 140, "en", "small") for i in range(400)]
+    docs_of(spark, [*hot, *small]).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    again = spark.read.parquet(str(tmp_path / "mixed"))
+    got = corpus_pipeline.pack_sequences(spark, again, "").select("sequence_id", "doc_id").collect()
+    order = {s: i for i, s in enumerate(sorted({r["sequence_id"] for r in got}))}
+    where = {}
+    for r in got:
+        where.setdefault(r["doc_id"], order[r["sequence_id"]])
+    # slots of the documents, and places of their sequences: late slots come late
+    slots = {r["doc_id"]: r["slot"] for r in mixing.mix(spark, docs).select("doc_id", "slot").collect()}
+    ids = sorted(slots)
+    assert np.corrcoef([slots[i] for i in ids], [where[i] for i in ids])[0, 1] > 0.9
+    # none of the small source stands among the last sequences, where only the hot source is left
+    end = max(s for i, s in slots.items() if i >= 5000)
+    late = {where[i] for i in ids if slots[i] > end + 1}
+    assert late and np.median([where[i] for i in ids if i >= 5000]) < min(np.median(list(late)), 0.6 * len(order))
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
     assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES) == list(range(1, 11))
