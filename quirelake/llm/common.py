@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: above, the same join shuffles both sides.
 BROADCAST_ROWS = 200_000
 
-#: Rows in one Arrow batch handed to Python: documents can hold over 100 kB each.
-ARROW_ROWS = 512
+#: Bytes in one Arrow batch handed to Python: a batch ends at the row that reaches them.
+ARROW_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,9 +49,10 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of one Arrow batch by its rows."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the bytes of an Arrow batch; the bound stays with the session, as plans are run after they are made."""
+    bound = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b")
+    if not bound.isdigit() or not 0 < int(bound) <= ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def sized(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -1,27 +1,25 @@
 """Operator 7: near-duplicate texts by Order MinHash.
 
-A text is its lower-case words; its k-mers are runs of K words, each labelled
-with its occurrence number. In each of TABLES tables the LEVELS smallest
-labelled k-mers under a hash are taken and kept in text order, so that texts
-meet if they share k-mers in the same order: the collision rate follows edit
-similarity. Candidates are verified by banded alignment of the whole word
-sequences; the classes are the connected components of verified pairs.
-
-Equal word sequences are one representative. In a table, a text's key is the
-hashes of its 2, 3, 4, 6, ... 32 smallest k-mers in text order; as texts that
-agree on one level agree on all before it, sorting by the key puts a text next
-to those it shares most with. First each text meets the one before it, if both
-share the first level; then, with the components of those links, the last
-texts of up to LOOK_BACK other components. Rows are dealt by ranges of the
-key, so a passage or a group of copies of any size is spread over tasks, and
-large groups are connected through their neighbours in all tables.
-
-What is left then is compared whole: in each bucket every pair of different
-components meets, block by block, and is aligned unless the sizes or the word
-counts of the two alone exclude it. No pair of a bucket is given up, however
-many texts share its passage. The keys of these buckets are single shorter
-k-mers (two words in short texts), in as many tables as keep the chance that
-a pair at the threshold shares none under MISS.
+A text is its lower-case words; its k-mers are runs of words, each labelled
+with its occurrence number. In each table the two smallest labelled k-mers
+under a hash are taken and kept in text order; texts with the same two in the
+same order share a bucket, so that the rate at which texts meet follows their
+edit similarity. K-mers have five words, in more tables three, as edits that
+are spread evenly leave few runs of five; short texts have k-mers of two words
+or one. FAMILIES gives tables for each; ``missed`` calculates the chance that a
+pair at SIMILARITY shares no bucket. Candidates are verified by banded
+alignment of the whole word sequences; the classes are the connected
+components of verified pairs.
+
+Equal word sequences are one representative. First each text is aligned with
+the one before it in its buckets of FIRST tables, which connects large groups
+of copies at a linear cost. What is left then is compared whole: buckets that
+hold several components are put together by the smallest of them, and in such
+a meeting every pair of different components is aligned, unless their sizes,
+word counts or shared word pairs and triples exclude it. No pair of a bucket is
+given up, however many texts share its passage. A meeting of many texts is
+parted into cells by size and into blocks, so a task holds two blocks; it
+gives one link for components that it joins, not all pairs.
 """
 
 from __future__ import annotations
@@ -36,21 +34,21 @@ from pyspark.sql import functions as F
 from .common import connected_components, read, sized, small_batches, without_ids, written
 from .words import POWERS, mixed, word_hashes
 
-K, TABLES, LEVELS = 5, 16, (2, 3, 4, 6, 8, 12, 16, 24, 32)
 SIMILARITY = 0.8
-#: Components that a text is compared with in each table, besides its neighbour.
-LOOK_BACK = 4
-#: Places of a text's word counts, least and most, and rows of a bucket that meet in one task.
-SKETCH, BLOCK = (32, 4096), 2048
-#: Pairs of a bucket that are looked at together, and counts of them.
-CHUNK, COUNTS = 1 << 16, 1 << 22
-#: Chance that a pair at SIMILARITY shares no bucket, whatever its edits.
-MISS = 1e-3
-#: Words of a k-mer in the keys of buckets, and of the texts up to which two words are a key.
-MEET_K, SHORT = 3, 24
+#: (words of a k-mer, tables, least and most words of a text that has such keys): similar texts have a family in common.
+FAMILIES = ((1, 24, 2, 12), (2, 36, 10, 64), (5, 48, 50, None), (3, 80, 50, None))
+#: Tables of a family whose buckets are read for neighbours first.
+FIRST = 12
+#: Texts and words of a block of a meeting.
+BLOCK, BLOCK_WORDS = 8192, 4_000_000
+#: Places of a text's word counts, least and most; bytes of them that are compared at once.
+SKETCH, COUNTS = (32, 4096), 1 << 22
+#: K-mers of a text times tables that are hashed at once.
+CHUNK = 1 << 18
 #: Edits up to which the alignment runs diagonal by diagonal.
 SCALAR = 128
-_SEEDS = mixed(np.arange(1, TABLES + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
+#: 32-bit seeds: the tables of a family are SEEDS[first : first + tables].
+_SEEDS = (mixed(np.arange(1, 1 + sum(f[1] for f in FAMILIES), dtype="u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype("u4")
 
 
 def words_of(text: str | None) -> np.ndarray:
@@ -59,7 +57,7 @@ def words_of(text: str | None) -> np.ndarray:
     return word_hashes(np.frombuffer(text.lower().encode("utf-8"), "u1"))[0]
 
 
-def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
+def labelled_kmers(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-mers in text order, each mixed with its occurrence number."""
     n = len(words) - k + 1
     with np.errstate(over="ignore"):
@@ -78,22 +76,47 @@ def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
         return mixed(h + number * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def signature(words: np.ndarray) -> list[bytes]:
-    """A key for each table: eight bytes for the first level and four for each other."""
-    g = labelled_kmers(words)
-    top = min(LEVELS[-1], len(g))
-    with np.errstate(over="ignore"):
-        v = (g[None, :] ^ _SEEDS[:, None]) * (_SEEDS[:, None] | np.uint64(1))  # g is mixed already
-        least = np.argpartition(v, top - 1, axis=1)[:, :top]
-        least = np.take_along_axis(least, np.argsort(np.take_along_axis(v, least, 1), axis=1), 1)
-        out = np.zeros((TABLES, 1 + len(LEVELS)), ">u4")
-        for i, level in enumerate(LEVELS):
-            in_order = g[np.sort(least[:, :level], axis=1)]
-            h = mixed((in_order * POWERS[: in_order.shape[1]]).sum(axis=1, dtype="u8") ^ (_SEEDS + np.uint64(level)))
-            if not i:
-                out[:, 0] = h >> np.uint64(32)
-            out[:, 1 + i] = h & np.uint64(0xFFFFFFFF)
-    return [row.tobytes() for row in out]
+def order_keys(words: np.ndarray) -> np.ndarray:
+    """The text's keys: the two smallest labelled k-mers of each table, in text order.
+
+    A key's last bit tells whether its table is one of the FIRST. Memory stays
+    under CHUNK numbers, however long the text. A k-mer alone is its own pair."""
+    out, start = [], 0
+    for k, tables, least, most in FAMILIES:
+        if len(words) >= least and (most is None or len(words) <= most):
+            g = labelled_kmers(words, k)
+            low = (g >> np.uint64(32)).astype("u4")
+            step = max(1, CHUNK // len(g))
+            for t in range(0, tables, step):
+                seeds = _SEEDS[start + t : start + min(t + step, tables)]
+                v = (low[None, :] ^ seeds[:, None]) * (seeds[:, None] | np.uint32(1))
+                a = v.argmin(axis=1)
+                v[np.arange(len(a)), a] = 0xFFFFFFFF
+                b = v.argmin(axis=1)
+                with np.errstate(over="ignore"):
+                    h = mixed(g[np.minimum(a, b)] + g[np.maximum(a, b)] * POWERS[1] + seeds.astype("u8") * np.uint64(0x9E3779B97F4A7C15))
+                early = np.arange(t, t + len(seeds)) < FIRST
+                out.append((h & ~np.uint64(1)) | early)
+        start += tables
+    return np.concatenate(out).view("i8") if out else np.array([], "i8")
+
+
+def missed(n: int, similarity: float = SIMILARITY, spread: bool = False) -> float:
+    """The chance that a text of n words and one at similarity (words replaced) share no bucket.
+
+    The edits fall at random places or, with spread, at even distances, which
+    is the worst case: each takes k of the n - k + 1 k-mers, and adds k."""
+    edits = int((1 - similarity) * n + 1e-9)
+    out = 1.0
+    for k, tables, least, most in FAMILIES:
+        own = n - k + 1
+        if not least <= n <= (most or n) or own < 2:
+            continue
+        whole = float(np.prod([(n - edits - i) / (n - i) for i in range(k)]))
+        shared = max(0.0, own - k * edits) if spread else own * whole
+        union = 2 * own - shared
+        out *= (1 - max(0.0, shared * (shared - 1)) / (union * (union - 1))) ** tables
+    return out
 
 
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -174,89 +197,63 @@ def _wide_band(a: np.ndarray, b: np.ndarray, reach: np.ndarray, low: int, start:
     return None
 
 
+def shared_grams(a: np.ndarray, b: np.ndarray, k: int) -> int:
+    """How many k-grams (with repeats) the two have in common."""
+    if min(len(a), len(b)) < k:
+        return 0
+    grams = []
+    for words in (a, b):
+        h = words[: len(words) - k + 1].astype("u8")
+        with np.errstate(over="ignore"):
+            for i in range(1, k):
+                h = h + words[i : i + len(h)] * POWERS[i]
+        grams.append(h)
+    _, place = np.unique(np.concatenate(grams), return_inverse=True)
+    n = int(place.max()) + 1
+    cut = len(grams[0])
+    return int(np.minimum(np.bincount(place[:cut], minlength=n), np.bincount(place[cut:], minlength=n)).sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether 1 - distance / longer length reaches similarity."""
     longer = max(len(a), len(b))
     most = int((1 - similarity) * longer + 1e-9)
     if longer - min(len(a), len(b)) > most:
         return False
-    # no alignment keeps more words than the texts share
-    both = np.concatenate([a, b])
-    words, place = np.unique(both, return_inverse=True)
-    shared = np.minimum(np.bincount(place[: len(a)], minlength=len(words)), np.bincount(place[len(a) :], minlength=len(words))).sum()
-    if longer - int(shared) > most:
+    # an edit takes away k k-grams of the longer text at most
+    if any(shared_grams(a, b, k) < longer - k + 1 - k * most for k in (1, 2, 3)):
         return False
     return distance(a, b, most) is not None
 
 
-def sketch(words: np.ndarray) -> np.ndarray:
-    """Counts of the words by hash, 255 at most: each edit moves two of them by one at most.
-
-    As many places as words, in powers of two, so that longer sketches fold to shorter ones."""
-    n = min(max(SKETCH[0], 1 << max(0, len(words) - 1).bit_length()), SKETCH[1])
-    return np.minimum(np.bincount((words % np.uint64(n)).astype("i8"), minlength=n), 255).astype("u1")
-
-
-def least_share(n: int, similarity: float = SIMILARITY) -> float:
-    """The least chance that a text of n words and one similar to it, no longer, agree on a key.
-
-    Each of the edits takes k of the n - k + 1 k-mers at most, and adds k; a
-    short text's key is its two least words."""
-    edits = int((1 - similarity) * n + 1e-9)
-    k = 1 if n <= SHORT else MEET_K
-    own = n - k + 1
-    shared = max(0, own - k * edits)
-    union = 2 * own - shared
-    return shared * (shared - 1) / (union * (union - 1)) if n <= SHORT else shared / union
-
-
-def meeting_tables(similarity: float = SIMILARITY) -> int:
-    """Keys of a text, so that a pair at similarity misses all with a chance of MISS at most."""
-    texts = range(int(1 / (1 - similarity) + 1e-9), 100)
-    least = min(least_share(n, similarity) for n in texts)
-    return int(np.ceil(np.log(MISS) / np.log(1 - least)))
-
-
-_MEET_SEEDS = mixed(np.arange(101, 101 + meeting_tables(), dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
-
-
-def meeting_keys(words: np.ndarray) -> np.ndarray:
-    """The keys of the buckets in which a text meets all others.
-
-    In each table the least labelled k-mer; the two least words in texts of up
-    to SHORT words. Texts that may be similar to one on the other side of
-    SHORT have both. With fewer than two words no edit is allowed."""
-    out = [np.array([], "u8")]
-    with np.errstate(over="ignore"):
-        if len(words) > SIMILARITY * SHORT:
-            out.append(mixed(((labelled_kmers(words, MEET_K)[None, :] ^ _MEET_SEEDS[:, None]) * (_MEET_SEEDS[:, None] | np.uint64(1))).min(axis=1) ^ _MEET_SEEDS))
-        if 1 < len(words) <= SHORT:
-            least = np.sort((labelled_kmers(words, 1)[None, :] ^ _MEET_SEEDS[:, None]) * (_MEET_SEEDS[:, None] | np.uint64(1)), axis=1)[:, :2]
-            out.append(mixed(least[:, 0] + least[:, 1] * POWERS[1] + _MEET_SEEDS))
-    return np.concatenate(out).view("i8")
+_SIGNED = "doc_id long, key binary, size int, keys array<long>"
 
 
-_SIGNED = "doc_id long, key binary, size int, sign array<binary>, meets array<long>, sketch binary"
+def _digest(words: np.ndarray, text: str | None) -> bytes:
+    return blake2b(words.tobytes() if len(words) else (text or "").encode("utf-8") + b"\0", digest_size=16).digest()
 
 
 def _sign(batches):
     for batch in batches:
-        keys, sizes, signs, meets, sketches = [], [], [], [], []
+        digests, sizes, keys = [], [], []
         for text in batch.column("text").to_pylist():
             words = words_of(text)
-            keys.append(blake2b(words.tobytes() if len(words) else (text or "").encode("utf-8") + b"\0", digest_size=16).digest())
+            digests.append(_digest(words, text))
             sizes.append(len(words))
-            signs.append(signature(words) if len(words) else None)
-            meets.append(meeting_keys(words) if len(words) else None)
-            sketches.append(sketch(words).tobytes() if len(words) else None)
-        columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.list_(pa.binary())), pa.array(meets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "size", "sign", "meets", "sketch"])
+            keys.append(order_keys(words) if len(words) else None)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "key", "size", "keys"])
 
 
 def _sequences(batches):
     for batch in batches:
-        got = [words_of(t).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary())], ["doc_id", "seq"])
+        words = [words_of(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_digest(w, "") for w in words], pa.binary()), pa.array([w.astype("<u4").tobytes() for w in words], pa.binary())], ["doc_id", "key", "seq"])
+
+
+def sequences(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, seq) of the texts of ids(doc_id); a doc_id with several texts has a row for each."""
+    few = texts.join(sized(ids), "doc_id", "left_semi")
+    return few.mapInArrow(_sequences, "doc_id long, key binary, seq binary").dropDuplicates(["doc_id", "key"]).select("doc_id", "seq")
 
 
 def _align(similarity: float):
@@ -271,168 +268,162 @@ def _align(similarity: float):
 def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs(a, b) whose texts are similar."""
     ids = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    seqs = written(spark, texts.join(sized(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sequences, "doc_id long, seq binary"), "sequences")
+    seqs = written(spark, sequences(texts, ids), "sequences")
     full = pairs.join(seqs.select(F.col("doc_id").alias("b"), F.col("seq").alias("seq_b")), "b").join(seqs.select(F.col("doc_id").alias("a"), F.col("seq").alias("seq_a")), "a")
     return written(spark, full.select("a", "b", "seq_a", "seq_b").mapInArrow(_align(similarity), "a long, b long"), "verified")
 
 
-_ROWS = "t int, key binary, doc_id long, size int, before long, before_size int"
+_ROWS = "key long, doc_id long, size int, before long"
 
 
-def _neighbours(batches):
-    """Sorted rows (t, key, doc_id, size) -> those that share the first level with a row next to them, with the row before."""
-    held = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        rows = rows.combine_chunks()
-        fresh = 0 if held is None else held.num_rows - 1  # rows before are there for comparison only
-        n = rows.num_rows
-        head = np.frombuffer(b"".join(k[:8] for k in rows["key"].to_pylist()), ">u8")
-        t = rows["t"].to_numpy()
-        same = (head[1:] == head[:-1]) & (t[1:] == t[:-1])
-        yield from _grouped(rows, same, fresh, n - 1)
-        held = rows.slice(max(0, n - 2))
-    if held is not None:
-        n = held.num_rows
-        head = [k[:8] for k in held["key"].to_pylist()]
-        t = held["t"].to_numpy()
-        same = np.array([head[i] == head[i + 1] and t[i] == t[i + 1] for i in range(n - 1)], bool)
-        yield from _grouped(held, same, n - 1, n)
-
-
-def _grouped(rows: pa.Table, same: np.ndarray, start: int, stop: int):
-    """Rows start to stop that are the same as the row before or after; same[i]: rows i and i + 1 agree."""
-    n = rows.num_rows
-    like_before, like_after = np.concatenate([[False], same]), np.concatenate([same, [False]])
-    at = np.flatnonzero(like_before | like_after)
-    at = at[(at >= start) & (at < stop)]
-    if len(at):
-        ids, sizes = rows["doc_id"].to_numpy(), rows["size"].to_numpy()
-        none = ~like_before[at]
-        prev = np.maximum(at - 1, 0)
-        out = rows.take(pa.array(at)).append_column("before", pa.array(ids[prev], mask=none)).append_column("before_size", pa.array(sizes[prev], mask=none))
-        assert n >= stop
-        yield from out.to_batches()
-
-
-def _look_back(similarity: float, most: int):
-    """Sorted rows (t, key, doc_id, size, component) -> pairs (a, b) with the last rows of other components that share the first level."""
+def _neighbours(similarity: float):
+    """Sorted rows (key, size, doc_id) -> those that may share their key: a row next to them in this task has it, or they are its first or last.
+
+    before: the row before, if it has the same key, is another and may be similar, in a FIRST table."""
 
     def run(batches):
-        group, last = None, {}
+        held, start = None, True
         for batch in batches:
-            found_a, found_b = [], []
-            for t, key, doc, size, component in zip(*(batch.column(c).to_pylist() for c in ("t", "key", "doc_id", "size", "component"))):
-                if (t, key[:8]) != group:
-                    group, last = (t, key[:8]), {}
-                met = 0
-                for other in reversed(last):
-                    d, n = last[other]
-                    if other != component and min(n, size) >= max(n, size) * similarity - 1e-6:
-                        found_a.append(min(d, doc))
-                        found_b.append(max(d, doc))
-                        met += 1
-                        if met == most:
-                            break
-                last.pop(component, None)
-                last[component] = (doc, size)
-                if len(last) > 8 * most:
-                    del last[next(iter(last))]
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            if not rows.num_rows:
+                continue
+            n = rows.num_rows
+            yield from pick(rows, 0 if held is None else held.num_rows - 1, n - 1, start, False)
+            start = start and n == 1
+            held = rows.slice(max(0, n - 2))
+        if held is not None and held.num_rows:
+            yield from pick(held, held.num_rows - 1, held.num_rows, start, True)
+
+    def pick(rows: pa.Table, begin: int, end: int, start: bool, stop: bool):
+        key, doc, size = (rows[c].to_numpy() for c in ("key", "doc_id", "size"))
+        same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+        take = same[:-1] | same[1:]
+        if start:
+            take[0] = True
+        if stop:
+            take[-1] = True
+        at = np.flatnonzero(take[begin:end]) + begin
+        if len(at):
+            prev = np.maximum(at - 1, 0)
+            near = same[at] & (key[at] & 1 == 1) & (doc[prev] != doc[at]) & (np.minimum(size[prev], size[at]) >= np.maximum(size[prev], size[at]) * similarity - 1e-6)
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(doc[at]), pa.array(size[at]), pa.array(doc[prev], mask=~near)], ["key", "doc_id", "size", "before"])
 
     return run
 
 
+def sketches(seqs: list[np.ndarray], n: int) -> np.ndarray:
+    """Counts of each text's words by hash in n places, 255 at most: an edit moves two of them by one at most."""
+    return np.stack([np.minimum(np.bincount(s & np.uint32(n - 1), minlength=n), 255).astype("u1") for s in seqs])
+
+
+def may_be_similar(size: np.ndarray, seqs: list[np.ndarray], similarity: float):
+    """Pairs (i, others j > i, by how far their word counts differ) of texts sorted by size that sizes and word counts don't exclude."""
+    upto = np.searchsorted(size, (size / similarity + 1e-6).astype("i8"), "right")
+    row = 0
+    while row < len(size):
+        # rows of about the same size share a length of word counts
+        stop = max(row + 1, int(np.searchsorted(size, size[row] * 1.25, "right")))
+        n = min(max(SKETCH[0], 1 << int(size[row]).bit_length()), SKETCH[1])
+        counts = sketches(seqs[row : int(upto[stop - 1])], n)
+        for i in range(row, stop):
+            found, moved = [], []
+            for j in range(i + 1, int(upto[i]), max(1, COUNTS // n)):
+                end = min(int(upto[i]), j + max(1, COUNTS // n))
+                other = counts[j - row : end - row]
+                d = (np.maximum(other, counts[i - row]) - np.minimum(other, counts[i - row])).sum(axis=1, dtype="u4").astype("i8")
+                most = ((1 - similarity) * size[j:end] + 1e-9).astype("i8")
+                at = np.flatnonzero((d + size[j:end] - size[i] <= 2 * most) & (size[j:end] - size[i] <= most))
+                found.append(at + j)
+                moved.append(d[at])
+            if found:
+                found, moved = np.concatenate(found), np.concatenate(moved)
+                if len(found):
+                    yield i, found[np.argsort(moved, kind="stable")]
+        row = stop
+
+
 def _meet(similarity: float):
-    """Rows sorted by group and size (group: key, cell, low, high) -> all pairs (a, b) of a group that may be similar.
-
-    Left out are pairs of one component, and those whose sizes or word counts
-    alone take more edits than similarity allows. Of two blocks (low < high),
-    rows of the same block have met elsewhere; rows that are not own are there
-    to be met by smaller ones."""
-
-    def pairs(rows: pa.Table, ends: np.ndarray):
-        doc, size, component, block = (rows[c].to_numpy() for c in ("doc_id", "size", "component", "block"))
-        apart = rows["low"].to_numpy() != rows["high"].to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
-        sketches = [np.frombuffer(x, "u1") for x in rows["sketch"].to_pylist()]
-        width = np.repeat(np.minimum.reduceat([len(x) for x in sketches], starts), np.diff(starts, append=len(doc)))
-        folded, place = {}, np.zeros(len(doc), "i8")
-        for w in np.unique(width).tolist():
-            at = np.flatnonzero(width == w)
-            place[at] = np.arange(len(at))
-            folded[w] = np.stack([sketches[i].reshape(-1, w).sum(axis=0, dtype="i2") for i in at])
-
-        def moved(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            """How far the word counts of each pair differ."""
-            out = np.zeros(len(i), "i8")
-            for w, counts in folded.items():
-                at = np.flatnonzero(width[i] == w)
-                for x in np.split(at, range(COUNTS // w, len(at), COUNTS // w)):
-                    out[x] = np.abs(counts[place[i[x]]] - counts[place[j[x]]]).sum(axis=1, dtype="i8")
-            return out
-
-        others = np.where(rows["own"].to_numpy(zero_copy_only=False), ends - np.arange(len(doc)) - 1, 0)
-        upto = np.cumsum(others)
-        row, found = 0, []
-        while row < len(doc):
-            stop = max(row + 1, int(np.searchsorted(upto, upto[row] - others[row] + CHUNK, "right")))
-            n = others[row:stop]
-            i = np.repeat(np.arange(row, stop), n)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            row = stop
-            most = ((1 - similarity) * size[j] + 1e-9).astype("i8")
-            may = (size[j] - size[i] <= most) & (component[i] != component[j]) & ~(apart[i] & (block[i] == block[j]))
-            i, j, most = i[may], j[may], most[may]
-            may = moved(i, j) + size[j] - size[i] <= 2 * most
-            found.append((np.minimum(doc[i], doc[j])[may], np.maximum(doc[i], doc[j])[may]))
-        a, b = (np.concatenate(x) for x in zip(*found))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    """Rows sorted by group and size (group: leader, cell, low, high) -> a link (a, b) for components that a similar pair joins.
+
+    Every pair of different components meets in the first meeting that both
+    texts are in; of two blocks (low < high), rows of the same block have met
+    elsewhere; rows that are not own are there to be met by smaller ones."""
+
+    def links(rows: pa.Table):
+        leader, apart = rows["leader"][0].as_py(), rows["low"][0].as_py() != rows["high"][0].as_py()
+        doc, size, component, block, own = (rows[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "size", "component", "block", "own"))
+        seqs = [np.frombuffer(x, "<u4") for x in rows["seq"].to_pylist()]
+        leaders = [frozenset(x) for x in rows["leaders"].to_pylist()]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        size = size.astype("i8")
+        for i, others in may_be_similar(size, seqs, similarity):
+            if not own[i]:
+                continue
+            for j in others.tolist():
+                if apart and block[i] == block[j] or min(leaders[i] & leaders[j]) != leader:
+                    continue
+                x, y = find(int(component[i])), find(int(component[j]))
+                if x != y and similar(seqs[i], seqs[j], similarity):
+                    root[max(x, y)] = min(x, y)
+                    yield int(doc[i]), int(doc[j])
 
     def run(batches):
-        held = None
+        held: list[pa.RecordBatch] = []
+        name = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-            if not rows.num_rows:
-                continue
-            new = np.zeros(rows.num_rows - 1, bool)
-            for c in ("key", "cell", "low", "high"):
-                x = rows[c].to_numpy()
-                new |= x[1:] != x[:-1]
-            cuts = np.flatnonzero(new) + 1
-            if len(cuts):
-                yield from pairs(rows.slice(0, cuts[-1]), np.repeat(cuts, np.diff(cuts, prepend=0)))
-                rows = rows.slice(cuts[-1])
-            held = rows
-        if held is not None:
-            yield from pairs(held.combine_chunks(), np.full(held.num_rows, held.num_rows))
+            group = np.stack([batch.column(c).to_numpy() for c in ("leader", "cell", "low", "high")], axis=1)
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(group)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                if held and name != tuple(group[start]):
+                    yield from out(held)
+                    held = []
+                name = tuple(group[start])
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield from out(held)
+
+    def out(held: list[pa.RecordBatch]):
+        found = list(links(pa.Table.from_batches(held)))
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _met(spark: SparkSession, reps: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of different components that share a key and may be similar.
-
-    A bucket is parted into cells by size, so that a text meets those of its
-    own cell and the next larger ones, and cells of over BLOCK rows into
-    blocks: a task holds two blocks, however many texts share a passage."""
-    placed = reps.select("doc_id", "size", "meets").join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("doc_id", "size", F.coalesce("component", "doc_id").alias("component"), F.explode("meets").alias("key"))
-    differ = F.min("component") < F.max("component")
-    shared = written(spark, placed.groupBy("key").agg(differ.alias("differ")).where("differ").select("key"), "shared-keys")
-    rows = written(spark, placed.join(sized(shared), "key", "left_semi"), "sharing")
+def _met(spark: SparkSession, texts: DataFrame, near: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the components of members, from all pairs of near(key, doc_id, size) that share a key."""
+    placed = near.select("key", "doc_id", "size").join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = written(spark, placed.select("key", "doc_id", "size", F.coalesce("component", "doc_id").alias("component")), "placed")
+    least, differ = F.min("component").alias("leader"), F.min("component") < F.max("component")
+    shared = written(spark, placed.groupBy("key").agg(least, differ.alias("differ")).where("differ").select("key", "leader"), "shared-keys")
+    meeting = placed.join(sized(shared), "key").groupBy("doc_id", "component").agg(F.max("size").alias("size"), F.collect_set("leader").alias("leaders"))
+    meeting = written(spark, meeting, "meetings")  # a leader for each of a text's keys at most
     step = F.lit(float(np.log(1.01 / similarity)))  # similar texts are in one cell or the next
-    cell = F.floor(F.log("size") / step).cast("int")
-    cells = rows.withColumn("_cell", cell).withColumn("cell", F.explode(F.array("_cell", F.col("_cell") - 1))).withColumn("own", F.col("cell") == F.col("_cell")).drop("_cell")
-    counts = cells.groupBy("key", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("own").alias("any"), differ.alias("differ"))
-    counts = written(spark, counts.where("any and differ").select("key", "cell", "blocks"), "cells")
-    sketches = reps.groupBy("doc_id").agg(F.first("sketch").alias("sketch"))
-    dealt = cells.join(sized(counts), ["key", "cell"]).join(sketches, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    rows = meeting.select("doc_id", "size", "component", "leaders", F.explode("leaders").alias("leader"))
+    large = rows.groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("words")).where((F.col("n") > BLOCK) | (F.col("words") > BLOCK_WORDS))
+    large = written(spark, large.select("leader", F.lit(True).alias("large")), "large-meetings")
+    at = F.floor(F.log("size") / step).cast("int")
+    cells = rows.join(sized(large), "leader", "left").withColumn("_at", F.when(F.col("large"), at).otherwise(0))
+    cells = cells.withColumn("cell", F.explode(F.when(F.col("large"), F.array(F.col("_at"), F.col("_at") - 1)).otherwise(F.array(F.col("_at"))))).withColumn("own", F.col("cell") == F.col("_at")).drop("_at", "large")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_WORDS)).cast("int")
+    counts = cells.groupBy("leader", "cell").agg(blocks.alias("blocks"), F.max("own").alias("any"), differ.alias("differ"))
+    counts = written(spark, counts.where("any and differ").select("leader", "cell", "blocks"), "cells")
+    seqs = sequences(texts, meeting.select("doc_id"))
+    dealt = cells.join(sized(counts), ["leader", "cell"]).join(seqs, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "cell", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "block", "doc_id", "size", "component", "own", "sketch")
+    group = ("leader", "cell", "low", "high")
+    dealt = dealt.select("leader", "cell", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "block", "doc_id", "size", "component", "own", "leaders", "seq")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    group = ("key", "cell", "low", "high")
-    return dealt.repartition(n, *group).sortWithinPartitions(*group, "size", "doc_id").mapInArrow(_meet(similarity), "a long, b long").where("a <> b").distinct()
+    return written(spark, dealt.repartition(n, *group).sortWithinPartitions(*group, "size", "doc_id").mapInArrow(_meet(similarity), "a long, b long"), "met")
 
 
 def _joined(spark: SparkSession, members: DataFrame, links: DataFrame) -> DataFrame:
@@ -445,44 +436,32 @@ def _joined(spark: SparkSession, members: DataFrame, links: DataFrame) -> DataFr
     return direct.union(alone)
 
 
-def _sorted(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartitionByRange(n, "t", "key", "doc_id").sortWithinPartitions("t", "key", "doc_id")
-
-
 def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, class_id (the smallest doc_id of its class), kept.
 
     Texts of the same words are in one class; so are texts without a word that
-    are equal (null counts as empty). Rows without a doc_id are classes of
-    their own. Rows that share a doc_id are one node. Other columns are
-    ignored; an empty table gives an empty result."""
+    are equal (null counts as empty). Texts of under five words are in a class
+    only with texts of the same words: they allow no edit. Very long texts are
+    compared whole. Rows without a doc_id are classes of their own. Rows that
+    share a doc_id are one node, with the links of each of its texts. Other
+    columns are ignored; an empty table gives an empty result."""
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = texts.where("doc_id is not null")
     signed = written(spark, named.mapInArrow(_sign, _SIGNED), "signatures")
     copies = written(spark, signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep"), "same-words")
-    reps = signed.join(sized(copies), "key", "left").where("sign is not null and (rep is null or rep = doc_id)")
-    keys = reps.select("doc_id", "size", F.posexplode("sign").alias("t", "key")).select("t", "key", "doc_id", "size")
-    near = written(spark, _sorted(spark, keys).mapInArrow(_neighbours, _ROWS), "neighbours")
-
-    fit = F.least("size", "before_size") >= F.greatest("size", "before_size") * F.lit(similarity) - 1e-6
-    first = near.where(F.col("before").isNotNull() & (F.col("before") != F.col("doc_id")) & fit)
-    pairs = written(spark, first.select(F.least("doc_id", "before").alias("a"), F.greatest("doc_id", "before").alias("b")).distinct(), "first-pairs")
-    members = connected_components(spark, _verified(spark, texts, pairs, similarity))
-
-    placed = near.select("t", "key", "doc_id", "size").join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("t", "key", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
-    more = _sorted(spark, placed).mapInArrow(_look_back(similarity, LOOK_BACK), "a long, b long").where("a <> b").distinct()
-    links = _verified(spark, texts, written(spark, more.join(pairs, ["a", "b"], "left_anti"), "second-pairs"), similarity)
-
-    members = written(spark, _joined(spark, members, links), "members")
+    reps = signed.join(sized(copies), "key", "left").where("rep is null or rep = doc_id")
+    keys = reps.select(F.explode("keys").alias("key"), "size", "doc_id")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = ("key", "size", "doc_id")
+    near = written(spark, keys.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(similarity), _ROWS), "neighbours")
 
-    pairs = written(spark, _met(spark, reps, members, similarity), "met-pairs")
-    members_of = _joined(spark, members, _verified(spark, texts, pairs, similarity))
+    pairs = written(spark, near.where("before is not null").select(F.least("doc_id", "before").alias("a"), F.greatest("doc_id", "before").alias("b")).distinct(), "pairs")
+    members = written(spark, connected_components(spark, _verified(spark, named, pairs, similarity)), "members")
+    members = _joined(spark, members, _met(spark, named, near, members, similarity))
 
     one = signed.select("doc_id", "key").join(sized(copies), "key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    joined = one.join(members_of.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+    joined = one.join(members.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     out = joined.union(texts.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 

@@ -350,13 +350,13 @@ def test_neighbours_over_batches():
     import pyarrow as pa
 
     rng = random.Random(9)
-    rows = sorted((rng.randint(0, 1), bytes([0] * 7 + [rng.randint(0, 20)]) + bytes([rng.randint(0, 3)]), i, 5) for i in range(60))
-    want = [(r[2], rows[i - 1][2] if i and rows[i - 1][0] == r[0] and rows[i - 1][1][:8] == r[1][:8] else None) for i, r in enumerate(rows)]
-    paired = {d for d, b in want if b is not None} | {b for _, b in want if b is not None}
+    rows = sorted((rng.randint(0, 40), rng.choice([5, 5, 5, 9]), i) for i in range(60))
+    like = [i > 0 and rows[i - 1][0] == r[0] for i, r in enumerate(rows)] + [False]
+    want = [(r[2], rows[i - 1][2] if like[i] and r[0] & 1 and rows[i - 1][1] == r[1] else None) for i, r in enumerate(rows) if like[i] or like[i + 1] or i in (0, 59)]
     for size in (1, 2, 3, 7, 60):
-        batches = [pa.RecordBatch.from_pydict(dict(zip(("t", "key", "doc_id", "size"), map(list, zip(*rows[i : i + size]))))) for i in range(0, 60, size)]
-        got = [(r["doc_id"], r["before"]) for b in order_minhash._neighbours(iter(batches)) for r in b.to_pylist()]
-        assert got == [(d, b) for d, b in want if d in paired]
+        batches = [pa.RecordBatch.from_pydict(dict(zip(("key", "size", "doc_id"), map(list, zip(*rows[i : i + size]))))) for i in range(0, 60, size)]
+        got = [(r["doc_id"], r["before"]) for b in order_minhash._neighbours(0.8)(iter(batches)) for r in b.to_pylist()]
+        assert got == want
 
 
 def brute_classes(rows, similarity=0.8):
@@ -378,15 +378,32 @@ def brute_classes(rows, similarity=0.8):
     return {i: find(i) for i in seqs}
 
 
-@pytest.mark.parametrize("back", [4, 1])
-def test_order_minhash(spark, odd, monkeypatch, back):
-    monkeypatch.setattr(order_minhash, "LOOK_BACK", back)
-    got = order_minhash.near_classes(spark, docs_of(spark, odd)).collect()
+@pytest.mark.parametrize("block, words, parts", [(8192, 4_000_000, 4), (3, 100, 4), (8192, 4_000_000, 64), (5, 4_000_000, 211)])
+def test_order_minhash(spark, odd, monkeypatch, block, words, parts):
+    """The same classes whatever the sizes of blocks and the number of partitions."""
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    monkeypatch.setattr(order_minhash, "BLOCK_WORDS", words)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = order_minhash.near_classes(spark, docs_of(spark, odd)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(got) == len(odd)
     assert {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None} == brute_classes(odd)
     assert all(r["kept"] and r["class_id"] is None for r in got if r["doc_id"] is None)
 
 
+def test_texts_of_a_repeated_id(spark):
+    """Both texts of doc_id 1 link it, whichever row comes first."""
+    rng = random.Random(3)
+    x, y = (" ".join(f"{rng.getrandbits(40):x}" for _ in range(60)) for _ in range(2))
+    rows = [(1, x, "en", "a"), (1, y, "en", "a"), (2, x + " more", "en", "a"), (3, y + " more", "en", "a"), (4, y + " other", "en", "a"), (4, y + " other", "en", "a")]
+    for order in (rows, rows[::-1]):
+        got = order_minhash.near_classes(spark, docs_of(spark, order)).collect()
+        assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 1)]
+
+
 def test_order_minhash_empty_and_drop(spark, odd):
     assert order_minhash.near_classes(spark, empty(spark)).count() == 0
     df = docs_of(spark, odd)
@@ -394,17 +411,31 @@ def test_order_minhash_empty_and_drop(spark, odd):
     assert kept.columns == df.columns and kept.where("doc_id between 100 and 250").count() == 1
 
 
-def test_signatures_keep_order():
+def test_keys_keep_order(monkeypatch):
     w = order_minhash.words_of(" ".join(f"w{i}" for i in range(300)))
-    assert order_minhash.signature(w) == order_minhash.signature(w.copy())
-    turned = np.concatenate([w[150:], w[:150]])  # nearly the same k-mers in another order
-    deep = slice(0, 4 * 6)  # up to twelve k-mers
-    assert sum(x[deep] == y[deep] for x, y in zip(order_minhash.signature(w), order_minhash.signature(turned))) <= 2
+    keys = order_minhash.order_keys(w)
+    assert len(set(keys.tolist())) == 128 and (keys & 1).sum() == 24
+    turned = np.concatenate([w[150:], w[:150]])  # nearly the same k-mers: half of their pairs stand in another order
+    assert 30 <= len(set(keys.tolist()) & set(order_minhash.order_keys(turned).tolist())) <= 90
     near = w.copy()
     near[40] = 5
-    assert sum(x[:8] == y[:8] for x, y in zip(order_minhash.signature(w), order_minhash.signature(near))) >= 12
-    g = order_minhash.labelled_kmers(order_minhash.words_of("a b c d e " * 3))
+    assert len(set(keys.tolist()) & set(order_minhash.order_keys(near).tolist())) >= 112
+    g = order_minhash.labelled_kmers(order_minhash.words_of("a b c d e " * 3), 5)
     assert len(set(g.tolist())) == len(g)  # occurrences tell repeated k-mers apart
+    monkeypatch.setattr(order_minhash, "CHUNK", 700)  # tables are hashed in runs
+    assert (order_minhash.order_keys(w) == keys).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), min_size=1, max_size=40), min_size=2, max_size=12))
+def test_no_bound_excludes_a_similar_pair(texts):
+    seqs = sorted((np.array(t, "u4") for t in texts), key=len)
+    size = np.array([len(x) for x in seqs], "i8")
+    may = {(i, j) for i, others in order_minhash.may_be_similar(size, seqs, 0.8) for j in others.tolist()}
+    for i, j in itertools.combinations(range(len(seqs)), 2):
+        near = 1 - levenshtein(seqs[i].tolist(), seqs[j].tolist()) / size[j] >= 0.8 - 1e-12
+        assert order_minhash.similar(seqs[i], seqs[j]) == near
+        assert not near or (i, j) in may
 
 
 def test_near_copies_in_a_crowded_bucket(spark, monkeypatch):
@@ -423,8 +454,30 @@ def test_near_copies_in_a_crowded_bucket(spark, monkeypatch):
     assert found >= 54, found
 
 
-def test_keys_of_buckets_by_a_stated_miss():
-    assert (1 - min(order_minhash.least_share(n) for n in range(5, 3000))) ** order_minhash.meeting_tables() <= order_minhash.MISS
+def test_stated_miss():
+    sizes = [*range(5, 200), 500, 1000, 5000, 20_000]
+    assert max(order_minhash.missed(n) for n in sizes) < 1e-3
+    assert max(order_minhash.missed(n, spread=True) for n in sizes) < 0.02
+
+
+def test_recall_by_similarity(spark):
+    """Pairs with words replaced, put in or taken out at random, told by their true similarity."""
+    rng = random.Random(21)
+    word = lambda: f"{rng.getrandbits(30):x}"
+    rows, similarity = [], {}
+    for n in range(400):
+        text = [word() for _ in range(rng.choice([12, 30, 50, 60, 90, 150, 400]))]
+        edited, share = list(text), rng.uniform(0.01, 0.2)
+        for _ in range(max(1, int(share * len(text)))):
+            at, how = rng.randrange(len(edited)), rng.random()
+            edited[at : at + 1] = [word()] if how < 0.6 else [] if how < 0.8 else [edited[at], word()]
+        similarity[n] = 1 - levenshtein(text, edited) / max(len(text), len(edited))
+        rows += [(n, " ".join(text), "en", "a"), (10_000 + n, " ".join(edited), "en", "a")]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(spark, docs_of(spark, rows)).collect()}
+    for low in (0.8, 0.85, 0.9, 0.95):
+        of = [n for n, x in similarity.items() if low <= x < low + 0.05 + 1e-9]
+        assert len(of) > 30 and sum(got[10_000 + n] == n for n in of) >= 0.97 * len(of), low
+    assert all(got[10_000 + n] == 10_000 + n for n, x in similarity.items() if x < 0.8)
 
 
 def test_near_copies_at_the_threshold(spark):
