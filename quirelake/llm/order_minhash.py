@@ -40,13 +40,15 @@ FAMILIES = ((1, 24, 2, 12), (2, 36, 10, 64), (5, 48, 50, None), (3, 80, 50, None
 #: Tables of a family whose buckets are read for neighbours first.
 FIRST = 12
 #: Texts and words of a block of a meeting.
-BLOCK, BLOCK_WORDS = 8192, 4_000_000
+BLOCK, BLOCK_WORDS = 512, 4_000_000
 #: Places of a text's word counts, least and most; bytes of them that are compared at once.
 SKETCH, COUNTS = (32, 4096), 1 << 22
+#: Candidates of a text from which they are aligned together, and words of a text up to which that is done.
+TOGETHER = (24, 4096)
 #: K-mers of a text times tables that are hashed at once.
 CHUNK = 1 << 18
-#: Edits up to which the alignment runs diagonal by diagonal.
-SCALAR = 128
+#: Edits up to which the alignment runs diagonal by diagonal; words up to which the rest of the band is kept in bits.
+SCALAR, BITS = 12, 1 << 15
 #: 32-bit seeds: the tables of a family are SEEDS[first : first + tables].
 _SEEDS = (mixed(np.arange(1, 1 + sum(f[1] for f in FAMILIES), dtype="u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype("u4")
 
@@ -124,10 +126,13 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
     Furthest-reaching alignment in the band of most diagonals to each side:
     reach[k] is how far a gets on diagonal k with e edits. Most slides end at
-    once; a long one is found by comparing arrays."""
+    once; a long one is found by comparing arrays. Pairs that are further
+    apart than SCALAR go through the band column by column."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
+    if not n or not m:
+        return n + m
     x, y = a.tolist(), b.tolist()
 
     def slide(i: int, k: int) -> int:
@@ -154,6 +159,8 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     if goal == 0 and reach[-low] >= n:
         return 0
     for e in range(1, most + 1):
+        if e > SCALAR and max(n, m) <= BITS:
+            return _band_of_bits(x, y, most)
         if e > SCALAR:
             return _wide_band(a, b, np.array(reach), low, e, most, slide)
         new = [none] * len(reach)
@@ -169,6 +176,45 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
+def _band_of_bits(x: list[int], y: list[int], most: int) -> int | None:
+    """The whole of ``distance``: a column of the band is two integers, whose bits are steps up or down between rows.
+
+    What lies off the band is taken as one more than its neighbour inside,
+    which no alignment within most edits needs."""
+    n, m = len(x), len(y)
+    places: dict[int, int] = {}
+    wanted = set(y)
+    for i, w in enumerate(x):
+        if w in wanted:
+            places[w] = places.get(w, 0) | 1 << i
+    last = min(n, most)  # the lowest row of the band, from 1
+    score, first = last, 0  # score: distance at the lowest row; first: rows above the band
+    up, down = (1 << last) - 1, 0
+    for j, w in enumerate(y, 1):
+        if last < n:
+            up |= 1 << (last - first)
+            last += 1
+            score += 1
+        if j - most > first + 1:
+            first += 1
+            up >>= 1
+            down >>= 1
+        whole = (1 << (last - first)) - 1
+        equal = (places.get(w, 0) >> first) & whole
+        level = ((((equal & up) + up) ^ up) | equal | down) & whole
+        right, left = down | (whole & ~(level | up)), level & up
+        lowest = 1 << (last - first - 1)
+        if right & lowest:
+            score += 1
+        elif left & lowest:
+            score -= 1
+        if last == n and score - (m - j) > most:
+            return None
+        right, left = (right << 1 | 1) & whole, (left << 1) & whole
+        up, down = left | (whole & ~(level | right)), right & level
+    return score if score <= most else None
+
+
 def _wide_band(a: np.ndarray, b: np.ndarray, reach: np.ndarray, low: int, start: int, most: int, slide) -> int | None:
     """The rest of ``distance`` from start edits on: all diagonals of a step at once."""
     n, m = len(a), len(b)
@@ -197,6 +243,59 @@ def _wide_band(a: np.ndarray, b: np.ndarray, reach: np.ndarray, low: int, start:
     return None
 
 
+def distances(a: np.ndarray, others: list[np.ndarray], most: int) -> np.ndarray:
+    """Edit distance of a to each of others (sorted by length), exact where it is most or less, else over most.
+
+    The band of ``distance`` for many pairs at once: 64 rows of a column are a
+    number for each pair, and steps to the right are carried from one run of
+    rows to the next; what lies off the band counts as one more."""
+    n, lengths = len(a), np.array([len(b) for b in others])
+    blocks = -(-n // 64)
+    words, inverse = np.unique(a, return_inverse=True)
+    at = np.arange(n)
+    equal = np.zeros((blocks, len(words) + 1), "u8")
+    np.bitwise_or.at(equal, (at >> 6, inverse), np.uint64(1) << (at & 63).astype("u8"))
+    ids = np.full((int(lengths.max(initial=0)), len(others)), len(words), "i4")
+    for j, b in enumerate(others):
+        place = np.minimum(np.searchsorted(words, b), len(words) - 1)
+        ids[: len(b), j] = np.where(words[place] == b, place, len(words))
+    up, down = np.full((blocks, len(others)), np.uint64(2**64 - 1)), np.zeros((blocks, len(others)), "u8")
+    one, top = np.uint64(1), np.uint64(63)
+    first, last = 0, min(blocks - 1, most // 64)
+    score = np.full(len(others), (last + 1) * 64)  # at the lowest row of the band
+    out = np.full(len(others), most + 1)
+    done = 0  # shorter texts have ended
+    pad = np.uint64(2**64 - 1) << np.uint64(n % 64) if n % 64 else np.uint64(0)
+    for c in range(1, len(ids) + 1):
+        while last < blocks - 1 and (last + 1) * 64 < c + most:
+            last += 1
+            score += 64
+        while first < last and (first + 1) * 64 < c - most:
+            first += 1
+        here = ids[c - 1, done:]
+        right, left = one, np.uint64(0)
+        for k in range(first, last + 1):
+            u, d = up[k, done:], down[k, done:]
+            e = equal[k][here]
+            x = e | d
+            e |= left
+            level = (((e & u) + u) ^ u) | e
+            r, l = d | ~(level | u), u & level
+            r_out, l_out = r >> top, l >> top
+            r, l = r << one | right, l << one | left
+            up[k, done:], down[k, done:] = l | ~(x | r), r & x
+            right, left = r_out, l_out
+        score[done:] += right.astype("i8") - left.astype("i8")
+        end = int(np.searchsorted(lengths, c, "right"))
+        if end > done and last == blocks - 1:
+            # rows below a's last are taken back
+            out[done:end] = score[done:end] - np.bitwise_count(up[last, done:end] & pad) + np.bitwise_count(down[last, done:end] & pad).astype("i8")
+        done = max(done, end)
+        if done == len(others):
+            break
+    return out
+
+
 def shared_grams(a: np.ndarray, b: np.ndarray, k: int) -> int:
     """How many k-grams (with repeats) the two have in common."""
     if min(len(a), len(b)) < k:
@@ -311,14 +410,68 @@ def _neighbours(similarity: float):
     return run
 
 
+def _leaders(batches):
+    """Rows (key, component, doc_id, size) sorted by key and component -> the rows of keys with several components, with the least of them."""
+    key = leader = None
+    held: list[pa.RecordBatch] = []  # rows of the key's least component, until another is seen
+    for batch in batches:
+        keys, components = batch.column("key").to_numpy(), batch.column("component").to_numpy()
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (components[1:] != components[:-1])) + 1).tolist(), len(keys)]
+        docs, leaders = [], []
+        for start, end in zip(cuts, cuts[1:]):
+            if start == end:
+                continue
+            run = batch.slice(start, end - start)
+            if keys[start] != key:
+                key, leader, held = keys[start], components[start], [run]
+            elif components[start] == leader:
+                held.append(run)
+            else:
+                docs += [*held, run]
+                leaders += [leader] * (len(docs) - len(leaders))
+                held = []
+        if docs:
+            rows = pa.Table.from_batches(docs).combine_chunks()
+            out = np.repeat(np.array(leaders, "i8"), [x.num_rows for x in docs])
+            yield pa.RecordBatch.from_arrays([pa.array(out), *(rows[c].combine_chunks() for c in ("component", "doc_id", "size"))], ["leader", "component", "doc_id", "size"])
+
+
 def sketches(seqs: list[np.ndarray], n: int) -> np.ndarray:
     """Counts of each text's words by hash in n places, 255 at most: an edit moves two of them by one at most."""
     return np.stack([np.minimum(np.bincount(s & np.uint32(n - 1), minlength=n), 255).astype("u1") for s in seqs])
 
 
-def may_be_similar(size: np.ndarray, seqs: list[np.ndarray], similarity: float):
-    """Pairs (i, others j > i, by how far their word counts differ) of texts sorted by size that sizes and word counts don't exclude."""
+class WordBags:
+    """The words of texts with their counts, to count what one text shares with many."""
+
+    def __init__(self, seqs: list[np.ndarray]):
+        bags = [np.unique(s, return_counts=True) for s in seqs]
+        self.starts = np.cumsum([0, *(len(u) for u, _ in bags)])
+        words, self.flat = np.unique(np.concatenate([u for u, _ in bags]), return_inverse=True)
+        self.counts = np.concatenate([c for _, c in bags]).astype("i4")
+        self.dense = np.zeros(len(words), "i4")
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Words (with repeats) that text i has in common with each of others."""
+        own = slice(self.starts[i], self.starts[i + 1])
+        self.dense[self.flat[own]] = self.counts[own]
+        out, n = [], self.starts[others + 1] - self.starts[others]
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(others):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUNTS, "right")))
+            m, first = n[at:stop], np.cumsum(n[at:stop]) - n[at:stop]
+            place = np.arange(m.sum()) + np.repeat(self.starts[others[at:stop]] - first, m)
+            out.append(np.add.reduceat(np.minimum(self.dense[self.flat[place]], self.counts[place]), first))
+            at = stop
+        self.dense[self.flat[own]] = 0
+        return np.concatenate(out)
+
+
+def may_be_similar(size: np.ndarray, seqs: list[np.ndarray], component: np.ndarray, similarity: float):
+    """Pairs (i, others j > i, nearest first) of texts sorted by size, of different components, that sizes and words don't exclude."""
     upto = np.searchsorted(size, (size / similarity + 1e-6).astype("i8"), "right")
+    bags = WordBags(seqs)
     row = 0
     while row < len(size):
         # rows of about the same size share a length of word counts
@@ -326,19 +479,19 @@ def may_be_similar(size: np.ndarray, seqs: list[np.ndarray], similarity: float):
         n = min(max(SKETCH[0], 1 << int(size[row]).bit_length()), SKETCH[1])
         counts = sketches(seqs[row : int(upto[stop - 1])], n)
         for i in range(row, stop):
-            found, moved = [], []
+            found = []
             for j in range(i + 1, int(upto[i]), max(1, COUNTS // n)):
                 end = min(int(upto[i]), j + max(1, COUNTS // n))
                 other = counts[j - row : end - row]
-                d = (np.maximum(other, counts[i - row]) - np.minimum(other, counts[i - row])).sum(axis=1, dtype="u4").astype("i8")
+                moved = (np.maximum(other, counts[i - row]) - np.minimum(other, counts[i - row])).sum(axis=1, dtype="u4").astype("i8")
                 most = ((1 - similarity) * size[j:end] + 1e-9).astype("i8")
-                at = np.flatnonzero((d + size[j:end] - size[i] <= 2 * most) & (size[j:end] - size[i] <= most))
-                found.append(at + j)
-                moved.append(d[at])
-            if found:
-                found, moved = np.concatenate(found), np.concatenate(moved)
-                if len(found):
-                    yield i, found[np.argsort(moved, kind="stable")]
+                found.append(np.flatnonzero((component[j:end] != component[i]) & (moved + size[j:end] - size[i] <= 2 * most) & (size[j:end] - size[i] <= most)) + j)
+            if found and len(others := np.concatenate(found)):
+                # no alignment keeps more words than the texts share
+                changed = size[others] - bags.shared(i, others)
+                may = changed <= ((1 - similarity) * size[others] + 1e-9).astype("i8")
+                if may.any():
+                    yield i, others[may][np.argsort(changed[may], kind="stable")]
         row = stop
 
 
@@ -362,14 +515,19 @@ def _meet(similarity: float):
             return x
 
         size = size.astype("i8")
-        for i, others in may_be_similar(size, seqs, similarity):
+        for i, others in may_be_similar(size, seqs, component, similarity):
             if not own[i]:
                 continue
-            for j in others.tolist():
-                if apart and block[i] == block[j] or min(leaders[i] & leaders[j]) != leader:
-                    continue
+            here = [j for j in others.tolist() if not (apart and block[i] == block[j]) and min(leaders[i] & leaders[j]) == leader and find(int(component[i])) != find(int(component[j]))]
+            together = len(here) >= TOGETHER[0] and size[here[-1]] <= TOGETHER[1]
+            if together:
+                here.sort()
+                most = ((1 - similarity) * size[here] + 1e-9).astype("i8")
+                near = distances(seqs[i], [seqs[j] for j in here], int(most.max())) <= most
+                here = [j for j, yes in zip(here, near) if yes]
+            for j in here:
                 x, y = find(int(component[i])), find(int(component[j]))
-                if x != y and similar(seqs[i], seqs[j], similarity):
+                if x != y and (together or similar(seqs[i], seqs[j], similarity)):
                     root[max(x, y)] = min(x, y)
                     yield int(doc[i]), int(doc[j])
 
@@ -402,11 +560,13 @@ def _meet(similarity: float):
 def _met(spark: SparkSession, texts: DataFrame, near: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between the components of members, from all pairs of near(key, doc_id, size) that share a key."""
     placed = near.select("key", "doc_id", "size").join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = written(spark, placed.select("key", "doc_id", "size", F.coalesce("component", "doc_id").alias("component")), "placed")
-    least, differ = F.min("component").alias("leader"), F.min("component") < F.max("component")
-    shared = written(spark, placed.groupBy("key").agg(least, differ.alias("differ")).where("differ").select("key", "leader"), "shared-keys")
-    meeting = placed.join(sized(shared), "key").groupBy("doc_id", "component").agg(F.max("size").alias("size"), F.collect_set("leader").alias("leaders"))
+    placed = placed.select("key", F.coalesce("component", "doc_id").alias("component"), "doc_id", "size")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a key has one row of each of its texts, out of as many rows as there are tables: no task is much fuller than others
+    led = placed.repartition(n, "key").sortWithinPartitions("key", "component").mapInArrow(_leaders, "leader long, component long, doc_id long, size int")
+    meeting = led.groupBy("doc_id", "component").agg(F.max("size").alias("size"), F.collect_set("leader").alias("leaders"))
     meeting = written(spark, meeting, "meetings")  # a leader for each of a text's keys at most
+    differ = F.min("component") < F.max("component")
     step = F.lit(float(np.log(1.01 / similarity)))  # similar texts are in one cell or the next
     rows = meeting.select("doc_id", "size", "component", "leaders", F.explode("leaders").alias("leader"))
     large = rows.groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("words")).where((F.col("n") > BLOCK) | (F.col("words") > BLOCK_WORDS))
@@ -422,7 +582,6 @@ def _met(spark: SparkSession, texts: DataFrame, near: DataFrame, members: DataFr
     dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = ("leader", "cell", "low", "high")
     dealt = dealt.select("leader", "cell", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "block", "doc_id", "size", "component", "own", "leaders", "seq")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return written(spark, dealt.repartition(n, *group).sortWithinPartitions(*group, "size", "doc_id").mapInArrow(_meet(similarity), "a long, b long"), "met")
 
 
