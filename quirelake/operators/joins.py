@@ -34,25 +34,41 @@ def author_parts(author: Column) -> Column:
     return F.filter(F.transform(F.split(author, "[,，、&/;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def author_links(books: DataFrame, least: int = 2) -> DataFrame:
-    """Pairs (book_id < related_id) where a part of one's author occurs in the other's.
+def author_fields(books: DataFrame, least: int = 2) -> DataFrame:
+    """Pairs (author, whole) of author fields where a part of the one occurs in the other.
 
-    Books are first grouped by author, so that text is compared once per pair
-    of different author fields; parts are looked up among the substrings of
-    author fields by equality rather than by a nested loop."""
-    named = books.where(~F.col("author").isin(*NO_AUTHOR) & (F.trim("author") != "")).select("id", "author")
-    fields = named.select("author").distinct()
+    Parts are looked up among the substrings of author fields by equality
+    rather than by a nested loop; each field is compared once, however many
+    books have it."""
+    fields = books.where(~F.col("author").isin(*NO_AUTHOR) & (F.trim("author") != "")).select("author").distinct()
     parts = fields.select("author", F.explode(author_parts(F.col("author"))).alias("part")).where((F.length("part") >= least) & ~F.col("part").isin(*NO_AUTHOR))
     lengths = F.sequence(F.lit(least), F.length("author"))
     sub = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length("author") - n + 1), lambda i: F.lower(F.substring(F.col("author"), i, n)))))
     pieces = fields.where(F.length("author") >= least).select(F.col("author").alias("whole"), F.explode(F.array_distinct(sub)).alias("piece"))
-    hits = parts.join(pieces, F.lower("part") == F.col("piece")).select("author", "whole").distinct()
-    left = named.withColumnRenamed("id", "a")
-    right = named.select(F.col("id").alias("b"), F.col("author").alias("whole"))
-    pairs = left.join(hits, "author").join(right, "whole").where("a <> b")
+    return parts.join(pieces, F.lower("part") == F.col("piece")).select("author", "whole").distinct()
+
+
+def author_links(books: DataFrame, least: int = 2) -> DataFrame:
+    """Pairs (book_id < related_id) where a part of one's author occurs in the other's.
+
+    All pairs of an author's books are links; where authors have many, use
+    ``author_fields`` or one book of each author."""
+    left = books.select(F.col("id").alias("a"), "author")
+    right = books.select(F.col("id").alias("b"), F.col("author").alias("whole"))
+    pairs = left.join(author_fields(books, least), "author").join(right, "whole").where("a <> b")
     return pairs.select(F.least("a", "b").alias("book_id"), F.greatest("a", "b").alias("related_id")).distinct()
 
 
+def points_in_spans(points: DataFrame, spans: DataFrame, keys: list[str], at: str, seconds: int) -> DataFrame:
+    """points(keys, at) joined with spans(keys, start, stop) that hold them (start <= at < stop).
+
+    Both are cut into buckets of so many seconds, so that a key's rows meet
+    by bucket and not all with all; a span is in each bucket that it touches."""
+    bucket = lambda c: F.floor(F.unix_micros(c) / (seconds * 1_000_000))
+    cut = spans.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("stop")))))
+    return points.withColumn("_bucket", bucket(F.col(at))).join(cut, [*keys, "_bucket"]).where((F.col("start") <= F.col(at)) & (F.col(at) < F.col("stop"))).drop("_bucket")
+
+
 def sync_auto_links(relations: DataFrame, found: DataFrame) -> DataFrame:
     """Automatic links are replaced by those found; manual and blocked ones stay and win."""
     own = relations.where(F.col("status") != AUTO)

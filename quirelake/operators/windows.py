@@ -52,11 +52,14 @@ def merge_runs(df: DataFrame, keys: Sequence, start: str, end: str, gap: int, le
 
 
 def running_total(df: DataFrame, order: str, value: str, parts: int = 64, name: str = "before") -> DataFrame:
-    """The sum of value over all rows that come earlier in order, without a window over the whole table.
-
-    Rows are ranged by order into parts; a window runs inside a part, and one
-    row for each part carries the sums of the parts before."""
-    ranged = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    """The sum of value over all rows that come earlier in the numeric column order, without a window over the whole table.
+
+    Bounds of parts are estimated once and become literals, so every reader of
+    a row finds the same part; a window runs inside a part, and one row for
+    each part carries the sums of the parts before. Rows without an order come first."""
+    bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts)))  # parts numbers at most
+    part = F.when(F.col(order).isNull(), -1).otherwise(sum((F.col(order) > b).cast("int") for b in bounds) if bounds else F.lit(0))
+    ranged = df.withColumn("_part", part)
     sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
     starts = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")
     inside = F.coalesce(F.sum(value).over(before(["_part"], [order])), F.lit(0))

@@ -34,28 +34,28 @@ def _docs(t):
     return t.raw("documents").where("text is not null")
 
 
-@query("epub_round_trip", "", f"SELECT doc_id, (i - 1)::BIGINT AS position, 'part ' || (i - 1)::VARCHAR AS title, {CLEAN} AS text FROM ({LINES}) WHERE doc_id % 5 = 0")
+@query("epub_round_trip", "", f"SELECT doc_id, (i - 1)::BIGINT AS position, 'part ' || (i - 1)::VARCHAR AS title, {CLEAN} AS text FROM ({LINES})")
 def _(t):
-    files = _docs(t).where("doc_id % 5 = 0").select("doc_id", _epub("text", "source", "lang").alias("content"))
+    files = _docs(t).select("doc_id", _epub("text", "source", "lang").alias("content"))
     return archives.read_epubs(files, "doc_id").where("error is null").select("doc_id", "position", "title", "text")
 
 
-@query("epub_contents", "", f"SELECT doc_id, (i - 1)::BIGINT AS position, 0::BIGINT AS level, 'part ' || (i - 1)::VARCHAR AS title FROM ({LINES}) WHERE doc_id % 5 = 1")
+@query("epub_contents", "", f"SELECT doc_id, (i - 1)::BIGINT AS position, 0::BIGINT AS level, 'part ' || (i - 1)::VARCHAR AS title FROM ({LINES})")
 def _(t):
-    files = _docs(t).where("doc_id % 5 = 1").select("doc_id", _epub("text", "source", "lang").alias("content"))
+    files = _docs(t).select("doc_id", _epub("text", "source", "lang").alias("content"))
     return archives.rows(files, archives.epub_toc, "position long, level long, title string, href string", "doc_id").select("doc_id", "position", "level", "title")
 
 
-@query("epub_metadata", "", "SELECT doc_id, source AS author, lang AS language, len(string_split(text, chr(10)))::BIGINT AS items FROM documents WHERE text IS NOT NULL AND doc_id % 5 = 2")
+@query("epub_metadata", "", "SELECT doc_id, source AS author, lang AS language, len(string_split(text, chr(10)))::BIGINT AS items FROM documents WHERE text IS NOT NULL")
 def _(t):
-    files = _docs(t).where("doc_id % 5 = 2").select("doc_id", _epub("text", "source", "lang").alias("content"))
+    files = _docs(t).select("doc_id", _epub("text", "source", "lang").alias("content"))
     kind = "title string, author string, language string, identifier string, subjects array<string>, items long"
     return archives.rows(files, archives.epub_metadata, kind, "doc_id").select("doc_id", "author", "language", "items")
 
 
-@query("zip_entries", "", "SELECT doc_id, (len(string_split(text, chr(10))) + 5)::BIGINT AS entries FROM documents WHERE text IS NOT NULL AND doc_id % 5 = 3")
+@query("zip_entries", "", "SELECT doc_id, (len(string_split(text, chr(10))) + 5)::BIGINT AS entries FROM documents WHERE text IS NOT NULL")
 def _(t):
-    files = _docs(t).where("doc_id % 5 = 3").select("doc_id", _epub("text", "source", "lang").alias("content"))
+    files = _docs(t).select("doc_id", _epub("text", "source", "lang").alias("content"))
     return archives.read_zips(files, "doc_id").groupBy("doc_id").agg(F.count("*").alias("entries"))
 
 
@@ -66,15 +66,15 @@ def _(t):
     return _docs(t).select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("paragraphs", F.lit(0)).cast("long").alias("paragraphs"), F.coalesce("chars", F.lit(0)).cast("long").alias("chars"))
 
 
-@query("mobi_round_trip", "", "SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS chapters, source AS author FROM documents WHERE text IS NOT NULL AND doc_id % 4 = 0")
+@query("mobi_round_trip", "", "SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS chapters, source AS author FROM documents WHERE text IS NOT NULL")
 def _(t):
-    files = _docs(t).where("doc_id % 4 = 0").select("doc_id", _mobi("text", "source").alias("content"))
+    files = _docs(t).select("doc_id", _mobi("text", "source").alias("content"))
     return mobi.read_mobi(files, "doc_id").groupBy("doc_id", "author").agg(F.count("*").alias("chapters"))
 
 
-@query("mobi_sniff", "", "SELECT doc_id, doc_id % 4 = 0 AS is_mobi FROM documents WHERE text IS NOT NULL AND doc_id < 60")
+@query("mobi_sniff", "", "SELECT doc_id, doc_id % 4 = 0 AS is_mobi FROM documents WHERE text IS NOT NULL")
 def _(t):
-    rows = _docs(t).where("doc_id < 60").select("doc_id", F.when(F.col("doc_id") % 4 == 0, _mobi("text", "source")).otherwise(F.col("text").cast("binary")).alias("content"))
+    rows = _docs(t).select("doc_id", F.when(F.col("doc_id") % 4 == 0, _mobi("text", "source")).otherwise(F.col("text").cast("binary")).alias("content"))
     return rows.select("doc_id", mobi.is_mobi(F.col("content")).alias("is_mobi"))
 
 
@@ -193,8 +193,8 @@ def _(t):
     return lexicons.look_up(asked, english, chinese).select("id", "lexicon", "key")
 
 
-def _drained(t, name: str, make, mode: str = "update"):
-    """The stream's table after all of the events are read; the checkpoint is in the shared folder if there is one."""
+def _drained(t, name: str, make, keys: list[str]):
+    """The stream's state after all of the events are read; its files are in the shared folder if there is one."""
     import tempfile
     import uuid
 
@@ -202,15 +202,15 @@ def _drained(t, name: str, make, mode: str = "update"):
     schema = t.raw("events").schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/events.parquet*")
     table = f"{name}_{uuid.uuid4().hex}"
-    rollups.drain(make(stream.withColumn("ts", F.col("ts").cast("timestamp"))), table, f"{folder.rstrip('/')}/streams/{table}", mode)
-    return t.spark.table(table)
+    at = f"{folder.rstrip('/')}/streams/{table}"
+    return rollups.drain(make(stream.withColumn("ts", F.col("ts").cast("timestamp"))), keys, f"{at}/rows", f"{at}/checkpoint")
 
 
 @query("stream_daily_totals", "", "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, sum(floor(value * 10))::BIGINT AS seconds FROM events GROUP BY ALL")
 def _(t):
-    return _drained(t, "daily", lambda e: rollups.daily_totals(e.withColumn("seconds", F.floor(F.col("value") * 10)), ["user_id"])).withColumn("day", F.col("day").cast("string"))
+    return _drained(t, "daily", lambda e: rollups.daily_totals(e.withColumn("seconds", F.floor(F.col("value") * 10)), ["user_id"]), ["day", "user_id"]).withColumn("day", F.col("day").cast("string"))
 
 
 @query("stream_windows", "", "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01'), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
-    return _drained(t, "windows", lambda e: rollups.windowed(e, "6 hours", None, ["event_type"], "1 day")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+    return _drained(t, "windows", lambda e: rollups.windowed(e, "6 hours", None, ["event_type"], "1 day"), ["start", "end", "event_type"]).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")

@@ -82,9 +82,9 @@ def _(t):
     return t.book_tags.join(t.tags, F.col("tag_id") == F.col("id")).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("tag_names_by_book", "tags book_tags", "SELECT book_id, string_agg(name, ',' ORDER BY name) AS names FROM book_tags JOIN tags ON id = tag_id WHERE book_id < 300 GROUP BY book_id")
+@query("tag_names_by_book", "tags book_tags", "SELECT book_id, string_agg(name, ',' ORDER BY name) AS names FROM book_tags JOIN tags ON id = tag_id GROUP BY book_id")
 def _(t):
-    named = t.book_tags.where("book_id < 300").join(t.tags, F.col("tag_id") == F.col("id"))
+    named = t.book_tags.join(t.tags, F.col("tag_id") == F.col("id"))
     return named.groupBy("book_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
 
 
@@ -116,10 +116,14 @@ def _(t):
     return ids.join(t.tags, "id").select("gid", "name")
 
 
-@query("author_links", "books", """SELECT DISTINCT least(a.id, b.id) AS book_id, greatest(a.id, b.id) AS related_id
-FROM (SELECT id, author FROM books WHERE id < 300) a JOIN (SELECT id, author FROM books WHERE id < 300) b ON a.id <> b.id AND contains(lower(b.author), lower(a.author))""")
+@query("author_links", "books", """WITH f AS (SELECT author, count(*) AS n FROM books WHERE trim(author) <> '' AND author NOT IN ('未知作者', '佚名', 'Unknown', 'anonymous') GROUP BY 1)
+SELECT a.author, a.n AS books, b.author AS other, b.n AS other_books FROM f a JOIN f b ON contains(lower(b.author), lower(a.author))""")
 def _(t):
-    return j.author_links(t.books.select("id", "author").where("id < 300"))
+    # pairs of author fields with their numbers of books: a hot author's pairs of books are its square
+    books = t.books.select("id", "author")
+    counts = books.groupBy("author").agg(F.count("*").alias("books"))
+    hits = j.author_fields(books).join(counts, "author")
+    return hits.join(counts.select(F.col("author").alias("whole"), F.col("books").alias("other_books")), "whole").select("author", "books", F.col("whole").alias("other"), "other_books")
 
 
 @query("anti_join", "books", "SELECT id FROM books WHERE id NOT IN (SELECT doc_id FROM labels)")
@@ -152,12 +156,41 @@ def _(t):
     return j.link_all(t.books.where("id < 20").select("id"))
 
 
-@query("auto_link_sync", "relations books", """WITH f AS (SELECT DISTINCT a.id AS book_id, b.id AS related_id FROM books a JOIN books b ON a.id < b.id AND contains(lower(b.author), lower(a.author)) WHERE a.id < 60 AND b.id < 60
-UNION SELECT DISTINCT b.id, a.id FROM books a JOIN books b ON b.id < a.id AND contains(lower(b.author), lower(a.author)) WHERE a.id < 60 AND b.id < 60),
-r AS (SELECT DISTINCT * FROM relations WHERE book_id < 60)
+@query("auto_link_sync", "relations books", """WITH p AS (SELECT author, min(id) AS id FROM books WHERE trim(author) <> '' AND author NOT IN ('未知作者', '佚名', 'Unknown', 'anonymous') GROUP BY 1),
+f AS (SELECT DISTINCT least(a.id, b.id) AS book_id, greatest(a.id, b.id) AS related_id FROM p a JOIN p b ON a.id <> b.id AND contains(lower(b.author), lower(a.author))),
+r AS (SELECT DISTINCT * FROM relations)
 SELECT * FROM r WHERE status <> 0 UNION ALL SELECT f.*, 0 FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.status <> 0 AND r.book_id = f.book_id AND r.related_id = f.related_id)""")
 def _(t):
-    return j.sync_auto_links(t.relations.where("book_id < 60").distinct(), j.author_links(t.books.select("id", "author").where("id < 60")))
+    # the first book of each author field stands for its class
+    first = t.books.groupBy("author").agg(F.min("id").alias("id"))
+    return j.sync_auto_links(t.relations.distinct(), j.author_links(first))
+
+
+@query("author_cube", "books", "SELECT format, author, grouping_id(format, author)::BIGINT AS level, count(*) AS n FROM books GROUP BY CUBE (format, author)")
+def _(t):
+    return t.books.cube("format", "author").agg(F.grouping_id("format", "author").cast("long").alias("level"), F.count("*").alias("n"))
+
+
+@query("author_grouping_sets", "books", "SELECT format, author, sum(total_characters)::BIGINT AS chars FROM books GROUP BY GROUPING SETS ((format), (author), ())")
+def _(t):
+    b = t.books
+    return b.groupingSets([("format",), ("author",), ()], "format", "author").agg(F.sum("total_characters").alias("chars"))
+
+
+@query("labels_full_outer", "books", "SELECT coalesce(b.id, l.doc_id) AS id, b.id IS NOT NULL AS has_book, l.doc_id IS NOT NULL AS has_label FROM (SELECT id FROM books WHERE id % 3 <> 0) b FULL JOIN labels l ON b.id = l.doc_id")
+def _(t):
+    left = t.books.where("id % 3 <> 0").select("id", F.lit(True).alias("b"))
+    right = t.raw("labels").select(F.col("doc_id").alias("id"), F.lit(True).alias("l"))
+    return left.join(right, "id", "full").select("id", F.col("b").isNotNull().alias("has_book"), F.col("l").isNotNull().alias("has_label"))
+
+
+@query("events_in_spans", "", """WITH s AS (SELECT user_id, ts AS start, ts + INTERVAL 30 MINUTE AS stop FROM events WHERE event_id % 20 = 0)
+SELECT e.event_id, count(*) AS spans FROM events e JOIN s ON s.user_id = e.user_id AND e.ts >= s.start AND e.ts < s.stop GROUP BY 1""")
+def _(t):
+    ts = F.col("ts").cast("timestamp")
+    spans = t.raw("events").where("event_id % 20 = 0").select("user_id", ts.alias("start"), (ts + F.expr("interval 30 minutes")).alias("stop"))
+    hits = j.points_in_spans(t.raw("events").select("event_id", "user_id", ts.alias("ts")), spans, ["user_id"], "ts", 1800)
+    return hits.groupBy("event_id").agg(F.count("*").alias("spans"))
 
 
 @query("link_changes", "relations", """WITH r AS (SELECT book_id, related_id, min(status) AS status FROM relations GROUP BY ALL)

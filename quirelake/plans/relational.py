@@ -102,9 +102,9 @@ def _(t):
     return t.raw("supplier").select("s_suppkey", "s_name").orderBy(r.nocase("s_name"), "s_suppkey").limit(40)
 
 
-@query("order_composite", "keywords", "SELECT book_id, rank, keyword FROM keywords WHERE book_id < 50 ORDER BY book_id, rank")
+@query("order_composite", "keywords", "SELECT book_id, rank, keyword FROM keywords ORDER BY book_id, rank")
 def _(t):
-    return t.keywords.where("book_id < 50").select("book_id", "rank", "keyword").orderBy("book_id", "rank")
+    return t.keywords.select("book_id", "rank", "keyword").orderBy("book_id", "rank")
 
 
 @query("pinned_first", "books book_tags", """SELECT id, pinned, last_read FROM (SELECT id, last_read, id IN (SELECT book_id FROM book_tags WHERE tag_id = 3) AS pinned FROM books)

@@ -174,3 +174,15 @@ def test_search(spark):
     assert sorted(r["start"] for r in retrieval.find_all(docs, "AA").collect()) == [0, 1]
     assert one(spark, retrieval.snippet(F.lit("one\ntwo three"), F.lit(4), 3)) == "one 「two」 three"
     assert retrieval.route(["a"], True) == "chapters" and retrieval.route([], True) == "digest" and retrieval.route([], False) == "standard"
+
+
+def test_running_total_of_many_rows(spark):
+    """Sums are right with extra columns and many parts, and for rows that share a place in the order with none."""
+    from quirelake.operators import windows as w
+
+    rows = spark.range(0, 200_000, 1, 16).select(F.col("id"), (F.col("id") * 7919 % 101).alias("v"), F.concat(F.lit("x"), "id").alias("extra"))
+    out = w.running_total(rows, "id", "v", 64)
+    got = out.select("id", "v", "before", "extra").orderBy("id").toPandas()
+    assert len(got) == 200_000
+    assert (got["before"] == got["v"].cumsum().shift(fill_value=0)).all()
+    assert w.running_total(rows.limit(0), "id", "v", 8).count() == 0

@@ -120,12 +120,19 @@ def test_lexicons(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     events = spark.createDataFrame([("2024-01-01 00:00:01", 1, 5.0), ("2024-01-01 00:10:00", 1, 7.0), ("2024-01-02 01:00:00", 1, 1.0)], "ts string, k long, value double").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.write.parquet(str(tmp_path / "e"))
+    events.coalesce(1).write.parquet(str(tmp_path / "e"))  # one file: no event comes late
     stream = lambda: rollups.event_stream(spark, str(tmp_path / "e"), events.schema)
-    rollups.drain(rollups.daily_totals(stream().withColumn("seconds", F.col("value")), ["k"]), "t_daily", str(tmp_path / "c1"))
-    assert {(str(r["day"]), r["seconds"]) for r in spark.table("t_daily").groupBy("day").agg(F.max("seconds").alias("seconds")).collect()} == {("2024-01-01", 12.0), ("2024-01-02", 1.0)}
-    rollups.drain(rollups.sessions(stream(), "5 minutes", "k", "1 hour"), "t_sessions", str(tmp_path / "c2"), "complete")
-    assert spark.table("t_sessions").count() == 3
+    totals = rollups.daily_totals(stream().withColumn("seconds", F.col("value")), ["k"])
+    assert {(str(r["day"]), r["k"], r["seconds"]) for r in rollups.drain(totals, ["day", "k"], str(tmp_path / "d"), str(tmp_path / "c1")).collect()} == {("2024-01-01", 1, 12.0), ("2024-01-02", 1, 1.0)}
+    rollups.write_batches(rollups.sessions(stream(), "5 minutes", "k", "1 hour"), str(tmp_path / "s"), str(tmp_path / "c2"), "complete")
+    last = spark.read.parquet(str(tmp_path / "s"))
+    assert last.where(F.col("batch") == last.agg(F.max("batch")).first()[0]).count() == 3
+    # two batches: a day's total is the last one written, not both
+    for i, rows in enumerate(([("2024-01-01 00:00:01", 1, 5.0)], [("2024-01-01 03:00:00", 1, 2.0), ("2024-01-01 04:00:00", 2, 1.0)])):
+        spark.createDataFrame(rows, "ts string, k long, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "two"))
+        two = rollups.daily_totals(rollups.event_stream(spark, str(tmp_path / "two"), events.schema).withColumn("seconds", F.col("value")), ["k"])
+        got = rollups.drain(two, ["day", "k"], str(tmp_path / "d2"), str(tmp_path / "c5"))
+    assert {(r["k"], r["seconds"]) for r in got.collect()} == {(1, 7.0), (2, 1.0)}
     rollups.write_batches(stream(), str(tmp_path / "o"), str(tmp_path / "c3"))
     rollups.write_batches(stream(), str(tmp_path / "o"), str(tmp_path / "c3"))  # nothing new
     assert spark.read.parquet(str(tmp_path / "o")).count() == 3
