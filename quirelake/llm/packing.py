@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -30,6 +31,8 @@ END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens and documents that a group gathers before it is packed.
 GROUP_TOKENS, GROUP_DOCS = 2_000_000, 4096
+#: Runs that tiktoken's backtracking pattern is not given.
+_LONG_RUN = re.compile(r"\s{10000}")
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in _SCHEMA.split(", ")])
 
@@ -45,17 +48,33 @@ def encoder(path: str):
 
     tiktoken runs the vocabulary of the tokenizers file (its ids are its merge
     ranks), five times as fast as the library itself; tests hold it against
-    the library. Special strings in a text are taken as the library does."""
+    the library. Special strings in a text are taken as the library does. A
+    text whose runs are too long for tiktoken's word pattern goes through the
+    library."""
     import tiktoken
+    import tokenizers
 
     spec = json.loads(open(path, encoding="utf-8").read())
+    if spec["model"]["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
+        raise ValueError("a plain byte-level BPE file is needed")
     byte = {c: b for b, c in enumerate(_byte_letters())}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     bpe = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     names = set(special)
-    return lambda text: bpe.encode(text, allowed_special=names, disallowed_special=())
+    library: list = []
+
+    def encode(text: str) -> list[int]:
+        if not _LONG_RUN.search(text):
+            return bpe.encode(text, allowed_special=names, disallowed_special=())
+        if not library:
+            library.append(tokenizers.Tokenizer.from_file(path))
+            library[0].no_truncation()
+            library[0].no_padding()
+        return library[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def assign(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[list[tuple[int, int, int]]]:
@@ -139,7 +158,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, capac
     Each document ends with id 1; a null or empty text is that id alone.
     Repeated rows and rows without a doc_id are packed like any other; other
     columns are ignored; an empty table gives an empty result. Sequence ids
-    are unique over the result; they differ from run to run only if the rows
+    are unique over the result. Very long texts are cut over as many sequences
+    as they fill; equal lengths are taken in the order of the rows. Ids differ from run to run only if the rows
     reach other partitions."""
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
