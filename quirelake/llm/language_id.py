@@ -10,15 +10,15 @@ the query still wants a learned language for it).
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lowest_by_hash, read, small_batches
+from .common import lowest_by_hash, read, sized, small_batches
 
 #: Bounds of the training sample: documents of each language, and bytes of a dictionary.
 SAMPLE_DOCS, DICTIONARY_BYTES = 400, 32 * 1024
@@ -28,7 +28,7 @@ PIECE = 512
 BLOCK, LEVEL = 512, 6
 #: Relative margin under which a prediction is not confident.
 NARROW = 0.01
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out() -> F.Column:
@@ -38,8 +38,8 @@ def held_out() -> F.Column:
 def learn(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Language -> raw dictionary content, from docs(doc_id, text, lang) that may be learned from."""
     fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike("\\p{L}"))
-    chosen = lowest_by_hash(fit.select("doc_id", "lang"), "doc_id", sample, "lang").distinct()
-    texts = fit.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", "text")
+    chosen = lowest_by_hash(fit.select("doc_id", "lang").distinct(), "doc_id", sample, "lang")
+    texts = fit.join(sized(chosen), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", "text")
     pieces = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?s).{1,%d}" % PIECE), F.lit(0))).alias("piece"))
     ranked = pieces.distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")))
     taken = ranked.where(F.col("n") <= size // PIECE).orderBy("lang", "n").collect()
@@ -91,7 +91,8 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     a letter, is "und" with score 0; so is every text if nothing can be
     learned from. Ties go to the language that sorts first. Repeated rows get
     equal rows; a row without a doc_id is not held out; other columns are
-    ignored; an empty table gives an empty result."""
+    ignored; an empty table gives an empty result. Very long texts are
+    compressed whole, block by block. Numerals and marks are no letters."""
     small_batches(spark)
     content = tuple(sorted(learn(spark, docs.where(~held_out())).items()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
