@@ -9,7 +9,8 @@ within one of its share at every slot, however long the mix is.
 A source that runs out leaves the mix, and the others keep their ratio: so the
 mix has phases, at most one for each source, and no document is dropped or
 repeated. What reaches the driver is one row for each source; it schedules a
-slot for each block (4000 for a GB).
+slot for each block: 4000 for a GB, and BLOCKS at most for any size, as blocks
+of more than 256 GiB in all grow with the documents.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import read, sized, written
 
 BLOCK_BYTES = 256 * 1024
+#: Blocks of the whole mix, about: beyond, blocks grow with the documents, so that the driver's schedule doesn't.
+BLOCKS = 1 << 20
 #: Blocks of a source in a row of the schedule.
 FRAME = 256
 #: Rows that a part of a source holds: parts are numbered on their own, so a hot source is no single task.
@@ -90,14 +93,16 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None =
     source is a source of its own, "" included; a null or empty text takes one
     byte; rows without a doc_id sort as id null. Repeated rows each keep a
     place. A source without a weight gets its bytes to the power of POWER;
-    weights must be positive. An empty table gives an empty result."""
+    weights must be positive. A very long text is longer than a block and moves
+    whole, in the slot of the block it starts in. An empty table gives an empty
+    result."""
     rows = docs.select("doc_id", "text", "source", *keep).withColumn("_key", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))))
     rows = rows.withColumn("_size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).drop("text")
     sizes = {r["_key"]: (r["n"], r["bytes"]) for r in rows.groupBy("_key").agg(F.count("*").alias("n"), F.sum("_size").alias("bytes")).collect()}
-    parts = {k: max(1, -(-n // PART_ROWS)) for k, (n, _) in sizes.items()}
+    block_bytes = max(block_bytes, -(-sum(b for _, b in sizes.values()) // BLOCKS))
+    parts = spark.createDataFrame([(k, max(1, -(-n // PART_ROWS))) for k, (n, _) in sorted(sizes.items())], "_key string, _parts long")
     place = F.xxhash64(F.lit(2), "doc_id", "_size")
-    number = F.create_map(*[F.lit(x) for kv in sorted(parts.items()) for x in kv]) if parts else F.lit(None).cast("map<string,int>")
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id"), number[F.col("_key")]).cast("int"))
+    rows = rows.join(sized(parts, len(sizes)), "_key").withColumn("_part", F.pmod(F.xxhash64("doc_id"), "_parts").cast("int")).drop("_parts")
     by_part = rows.groupBy("_key", "_part").agg(F.sum("_size").alias("bytes"))
     before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(spark, by_part.select("_key", "_part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("_start")), "parts")
