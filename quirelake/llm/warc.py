@@ -88,7 +88,7 @@ def _writer(folder: str):
                 lines = [
                     "WARC/1.1",
                     f"WARC-Type: {'revisit' if revisits[i] else 'response'}",
-                    f"WARC-Record-ID: {record_id(page, uri)}",
+                    f"WARC-Record-ID: {record_id(page, f'{uri}|{name}|{records}')}",
                     f"WARC-Target-URI: {uri}",
                     "WARC-Date: 1970-01-01T00:00:00Z",
                     f"WARC-Payload-Digest: sha1:{digest}",
@@ -98,7 +98,7 @@ def _writer(folder: str):
                 ]
                 lines += [] if page is None else [f"X-Page-ID: {page}"]
                 if revisits[i]:
-                    lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers[i]}"]
+                    lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers[i]}", "WARC-Refers-To-Date: 1970-01-01T00:00:00Z"]
                 squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 for piece in _pieces(("\r\n".join(lines) + "\r\n\r\n").encode(), None if revisits[i] else payload, http):
                     size += out.write(squeeze.compress(piece)) or 0
@@ -173,13 +173,17 @@ def read_archive(stream, with_chunks: bool = True):
             key, _, value = line.decode("utf-8").partition(": ")
             head[key.lower()] = value
         left, kind = int(head["content-length"]), head["warc-type"]
+        if kind not in ("response", "revisit"):  # another writer's records: their blocks are passed over
+            while left:
+                left -= len(data.take(min(left, CHUNK)))
+            continue
         page = int(head["x-page-id"]) if "x-page-id" in head else None
         refers = int(head["x-refers-to-page-id"]) if "x-refers-to-page-id" in head else None
-        same = (page, head["warc-record-id"], kind, refers, head["warc-target-uri"])
+        same = (page, head["warc-record-id"], kind, refers, head.get("warc-target-uri"))
         if kind == "revisit":  # the digest and length of the full payload stand in the head
             while left:
                 left -= len(data.take(min(left, CHUNK)))
-            yield (*same, 0, b"" if with_chunks else None, int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:"), True)
+            yield (*same, 0, b"" if with_chunks else None, int(head["x-payload-length"]) if "x-payload-length" in head else None, head.get("warc-payload-digest", "").removeprefix("sha1:") or None, True)
             continue
         while line := data.line():  # the HTTP head
             left -= len(line) + 2
@@ -196,7 +200,7 @@ def read_archive(stream, with_chunks: bool = True):
                 left -= len(part)
             done += size
             digest = base32_sha1(sha.digest())
-            if done == full and f"sha1:{digest}" != head["warc-payload-digest"]:
+            if done == full and head.get("warc-payload-digest", "").startswith("sha1:") and f"sha1:{digest}" != head["warc-payload-digest"]:
                 raise ValueError(f"payload of {same[1]} doesn't match its digest")
             yield (*same, no, b"".join(parts) if with_chunks else None, done, digest, done == full)
             no += 1
@@ -239,7 +243,10 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least_byt
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     equal = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     equal = written(spark, equal, "equal-payloads")
-    typed = rows.join(sized(equal), "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    # marks are found on narrow rows and met by page, so a common payload is no hot key of wide ones
+    marks = rows.select("page_id", "digest").join(sized(equal), "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    marks = written(spark, marks.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first"), "revisits")
+    typed = rows.join(sized(marks), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").withColumn("revisit", F.col("first").isNotNull())
     parts = typed.select("page_id", "url", "payload", F.when(F.col("revisit"), F.col("first")).alias("refers_to"), "revisit").mapInArrow(_writer(folder), "archive string, records long, bytes long")
     parts.write.parquet(f"{folder}/manifest")
     return spark.read.schema(parts.schema).parquet(f"{folder}/manifest")
