@@ -1,12 +1,15 @@
 """Operator 9: toxicity by a weighted finite-state pattern grammar.
 
-Texts are read clause by clause. Lexicon transducers write a symbol for each
-word: insult (learned stems, each with a weight), threat, target, negation,
-reported speech, or other. The clause transducer is composed with them: its
-state remembers whether a target, a negation or reported speech has come
-before, and its arcs move an insult's or threat's weight to the feature of
-that state. So clauses are scored, not isolated words. A logistic layer over
-the features of all clauses gives the score.
+Texts are read clause by clause. Five lexicon transducers read a word letter by
+letter and write a symbol with a weight at its end: insult (learned stems, each
+with a weight), threat, target, negation, reported speech. They run side by side
+as one product. The clause transducer reads symbols; each of its paths assumes
+at its start which of target, negation and speech the clause holds, sends the
+weights of insults and threats to the features of that assumption, and is
+accepted at the clause's end if the assumption has come true. So words before
+and after an insult count alike, and of all paths one is accepted. ``compose``
+puts lexicons and clause together. A logistic layer over the features of all
+clauses gives the score: clauses are scored, not isolated words.
 
 Stems and their weights, and the weights of the clause features, are learned
 from labelled rows that are not held out. A text is first run through one
@@ -36,71 +39,168 @@ STEMS, SHORTEST, LONGEST, LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 4000, 4, 12, 3,
 PLAIN, TARGETED, NEGATED, REPORTED, THREAT, THREAT_TARGET = range(6)
 FEATURES = 6
 OTHER, INSULT, MENACE, TARGET, NEGATION, SPEECH = "OIMTNS"
-_WORD = re.compile(r"\w+|[.!?;\n]|[\"“”«»„]")
+_WORD = re.compile(r"\w+(?:['’]\w+)*|[\"“”«»„]")
 _CLAUSE_END = re.compile(r"[.!?;\n]")
+QUOTES = "\"“”«»„"
 #: Closed word classes of the grammar, by symbol.
 WORDS = {
     TARGET: "you your yours he his him she her they them their du dich dir dein deine ihr euch sie tu te toi ton ta vous votre vos il elle ils tú ti usted ustedes él ella ellos su sus".split(),
-    NEGATION: "not no never none nobody isn't aren't wasn't nicht kein keine keinen nie niemals pas jamais ne aucun nunca jamás ningún tampoco".split(),
+    NEGATION: "not no never none nobody cannot nicht kein keine keinen nie niemals pas jamais ne aucun nunca jamás ningún tampoco".split(),
     SPEECH: "said says say told claimed called wrote quoted according sagte sagt nannte behauptete dit disait affirme selon dijo dice llamó según".split(),
     MENACE: "kill hurt destroy beat murder shoot töten umbringen schlagen vernichten tuer frapper détruire matar golpear destruir".split(),
 }
+#: The end of a word, and what stands for any other letter or symbol.
+END, ANY = "\0", None
+_SAW = {TARGET: 1, NEGATION: 2, SPEECH: 4}
+
+
+class Transducer:
+    """Weighted arcs (state, input) -> [(output, weight, next state)]; an ANY arc serves inputs that have none of their own."""
+
+    def __init__(self, starts: list):
+        self.starts, self.arcs = starts, {}
+
+    def arc(self, state, symbol, output, weight: float, to) -> None:
+        self.arcs.setdefault((state, symbol), []).append((output, weight, to))
+
+    def step(self, state, symbol) -> list:
+        return self.arcs.get((state, symbol)) or self.arcs.get((state, ANY), [])
+
+    def accepts(self, state) -> bool:
+        return True
+
+
+class Lexicon(Transducer):
+    """Letters to a symbol at the word's end: for whole words, or for words that begin with an entry (the shortest counts)."""
+
+    def __init__(self, symbol: str, entries: dict[str, float], begins: bool):
+        super().__init__([""])
+        held: dict[str, float | None] = {"": None}
+        for word in sorted(entries, key=len):
+            for n in range(1, len(word) + 1):
+                if word[:n] not in held:
+                    held[word[:n]] = held[word[: n - 1]] if begins else None
+                    self.arc(word[: n - 1], word[n - 1], "", 0.0, word[:n])
+            if held[word] is None:
+                held[word] = entries[word]
+        for state, weight in held.items():
+            tail = ("tail", weight if begins else None)
+            self.arc(state, ANY, "", 0.0, tail)
+            self.arc(tail, ANY, "", 0.0, tail) if (tail, ANY) not in self.arcs else None
+            for at, w in ((state, weight), (tail, tail[1])):
+                if (at, END) not in self.arcs:
+                    self.arc(at, END, OTHER if w is None else symbol, w or 0.0, "")
+
+
+class SideBySide(Transducer):
+    """Transducers that read the same letters; at a word's end the first that knows it gives the symbol."""
+
+    def __init__(self, parts: list[Transducer]):
+        super().__init__([tuple(p.starts[0] for p in parts)])
+        self.parts = parts
+
+    def step(self, state, symbol) -> list:
+        got = [p.step(s, symbol)[0] for p, s in zip(self.parts, state)]
+        output, weight = next(((o, w) for o, w, _ in got if o not in ("", OTHER)), (got[0][0] and OTHER, 0.0))
+        return [(output, weight, tuple(to for _, _, to in got))]
+
+
+class Clause(Transducer):
+    """Symbols to features. State: (what the clause is assumed to hold, what it has held so far)."""
+
+    def __init__(self):
+        super().__init__([(assumed, 0) for assumed in range(8)])
+        for assumed in range(8):
+            insult = [REPORTED if assumed & 4 else NEGATED if assumed & 2 else PLAIN] + [TARGETED] * (assumed & 1)
+            threat = [THREAT] + [THREAT_TARGET] * (assumed & 1)
+            for saw in range(8):
+                here = (assumed, saw)
+                self.arc(here, INSULT, insult, 1.0, here)
+                self.arc(here, MENACE, threat, 1.0, here)
+                self.arc(here, ANY, [], 0.0, here)
+                for symbol, bit in _SAW.items():
+                    if assumed & bit:  # else the path ends: the assumption was that there is none
+                        self.arc(here, symbol, [], 0.0, (assumed, saw | bit))
+                    else:
+                        self.arcs[here, symbol] = [(None, 0.0, None)]
+
+    def accepts(self, state) -> bool:
+        return state[0] == state[1]
+
+
+class Composed(Transducer):
+    """first's outputs are second's inputs; weights multiply. The arcs of a word are found letter by letter, once."""
+
+    #: Words whose symbol is remembered.
+    KEPT = 100_000
+
+    def __init__(self, first: Transducer, second: Transducer):
+        super().__init__(second.starts)
+        self.first, self.second, self.known = first, second, {}
+
+    def symbol(self, word: str) -> tuple[str, float]:
+        got = self.known.get(word)
+        if got is None:
+            state = self.first.starts[0]
+            for letter in word:
+                ((_, _, state),) = self.first.step(state, letter)
+            ((output, weight, _),) = self.first.step(state, END)
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            got = self.known[word] = (output, weight)
+        return got
+
+    def run(self, words: list[str]) -> dict:
+        """Final state -> [(feature, weight)] of each accepted path."""
+        paths = {state: [] for state in self.starts}
+        for word in words:
+            symbol, weight = (SPEECH, 1.0) if word in QUOTES else self.symbol(word)
+            if symbol == OTHER:
+                continue  # a loop without output in every state
+            after = {}
+            for state, told in paths.items():
+                for features, w, to in self.second.step(state, symbol):
+                    if to is not None:
+                        after[to] = told + [(f, w * weight) for f in features]
+            paths = after
+        return {s: told for s, told in paths.items() if self.second.accepts(s)}
+
+
+def compose(stems: dict[str, float]) -> Composed:
+    ones = lambda k: dict.fromkeys(WORDS[k], 1.0)
+    lexicons = [Lexicon(k, ones(k), False) for k in (TARGET, NEGATION, SPEECH)] + [Lexicon(MENACE, ones(MENACE), True), Lexicon(INSULT, stems, True)]
+    return Composed(SideBySide(lexicons), Clause())
+
+
+def words_in(clause: str) -> list[str]:
+    """Words and quotation marks; n't is a negation, other words with an apostrophe are read in parts."""
+    out: list[str] = []
+    for m in _WORD.finditer(clause):
+        parts = m[0].replace("’", "'").split("'")
+        if len(parts) > 1 and parts[-1] == "t" and parts[-2].endswith("n"):
+            out += [*parts[:-2], parts[-2][:-1], "not"]
+        else:
+            out += parts
+    return [w for w in out if w]
 
 
 class Grammar:
-    """The composed transducer: stems with weights, then the clause automaton."""
+    """The composed transducer, and the layer over the features of clauses."""
 
     def __init__(self, stems: dict[str, float], layer: list[float]):
         import ahocorasick
 
-        self.stems, self.layer = stems, np.array(layer, "f8")
-        self.closed = {w: k for k, words in WORDS.items() for w in words}
-        self.lengths = sorted({len(s) for s in stems})
+        self.layer, self.machine = np.array(layer, "f8"), compose(stems)
         self.finder = ahocorasick.Automaton()
         for s in {*stems, *WORDS[MENACE]}:
             self.finder.add_word(s, len(s))
         self.finder.make_automaton()
 
-    def symbol(self, word: str) -> tuple[str, float]:
-        kind = self.closed.get(word)
-        if kind:
-            return kind, 1.0
-        for n in self.lengths:
-            if n > len(word):
-                break
-            weight = self.stems.get(word[:n])
-            if weight is not None:
-                return INSULT, weight
-        return OTHER, 0.0
-
     def clause(self, text: str, features: np.ndarray) -> None:
-        """Run one clause through the automaton; state: (target, negation, speech) seen."""
-        target = negated = speech = False
-        held, threats = [], 0
-        for m in _WORD.finditer(text):
-            word = m[0]
-            if word in "\"“”«»„":
-                speech = True
-                continue
-            kind, weight = self.symbol(word)
-            if kind == TARGET:
-                target = True
-            elif kind == NEGATION:
-                negated = True
-            elif kind == SPEECH:
-                speech = True
-            elif kind == MENACE:
-                threats += 1
-            elif kind == INSULT:
-                held.append((REPORTED if speech else NEGATED if negated else PLAIN, weight))
-        for kind, weight in held:
-            features[kind] += weight
-            if target:
-                features[TARGETED] += weight
-        if threats:
-            features[THREAT] += threats
-            if target:
-                features[THREAT_TARGET] += threats
+        """Add what the accepted path of one clause tells."""
+        for told in self.machine.run(words_in(text)).values():
+            for f, weight in told:
+                features[f] += weight
 
     def features(self, text: str | None) -> np.ndarray:
         out = np.zeros(FEATURES)
@@ -177,7 +277,7 @@ def choose_stems(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
 
 
 def fit_layer(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Ridge logistic regression by Newton steps; no feature counts against toxicity."""
+    """Ridge logistic regression by Newton steps; only negated and reported insults may count against toxicity."""
     x = np.hstack([np.ones((len(x), 1)), np.log1p(x)])
     free = [0]
     w = np.zeros(x.shape[1])
@@ -194,7 +294,7 @@ def fit_layer(x: np.ndarray, y: np.ndarray) -> list[float]:
             if np.abs(step).max() < 1e-6:
                 break
         w[free] = v
-        bad = [f for f in free if f and w[f] < 0]
+        bad = [f for f in free if f and w[f] < 0 and (f - 1) % FEATURES not in (NEGATED, REPORTED)]
         if not bad:
             break
         free = [f for f in free if f not in bad]
@@ -216,7 +316,8 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> str:
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     of = lambda label: lowest_by_hash(known.where(F.col("toxic") == label), "doc_id", SAMPLE)
     ids = written(spark, of(1).union(of(0)), "labelled")
-    texts = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    # a text for each document, of repeated rows the least: 2 * SAMPLE rows at most
+    texts = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     texts = written(spark, texts, "labelled-texts")
     n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
@@ -248,7 +349,8 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     toxic; labels without a doc_id, or other than 0 and 1, are left out. With
     no usable label of either kind all scores are under 0.5. Repeated rows get
     equal rows; a row without a doc_id is not held out; other columns are
-    ignored; an empty table gives an empty result."""
+    ignored; an empty table gives an empty result. Of a very long text every
+    clause that holds a stem or a threat is read."""
     small_batches(spark)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
