@@ -147,6 +147,17 @@ def test_mixing(spark, odd, monkeypatch):
         mixing.mix(spark, df, {"a": 0.0})
 
 
+def test_blocks_grow_with_the_documents(spark, monkeypatch):
+    """The schedule has BLOCKS slots and one more for each source at most."""
+    monkeypatch.setattr(mixing, "BLOCKS", 50)
+    rows = [(i, "x" * 99, "en", "a" if i % 3 else "b") for i in range(3000)]
+    got = mixing.mix(spark, docs_of(spark, rows), {"a": 1.0, "b": 1.0}, block_bytes=1).collect()
+    assert len(got) == 3000 and len({r["slot"] for r in got}) <= 52
+    order = sorted(got, key=lambda r: (r["slot"], r["seat"]))
+    first = [r["source"] for r in order[:1800]]
+    assert abs(first.count("a") - first.count("b")) <= 3 * 3000 // 50  # within a block of the equal weights, until b ends
+
+
 # --- 3 --------------------------------------------------------------------------------------
 
 
@@ -325,6 +336,35 @@ def test_packing(spark, odd):
     assert [packing.padded(n) for n in (1, 3, 512, 2047, 2048)] == [1, 2048, 512, 2048, 2048]
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" * 300_000, "\n" * 1_000_000, " a" * 50_000 + " " * 20_000 + "b <|endoftext|>", "x" + "\u3000 " * 20_000 + "y"])
+def test_long_runs_equal_the_library(text):
+    import tokenizers
+
+    path = token_counts.tokenizer_path(packing.TOKENIZER)
+    assert packing.encoder(path)(text) == tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
+def test_pieces_go_to_the_cheapest_sequence_with_room(lengths):
+    """Against a plain greedy: descending pieces, least cost among the sequences with room."""
+    capacity = 64
+    rest = sorted(((n % capacity, doc) for doc, n in enumerate(lengths) if n % capacity), key=lambda x: (-x[0], x[1]))
+    k = -(-sum(n for n, _ in rest) // capacity)
+    bins = [[0, 0.0, []] for _ in range(k)]
+    for n, doc in rest:
+        open_ = [b for b in bins if b[0] + n <= capacity]
+        if open_:
+            b = min(open_, key=lambda b: b[1])
+            b[0] += n
+            b[1] += n + n * n / 2048
+            b[2].append(doc)
+    got = packing.assign(lengths, capacity)
+    whole = [[doc for doc, start, n in pieces if n == lengths[doc] % capacity and start == lengths[doc] - n] for pieces in got]
+    for _, _, docs in bins:
+        assert not docs or any(docs == w[: len(docs)] for w in whole)
+
+
 # --- 7 --------------------------------------------------------------------------------------
 
 
@@ -540,6 +580,36 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language_id.identify(spark, docs_of(spark, [(0, "abc", None, "s")])).collect()} == {"und"}
 
 
+def test_numerals_are_no_letters():
+    content = (("en", b"the quick brown fox jumps over the lazy dog"), ("fr", b"le renard brun saute par dessus le chien"))
+    for text in ("½ ² ½", "Ⅷ 12", "\u0301\u0308", "", None, "!? 3"):
+        assert language_id.classify(text, content) == ("und", 0.0, False)
+    assert language_id.classify("the dog", content)[0] == "en"
+
+
+def test_language_is_the_smallest_compressed_size():
+    import zstandard
+
+    content = (("aa", b"alpha beta gamma delta epsilon zeta " * 20), ("bb", b"uno dos tres cuatro cinco seis siete " * 20))
+    rng = random.Random(8)
+    for _ in range(20):
+        text = " ".join(rng.choice("alpha beta gamma uno dos tres Cuatro".split()) for _ in range(rng.randint(1, 300)))
+        raw, sizes = text.lower().encode(), {}
+        for lang, words in content:
+            d = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(raw[i : i + language_id.BLOCK])) for i in range(0, len(raw), language_id.BLOCK))
+        lang, score, _ = language_id.classify(text, content)
+        assert sizes[lang] == min(sizes.values()) and abs(score - (1 - min(sizes.values()) / max(sizes.values()))) < 1e-9
+
+
+def test_language_of_repeated_rows(spark):
+    """Repeated ids don't shrink the sample: each language is learned."""
+    rows = [(i % 10, "tion ing the and er " + "ing " * (i % 10), "xx", "s") for i in range(2000)] + [(100 + i % 10, "keit ung sch ein ge " + "ung " * (i % 10), "yy", "s") for i in range(2000)]
+    got = language_id.identify(spark, docs_of(spark, rows)).groupBy("doc_id").agg(F.min("lang_pred").alias("a"), F.max("lang_pred").alias("b")).collect()
+    assert all(r["a"] == r["b"] == ("xx" if r["doc_id"] < 100 else "yy") for r in got)
+
+
 # --- 9 --------------------------------------------------------------------------------------
 
 
@@ -553,6 +623,51 @@ def test_grammar_states():
     assert g.features(None).tolist() == [0] * 6
 
 
+def test_grammar_reads_contractions_inflections_and_both_sides():
+    g = toxicity.Grammar({"idio": 2.0}, [0.0] * 13)
+    assert g.features("you aren't an idiot").tolist() == [0, 2, 2, 0, 0, 0]
+    assert g.features("an idiot you are not").tolist() == [0, 2, 2, 0, 0, 0]
+    assert g.features("killing you").tolist() == [0, 0, 0, 0, 1, 1]
+    assert g.features("l'idiot, qu'il dit").tolist() == [0, 2, 0, 2, 0, 0]
+    assert g.features('an "idiot" he wrote').tolist() == [0, 2, 0, 2, 0, 0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["you", "not", "said", "idiots", "kill", "killer", "yours", "word", "idio", "snar", '"', "no", "nothing"]), max_size=8))
+def test_one_path_of_the_composed_transducer_is_accepted(clause):
+    machine = toxicity.compose({"idio": 2.0, "snar": 0.5})
+    symbol = {"you": "T", "yours": "T", "not": "N", "no": "N", "said": "S", '"': "S", "kill": "M", "killer": "M", "idiots": "I", "idio": "I", "snar": "I"}
+    read = [symbol.get(w, "O") for w in clause]
+    # all paths: each assumption about target, negation and speech, kept if it comes true
+    paths = []
+    for assumed in itertools.product([False, True], repeat=3):
+        if assumed == tuple(k in read for k in "TNS"):
+            told = np.zeros(6)
+            for w, k in zip(clause, read):
+                weight = 0.5 if w == "snar" else 2.0
+                if k == "I":
+                    told[3 if assumed[2] else 2 if assumed[1] else 0] += weight
+                    told[1] += weight * assumed[0]
+                elif k == "M":
+                    told[4] += 1
+                    told[5] += assumed[0]
+            paths.append(told)
+    got = machine.run(clause)
+    assert len(got) == len(paths) == 1
+    features = np.zeros(6)
+    for f, weight in next(iter(got.values())):
+        features[f] += weight
+    assert features.tolist() == paths[0].tolist()
+
+
+def test_toxicity_with_repeated_rows(spark):
+    """The sample has a row for each labelled document, however often its row is repeated."""
+    rows = [(i % 40, ("grumbolt " if i % 40 % 4 == 0 else "") + f"word{i % 40} calm here", "en", "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(40)] * 3, "doc_id long, quality int, toxic int")
+    got = toxicity.score(spark, docs_of(spark, rows), labels).collect()
+    assert len(got) == 400 and len({(r["doc_id"], r["score"]) for r in got}) == 40
+
+
 def test_stems_are_chosen_by_what_they_tell():
     counts = [("lose", 60, 9), ("loser", 55, 0), ("losers", 20, 0), ("lowe", 80, 0), ("lowei", 40, 0), ("rare", 3, 0), ("word", 90, 900)]
     assert set(toxicity.choose_stems(counts, 200, 2000)) == {"loser", "lowe"}
