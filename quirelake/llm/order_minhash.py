@@ -28,7 +28,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, read, sized, small_batches, without_ids, written
@@ -410,58 +410,6 @@ def _neighbours(similarity: float):
     return run
 
 
-def with_partner(component: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
-    """Which rows of a bucket have a row of another component whose size doesn't exclude that they are similar."""
-    n = len(size)
-    order = np.argsort(size, kind="stable")
-    s = size[order].astype("i8")
-    low = np.searchsorted(s, np.ceil(s * similarity - 1e-6).astype("i8"), "left")
-    high = np.searchsorted(s, (s / similarity + 1e-6).astype("i8"), "right")
-    _, number = np.unique(component[order], return_inverse=True)
-    places = np.sort(number * (n + 1) + np.arange(n))
-    own = np.searchsorted(places, number * (n + 1) + high) - np.searchsorted(places, number * (n + 1) + low)
-    out = np.empty(n, bool)
-    out[order] = high - low > own
-    return out
-
-
-def _leaders(similarity: float):
-    """Rows (key, component, doc_id, size) sorted by key -> those that may be similar to one of another component of their key, with the least such component."""
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            keys = batch.column("key").to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            out = []
-            for start, end in zip(cuts, cuts[1:]):
-                if start == end:
-                    continue
-                if held and keys[start] != key:
-                    out.append(met(held))
-                    held = []
-                key = keys[start]
-                held.append(batch.slice(start, end - start))
-            yield from joined(out)
-        if held:
-            yield from joined([met(held)])
-
-    def met(held: list[pa.RecordBatch]):
-        component, doc, size = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("component", "doc_id", "size"))
-        if (component == component[0]).all():
-            return None
-        take = with_partner(component, size, similarity)
-        component = component[take]
-        return np.full(len(component), component.min(initial=np.iinfo("i8").max)), component, doc[take], size[take]
-
-    def joined(found: list):
-        if found := [f for f in found if f is not None and len(f[0])]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["leader", "component", "doc_id", "size"])
-
-    return run
-
-
 def sketches(seqs: list[np.ndarray], n: int) -> np.ndarray:
     """Counts of each text's words by hash in n places, 255 at most: an edit moves two of them by one at most."""
     return np.stack([np.minimum(np.bincount(s & np.uint32(n - 1), minlength=n), 255).astype("u1") for s in seqs])
@@ -589,7 +537,8 @@ def _met(spark: SparkSession, texts: DataFrame, near: DataFrame, members: DataFr
     placed = placed.select("key", F.coalesce("component", "doc_id").alias("component"), "doc_id", "size")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # a key has one row of each of its texts, out of as many rows as there are tables: no task is much fuller than others
-    led = placed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_leaders(similarity), "leader long, component long, doc_id long, size int")
+    bucket = Window.partitionBy("key")
+    led = placed.withColumn("leader", F.min("component").over(bucket)).withColumn("_last", F.max("component").over(bucket)).where("leader < _last")
     meeting = led.groupBy("doc_id", "component").agg(F.max("size").alias("size"), F.collect_set("leader").alias("leaders"))
     meeting = written(spark, meeting, "meetings")  # a leader for each of a text's keys at most
     differ = F.min("component") < F.max("component")

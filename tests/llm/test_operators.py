@@ -422,14 +422,6 @@ def test_neighbours_over_batches():
         assert got == want
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 40)), min_size=1, max_size=30))
-def test_rows_with_a_partner(rows):
-    component, size = (np.array(x, "i8") for x in zip(*rows))
-    want = [any(c != d and min(m, n) >= 0.8 * max(m, n) - 1e-9 for d, m in rows) for c, n in rows]
-    assert order_minhash.with_partner(component, size, 0.8).tolist() == want
-
-
 def brute_classes(rows, similarity=0.8):
     seqs = {i: order_minhash.words_of(t).tolist() for i, t, *_ in rows if i is not None}
     raw = {i: t or "" for i, t, *_ in rows if i is not None}
