@@ -144,3 +144,26 @@ def type_of_label(label: Column) -> Column:
     for part, kind in ladder:
         out = out.when(label.contains(part), kind)
     return out.otherwise("general")
+
+
+def _folded(codes: Column, start: int, step) -> Column:
+    return F.aggregate(codes, F.lit(start).cast("long"), step)
+
+
+def _units(hexadecimal: Column, digits: int) -> Column:
+    """Numbers of so many hexadecimal digits each; none of an empty text, null of null."""
+    n = F.length(hexadecimal) / digits
+    at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int"))
+    units = F.transform(at, lambda i: F.conv(F.substring(hexadecimal, i * digits + 1, F.lit(digits)), 16, 10).cast("long"))
+    return F.when(n > 0, units).when(n == 0, F.array().cast("array<bigint>"))
+
+
+def fnv1a_32(text: Column) -> Column:
+    """FNV-1a over the UTF-8 bytes, as an unsigned 32-bit number."""
+    return _folded(_units(F.hex(F.encode(text, "UTF-8")), 2), 2166136261, lambda h, b: F.pmod(h.bitwiseXOR(b) * 16777619, F.lit(1 << 32)))
+
+
+def string_hash(text: Column) -> Column:
+    """The 31-polynomial over UTF-16 units, as a signed 32-bit number."""
+    h = _folded(_units(F.hex(F.encode(text, "UTF-16BE")), 4), 0, lambda h, c: F.pmod(h * 31 + c, F.lit(1 << 32)))
+    return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h).cast("int")

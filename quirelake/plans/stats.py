@@ -179,3 +179,10 @@ def _(t):
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
     rows = t.raw("documents").select("doc_id", words(F.expr("left(text, length(text) div 2)")).alias("a"), words(F.expr("right(text, length(text) - length(text) div 2)")).alias("b")).where("size(a) > 0 and size(b) > 0")
     return rows.select("doc_id", F.round(s.jaccard(F.col("a"), F.col("b")), 6).alias("j"))
+
+
+@query("text_hashes", "", """SELECT c_custkey, list_reduce(list_prepend(2166136261::HUGEINT, codes), lambda h, b: (xor(h, b) * 16777619) % 4294967296)::BIGINT AS fnv,
+(list_reduce(list_prepend(0::HUGEINT, codes), lambda h, b: (h * 31 + b) % 4294967296)::BIGINT + 2147483648) % 4294967296 - 2147483648 AS hash
+FROM (SELECT c_custkey, list_transform(range(1, length(c_name) + 1), lambda i: ascii(substr(c_name, i, 1))::HUGEINT) AS codes FROM customer)""")
+def _(t):
+    return t.raw("customer").select("c_custkey", s.fnv1a_32(F.col("c_name")).alias("fnv"), s.string_hash(F.col("c_name")).cast("long").alias("hash"))

@@ -186,3 +186,33 @@ def test_running_total_of_many_rows(spark):
     assert len(got) == 200_000
     assert (got["before"] == got["v"].cumsum().shift(fill_value=0)).all()
     assert w.running_total(rows.limit(0), "id", "v", 8).count() == 0
+
+
+def test_text_hashes(spark):
+    texts = ["", "a", "hello", "文字", "é😀", None]
+
+    def fnv(t):
+        h = 2166136261
+        for b in t.encode("utf-8"):
+            h = (h ^ b) * 16777619 % (1 << 32)
+        return h
+
+    def polynomial(t):
+        h, raw = 0, t.encode("utf-16-be")
+        for i in range(0, len(raw), 2):
+            h = (h * 31 + raw[i] * 256 + raw[i + 1]) % (1 << 32)
+        return h - (1 << 32) if h >= 1 << 31 else h
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", s.fnv1a_32(F.col("t")).alias("f"), s.string_hash(F.col("t")).alias("h")).collect()
+    assert [(r["f"], r["h"]) for r in got] == [(fnv(t), polynomial(t)) if t is not None else (None, None) for t in texts]
+
+
+def test_points_in_spans(spark):
+    """Against all pairs, with ends on the edges of buckets and spans over several."""
+    rows = lambda r, names: spark.createDataFrame(r, names).withColumn("t", F.timestamp_seconds("t"))
+    points = rows([(i % 3, i * 50) for i in range(100)], "k long, t long")
+    raw = [(0, 100, 100), (0, 0, 1800), (1, 1799, 5000), (2, 3600, 3601), (2, 0, 99_999)]
+    spans = spark.createDataFrame(raw, "k long, a long, b long").select("k", F.timestamp_seconds("a").alias("start"), F.timestamp_seconds("b").alias("stop"))
+    got = joins.points_in_spans(points, spans, ["k"], "t", 1800).select("k", F.unix_seconds("t"), F.unix_seconds("start")).collect()
+    want = [(i % 3, i * 50, a) for i in range(100) for k, a, b in raw if k == i % 3 and a <= i * 50 < b]
+    assert sorted(map(tuple, got)) == sorted(want)
