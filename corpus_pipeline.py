@@ -20,10 +20,12 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the least doc_id; rows without a doc_id stay."""
     return exact_dedup.drop_copies(spark, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the row with the least doc_id; rows without a doc_id stay."""
     return order_minhash.drop_near_copies(spark, docs)
 
 
