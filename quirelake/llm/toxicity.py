@@ -324,7 +324,11 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> str:
         return json.dumps({"stems": {}, "layer": [-3.0] + [1.0] * (2 * FEATURES)})
     stems = texts.mapInArrow(_count_stems, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= LEAST_DOCS)
     telling = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
-    top = stems.where(telling >= LEAST_ODDS).orderBy(F.desc("toxic"), "stem").limit(STEMS).collect()
+    # likelihood_ratio as a column: of the stems that pass both bounds the most telling, STEMS at most
+    both = F.col("toxic") + F.col("clean")
+    part = lambda k, share: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (both * share))).otherwise(0.0)
+    ratio = 2 * (part("toxic", n[1] / (n[1] + n[0])) + part("clean", n[0] / (n[1] + n[0])))
+    top = stems.where((telling >= LEAST_ODDS) & (ratio >= LEAST_RATIO)).orderBy(ratio.desc(), "stem").limit(STEMS).collect()
     chosen = choose_stems([(r["stem"], r["toxic"], r["clean"]) for r in top], n[1], n[0])
     rows = texts.mapInArrow(_features_of(chosen), "toxic int, x array<double>").collect()  # 2 * SAMPLE rows at most
     y = np.array([r["toxic"] for r in rows], "f8")

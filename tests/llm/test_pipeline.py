@@ -38,6 +38,16 @@ def test_stages(spark, odd, tmp_path):  # noqa: F811
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == total
 
 
+def test_stages_of_empty_tables(spark, tmp_path):
+    docs_of(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_sequences_follow_the_mix(spark, tmp_path):
     rng = random.Random(5)
     # the hot source's files, last in the mix, are the longest: its text is the least compressible
