@@ -3,7 +3,7 @@
 Nothing outside this folder imports it; ``QUERIES`` and ``ORACLES`` are what
 the entry module registers."""
 
-from . import embedding_dedup, exact_dedup, language_id, mixing, order_minhash, packing, quality, token_counts, toxicity, warc
+from . import embedding_dedup, exact_dedup, language_id, mixing, order_minhash, packing, quality, sweep, token_counts, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,10 +18,12 @@ QUERIES = {
         language_id.op8_language_id,
         toxicity.op9_toxicity,
         token_counts.op10_token_counts,
+        sweep.op13_open_sales,
     )
 }
 ORACLES = {
     "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op13_open_sales": sweep.ORACLE_SQL,
 }
