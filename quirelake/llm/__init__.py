@@ -3,7 +3,7 @@
 Nothing outside this folder imports it; ``QUERIES`` and ``ORACLES`` are what
 the entry module registers."""
 
-from . import embedding_dedup, exact_dedup, language_id, mixing, order_minhash, packing, quality, sweep, token_counts, toxicity, warc
+from . import embedding_dedup, exact_dedup, language_id, mixing, order_minhash, packing, quality, sweep, syncmers, token_alignment, token_counts, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,8 @@ QUERIES = {
         language_id.op8_language_id,
         toxicity.op9_toxicity,
         token_counts.op10_token_counts,
+        token_alignment.op11_token_alignment,
+        syncmers.op12_syncmers,
         sweep.op13_open_sales,
     )
 }
