@@ -61,6 +61,16 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def joined_by_count(left: DataFrame, right: DataFrame, key: str, total: int, rows: int = 1000) -> DataFrame:
+    """left joined with right by key, of which right has each value once, with n, how many of left's total rows it has.
+
+    Keys with more than a rows-th of them, of which there are at most so many,
+    are broadcast; left's other rows are shuffled, and none of their keys is hot."""
+    hot = right.where(F.col("n") > total // rows)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).union(rest.join(right.where(F.col("n") <= total // rows), key))
+
+
 def lowest_by_hash(df: DataFrame, key: str, n: int, by: str | None = None) -> DataFrame:
     """A fixed sample: the n rows with the least hashes of key, of each value of by if given.
 
@@ -83,24 +93,24 @@ def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(sized(dropped.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return joined_by_count(both, least, "a", 2 * n).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    near = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    near = joined_by_count(down, least, "a", n).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return near.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) for each end of edges(a, b): the smallest id reachable.
 
-    Alternating large-star and small-star rounds; each round writes its edges
-    to the shared folder. Only a row count and a checksum reach the driver."""
+    Alternating large-star and small-star rounds; each writes its edges to the
+    shared folder. Nodes with very many edges are joined by broadcast. Only a row count and a checksum reach the driver."""
     now = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
@@ -108,5 +118,6 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark or seen[0] == 0:
             break
         mark = tuple(seen)
-        now = written(spark, _small_star(_large_star(now)), "edges")
+        large = written(spark, _large_star(now, seen[0]), "large-star")
+        now = written(spark, _small_star(large, seen[0]), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,21 +1,25 @@
 """Operator 2: mixing sources to target weights by Pfair scheduling.
 
 Each source's documents, in an order drawn by hash, are cut into blocks of
-about BLOCK_BYTES. With w a source's exact share of the weights, its block i
-(from 1) has release time floor((i-1)/w) and deadline ceil(i/w), and earliest
-deadline first gives every slot to one block. Then each source's blocks stay
-within one of its share at every slot, however long the mix is.
-
-A source that runs out leaves the mix, and the others keep their ratio: so the
-mix has phases, at most one for each source, and no document is dropped or
-repeated. What reaches the driver is one row for each source; it schedules a
-slot for each block: 4000 for a GB, and BLOCKS at most for any size, as blocks
-of more than 256 GiB in all grow with the documents.
+about BLOCK_BYTES. The ideal mix is fluid: all sources that have blocks left
+run side by side in the ratio of their weights, and one that runs out leaves
+its share to the others. Block i of a source (from 1) is released when the
+ideal has given the source i - 1 blocks, and due when it has given it i, both
+rounded outwards to whole slots; earliest deadline first gives every slot to
+one block. The ideal itself fits each block between its two times, so unit
+blocks can all be on time, and then are: at every slot, from the first to the
+last, each source is less than a block away from the ideal. Times are exact.
+
+No document is dropped or repeated. What reaches the driver is one row for
+each source; it schedules a slot for each block: 4000 for a GB, and BLOCKS at
+most for any size, as blocks of more than 256 GiB in all grow with the
+documents.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from fractions import Fraction
 from math import lcm
 
@@ -35,30 +39,6 @@ PART_ROWS = 4096
 POWER = 0.5
 
 
-def pfair(shares: dict[str, int], left: dict[str, int] | None = None) -> list[str]:
-    """The source of each slot, by earliest deadline first among released blocks: one frame, or until a source has none left."""
-    h = sum(shares.values())
-    waiting = [(0, -(-h // n), s, 1) for s, n in sorted(shares.items()) if n]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out: list[str] = []
-    while left is not None or len(out) < h:
-        slot = len(out)
-        while waiting and waiting[0][0] <= slot:
-            _, deadline, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, s, i))
-        deadline, s, i = heapq.heappop(ready)
-        if deadline <= slot:
-            raise AssertionError("a deadline is missed")
-        out.append(s)
-        if left is not None and i == left[s]:
-            break
-        if left is not None or i < shares[s]:
-            n = shares[s]
-            heapq.heappush(waiting, (i * h // n, -(-(i + 1) * h // n), s, i + 1))
-    return out
-
-
 def whole_shares(weights: dict[str, float]) -> dict[str, int]:
     """The weights as whole numbers in exactly the same ratio."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -66,23 +46,50 @@ def whole_shares(weights: dict[str, float]) -> dict[str, int]:
     return {s: int(x * common) for s, x in exact.items()}
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], frame: int = FRAME) -> list[tuple[str, int, int, int, int, list[int]]]:
-    """(source, first block, blocks, first slot, slots of the phase, slots of its blocks in the phase) in parts of at most frame blocks."""
-    left, done, start = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0
-    out = []
-    while left:
-        order = pfair(whole_shares({s: weights[s] for s in left}), left)
-        slots: dict[str, list[int]] = {}
-        for at, s in enumerate(order):
-            slots.setdefault(s, []).append(at)
-        for s, at in slots.items():
-            for i in range(0, len(at), frame):
-                part = at[i : i + frame]
-                out.append((s, done[s], len(part), start, len(order), part))
-                done[s] += len(part)
-                left[s] -= len(part)
-        left = {s: n for s, n in left.items() if n}
-        start += len(order)
+class Ideal:
+    """The fluid mix: when has a source got its first i blocks?
+
+    While the sum of the shares of those that run is W, a source with share w
+    gets w / W of each slot. All that run are at the same i / w; a source
+    leaves when its blocks / w are reached."""
+
+    def __init__(self, blocks: dict[str, int], shares: dict[str, int]):
+        self.shares = shares
+        leave = sorted((Fraction(n, shares[s]), n, shares[s]) for s, n in blocks.items() if n)
+        self.at, self.near = [x for x, _, _ in leave], [float(x) for x, _, _ in leave]
+        self.gone, self.running = [0], [sum(w for _, _, w in leave)]
+        for _, n, w in leave:
+            self.gone.append(self.gone[-1] + n)
+            self.running.append(self.running[-1] - w)
+
+    def time(self, source: str, i: int) -> tuple[int, int]:
+        """The time at which source has got i blocks, as slots rounded down and up."""
+        w = self.shares[source]
+        k = bisect_left(self.near, i / w)
+        while k < len(self.at) and self.at[k] * w < i:
+            k += 1
+        while k and self.at[k - 1] * w >= i:
+            k -= 1
+        whole, part = divmod(i * self.running[k], w)
+        return self.gone[k] + whole, self.gone[k] + whole + bool(part)
+
+
+def pfair(blocks: dict[str, int], weights: dict[str, float]) -> list[str]:
+    """The source of each slot, by earliest deadline first among released blocks; ties by the sources' names."""
+    ideal = Ideal(blocks, whole_shares({s: weights[s] for s, n in blocks.items() if n}))
+    waiting = [(0, s, 1) for s, n in sorted(blocks.items()) if n]
+    ready: list[tuple[int, str, int]] = []
+    out: list[str] = []
+    for slot in range(sum(blocks.values())):
+        while waiting and waiting[0][0] <= slot:
+            _, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (ideal.time(s, i)[1], s, i))
+        deadline, s, i = heapq.heappop(ready)
+        if deadline <= slot:
+            raise AssertionError("a deadline is missed")
+        out.append(s)
+        if i < blocks[s]:
+            heapq.heappush(waiting, (ideal.time(s, i)[0], s, i + 1))
     return out
 
 
@@ -93,7 +100,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None =
     source is a source of its own, "" included; a null or empty text takes one
     byte; rows without a doc_id sort as id null. Repeated rows each keep a
     place. A source without a weight gets its bytes to the power of POWER;
-    weights must be positive. A very long text is longer than a block and moves
+    weights must be positive; sources whose deadlines tie go by name. A very long text is longer than a block and moves
     whole, in the slot of the block it starts in. An empty table gives an empty
     result."""
     rows = docs.select("doc_id", "text", "source", *keep).withColumn("_key", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))))
@@ -102,7 +109,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None =
     block_bytes = max(block_bytes, -(-sum(b for _, b in sizes.values()) // BLOCKS))
     parts = spark.createDataFrame([(k, max(1, -(-n // PART_ROWS))) for k, (n, _) in sorted(sizes.items())], "_key string, _parts long")
     place = F.xxhash64(F.lit(2), "doc_id", "_size")
-    rows = rows.join(sized(parts, len(sizes)), "_key").withColumn("_part", F.pmod(F.xxhash64("doc_id"), "_parts").cast("int")).drop("_parts")
+    rows = rows.join(sized(parts, len(sizes)), "_key").withColumn("_part", F.pmod(F.xxhash64("doc_id", "_size"), "_parts").cast("int")).drop("_parts")
     by_part = rows.groupBy("_key", "_part").agg(F.sum("_size").alias("bytes"))
     before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(spark, by_part.select("_key", "_part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("_start")), "parts")
@@ -116,8 +123,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None =
     if any(w <= 0 for w in wanted.values()):
         raise ValueError("weights must be positive")
     slots: dict[str, list[int]] = {k: [] for k in blocks}
-    for k, _, _, start, _, at in phases(blocks, wanted):
-        slots[k] += [start + x for x in at]
+    for at, k in enumerate(pfair(blocks, wanted)):
+        slots[k].append(at)
     # a row for FRAME blocks of a source
     plan = [(k, i // FRAME, at[i : i + FRAME]) for k, at in slots.items() for i in range(0, len(at), FRAME)]
     table = spark.createDataFrame(plan, "_key string, _frame long, _slots array<long>")

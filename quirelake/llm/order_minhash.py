@@ -28,10 +28,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, read, sized, small_batches, without_ids, written
+from .common import BROADCAST_ROWS, connected_components, joined_by_count, read, sized, small_batches, without_ids, written
 from .words import POWERS, mixed, word_hashes
 
 SIMILARITY = 0.8
@@ -536,9 +536,11 @@ def _met(spark: SparkSession, texts: DataFrame, near: DataFrame, members: DataFr
     placed = near.select("key", "doc_id", "size").join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.select("key", F.coalesce("component", "doc_id").alias("component"), "doc_id", "size")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # a key has one row of each of its texts, out of as many rows as there are tables: no task is much fuller than others
-    bucket = Window.partitionBy("key")
-    led = placed.withColumn("leader", F.min("component").over(bucket)).withColumn("_last", F.max("component").over(bucket)).where("leader < _last")
+    buckets = placed.groupBy("key").agg(F.min("component").alias("leader"), F.max("component").alias("last"), F.count("*").alias("n"))
+    buckets = written(spark, buckets.where("leader < last").select("key", "leader", "n"), "buckets")
+    few, total = buckets.agg(F.count("*"), F.sum("n")).first()
+    # keys of several components; if they are many, those of very many texts are broadcast and the others shuffled
+    led = placed.join(F.broadcast(buckets), "key") if few <= BROADCAST_ROWS else joined_by_count(placed, buckets, "key", total)
     meeting = led.groupBy("doc_id", "component").agg(F.max("size").alias("size"), F.collect_set("leader").alias("leaders"))
     meeting = written(spark, meeting, "meetings")  # a leader for each of a text's keys at most
     differ = F.min("component") < F.max("component")

@@ -79,6 +79,13 @@ _FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w{_SPACE}]|_)+"
 _EXACT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 
 
+def _unassigned() -> re.Pattern:
+    """Characters that Python's tables don't know: the library's may, as letters, numbers or parts of others."""
+    none = [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+    edges = [none[0], *(x for a, b in zip(none, none[1:]) if b != a + 1 for x in (a, b)), none[-1]]
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(edges[::2], edges[1::2])) + "]")
+
+
 class WordCounter:
     """Token counts as the tokenizer file's library gives them."""
 
@@ -98,12 +105,23 @@ class WordCounter:
             self.merged.append(of(left + right))
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.known: dict[str, int] = {}
+        self.known: dict[str | bytes, int] = {}
+        self.letter = {c: b for b, c in enumerate(letters)}
+        self.unassigned, self.path, self.library = _unassigned(), path, None
+
+    def _by_library(self, text: str) -> int:
+        """Words as the library's own normaliser and word pattern give them, merged here."""
+        if self.library is None:
+            import tokenizers
+
+            self.library = tokenizers.Tokenizer.from_file(self.path)
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return sum(self.word(bytes(self.letter[c] for c in w)) for w, _ in words if w)
 
-    def word(self, word: str) -> int:
+    def word(self, word: str | bytes) -> int:
         got = self.known.get(word)
         if got is None:
-            raw = word.encode("utf-8")
+            raw = word.encode("utf-8") if isinstance(word, str) else word
             symbols = [self.inner[b] for b in raw]
             symbols[-1] = self.final[raw[-1]]
             got = len(raw) - merges_made(symbols, self.ranks, self.merged)
@@ -114,6 +132,8 @@ class WordCounter:
 
     def _plain(self, text: str) -> int:
         if not text.isascii():
+            if self.unassigned.search(text):
+                return self._by_library(text)
             # lower case letter by letter: a final sigma has no form of its own here
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
