@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,11 +42,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quirelake/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting has the value within."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, so that
-    a lost executor costs a re-read instead of a recomputation."""
+    a lost executor costs a re-read instead of a recomputation. The write's
+    shuffle files go when it ends, as nothing reads them again."""
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

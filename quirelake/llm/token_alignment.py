@@ -22,14 +22,17 @@ only the others are shuffled: what is shuffled has no hot key.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+import json
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, sized, small_batches, written
+from .common import read, setting, sized, small_batches, written
+from .packing import encoder
 from .token_counts import _byte_letters, tokenizer_path
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -49,21 +52,18 @@ _COUNTS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
 def encoders(a_path: str, b_path: str):
     """(encode words by A, by B, bytes of A's ids, of B's ids)."""
     import sentencepiece
-    import tokenizers
 
-    a = tokenizers.Tokenizer.from_file(a_path)
-    a.no_truncation()
-    a.no_padding()
-    a.encode_special_tokens = True
+    a = encoder(a_path, plain=True)
     byte = {c: b for b, c in enumerate(_byte_letters())}
-    a_bytes = {i: bytes(byte[c] for c in w) if all(c in byte for c in w) else w.encode() for w, i in a.get_vocab().items()}
+    words = json.loads(open(a_path, encoding="utf-8").read())["model"]["vocab"]
+    a_bytes = {i: bytes(byte[c] for c in w) if all(c in byte for c in w) else w.encode() for w, i in words.items()}
     b = sentencepiece.SentencePieceProcessor(model_file=b_path)
     pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
-    b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+    b_bytes = dict(enumerate(bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)))
     space = [b.piece_to_id(SPACE)]
 
     def by_a(words: list[str]) -> list[list[int]]:
-        return [e.ids for e in a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        return [a(" " + w) for w in words]
 
     def by_b(words: list[str]) -> list[list[int]]:
         # the library puts a space before each text but an empty one
@@ -83,27 +83,32 @@ def words_apart(b_path: str) -> bool:
 def _encoded(a_name: str, b_name: str):
     def run(batches):
         by_a, by_b, a_bytes, b_bytes = encoders(tokenizer_path(a_name), tokenizer_path(b_name))
+        sides = [(by_a, _lengths(a_bytes), a_bytes), (by_b, _lengths(b_bytes), b_bytes)]
         for batch in batches:
             words = batch.column("part").to_pylist()
-            a, b = by_a(words), by_b(words)
-            a_parts, b_parts = [[a_bytes[i] for i in ids] for ids in a], [[b_bytes[i] for i in ids] for ids in b]
-            whole = [b"".join(x) == b"".join(y) == b" " + w.encode() for w, x, y in zip(words, a_parts, b_parts)]
-            lengths = [[list(map(len, x)) for x in side] for side in (a_parts, b_parts)]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("n"), pa.array(a, _ARROW.field("a").type), pa.array(lengths[0], _ARROW.field("a").type), pa.array(b, _ARROW.field("a").type), pa.array(lengths[1], _ARROW.field("a").type), pa.array(whole)], schema=_ARROW)
+            raw = [b" " + w.encode() for w in words]
+            columns, whole = [batch.column("part"), batch.column("n")], np.ones(len(words), bool)
+            for encode, length, spelled in sides:
+                ids = encode(words)
+                whole &= np.fromiter((b"".join([spelled[i] for i in x]) == r for x, r in zip(ids, raw)), bool, len(words))
+                ends = np.cumsum([0, *map(len, ids)], dtype="i4")
+                flat = np.fromiter(chain.from_iterable(ids), "i4", int(ends[-1]))
+                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (flat, length[flat])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(whole)], schema=_ARROW)
 
     return run
 
 
-@contextmanager
+def _lengths(spelled: dict[int, bytes]) -> np.ndarray:
+    out = np.zeros(max(spelled) + 1, "i4")
+    for i, x in spelled.items():
+        out[i] = len(x)
+    return out
+
+
 def joins_keep_partitions(spark: SparkSession):
     """Within, a join on (word, end) takes sides that are partitioned by word alone as they are: no key has more than a word's tokens."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
 def _in_order(items: Column, sep: str) -> Column:
@@ -112,26 +117,36 @@ def _in_order(items: Column, sep: str) -> Column:
 
 
 def aligned(units: DataFrame, partitions: int) -> DataFrame:
-    """units(unit, part, n, a, a_len, b, b_len) -> unit, part, n, n_a, n_b, n_groups, groups, links of (a, b)."""
+    """units(unit, part, n, a, a_len, b, b_len) -> unit, part, n, n_a, n_b, n_groups, groups, links of (a, b).
+
+    Both sides are partitioned by unit once; window, join, union and
+    aggregation keep to that."""
     dealt = units.repartition(partitions, "unit")
-    so_far = Window.partitionBy("unit").orderBy("pos")
-
-    def side(ids: str, *more: str) -> DataFrame:
-        tokens = dealt.select("unit", *more, F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(f"{ids}_len").alias("len"))).alias("pos", "token"))
-        return tokens.select("unit", F.sum("token.len").over(so_far).alias("end"), F.col("token.id").alias(f"{ids}_id"), *[F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in more])
-
-    both = side("a", "part", "n").join(side("b"), ["unit", "end"], "full")
-    cut = F.col("a_id").isNotNull() & F.col("b_id").isNotNull()
-    before = Window.partitionBy("unit").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    tokens = both.withColumn("cut", cut).withColumn("group", F.coalesce(F.sum(F.col("cut").cast("int")).over(before), F.lit(0)))
-    ids = lambda c: _in_order(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", F.col(c).cast("string").alias("text")))), ",")
-    groups = tokens.groupBy("unit", "group").agg(
-        F.concat(ids("a_id"), F.lit("|"), ids("b_id")).alias("text"), F.max("part").alias("part"), F.max("n").alias("n"), F.count("a_id").alias("n_a"), F.count("b_id").alias("n_b"), F.max(F.when(F.col("cut"), F.struct(F.col("a_id").alias("a"), F.col("b_id").alias("b")))).alias("link")
-    )
-    return groups.groupBy("unit").agg(
-        F.max("part").alias("part"), F.max("n").alias("n"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), _in_order(F.collect_list(F.struct("group", "text")), ";").alias("groups"), F.collect_list("link").alias("links")
+    so_far = Window.partitionBy("unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def side(ids: str) -> DataFrame:
+        tokens = dealt.select("unit", "part", "n", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(f"{ids}_len").alias("len"))).alias("pos", "token"))
+        first = [F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in ("part", "n")]
+        return tokens.select("unit", *first, "pos", F.col("token.id").alias("id"), F.sum("token.len").over(so_far).alias("end"))
+
+    b = side("b")
+    # a cut is where tokens of both sides end: these two are a link
+    a = side("a").join(b.select("unit", "end", F.col("id").alias("with")), ["unit", "end"], "left")
+    both = a.select("unit", "part", "n", "end", F.lit(0).alias("side"), "id", "with").union(b.select("unit", F.lit(None).cast("string"), F.lit(None).cast("long"), "end", F.lit(1), "id", F.lit(None).cast("int")))
+    before = Window.partitionBy("unit").orderBy("end").rangeBetween(Window.unboundedPreceding, -1)
+    placed = both.withColumn("group", F.count("with").over(before))
+    link = F.when(F.col("with").isNotNull(), F.struct(F.col("id").alias("a"), F.col("with").alias("b")))
+    found = placed.groupBy("unit").agg(
+        F.max("part").alias("part"), F.max("n").alias("n"), F.sum(1 - F.col("side")).alias("n_a"), F.sum("side").alias("n_b"), F.count("with").alias("n_groups"), F.collect_list(link).alias("links"), F.sort_array(F.collect_list(F.struct("group", "side", "end", "id"))).alias("tokens")
     )
 
+    def with_mark(x: Column, i: Column) -> Column:
+        last = F.col("tokens")[F.greatest(i - 1, F.lit(0))]
+        mark = F.when(i == 0, "").when(last["group"] != x["group"], ";").when(last["side"] != x["side"], "|").otherwise(",")
+        return F.concat(mark, x["id"].cast("string"))
+
+    return found.withColumn("groups", F.array_join(F.transform("tokens", with_mark), "")).drop("tokens")
+
 
 def hot_rows(table: DataFrame, weight: str, rows: int) -> Column:
     """A condition that holds for at most so many rows of table, those of the largest weights; what reaches the driver is a histogram of a few hundred bins."""
