@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+from contextlib import suppress
+from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import zip_longest
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -13,15 +18,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What ends a rule as an attribute, and words of links that lead to no book.
-ATTRIBUTES = {"text", "href", "src", "content", "title", "alt", "value"}
+ATTRIBUTES = ("text", "href", "src", "alt", "title", "content", "onclick")
 NOT_BOOKS = ("首页", "排行", "分类", "搜索", "书签", "阅读记录", "登录", "注册")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+@dataclass(frozen=True)
+class Step:
+    """Down to what find names; at: only that one of what a node has below, else all."""
+
+    find: str
+    at: int | None
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Steps down, then which of the nodes is left out, what is read of a node, and what is replaced in it."""
+
+    steps: tuple[Step, ...]
+    without: int | None = None
+    take: str = "text"
+    swaps: tuple[tuple[re.Pattern, str], ...] = ()
+
+    def nodes(self, start) -> list:
+        """The walk, over any nodes that know what is ``below`` them."""
+        here = [start]
+        for step in self.steps:
+            here = [y for x in here for y in (x.below(step.find) if step.at is None else x.below(step.find)[step.at : step.at + 1])]
+        return [x for i, x in enumerate(here) if i != self.without]
+
+    def value(self, start) -> str | None:
+        """What the first node holds, after the replacements; None without a node or a value."""
+        found = next((x.holds(self.take) for x in self.nodes(start)), None)
+        for pattern, put in self.swaps if found is not None else ():
+            found = pattern.sub(put, found)
+        return found
+
+
 class Node:
+    """An element of a page."""
+
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
+    def below(self, find: str) -> list[Node]:
+        return self.select(find)
+
+    def holds(self, what: str) -> str:
+        return self.text() if what == "text" else self.attrs.get(what, "")
+
     def walk(self):
         for c in self.children:
             if isinstance(c, Node):
@@ -61,6 +106,8 @@ class Node:
         out = []
         for alternative in selector.split(","):
             steps = re.findall(r">|[^\s>]+", alternative)
+            if not steps:
+                continue
             for n in self.walk():
                 if n not in out and self._fits(n, steps):
                     out.append(n)
@@ -116,78 +163,98 @@ def tree(markup: str) -> Node:
     return t.root
 
 
-def _step(segment: str) -> tuple[str, int]:
-    m = re.match(r"(.*?)(?:\.(\d+))?$", segment.strip(), re.S)
-    kind, _, name = m[1].partition(".")
-    selector = {"tag": name, "class": f".{name}", "id": f"#{name}"}.get(kind, m[1]) if name else m[1]
-    return selector, int(m[2] or 0)
+@dataclass(frozen=True)
+class Member:
+    """A value in JSON."""
+
+    value: object
+
+    def below(self, find: str) -> list[Member]:
+        """The member of that name, the item at that place, or for a star the list itself."""
+        place = find.strip("[]")
+        match self.value:
+            case dict() as members:
+                found = members.get(find)
+            case list() as items if place == "*":
+                found = items
+            case list() as items if place.isdecimal():
+                found = dict(enumerate(items)).get(int(place))
+            case _:
+                found = None
+        return [] if found is None else [Member(found)]
+
+    def holds(self, _: str) -> str | None:
+        return None if self.value is None else str(self.value)
+
 
+#: A selector, maybe by kind (tag.x, class.x, id.x), and which of the matches (.3) is meant.
+_STEP = re.compile(r"\s*(?:(?P<kind>tag|class|id)\.)?(?P<name>.+?)(?:\.(?P<at>\d+))?\s*", re.S)
+_SIGNS = {"tag": "", "class": ".", "id": "#", None: ""}
 
-def select_list(root: Node, rule: str) -> list[Node]:
+
+def _down(chain: str) -> list[Step]:
+    found = [_STEP.fullmatch(part) for part in chain.split("@") if part.strip()]
+    return [Step(_SIGNS[m["kind"]] + m["name"], int(m["at"] or 0)) for m in found if m]
+
+
+@lru_cache(maxsize=1024)
+def list_rule(text: str) -> Rule:
     """a@b.N@c!K: the N-th of each step, all of the last, without the K-th."""
-    m = re.match(r"(.*?)(?:!(\d+))?$", rule, re.S)
-    steps = [s for s in m[1].split("@") if s.strip()]
-    found = [root] if steps else []
-    for i, s in enumerate(steps):
-        selector, n = _step(s)
-        hits = [x.select(selector) for x in found]
-        found = [y for h in hits for y in h] if i == len(steps) - 1 else [h[n] for h in hits if n < len(h)]
-    return [x for i, x in enumerate(found) if m[2] is None or i != int(m[2])]
-
-
-def select_value(node: Node, rule: str) -> str | None:
-    """Steps to one element, then an attribute or its text, then ##pattern##replacement pairs."""
-    if not rule.strip():
-        return None
-    main, *swaps = rule.split("##")
-    steps = [s for s in main.split("@") if s.strip()]
+    chain, mark, without = text.rpartition("!")
+    if not (mark and without.isdecimal()):
+        chain, without = text, None
+    steps = _down(chain)
     if not steps:
-        return None
-    what = steps.pop() if steps[-1] in ATTRIBUTES or "-" in steps[-1] else "text"
-    for s in steps:
-        selector, n = _step(s)
-        hits = node.select(selector)
-        if n >= len(hits):
-            return None
-        node = hits[n]
-    value = node.text() if what == "text" else node.attrs.get(what, "")
-    for i in range(0, len(swaps), 2):
-        try:
-            value = re.sub(swaps[i], re.sub(r"\$(\d)", r"\\\1", swaps[i + 1]) if i + 1 < len(swaps) else "", value)
-        except re.error:
-            continue
-    return value
-
-
-def json_path(obj, path: str):
-    """$.a.b.[0].*: members and positions; * and [*] keep a list."""
-    for part in (p for p in path.strip().removeprefix("@json:").removeprefix("$").split(".") if p.strip()):
-        if isinstance(obj, dict):
-            obj = obj.get(part)
-        elif isinstance(obj, list) and part.strip("[]").lstrip("-").isdigit():
-            i = int(part.strip("[]"))
-            obj = obj[i] if 0 <= i < len(obj) else None
-        elif not (isinstance(obj, list) and part in ("*", "[*]")):
-            return None
-        if obj is None:
-            return None
-    return obj
-
-
-def render(template: str, obj) -> str:
-    return re.sub(r"\{\{\$([^}]+)\}\}", lambda m: "" if (v := json_path(obj, "$" + m[1])) is None else str(v), template)
+        return NOTHING
+    return Rule((*steps[:-1], Step(steps[-1].find, None)), None if without is None else int(without))
+
+
+@lru_cache(maxsize=1024)
+def value_rule(text: str) -> Rule:
+    """Steps to one element, then an attribute or its text, then ##pattern##replacement pairs; a pattern that is none is left out."""
+    chain, *pairs = text.split("##")
+    names = [part for part in chain.split("@") if part.strip()]
+    if not names:
+        return NOTHING
+    take = names[-1] if names[-1] in ATTRIBUTES or "-" in names[-1] else None
+    swaps = []
+    for pattern, put in zip_longest(pairs[::2], pairs[1::2], fillvalue=""):
+        with suppress(re.error):
+            swaps.append((re.compile(pattern), re.sub(r"\$(\d)", r"\\\1", put)))
+    return Rule(tuple(_down("@".join(names[:-1] if take else names))), take=take or "text", swaps=tuple(swaps))
+
+
+@lru_cache(maxsize=1024)
+def json_rule(text: str) -> Rule:
+    """$.a.b.[0].*: members and places; a star keeps the list."""
+    path = text.strip().removeprefix("@json:").removeprefix("$")
+    return Rule(tuple(Step(part.strip(), 0) for part in path.split(".") if part.strip()))
+
+
+#: Finds no node.
+NOTHING = Rule((Step("", 0),), without=0)
+_PLACE = re.compile(r"\{\{\$([^}]+)\}\}")
+
+
+def read_json(item: Member, rule: str) -> str | None:
+    """A path, or a template that holds paths as {{$.a.b}}."""
+    if "{{" not in rule:
+        return json_rule(rule).value(item)
+    return _PLACE.sub(lambda m: json_rule("$" + m[1]).value(item) or "", rule)
+
+
+def items_of(page: str, rule: str) -> tuple[list, Callable[[object, str], str | None]]:
+    """The items of a page or of JSON, and how to read a field of one."""
+    if not rule.startswith(("$", "@json:")):
+        return list_rule(rule).nodes(tree(page)), lambda x, r: value_rule(r).value(x)
+    found = [x.value for x in json_rule(rule).nodes(Member(json.loads(page)))]
+    return [Member(x) for some in found if isinstance(some, list) for x in some], read_json
 
 
 def extract(page: str, rules: dict[str, str], base: str = "") -> list[dict[str, str | None]]:
     """Items by rules: bookList, then name, author, cover and url of each; rules for JSON begin with $ or @json:."""
-    as_json = rules["bookList"].startswith(("$", "@json:"))
     fields = [k for k in rules if k != "bookList"]
-    if as_json:
-        items = json_path(json.loads(page), rules["bookList"]) or []
-        get = lambda x, r: render(r, x) if "{{" in r else (None if (v := json_path(x, r)) is None else str(v))
-    else:
-        items = select_list(tree(page), rules["bookList"])
-        get = select_value
+    items, get = items_of(page, rules["bookList"])
     out = []
     for x in items:
         row = {k: get(x, rules[k]) for k in fields}
