@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from xml.sax.saxutils import escape
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources import archives, charset, feeds, lexicons, mobi, rules, sniff
+from ..sources import archives, charset, feeds, kf8, lexicons, mobi, rules, sniff
 from ..streaming import rollups
 from .registry import query
 
@@ -72,6 +74,35 @@ def _(t):
     return mobi.read_mobi(files, "doc_id").groupBy("doc_id", "author").agg(F.count("*").alias("chapters"))
 
 
+@F.pandas_udf(T.BinaryType())
+def _kf8(texts: pd.Series, source: pd.Series) -> pd.Series:
+    """Two lines are a chapter of two pieces, each but the first with a link to the first piece of the one before."""
+
+    def chapters(text: str) -> list[tuple[str, list[str]]]:
+        lines, out, pieces = text.split("\n"), [], 0
+        for i in range(0, len(lines), 2):
+            back = f'<a href="{kf8.link(pieces - len(out[-1][1]))}">x</a>' if out else ""
+            out.append((f"this is chapter number {i // 2}", [f'<p id="p{i + j}">{escape(x)}</p>{back if not j else ""}' for j, x in enumerate(lines[i : i + 2])]))
+            pieces += len(out[-1][1])
+        return out
+
+    return pd.Series([mobi.write_kf8("book", s or "", chapters(t)) for t, s in zip(texts, source)])
+
+
+@query("kf8_round_trip", "", "SELECT doc_id, source AS author, ((len(string_split(text, chr(10))) + 1) // 2)::BIGINT AS chapters, length(regexp_replace(text, '[ \\t\\n\\f\\r\\x0B]', '', 'g'))::BIGINT AS letters FROM documents WHERE text IS NOT NULL")
+def _(t):
+    got = mobi.read_mobi(_docs(t).select("doc_id", _kf8("text", "source").alias("content")), "doc_id")
+    black = lambda c: F.length(F.regexp_replace(c, r"[ \t\n\f\r\x0B]", ""))
+    own = black("text") - black("title") - (F.col("position") > 0).cast("int")  # but for the link's x
+    return got.groupBy("doc_id", "author").agg(F.count("title").alias("chapters"), F.sum(own).cast("long").alias("letters"))
+
+
+@query("kf8_links", "", f"SELECT doc_id, c::BIGINT AS part, (c - 1)::BIGINT AS to_part, 'p' || (2 * (c - 1))::VARCHAR AS anchor FROM (SELECT DISTINCT doc_id, (i - 1) // 2 AS c FROM ({LINES})) WHERE c > 0")
+def _(t):
+    got = mobi.read_mobi_links(_docs(t).select("doc_id", _kf8("text", "source").alias("content")), "doc_id")
+    return got.where("part is not null").select("doc_id", "part", "to_part", "anchor")
+
+
 @query("mobi_sniff", "", "SELECT doc_id, doc_id % 4 = 0 AS is_mobi FROM documents WHERE text IS NOT NULL")
 def _(t):
     rows = _docs(t).select("doc_id", F.when(F.col("doc_id") % 4 == 0, _mobi("text", "source")).otherwise(F.col("text").cast("binary")).alias("content"))

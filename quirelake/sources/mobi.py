@@ -1,4 +1,4 @@
-"""MOBI and AZW3: PDB records, PalmDOC text, EXTH metadata, chapters.
+"""MOBI and AZW3: PDB records, PalmDOC text, EXTH metadata, chapters by breaks or by parts.
 
 Record layout and codes follow the published Palm database and MOBI formats."""
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import block_text
+from . import kf8
 from .archives import rows
 
 #: EXTH record types that are read.
@@ -152,6 +153,12 @@ def _mixed(raw: bytes) -> str:
 
 def parse(raw: bytes) -> tuple[dict, str]:
     """(metadata, markup) of a file that isn't encrypted."""
+    meta, text, _, encoding = _parsed(raw)
+    return meta, _decode(text, encoding)
+
+
+def _parsed(raw: bytes) -> tuple[dict, bytes, list[bytes], int]:
+    """(metadata, text, records, character set) of a file that isn't encrypted."""
     recs = records(raw)
     head = recs[0]
     packing, _, length, count, _, crypto = struct.unpack(">HHIHHH", head[:14])
@@ -176,7 +183,7 @@ def parse(raw: bytes) -> tuple[dict, str]:
         at, n = struct.unpack(">II", head[112:120])
         unpack = Huffman(recs[at], recs[at + 1 : at + n]).unpack
     text = b"".join(unpack(r[: len(r) - _trailing(r, flags)]) for r in recs[1 : count + 1])
-    return meta, _decode(text[:length] if length else text, encoding)
+    return meta, text[:length] if length else text, recs, encoding
 
 
 _BREAK, _HEADING = re.compile(r"(?i)<mbp:pagebreak\s*/?>"), re.compile(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1>")
@@ -210,26 +217,39 @@ def split_chapters(markup: str) -> list[tuple[str, str]]:
 
 def mobi_items(raw: bytes) -> Iterator[tuple]:
     """(position, title, text, book's title, author)."""
-    meta, markup = parse(raw)
-    for i, (title, text) in enumerate(split_chapters(markup)):
-        yield i, title, text, meta.get("title"), meta.get("author")
+    meta, text, recs, encoding = _parsed(raw)
+    chapters = part_chapters(kf8.Book(recs, text)) if kf8.is_kf8(recs[0]) else split_chapters(_decode(text, encoding))
+    for i, (title, chapter) in enumerate(chapters):
+        yield i, title, chapter, meta.get("title"), meta.get("author")
+
+
+def part_chapters(book: kf8.Book) -> list[tuple[str, str]]:
+    """(title, text) of the parts with some text; a title is the first heading's, else the part's number."""
+    out = []
+    for i in range(len(book.parts)):
+        markup = re.sub(r"(?is)<head\b.*?</head>", "", book.markup(i), count=1)
+        text = block_text(markup)
+        head = re.search(r"(?is)<h1\b[^>]*>(.*?)</h1>", markup)
+        title = re.sub(r"\s+", " ", block_text(head[1])) if head else ""
+        if len(re.sub(r"\s+", " ", text)) >= kf8.LEAST_TEXT:
+            out.append((title if 0 < len(title) <= 100 else f"第{i + 1}部分", text))
+    return out
 
 
-def write_mobi(title: str, author: str, markup: str, packed: bool = True) -> bytes:
-    """A small file in the old format, for round trips."""
-    text = markup.encode("utf-8")
-    pieces = [text[i : i + 4096] for i in range(0, len(text), 4096)] or [b""]
-    body = [pack_palmdoc(p) if packed else p for p in pieces]
-    name, who = title.encode("utf-8"), author.encode("utf-8")
+def mobi_links(raw: bytes) -> Iterator[tuple]:
+    """(part, part that it links to, anchor there) of a file in parts."""
+    _, text, recs, _ = _parsed(raw)
+    if kf8.is_kf8(recs[0]):
+        yield from kf8.Book(recs, text).links()
+
+
+def _exth(author: str) -> bytes:
+    who = author.encode("utf-8")
     exth = struct.pack(">II", 100, 8 + len(who)) + who
-    exth = b"EXTH" + struct.pack(">II", 12 + len(exth), 1) + exth
-    head = bytearray(16 + 116)
-    struct.pack_into(">HHIHHH", head, 0, 2 if packed else 1, 0, len(text), len(body), 4096, 0)
-    head[16:20] = b"MOBI"
-    struct.pack_into(">III", head, 20, 116, 2, 65001)
-    struct.pack_into(">II", head, 84, len(head) + len(exth), len(name))
-    struct.pack_into(">I", head, 128, 0x40)
-    recs = [bytes(head) + exth + name, *body]
+    return b"EXTH" + struct.pack(">II", 12 + len(exth), 1) + exth
+
+
+def _database(recs: list[bytes]) -> bytes:
     out = bytearray(b"\0" * 60 + b"BOOKMOBI" + b"\0" * 8 + struct.pack(">H", len(recs)))
     at = 78 + 8 * len(recs)
     for i, r in enumerate(recs):
@@ -238,5 +258,46 @@ def write_mobi(title: str, author: str, markup: str, packed: bool = True) -> byt
     return bytes(out) + b"".join(recs)
 
 
+def _text_records(text: bytes, packed: bool) -> list[bytes]:
+    pieces = [text[i : i + 4096] for i in range(0, len(text), 4096)] or [b""]
+    return [pack_palmdoc(p) if packed else p for p in pieces]
+
+
+def _first_record(title: str, author: str, text: bytes, body: list[bytes], packed: bool, size: int, version: int) -> bytearray:
+    """The record of 16 + size bytes that heads a file, with its metadata."""
+    name, exth = title.encode("utf-8"), _exth(author)
+    head = bytearray(16 + size)
+    struct.pack_into(">HHIHHH", head, 0, 2 if packed else 1, 0, len(text), len(body), 4096, 0)
+    head[16:20] = b"MOBI"
+    struct.pack_into(">III", head, 20, size, 2, 65001)
+    struct.pack_into(">I", head, kf8.VERSION, version)
+    struct.pack_into(">II", head, 84, len(head) + len(exth), len(name))
+    struct.pack_into(">I", head, 128, 0x40)
+    return head + exth + name
+
+
+def write_mobi(title: str, author: str, markup: str, packed: bool = True) -> bytes:
+    """A small file in the old format, for round trips."""
+    text = markup.encode("utf-8")
+    body = _text_records(text, packed)
+    return _database([bytes(_first_record(title, author, text, body, packed, 116, 6)), *body])
+
+
+def write_kf8(title: str, author: str, chapters: list[tuple[str, list[str]]], style: str = "", packed: bool = True) -> bytes:
+    """A file in parts: each chapter's title is in its skeleton, each piece of its markup a fragment."""
+    text, tables = kf8.parts_records(chapters, style)
+    body = _text_records(text, packed)
+    head, at = _first_record(title, author, text, body, packed, 264 - 16, 8), 1 + len(body)
+    for place, table in zip((kf8.SKELETONS, kf8.FRAGMENTS, kf8.FLOWS), tables):
+        struct.pack_into(">I", head, place, at)
+        at += len(table)
+    return _database([bytes(head), *body, *[r for table in tables for r in table]])
+
+
+def read_mobi_links(files: DataFrame, key: str = "path") -> DataFrame:
+    """A row for each link inside of files in parts."""
+    return rows(files, mobi_links, "part long, to_part long, anchor string", key)
+
+
 def read_mobi(files: DataFrame, key: str = "path") -> DataFrame:
     return rows(files, mobi_items, "position long, title string, text string, book_title string, author string", key)

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.sources import archives, charset, feeds, lexicons, mobi, rules, sniff
+from quirelake.sources import archives, charset, feeds, kf8, lexicons, mobi, rules, sniff
 from quirelake.streaming import rollups
 
 
@@ -189,3 +189,41 @@ def test_mobi_titles_by_place():
     size = len(toc % (0, 0))
     first, second = size + body.index("<h1>"), size + body.index("<p>z")
     assert [t for t, _ in mobi.split_chapters(toc % (first, second) + body)] == ["第1部分", "第2部分", "Alpha", "Beta"]
+
+
+def test_kf8_parts_fragments_and_links():
+    chapters = [
+        ("One", ["<p id='a'>first piece of text here</p>", f"<p>second <a href='{kf8.link(2)}'>go</a> <a href='{kf8.link(0, 3)}'>up</a></p>"]),
+        ("", [f"<p name='z'>third piece of text, 世界</p><a href='{kf8.link(2, 9)}'>no anchor after</a><a href='{kf8.link(9)}'>nowhere</a>"]),
+        ("s", ["x"]),
+    ]
+    for packed in (True, False):
+        raw = mobi.write_kf8("T", "Me", chapters, "p{color:red}", packed)
+        assert [x[:3] for x in mobi.mobi_items(raw)] == [(0, "One", "One\n\nfirst piece of text here\n\nsecond go up"), (1, "第2部分", "third piece of text, 世界\nno anchor afternowhere")]
+        # after the offset the first anchor of the part counts; without one the link leads to the fragment's part
+        assert list(mobi.mobi_links(raw)) == [(0, 1, "z"), (0, 0, "a"), (1, 1, None)]
+    _, text, recs, _ = mobi._parsed(raw)
+    book = kf8.Book(recs, text)
+    assert book.styles == [b"p{color:red}"] and len(book.fragments) == 4
+    assert "kindle:flow" not in book.markup(0) and "aid=" not in book.markup(0) and 'href=\'part1.xhtml#z\'' in book.markup(0)
+
+
+def test_kf8_indexes():
+    # two control bytes; a tag with a length in bytes, one that comes twice, one that is missing
+    tags = [kf8.Tag(1, 1, 0x03, False), kf8.Tag(2, 2, 0x0C, False), kf8.Tag(0, 0, 0, True), kf8.Tag(3, 1, 0x01, False), kf8.Tag(4, 1, 0x02, False)]
+    number = kf8._number
+    data = bytes([0x03 | 0x08, 0x02]) + number(3) + number(300) + number(5) + b"".join(map(number, (1, 2, 3, 400))) + number(70_000)
+    assert kf8._values(tags, 2, data, 0) == {1: [300, 5], 2: [1, 2, 3, 400], 4: [70_000]}
+    assert all(kf8.Reader(number(n), 0).number() == n for n in (0, 1, 127, 128, 16_383, 16_384, 2**31))
+    with pytest.raises(ValueError):
+        kf8.Reader(b"\x01\x02", 0).number()
+    many = [(f"c{i}", [f"<p>{i} words of a chapter</p>"] * 3) for i in range(900)]  # several index records
+    raw = mobi.write_kf8("T", "Me", many)
+    assert [x[1] for x in mobi.mobi_items(raw)] == [c for c, _ in many]
+
+
+def test_kf8_damage(spark):
+    raw = mobi.write_kf8("T", "Me", [("One", ["<p>some text that is long</p>"])])
+    files = spark.createDataFrame([("a", raw), ("b", raw.replace(b"FDST", b"xDST")), ("c", raw.replace(b"TAGX", b"xAGX")), ("d", raw[:-40]), ("e", raw[:200])], "path string, content binary")
+    found = {r["path"]: r for r in mobi.read_mobi(files).collect()}
+    assert found["a"]["title"] == "One" and all(found[k]["error"] for k in "bce")
