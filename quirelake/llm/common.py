@@ -63,6 +63,15 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that ``written`` wrote and that no later plan reads."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if "/quirelake/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch; the bound stays with the session, as plans are run after they are made."""
     bound = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b")

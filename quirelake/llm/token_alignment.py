@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, setting, sized, small_batches, written
+from .common import dropped, read, setting, sized, small_batches, written
 from .packing import encoder
 from .token_counts import _byte_letters, tokenizer_path
 
@@ -206,10 +206,12 @@ def align(spark: SparkSession, docs: DataFrame, a: str = A, b: str = B) -> DataF
         lost = written(spark, spoken.select("k1", "k2", F.explode(parts).alias("part")).join(sized(odd), "part", "left_semi").select("k1", "k2").distinct(), "lost")
         mute = mute.union(spoken.join(sized(lost), ["k1", "k2"], "left_semi").select(mute.columns))
         spoken = spoken.join(sized(lost), ["k1", "k2"], "left_anti")
-        units = units.drop("n").join(written(spark, counted(spoken), "recounted"), "part")
+        units = written(spark, units.drop("n").join(counted(spoken), "part"), "recounted")
     with joins_keep_partitions(spark):
-        words = written(spark, aligned(units, partitions), "aligned")
-    words = weighed(spark, words)
+        found = written(spark, aligned(units, partitions), "aligned")
+    dropped(spark, units)
+    words = weighed(spark, found)
+    dropped(spark, found)
 
     # the texts, in their partitions by key, look the words up
     one = spoken.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
@@ -217,14 +219,13 @@ def align(spark: SparkSession, docs: DataFrame, a: str = A, b: str = B) -> DataF
     hot = hot_rows(words, "n", HOT_ROWS) & (F.octet_length("part") <= HOT_WORD) & (F.octet_length("groups") <= HOT_TEXT)
     few = placed.join(F.broadcast(words.where(hot).drop("n")), "part", "left")
     names = ("k1", "k2", "doc_id", "copies")
-    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in _COUNTS]
-    found = few.groupBy(*names).agg(*sums, F.collect_list(F.when(F.col("groups").isNotNull(), F.struct("pos", F.col("groups").alias("text")))).alias("texts"))
-    rest = few.where("groups is null").select(*names, "pos", "part").join(words.where(~hot), "part")
-    more = rest.groupBy(*names).agg(*sums, F.collect_list(F.struct("pos", F.col("groups").alias("text"))).alias("texts"))
-    more = more.select("k1", "k2", *[F.col(c).alias(f"{c}_") for c in (*_COUNTS, "texts")])
-    total = [(F.col(c) + F.coalesce(f"{c}_", F.lit(0))).alias(c) for c in _COUNTS]
-    every = F.when(F.col("texts_").isNull(), F.col("texts")).otherwise(F.concat("texts", "texts_"))
-    result = found.join(more, ["k1", "k2"], "left").select("doc_id", *total, _in_order(every, ";").alias("groups"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
+    columns = (*names, "pos", *_COUNTS, "groups")
+    hits = few.where("groups is not null").select(*columns)
+    # what is broadcast stays in its partitions by key; the rest joins it there
+    rest = few.where("groups is null").select(*names, "pos", "part").join(words.where(~hot), "part").select(*columns)
+    both = hits.union(rest.repartition(partitions, *names[:2]))
+    total = both.groupBy(*names).agg(*[F.sum(c).cast("long").alias(c) for c in _COUNTS], F.collect_list(F.struct("pos", F.col("groups").alias("text"))).alias("texts"))
+    result = total.select("doc_id", *_COUNTS, _in_order(F.col("texts"), ";").alias("groups"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
     none = mute.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in _COUNTS], F.lit("").alias("groups"))
     out = result.drop("_copy").union(none)
     return out.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups")
