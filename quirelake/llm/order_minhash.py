@@ -533,7 +533,7 @@ def _meet(similarity: float):
 
 def _met(spark: SparkSession, texts: DataFrame, near: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between the components of members, from all pairs of near(key, doc_id, size) that share a key."""
-    placed = near.select("key", "doc_id", "size").join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = near.select("key", "doc_id", "size").join(sized(members.withColumnRenamed("node", "doc_id")), "doc_id", "left")
     placed = placed.select("key", F.coalesce("component", "doc_id").alias("component"), "doc_id", "size")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = placed.groupBy("key").agg(F.min("component").alias("leader"), F.max("component").alias("last"), F.count("*").alias("n"))
