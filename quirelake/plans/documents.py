@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import outlines
 from ..sources import archives, charset, feeds, kf8, lexicons, mobi, rules, sniff
 from ..streaming import rollups
 from .registry import query
@@ -210,6 +211,37 @@ def _(t):
     return rows.select("id", F.inline(parsed))
 
 
+@query("outline_walk", "", """WITH d AS (SELECT doc_id, doc_id % 13 AS k, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, i::INT AS depth, repeat('0.', i) AS path, 'level ' || i AS title, '' AS summary FROM d, unnest(range(0, k + 1)) AS u(i)
+UNION ALL SELECT doc_id, (k + 1)::INT, repeat('0.', k) || (j - 1) || '.', 'line ' || (j - 1), length(lines[j])::VARCHAR FROM d, unnest(range(1, len(lines) + 1)) AS u(j)""")
+def _(t):
+    """Each document's lines below a chain of doc_id % 13 + 1 nodes."""
+    k = (F.col("doc_id") % 13).cast("int")
+    level = lambda i: F.concat(F.lit('{"title":"level '), i.cast("string"), F.lit('","children":["text",'))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.concat(F.lit("line "), i.cast("string")).alias("title"), F.length(x).alias("summary")))
+    chain = F.array_join(F.transform(F.sequence(F.lit(0), k - 1), level), "")
+    chain = F.when(k > 0, chain).otherwise("")
+    inner = F.to_json(F.struct(F.concat(F.lit("level "), k.cast("string")).alias("title"), lines.alias("children")))
+    text = F.concat(F.lit("```json\n"), chain, inner, F.repeat(F.lit("]}"), k), F.lit("\n```"))
+    got = outlines.outline_nodes(_docs(t).select("doc_id", text.alias("json")), "doc_id")
+    # of a chain's children the first is text, and so left out
+    shown = F.array_join(F.transform("path", lambda p, i: F.concat(F.when(i < F.col("doc_id") % 13, p - 1).otherwise(p).cast("string"), F.lit("."))), "")
+    return got.select("doc_id", "depth", shown.alias("path"), "title", "summary")
+
+
+PARTS = f"SELECT doc_id, i - 1 AS position, 'part ' || (i - 1) AS title, substr(line, 1, 80) AS summary, substr(line, 81, 80) AS events, substr(line, 161, 80) AS characters, substr(line, 85, 5) AS wanted FROM ({LINES})"
+
+
+@query("result_search", "", f"SELECT * FROM (SELECT doc_id, position, array_to_string(list_filter([CASE WHEN contains(lower(title), q) THEN 'title' END, CASE WHEN contains(lower(summary), q) THEN 'summary' END, CASE WHEN contains(lower(events), q) THEN 'events' END, CASE WHEN contains(lower(characters), q) THEN 'characters' END], lambda x: x IS NOT NULL), ',') AS found FROM (SELECT *, lower(trim(wanted, ' ')) AS q FROM ({PARTS})) WHERE q <> '') WHERE found <> ''")
+def _(t):
+    """A few letters of each line's events are looked for in the line's chapter."""
+    lines = _docs(t).select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    cut = lambda a, n=80: F.substring("line", a, n)
+    chapters = lines.select("doc_id", F.col("position").cast("long").alias("position"), F.concat(F.lit("part "), F.col("position").cast("string")).alias("title"), cut(1).alias("summary"), cut(81).alias("events"), cut(161).alias("characters"), F.trim(cut(85, 5)).alias("wanted"))
+    got = outlines.search_results(chapters.where("wanted <> ''"), F.col("wanted"))
+    return got.select("doc_id", "position", F.array_join("found", ",").alias("found"))
+
+
 @query("json_write", "", "SELECT item_id, '{\"item_id\":' || item_id::VARCHAR || ',\"n\":' || length(text)::VARCHAR || '}' AS json FROM benchmark")
 def _(t):
     return t.raw("benchmark").select("item_id", F.to_json(F.struct("item_id", F.length("text").alias("n"))).alias("json"))
