@@ -59,6 +59,40 @@ def author_links(books: DataFrame, least: int = 2) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("book_id"), F.greatest("a", "b").alias("related_id")).distinct()
 
 
+def class_links(books: DataFrame, least: int = 2) -> DataFrame:
+    """(author, other) of author fields that a part of one links with the other, both ways; a field is linked with itself."""
+    found = author_fields(books, least).select("author", F.col("whole").alias("other"))
+    return found.union(found.select("other", "author")).distinct()
+
+
+def _author_counts(books: DataFrame) -> DataFrame:
+    return books.groupBy("author").agg(F.count("*").alias("n"), F.min("id").alias("class_id"))
+
+
+def link_classes(books: DataFrame, least: int = 2) -> DataFrame:
+    """books(id, author) -> id, class_id (the least id of its author's books), n_links (other books linked with it).
+
+    Books of one author field are alike in their links, so a row for each book
+    and the links of the fields (``class_links``) say all links without their
+    pairs; books without a known author have no row."""
+    counts = _author_counts(books)
+    linked = class_links(books, least).join(counts.select(F.col("author").alias("other"), "n"), "other").groupBy("author").agg((F.sum("n") - 1).alias("n_links"))
+    per = counts.join(linked, "author").select("author", "class_id", "n_links")
+    return books.select("id", "author").join(per, "author").select("id", "class_id", "n_links")
+
+
+def sync_class_links(relations: DataFrame, books: DataFrame, least: int = 2) -> DataFrame:
+    """relations that aren't automatic, classes false, and the automatic links of whole classes, classes true.
+
+    A class link stands for a link of each book of one class with each of the
+    other, but for pairs that have a relation of their own, which wins."""
+    counts = _author_counts(books)
+    named = lambda c, p: counts.select(F.col("author").alias(c), F.col("class_id").alias(p), F.col("n").alias(f"{p}_n"))
+    pairs = class_links(books, least).join(named("author", "a"), "author").join(named("other", "b"), "other").where((F.col("a") != F.col("b")) | (F.col("a_n") > 1))
+    links = pairs.select(F.least("a", "b").alias("book_id"), F.greatest("a", "b").alias("related_id"), F.lit(AUTO).alias("status"), F.lit(True).alias("classes")).distinct()
+    return relations.where(F.col("status") != AUTO).select("book_id", "related_id", "status", F.lit(False).alias("classes")).unionByName(links)
+
+
 def points_in_spans(points: DataFrame, spans: DataFrame, keys: list[str], at: str, seconds: int) -> DataFrame:
     """points(keys, at) joined with spans(keys, start, stop) that hold them (start <= at < stop).
 

@@ -17,9 +17,10 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
 
 
 def cap_by(df: DataFrame, keys: Sequence, order: Sequence, most) -> DataFrame:
-    """At most ``most`` rows (a number or a column) of each key, in order."""
+    """At most ``most`` rows (a number or a column; null: all) of each key, in order."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
+    fits = F.col("_n") <= most
+    return df.withColumn("_n", n).where(fits if isinstance(most, int) else F.coalesce(fits, F.lit(True))).drop("_n")
 
 
 def mixed_quota(online: DataFrame, local: DataFrame, total: int, least: int, most: int) -> DataFrame:

@@ -137,7 +137,7 @@ def merge_sources(parts: Sequence[DataFrame], bonuses: Sequence[float], caps: di
         rows = one if rows is None else rows.unionByName(one)
     key = F.concat_ws("|", F.lower("title"), F.lower("author"))
     once = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_search", F.desc("score"), "source"))).where("_n = 1").drop("_n", "_search")
-    cap = F.when(F.lit(False), 0)
+    cap = F.when(F.lit(False), 0)  # without a cap: null
     for k, v in caps.items():
         cap = cap.when(F.col("source") == k, v)
-    return cap_by(once, ["source"], [F.desc("score"), "title", "author"], cap.otherwise(1_000_000)).orderBy(F.desc("score"), "title", "author").limit(most)
+    return cap_by(once, ["source"], [F.desc("score"), "title", "author"], cap).orderBy(F.desc("score"), "title", "author").limit(most)

@@ -161,20 +161,26 @@ def _(t):
     return rows.select("page_id", "l.href", F.round("l.progression", 3).alias("progression"), "l.position", F.col("l.other")["cssSelector"].alias("selector"))
 
 
-@query("ratings", "", "SELECT * FROM (VALUES (1, 9.4::DOUBLE), (2, 8.0), (3, 7.5), (4, 6.0), (5, NULL)) AS v(id, rating)")
+@query("ratings", "", "SELECT event_id, CASE WHEN event_id % 6 < 4 AND event_id % 11 > 0 THEN (event_id % 11)::DOUBLE / 2 END AS rating FROM events")
 def _(t):
-    rows = t.spark.createDataFrame([(1, '{"rating":"9.4"}'), (2, '{"rating":8}'), (3, '{"rating":{"value":"7.5"}}'), (4, '{"score":6}'), (5, '{"rating":0}')], "id int, json string")
-    return rows.select("id", feeds.rating(F.col("json")).alias("rating"))
+    n, k = ((F.col("event_id") % 11) / 2).cast("string"), F.col("event_id") % 6
+    forms = ('{"rating":"%s"}', '{"rating":%s}', '{"rating":{"value":"%s"}}', '{"score":%s}', '{"rating":0,"other":%s}', "no json %s")
+    text = F.format_string(forms[-1], n)
+    for i, form in enumerate(forms[:-1]):
+        text = F.when(k == i, F.format_string(form, n)).otherwise(text)
+    return t.raw("events").select("event_id", feeds.rating(text).alias("rating"))
 
 
-@query("api_answers", "", "SELECT 'Dune' AS title, 'F. H.' AS author, 'Google Books' AS source, 2.0::DOUBLE AS popularity UNION ALL SELECT '三体', '刘慈欣', '豆瓣', 1.0 UNION ALL SELECT 'Emma', 'J. A., X', 'Open Library', 1.0")
+@query("api_answers", "books", """SELECT id, title, CASE id % 3 WHEN 0 THEN author || ', ' || format ELSE author END AS author,
+CASE id % 3 WHEN 0 THEN 'Google Books' WHEN 1 THEN '豆瓣' ELSE 'Open Library' END AS source, round(log10(total_characters + 1), 6)::DOUBLE AS popularity FROM books WHERE title IS NOT NULL""")
 def _(t):
-    g = '{"items":[{"volumeInfo":{"title":"Dune","authors":["F. H."],"ratingsCount":99}}]}'
-    d = '{"items":[{"title":"三体","author":"刘慈欣","rating":{"value":8.8,"count":9}}]}'
-    o = '{"docs":[{"key":"/works/1","title":"Emma","author_name":["J. A.","X"],"edition_count":9}]}'
-    one = t.spark.createDataFrame([(g, d, o)], "g string, d string, o string")
-    books = F.concat(feeds.google_books(F.col("g")), feeds.douban(F.col("d")), feeds.open_library(F.col("o")))
-    return one.select(F.inline(books)).select("title", "author", "source", F.round("popularity", 6).alias("popularity"))
+    n = F.col("total_characters")
+    google = F.to_json(F.struct(F.array(F.struct(F.struct("title", F.array("author", "format").alias("authors"), n.alias("ratingsCount")).alias("volumeInfo"))).alias("items")))
+    douban = F.to_json(F.struct(F.array(F.struct("title", "author", F.struct(F.lit(8.8).alias("value"), n.alias("count")).alias("rating"))).alias("items")))
+    library = F.to_json(F.struct(F.array(F.struct(F.lit("/works/1").alias("key"), "title", F.array("author").alias("author_name"), n.alias("edition_count"))).alias("docs")))
+    rows = t.books.where("title is not null").select("id", google.alias("g"), douban.alias("d"), library.alias("o"))
+    of = F.when(F.col("id") % 3 == 0, feeds.google_books(F.col("g"))).when(F.col("id") % 3 == 1, feeds.douban(F.col("d"))).otherwise(feeds.open_library(F.col("o")))
+    return rows.select("id", F.inline(of)).select("id", "title", "author", "source", F.round("popularity", 6).alias("popularity"))
 
 
 @query("page_rules", "", "SELECT page_id, list_count(regexp_extract_all(html, '<li><a '))::BIGINT AS links, regexp_extract(html, '<li><a href=\"([^\"]*)\"', 1) AS first FROM pages WHERE contains(html, '<li><a ')")
@@ -204,11 +210,12 @@ def _(t):
     return t.raw("events").select("event_id", rules.minimal_path(F.col("props"), "$.k").cast("int").alias("k"))
 
 
-@query("json_structs", "", "SELECT 1 AS id, 'a' AS title, 's' AS summary UNION ALL SELECT 1, 'c', 't'")
+@query("json_structs", "", f"SELECT doc_id, 'line ' || (i - 1) AS title, line AS summary FROM ({LINES}) WHERE doc_id % 7 > 0 AND trim(line, ' ') <> '' AND i % 3 <> 2")
 def _(t):
-    rows = t.spark.createDataFrame([(1, '[{"title":"a","summary":"s"},{"title":" ","summary":"x"},{"title":"c","summary":"t"}]'), (2, "bad"), (3, None)], "id int, json string")
-    parsed = F.filter(F.from_json("json", "array<struct<title:string,summary:string>>"), lambda c: (F.trim(c["title"]) != "") & (F.trim(c["summary"]) != ""))
-    return rows.select("id", F.inline(parsed))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.when(i % 3 == 1, " ").otherwise(F.concat(F.lit("line "), i.cast("string"))).alias("title"), x.alias("summary")))
+    text = F.when(F.col("doc_id") % 7 > 0, F.to_json(lines)).otherwise("bad")
+    parsed = F.filter(F.from_json(text, "array<struct<title:string,summary:string>>"), lambda c: (F.trim(c["title"]) != "") & (F.trim(c["summary"]) != ""))
+    return _docs(t).select("doc_id", F.inline(parsed))
 
 
 @query("outline_walk", "", """WITH d AS (SELECT doc_id, doc_id % 13 AS k, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)
@@ -247,13 +254,17 @@ def _(t):
     return t.raw("benchmark").select("item_id", F.to_json(F.struct("item_id", F.length("text").alias("n"))).alias("json"))
 
 
-@query("dictionary_lookup", "", "SELECT 1 AS id, 'english' AS lexicon, 'apple' AS key UNION ALL SELECT 2, 'chinese', '苹果'")
+@query("dictionary_lookup", "", """WITH e AS (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]+')) AS key FROM documents WHERE doc_id % 3 > 0), c AS (SELECT DISTINCT '词' || (doc_id % 50) AS key FROM documents),
+a AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN lower(regexp_extract(text, '[A-Za-z]+')) ELSE '词' || (conv_id % 70) END AS key FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, 'english' AS lexicon, key FROM a JOIN e USING (key) WHERE key <> '' UNION ALL SELECT conv_id, turn, 'chinese', key FROM a JOIN c USING (key)""")
 def _(t):
-    s = t.spark
-    english = s.createDataFrame([("apple", "fruit")], "key string, entry string").select("key", F.struct("entry").alias("entry"))
-    chinese = s.createDataFrame([("苹果", "果")], "key string, entry string").select("key", F.struct("entry").alias("entry"))
-    asked = s.createDataFrame([(1, "Apple "), (2, "苹果"), (3, "none")], "id int, text string")
-    return lexicons.look_up(asked, english, chinese).select("id", "lexicon", "key")
+    word = F.regexp_extract("text", "[A-Za-z]+", 0)
+    docs = t.raw("documents")
+    english = docs.where("doc_id % 3 > 0").groupBy(F.lower(word).alias("key")).agg(F.count("*").alias("n")).select("key", F.struct("n").alias("entry"))
+    chinese = docs.groupBy(F.concat(F.lit("词"), (F.col("doc_id") % 50).cast("string")).alias("key")).agg(F.count("*").alias("n")).select("key", F.struct("n").alias("entry"))
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" "), F.upper(word))).otherwise(F.concat(F.lit("词"), (F.col("conv_id") % 70).cast("string")))
+    asked = t.raw("conversations").where("text is not null").select(F.struct("conv_id", "turn").alias("id"), text.alias("text"))
+    return lexicons.look_up(asked, english, chinese).select("id.conv_id", "id.turn", "lexicon", "key")
 
 
 def _drained(t, name: str, make, keys: list[str]):

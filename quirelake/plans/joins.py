@@ -109,11 +109,12 @@ def _(t):
     return days.join(F.broadcast(totals), "day", "left").select(F.date_format("day", "MM/dd").alias("label"), F.coalesce("seconds", F.lit(0)).cast("long").alias("seconds"))  # seven days at most
 
 
-@query("json_array_join", "tags", "WITH g AS (SELECT 1 AS gid, unnest([1, 3, 99]) AS id UNION ALL SELECT 2, unnest([2])) SELECT gid, name FROM g JOIN tags USING (id)")
+@query("json_array_join", "tags", """WITH g AS (SELECT conv_id, turn, unnest([conv_id % 60, turn + 11]) AS id FROM conversations WHERE conv_id % 9 > 0)
+SELECT conv_id, turn, name FROM g JOIN tags USING (id)""")
 def _(t):
-    groups = t.spark.createDataFrame([(1, "[1,3,99]"), (2, "[2]"), (3, "not json"), (4, None)], "gid int, tag_ids string")
-    ids = groups.select("gid", F.explode(F.from_json("tag_ids", "array<bigint>")).alias("id"))
-    return ids.join(t.tags, "id").select("gid", "name")
+    text = F.when(F.col("conv_id") % 9 > 0, F.format_string("[%d, %d]", F.col("conv_id") % 60, F.col("turn") + 11)).otherwise("not json")
+    ids = t.raw("conversations").select("conv_id", "turn", F.explode(F.from_json(text, "array<bigint>")).alias("id"))
+    return ids.join(t.tags, "id").select("conv_id", "turn", "name")
 
 
 @query("author_links", "books", """WITH f AS (SELECT author, count(*) AS n FROM books WHERE trim(author) <> '' AND author NOT IN ('未知作者', '佚名', 'Unknown', 'anonymous') GROUP BY 1)
@@ -156,14 +157,23 @@ def _(t):
     return j.link_all(t.books.where("id < 20").select("id"))
 
 
-@query("auto_link_sync", "relations books", """WITH p AS (SELECT author, min(id) AS id FROM books WHERE trim(author) <> '' AND author NOT IN ('未知作者', '佚名', 'Unknown', 'anonymous') GROUP BY 1),
-f AS (SELECT DISTINCT least(a.id, b.id) AS book_id, greatest(a.id, b.id) AS related_id FROM p a JOIN p b ON a.id <> b.id AND contains(lower(b.author), lower(a.author))),
+AUTHORS = """f AS (SELECT author, count(*) AS n, min(id) AS id FROM books WHERE trim(author) <> '' AND author NOT IN ('未知作者', '佚名', 'Unknown', 'anonymous') GROUP BY 1),
+fit AS (SELECT DISTINCT x.author AS a, y.author AS b FROM f x JOIN f y ON contains(lower(y.author), lower(x.author)) OR contains(lower(x.author), lower(y.author)))"""
+
+
+@query("auto_link_sync", "relations books", f"""WITH {AUTHORS},
+c AS (SELECT DISTINCT least(x.id, y.id) AS book_id, greatest(x.id, y.id) AS related_id FROM fit JOIN f x ON x.author = a JOIN f y ON y.author = b WHERE a <> b OR x.n > 1),
 r AS (SELECT DISTINCT * FROM relations)
-SELECT * FROM r WHERE status <> 0 UNION ALL SELECT f.*, 0 FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.status <> 0 AND r.book_id = f.book_id AND r.related_id = f.related_id)""")
+SELECT book_id, related_id, status, false AS classes FROM r WHERE status <> 0 UNION ALL SELECT book_id, related_id, 0, true FROM c""")
+def _(t):
+    """Manual and blocked links, and links of whole classes (a class with itself, if it has several books); author_classes has the books of each."""
+    return j.sync_class_links(t.relations.distinct(), t.books)
+
+
+@query("author_classes", "books", f"""WITH {AUTHORS}
+SELECT k.id, f.id AS class_id, (SELECT sum(y.n) FROM fit JOIN f y ON y.author = fit.b WHERE fit.a = f.author)::BIGINT - 1 AS n_links FROM books k JOIN f ON f.author = k.author""")
 def _(t):
-    # the first book of each author field stands for its class
-    first = t.books.groupBy("author").agg(F.min("id").alias("id"))
-    return j.sync_auto_links(t.relations.distinct(), j.author_links(first))
+    return j.link_classes(t.books)
 
 
 @query("author_cube", "books", "SELECT format, author, grouping_id(format, author)::BIGINT AS level, count(*) AS n FROM books GROUP BY CUBE (format, author)")
@@ -177,9 +187,9 @@ def _(t):
     return b.groupingSets([("format",), ("author",), ()], "format", "author").agg(F.sum("total_characters").alias("chars"))
 
 
-@query("labels_full_outer", "books", "SELECT coalesce(b.id, l.doc_id) AS id, b.id IS NOT NULL AS has_book, l.doc_id IS NOT NULL AS has_label FROM (SELECT id FROM books WHERE id % 3 <> 0) b FULL JOIN labels l ON b.id = l.doc_id")
+@query("labels_full_outer", "books", "SELECT coalesce(b.id, l.doc_id) AS id, b.id IS NOT NULL AS has_book, l.doc_id IS NOT NULL AS has_label FROM books b FULL JOIN labels l ON b.id = l.doc_id")
 def _(t):
-    left = t.books.where("id % 3 <> 0").select("id", F.lit(True).alias("b"))
+    left = t.books.select("id", F.lit(True).alias("b"))
     right = t.raw("labels").select(F.col("doc_id").alias("id"), F.lit(True).alias("l"))
     return left.join(right, "id", "full").select("id", F.col("b").isNotNull().alias("has_book"), F.col("l").isNotNull().alias("has_label"))
 

@@ -39,11 +39,17 @@ def _(t):
     return rows.orderBy(F.desc("score"), "book_id").limit(40)
 
 
-@query("quality_scores", "", "SELECT * FROM (VALUES (1, 0.965::DOUBLE), (2, 0.9), (3, 0.25), (4, 0.55)) AS v(id, score)")
+FROM_SOURCE = "CASE id % 4 WHEN 0 THEN 'Google Books' WHEN 1 THEN '豆瓣' WHEN 2 THEN 'Pixiv' ELSE 'else' END"
+
+
+@query("quality_scores", "books", f"""SELECT id, round(greatest(0, least(1, CASE id % 4 WHEN 0 THEN 0.60 WHEN 1 THEN 0.55 WHEN 2 THEN 0.55 ELSE 0.25 END
+ + CASE WHEN id % 11 = 0 THEN 0 WHEN id % 4 = 0 THEN (id % 11) / 2.0 / 5 * greatest(0, least(1, log10(total_characters + 1) / log10(50))) * 0.35 WHEN id % 4 = 1 THEN (id % 11) / 2.0 / 10 * 0.35 ELSE 0 END
+ + CASE WHEN id % 3 > 0 AND trim(title, ' ') <> '' THEN 0.05 ELSE 0 END)), 5)::DOUBLE AS score FROM books WHERE title IS NOT NULL""")
 def _(t):
-    rows = t.spark.createDataFrame([(1, "Google Books", "4.5", 1.6989700043360187, "about"), (2, "豆瓣", "10", 0.0, " "), (3, "else", None, 0.0, None), (4, "豆瓣", "no", 0.0, "")], "id int, source string, rating string, popularity double, description string")
-    score = rc.quality(F.col("source"), F.col("rating"), F.col("popularity"), F.col("description"))
-    return rows.select("id", F.round(score, 6).alias("score"))
+    rating = F.when(F.col("id") % 11 == 0, "none").otherwise(((F.col("id") % 11) / 2).cast("string"))
+    told = F.when(F.col("id") % 3 > 0, F.col("title")).otherwise(" ")
+    score = rc.quality(F.expr(FROM_SOURCE), rating, F.log10(F.col("total_characters") + 1.0), told)
+    return t.books.where("title is not null").select("id", F.round(score, 5).alias("score"))
 
 
 @query("relevance", "books keywords", """WITH k AS (SELECT book_id, list(keyword) AS kw, sum(weight) AS total FROM keywords GROUP BY 1), s AS (SELECT b.author, k.* FROM k JOIN books b ON b.id = k.book_id WHERE book_id = 12),
@@ -69,16 +75,24 @@ def _(t):
     return rc.merge_sources([of(3), of(2)], [0.25, 0.05], {"en": 8, "fr": 2}).withColumn("score", F.round("score", 6))
 
 
-@query("gate_and_genres", "", "SELECT * FROM (VALUES (1, true, 1.0::DOUBLE), (2, false, 0.5), (3, true, 0.0)) AS v(id, passes, hits)")
+TOLD = "title || CASE id % 3 WHEN 0 THEN ' a FANTASY' WHEN 1 THEN '科幻' ELSE '' END"
+
+
+@query("gate_and_genres", "books", f"""SELECT id, id % 4 <> 2 OR total_characters % 300 >= 100 AS passes,
+CASE WHEN trim(t, ' ') = '' THEN 0 ELSE ((contains(t, '奇幻') OR contains(lower(t), 'fantasy') OR contains(lower(t), 'magic'))::INT + (contains(t, '科幻') OR contains(lower(t), 'sci-fi'))::INT) / 2.0 END::DOUBLE AS hits
+FROM (SELECT *, {TOLD} AS t FROM books WHERE title IS NOT NULL)""")
 def _(t):
-    rows = t.spark.createDataFrame([(1, "Pixiv", 2.1, "奇幻 and Fantasy"), (2, "Pixiv", 1.0, "a FANTASY tale"), (3, "x", 0.0, "none")], "id int, source string, popularity double, text string")
-    english = F.create_map(F.lit("奇幻"), F.lit("fantasy|magic"), F.lit("科幻"), F.lit("sci-fi"), F.lit("和"), F.lit("and"))
-    words = F.when(F.col("id") == 1, F.array(F.lit("奇幻"), F.lit("和"))).otherwise(F.array(F.lit("奇幻"), F.lit("科幻")))
-    return rows.select("id", rc.passes_gate(F.col("source"), F.col("popularity")).alias("passes"), rc.keyword_hits(words, english, F.col("text")).alias("hits"))
+    english = F.create_map(F.lit("奇幻"), F.lit("fantasy|magic"), F.lit("科幻"), F.lit("sci-fi"))
+    words = F.array(F.lit("奇幻"), F.lit("科幻"))
+    rows = t.books.where("title is not null")
+    return rows.select("id", rc.passes_gate(F.expr(FROM_SOURCE), F.log10(F.col("total_characters") % 300 + 1.0)).alias("passes"), rc.keyword_hits(words, english, F.expr(TOLD)).alias("hits"))
 
 
-@query("candidate_scores", "", "SELECT * FROM (VALUES (1, 2.15::DOUBLE, '科幻'), (2, 0.1, 'magic'), (3, -0.4, NULL)) AS v(id, score, reason)")
+@query("candidate_scores", "books", """SELECT id, round(CASE WHEN w = '' THEN 0 WHEN id % 2 = 0 THEN 1.0 ELSE -0.4 END + log10(total_characters + 1) * 0.15 + h1::INT * 1.0 + h2::INT * 0.5 + h3::INT * 0.25, 5)::DOUBLE AS score,
+CASE WHEN h1 THEN '书' WHEN h2 THEN 'er' WHEN h3 THEN 'x' END AS reason
+FROM (SELECT id, total_characters, title || CASE WHEN id % 2 = 0 THEN '书' ELSE '' END AS w, id % 2 = 0 AS h1, contains(title || author, 'er') AS h2, contains(title || author, 'x') AS h3 FROM books WHERE title IS NOT NULL AND author IS NOT NULL)""")
 def _(t):
-    rows = t.spark.createDataFrame([(1, "科幻小说", ["a"], 1.0), (2, "a magic book", ["b"], 0.0), (3, "plain", [], 0.0)], "id int, text string, tags array<string>, popularity double")
-    score, reason = rc.candidate_score(F.col("text"), F.col("tags"), F.col("popularity"), [("科幻", 1.0, "")], [("magic", 2.0)], None)
-    return rows.select("id", F.round(score, 6).alias("score"), reason.alias("reason"))
+    text = F.concat("title", F.when(F.col("id") % 2 == 0, "书").otherwise(""))
+    score, reason = rc.candidate_score(text, F.array("author"), F.log10(F.col("total_characters") + 1.0), [("书", 1.0, "")], [("er", 2.0), ("x", 1.0)], None)
+    rows = t.books.where("title is not null and author is not null")
+    return rows.select("id", F.round(score, 5).alias("score"), reason.alias("reason"))
\ No newline at end of file

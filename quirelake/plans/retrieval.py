@@ -50,10 +50,13 @@ def _(t):
     return t.chunks.where((F.col("book_id") == 17) & F.col("chapter").isin("part 0", "part 1")).select("chunk_index", F.length("content").alias("n"))
 
 
-@query("temporal_questions", "", "SELECT * FROM (VALUES (1, true), (2, false), (3, true)) AS v(id, temporal)")
+ASKED = "text || CASE (conv_id + turn) % 3 WHEN 0 THEN '什么时候认识的' WHEN 1 THEN '主题是什么' ELSE '' END"
+
+
+@query("temporal_questions", "", f"SELECT conv_id, turn, regexp_matches({ASKED}, '{r.TEMPORAL}') AS temporal FROM conversations WHERE text IS NOT NULL")
 def _(t):
-    rows = t.spark.createDataFrame([(1, "什么时候认识的"), (2, "主题是什么"), (3, "故事的起因")], "id int, question string")
-    return rows.select("id", r.is_temporal(F.col("question")).alias("temporal"))
+    rows = t.raw("conversations").where("text is not null")
+    return rows.select("conv_id", "turn", r.is_temporal(F.expr(ASKED)).alias("temporal"))
 
 
 @query("chronological_order", "chunks", "SELECT book_id, chunk_index FROM (SELECT book_id, chunk_index FROM chunks ORDER BY length(content) DESC, book_id, chunk_index LIMIT 40) ORDER BY 1, 2")

@@ -79,37 +79,53 @@ def _(t):
     return t.raw("documents").select("doc_id", F.size(x.sentences(F.col("text"))).alias("n"))
 
 
-@query("language_boost", "", """SELECT * FROM (VALUES ('abc', -0.4::DOUBLE), ('你好', 1.0), ('這', 0.5), ('', 0.0)) AS v(text, boost)""")
+MARKED = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || '你好' WHEN 2 THEN text || '這' ELSE '' END"
+
+
+@query("language_boost", "", f"""SELECT doc_id, CASE WHEN t = '' THEN 0 WHEN NOT regexp_matches(t, '[\\x{{4E00}}-\\x{{9FFF}}]') THEN -0.4 WHEN contains(t, '這') THEN 0.5 ELSE 1 END::DOUBLE AS boost
+FROM (SELECT doc_id, {MARKED} AS t FROM documents WHERE text IS NOT NULL)""")
 def _(t):
-    return t.spark.createDataFrame([("abc",), ("你好",), ("這",), ("",)], "text string").select("text", x.language_boost(F.col("text")).alias("boost"))
+    rows = t.raw("documents").where("text is not null").select("doc_id", F.expr(MARKED).alias("text"))
+    return rows.select("doc_id", x.language_boost(F.col("text")).alias("boost"))
 
 
-@query("page_label_percent", "", """SELECT * FROM (VALUES ('189 / 1987', '9%'), ('5/4', '100%'), ('chapter', 'chapter')) AS v(label, shown)""")
+@query("page_label_percent", "books", "SELECT id, CASE WHEN id % 5 = 0 THEN 'chapter ' || id ELSE (least(current_page * 2, total_pages) * 100 // total_pages)::BIGINT::VARCHAR || '%' END AS shown FROM books")
 def _(t):
-    return t.spark.createDataFrame([("189 / 1987",), ("5/4",), ("chapter",)], "label string").select("label", s.page_label_percent(F.col("label")).alias("shown"))
+    label = F.when(F.col("id") % 5 == 0, F.concat(F.lit("chapter "), F.col("id").cast("string"))).otherwise(F.format_string("%d / %d", F.col("current_page") * 2, F.col("total_pages")))
+    return t.books.select("id", s.page_label_percent(label).alias("shown"))
 
 
-@query("clock_values", "", """SELECT * FROM (VALUES ('1:02:03.5', 3723.5::DOUBLE), ('02:03', 123.0), ('5h', 18000.0), ('2min', 120.0), ('7.5', 7.5), ('500ms', 0.5), ('x', NULL)) AS v(clock, seconds)""")
+@query("clock_values", "", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN n WHEN 1 THEN n % 3600 WHEN 2 THEN n WHEN 3 THEN n / 1000.0 WHEN 4 THEN n * 60 END::DOUBLE AS seconds
+FROM (SELECT event_id, event_id * 7919 % 90000 AS n FROM events)""")
 def _(t):
-    rows = t.spark.createDataFrame([(v,) for v in ("1:02:03.5", "02:03", "5h", "2min", "7.5", "500ms", "x")], "clock string")
-    return rows.select("clock", s.clock_seconds(F.col("clock")).alias("seconds"))
+    n, k = (F.col("event_id") * 7919) % 90000, F.col("event_id") % 6
+    minute, second = F.expr("(event_id * 7919 % 3600) div 60"), n % 60
+    clock = F.when(k == 0, F.format_string("%d:%02d:%02d.0", F.expr("(event_id * 7919 % 90000) div 3600"), F.expr("(event_id * 7919 % 90000) % 3600 div 60"), second)).when(k == 1, F.format_string("%02d:%02d", minute, second))
+    clock = clock.when(k == 2, F.format_string("%ds", n)).when(k == 3, F.format_string(" %dms ", n)).when(k == 4, F.format_string("%dmin", n)).otherwise("x")
+    return t.raw("events").select("event_id", s.clock_seconds(clock).alias("seconds"))
+
+
+LABELS = "CASE doc_id % 5 WHEN 0 THEN '长篇网文' WHEN 1 THEN '历史学术类' WHEN 2 THEN '短篇同人' WHEN 3 THEN '名著' ELSE '?' END"
 
 
-@query("type_labels", "", "SELECT * FROM (VALUES ('长篇网文', 'webnovel'), ('历史学术类', 'history_academic'), ('短篇同人', 'collection_fanfic'), ('?', 'general')) AS v(label, kind)")
+@query("type_labels", "", f"SELECT doc_id, CASE {LABELS} WHEN '长篇网文' THEN 'webnovel' WHEN '历史学术类' THEN 'history_academic' WHEN '短篇同人' THEN 'collection_fanfic' WHEN '名著' THEN 'classic' ELSE 'general' END AS kind FROM documents")
 def _(t):
-    return t.spark.createDataFrame([(v,) for v in ("长篇网文", "历史学术类", "短篇同人", "?")], "label string").select("label", s.type_of_label(F.col("label")).alias("kind"))
+    return t.raw("documents").select("doc_id", s.type_of_label(F.concat(F.coalesce("source", F.lit("")), F.expr(LABELS))).alias("kind"))
 
 
-@query("sections", "", "SELECT '主角' AS label, '甲乙' AS body UNION ALL SELECT '背景', '旧都'")
+@query("sections", "", """SELECT doc_id, '主角' AS label, regexp_replace(split_part(text, chr(10), 1), '^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$', '', 'g') AS body FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, '背景', coalesce(source, '') FROM documents WHERE text IS NOT NULL""")
 def _(t):
-    rows = t.spark.createDataFrame([("前言【主角】 甲乙\n【背景】旧都 ",)], "text string")
-    return rows.select(F.explode(x.sections(F.col("text"), ["主角", "背景"])).alias("label", "body"))
+    text = F.concat(F.lit("前言【主角】 "), F.substring_index("text", "\n", 1), F.lit("\n【背景】"), F.coalesce("source", F.lit("")), F.lit(" \n【主角】again"))
+    rows = t.raw("documents").where("text is not null").select("doc_id", text.alias("text"))
+    return rows.select("doc_id", F.explode(x.sections(F.col("text"), ["主角", "背景"])).alias("label", "body"))
 
 
-@query("traditional_to_simplified", "", "SELECT '这本书' AS text, true AS traditional")
+@query("traditional_to_simplified", "", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '这本书' ELSE '本' END || text AS text, doc_id % 2 = 0 AS traditional FROM documents WHERE text IS NOT NULL")
 def _(t):
-    rows = t.spark.createDataFrame([("這本書",)], "text string")
-    return rows.select(x.simplified(F.col("text"), "這書", "这书").alias("text"), x.is_traditional(F.col("text"), "這書", "这书").alias("traditional"))
+    text = F.concat(F.when(F.col("doc_id") % 2 == 0, "這本書").otherwise("本"), "text")
+    rows = t.raw("documents").where("text is not null").select("doc_id", text.alias("text"))
+    return rows.select("doc_id", x.simplified(F.col("text"), "這書", "这书").alias("text"), x.is_traditional(F.col("text"), "這書", "这书").alias("traditional"))
 
 
 def _novel(t):
