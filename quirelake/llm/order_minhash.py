@@ -536,8 +536,10 @@ def _met(spark: SparkSession, texts: DataFrame, near: DataFrame, members: DataFr
     placed = near.select("key", "doc_id", "size").join(sized(members.withColumnRenamed("node", "doc_id")), "doc_id", "left")
     placed = placed.select("key", F.coalesce("component", "doc_id").alias("component"), "doc_id", "size")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = placed.groupBy("key").agg(F.min("component").alias("leader"), F.max("component").alias("last"), F.count("*").alias("n"))
-    buckets = written(spark, buckets.where("leader < last").select("key", "leader", "n"), "buckets")
+    texts_of = [F.bit_xor(F.xxhash64(F.lit(i), "doc_id")).alias(f"texts{i}") for i in (1, 2)]
+    buckets = placed.groupBy("key").agg(F.min("component").alias("leader"), F.max("component").alias("last"), F.count("*").alias("n"), *texts_of).where("leader < last")
+    # keys of the same texts, as of a long passage, are one bucket
+    buckets = written(spark, buckets.groupBy("leader", "last", "n", "texts1", "texts2").agg(F.min("key").alias("key")).select("key", "leader", "n"), "buckets")
     few, total = buckets.agg(F.count("*"), F.sum("n")).first()
     # keys of several components; if they are many, those of very many texts are broadcast and the others shuffled
     led = placed.join(F.broadcast(buckets), "key") if few <= BROADCAST_ROWS else joined_by_count(placed, buckets, "key", total)
