@@ -66,7 +66,8 @@ def clock_seconds(value: Column) -> Column:
 
 
 def iso_instant(value: Column) -> Column:
-    return F.try_to_timestamp(value)
+    """An instant in ISO-8601; null for anything else."""
+    return F.when(value.rlike(r"^\s*\d{4}-\d{2}"), F.try_to_timestamp(value))
 
 
 def within_days(ts: Column, now: Column, days: int) -> Column:

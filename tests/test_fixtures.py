@@ -2,13 +2,15 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quirelake.functions import scalars as s
 from quirelake.functions import tagexpr
 from quirelake.functions import text as x
-from quirelake.operators import chapters, joins, keywords, ranking, recommend, relational, retrieval, snapshots, windows
+from quirelake.functions import wordpiece
+from quirelake.operators import chapters, joins, keywords, licences, outlines, ranking, recommend, relational, retrieval, snapshots, windows
 
 TAGS = {"A": 1, "B": 2, "C": 3}
 
@@ -71,7 +73,7 @@ def test_text(spark):
     assert one(spark, x.cut_after_html(F.lit("<html></html><img/>"))) == "<html></html>"
     assert one(spark, x.repaired_ampersands(F.lit("a & b &amp; &#12; &x"))) == "a &amp; b &amp; &#12; &amp;x"
     assert one(spark, x.without_watermarks(F.lit("a਀junk\nb"))) == "a\nb"
-    assert x.drop_garbled("好好好好好好好한글漢好好好好好好好好好") == "好好好好好好好好好" [:0] + x.drop_garbled("好好好好好好好한글漢好好好好好好好好好")
+    assert x.drop_garbled("好" * 7 + "한글漢" + "好" * 9) == "好" * 9  # ten characters stand in a run of six with both
     assert "한" not in x.drop_garbled("好好好好好好好한글漢好好好好好好好好好")
     assert x.drop_garbled("plain ascii") == "plain ascii"
     assert x.resolve_path("OEBPS/text/a.xhtml", "../img/b.png") == "OEBPS/img/b.png"
@@ -83,7 +85,7 @@ def test_text(spark):
     assert one(spark, x.numbered_lines(F.lit("1. a\n\n2、b\n- c"))) == ["a", "b", "c"]
     assert one(spark, x.first_numbers(F.lit("rank 12\nno\n3,4"))) == [12, 3]
     assert one(spark, x.indexed_summaries(F.lit("[1]: a\n[2]： b\n[1]: c"))) == {1: "a", 2: "b"}
-    assert x.renamed("a%2Ab.png a*b.png", {"a*b.png": "1.png"}) in ("1.png 1.png", "a%2Ab.png 1.png")
+    assert x.renamed("a%2Ab.png a*b.png", {"a*b.png": "1.png"}) == "1.png 1.png"
 
 
 def test_chapters(spark):
@@ -216,3 +218,66 @@ def test_points_in_spans(spark):
     got = joins.points_in_spans(points, spans, ["k"], "t", 1800).select("k", F.unix_seconds("t"), F.unix_seconds("start")).collect()
     want = [(i % 3, i * 50, a) for i in range(100) for k, a, b in raw if k == i % 3 and a <= i * 50 < b]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_labels_and_languages(spark):
+    texts = spark.createDataFrame([("abc",), ("你好",), ("這",), ("",)], "text string")
+    assert [r[0] for r in texts.select(x.language_boost(F.col("text"))).collect()] == [-0.4, 1.0, 0.5, 0.0]
+    assert [one(spark, s.page_label_percent(F.lit(v))) for v in ("5/4", "chapter")] == ["100%", "chapter"]
+    assert [one(spark, s.clock_seconds(F.lit(v))) for v in ("1:02:03.5", "02:03", "5h", "2min", "7.5", "500ms", "x")] == [3723.5, 123, 18000, 120, 7.5, 0.5, None]
+    assert [one(spark, s.type_of_label(F.lit(v))) for v in ("长篇网文", "历史学术类", "短篇同人", "?")] == ["webnovel", "history_academic", "collection_fanfic", "general"]
+    assert one(spark, x.sections(F.lit("前言【主角】 甲乙\n【背景】旧都 "), ["主角", "背景"])) == {"主角": "甲乙", "背景": "旧都"}
+    assert [one(spark, x.is_chinese_name(F.lit(v))) for v in ("刘慈欣", "刘 慈欣", "Liu", "")] == [True, False, False, False]
+    assert [one(spark, s.cloud_size(F.lit(w))) for w in (-1.0, 0.0, 0.5, 1.0, 7.0)] == [12, 12, 24, 36, 36]
+    assert [one(spark, s.iso_instant(F.lit(v))) is None for v in ("2024-01-05T06:07:08Z", "yesterday", None)] == [False, True, True]
+    assert one(spark, F.date_format(s.iso_instant(F.lit("2024-01-05T06:07:08+02:00")), "HH:mm")) == "04:07"
+    assert [one(spark, F.round(s.popularity(F.lit(n)), 6)) for n in (0, 9, 99)] == [0, 1, 2]
+    assert [one(spark, retrieval.is_temporal(F.lit(v))) for v in ("什么时候认识的", "主题是什么", "故事的起因")] == [True, False, True]
+
+
+def test_pooled_vectors():
+    states = np.array([[[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [[1.0, 1.0], [1.0, 1.0], [1.0, 1.0]]])
+    got = wordpiece.pooled(states, np.array([[1, 1, 0], [0, 0, 0]]))
+    assert got[0] == pytest.approx([0.6, 0.8]) and got[1] == pytest.approx([0, 0])
+
+
+def test_licence_lookups(spark):
+    rows = spark.createDataFrame([(1, "u", "p", "abc"), (2, "v", "p", None), (3, "u", "q", "abc"), (4, "u", None, "def")], "id long, user string, provider string, passphrase string")
+    assert sorted(r["id"] for r in licences.by_user(rows, "u").collect()) == [1, 3, 4]
+    assert sorted(r[0] for r in licences.passphrases(rows).collect()) == ["abc", "def"]
+    assert [r[0] for r in licences.passphrases(rows, "q").collect()] == ["abc"]
+
+
+def test_outlines(spark):
+    deep = "".join(f'{{"title":"{i}","children":[' for i in range(40)) + '{"title":"leaf","summary":7}' + "]}" * 40
+    texts = ['{"title":"T","children":[{"summary":"s"},"text",{"title":"U","children":[{"title":"V"}]},3,null]}', "```json\n{\"title\":\"X\"}\n```", '{"title":" "}', "no json", None, "[1]", '{"children":[]}', deep]
+    got = outlines.outline_nodes(spark.createDataFrame(list(enumerate(texts)), "id int, json string"), "id")
+    rows = sorted((r["id"], list(r["path"]), r["depth"], r["title"], r["summary"]) for r in got.collect())
+    assert [r for r in rows if r[0] < 7] == [(0, [], 0, "T", ""), (0, [0], 1, outlines.UNTITLED, "s"), (0, [2], 1, "U", ""), (0, [2, 0], 2, "V", ""), (1, [], 0, "X", ""), (6, [], 0, outlines.UNTITLED, "")]
+    assert [(r[2], r[3]) for r in rows if r[0] == 7] == [(i, str(i)) for i in range(40)] + [(40, "leaf")] and rows[-1][4] == "7"
+    parts = spark.createDataFrame([(2, 0, "a", "b"), (2, 1, "c", "d"), (1, 0, "e", "f")], "id int, position int, title string, summary string")
+    more = sorted((r["id"], list(r["path"]), r["title"]) for r in outlines.or_chapters(got.where("id = 1"), parts, "id").collect())
+    assert more == [(1, [], "X"), (2, [], outlines.WHOLE), (2, [0], "a"), (2, [1], "c")]
+
+
+def test_search_in_results(spark):
+    rows = spark.createDataFrame([(1, "The End", "x", None, "Ann"), (2, "b", "the ENDing", "end", ""), (3, "c", "", "", "")], "id int, title string, summary string, events string, characters string")
+    assert {r["id"]: r["found"] for r in outlines.search_results(rows, F.lit(" end ")).collect()} == {1: ["title"], 2: ["summary", "events"]}
+    assert outlines.search_results(rows, F.lit("")).count() == 3
+
+
+def test_links_of_author_classes(spark):
+    books = spark.createDataFrame([(1, "Ann"), (2, "Ann"), (3, "Ann, Bob"), (4, "Bob"), (5, "Unknown"), (6, "Zoe"), (7, None)], "id long, author string")
+    own = spark.createDataFrame([(1, 3, 1), (1, 4, 2), (2, 3, 0)], "book_id long, related_id long, status int")
+    members = {r["id"]: (r["class_id"], r["n_links"]) for r in joins.link_classes(books).collect()}
+    assert members == {1: (1, 2), 2: (1, 2), 3: (3, 3), 4: (4, 1), 6: (6, 0)}
+    links = {(r["book_id"], r["related_id"], r["status"], r["classes"]) for r in joins.sync_class_links(own, books).collect()}
+    assert links == {(1, 3, 1, False), (1, 4, 2, False), (1, 1, 0, True), (1, 3, 0, True), (3, 4, 0, True)}
+    # the members' pairs are the links of author_links
+    expanded = {(min(a, b), max(a, b)) for x_, y_, _, c in links if c for a, (ca, _) in members.items() for b, (cb, _) in members.items() if (ca, cb) == (x_, y_) and a != b}
+    assert expanded == {(r["book_id"], r["related_id"]) for r in joins.author_links(books).collect()}
+
+
+def test_sources_without_a_cap(spark):
+    rows = spark.createDataFrame([(f"t{i}", "a", "x" if i % 2 else None, float(i)) for i in range(20)], "title string, author string, source string, score double")
+    assert recommend.merge_sources([rows], [0.0], {"x": 2}, 30).count() == 12
