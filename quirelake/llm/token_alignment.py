@@ -41,7 +41,9 @@ SPACE = chr(0x2581)
 BLANKS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
 CUT = f" (?<=[^{BLANKS}] )"
 #: Rows that are broadcast, and the bytes of their strings; others are shuffled.
-HOT_ROWS, HOT_WORD, HOT_TEXT = 100_000, 64, 256
+HOT_ROWS, HOT_WORD, HOT_TEXT = 200_000, 64, 256
+#: Partitions of the texts' words, for each of the session's.
+WIDER = 4
 
 _UNITS = "part string, n long, a array<int>, a_len array<int>, b array<int>, b_len array<int>, whole boolean"
 _ARROW = pa.schema([("part", pa.string()), ("n", pa.int64()), *[(c, pa.list_(pa.int32())) for c in ("a", "a_len", "b", "b_len")], ("whole", pa.bool_())])
@@ -214,8 +216,10 @@ def align(spark: SparkSession, docs: DataFrame, a: str = A, b: str = B) -> DataF
     dropped(spark, found)
 
     # the texts, in their partitions by key, look the words up
-    one = spoken.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
-    placed = one.select("k1", "k2", "doc_id", "copies", F.posexplode(parts).alias("pos", "part"))
+    one = written(spark, spoken.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")), "texts")
+    # rows of words are ten times as large as the texts
+    fine = WIDER * partitions
+    placed = one.repartition(fine, "k1", "k2").select("k1", "k2", "doc_id", "copies", F.posexplode(parts).alias("pos", "part"))
     hot = hot_rows(words, "n", HOT_ROWS) & (F.octet_length("part") <= HOT_WORD) & (F.octet_length("groups") <= HOT_TEXT)
     names = ("k1", "k2", "doc_id", "copies")
     columns = (*names, "pos", *_COUNTS, "groups")
@@ -223,7 +227,7 @@ def align(spark: SparkSession, docs: DataFrame, a: str = A, b: str = B) -> DataF
     # what is broadcast stays in its partitions by key; the rest joins it there
     hits = placed.join(F.broadcast(common), "part").select(*columns)
     rest = placed.join(F.broadcast(common.select("part")), "part", "left_anti").join(words.where(~hot), "part").select(*columns)
-    both = hits.union(rest.repartition(partitions, *names[:2]))
+    both = hits.union(rest.repartition(fine, *names[:2]))
     total = both.groupBy(*names).agg(*[F.sum(c).cast("long").alias(c) for c in _COUNTS], F.collect_list(F.struct("pos", F.col("groups").alias("text"))).alias("texts"))
     result = total.select("doc_id", *_COUNTS, _in_order(F.col("texts"), ";").alias("groups"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
     none = mute.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in _COUNTS], F.lit("").alias("groups"))
