@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import outlines
-from ..sources import archives, charset, feeds, kf8, lexicons, mobi, rules, sniff
+from ..sources import archives, charset, feeds, kf8, lexicons, mobi, pdf, rules, sniff
 from ..streaming import rollups
 from .registry import query
 
@@ -104,6 +104,28 @@ def _(t):
     return got.where("part is not null").select("doc_id", "part", "to_part", "anchor")
 
 
+@F.pandas_udf(T.BinaryType())
+def _pdf(ids: pd.Series, texts: pd.Series, source: pd.Series) -> pd.Series:
+    """A page for 600 characters, an outline of the lines; packed objects for every second file."""
+
+    def file(i: int, text: str, author: str | None) -> bytes:
+        pages = len(text) // 600 + 1
+        entries = [(int(k % 3 > 0), f"line {k}", min(k, pages - 1)) for k in range(text.count("\n") + 1)]
+        return pdf.write_pdf(f"doc {i}", author or "", pages, entries, i % 2 == 0)
+
+    return pd.Series([file(*x) for x in zip(ids, texts, source)])
+
+
+@query("pdf_info", "", "SELECT doc_id, (length(text) // 600 + 1)::BIGINT AS pages, 'doc ' || doc_id AS title, source AS author FROM documents WHERE text IS NOT NULL")
+def _(t):
+    return pdf.read_info(_docs(t).select("doc_id", _pdf("doc_id", "text", "source").alias("content")), "doc_id").select("doc_id", "pages", "title", "author")
+
+
+@query("pdf_outline", "", f"SELECT doc_id, (i - 1)::BIGINT AS position, ((i - 1) % 3 > 0)::INT AS depth, 'line ' || (i - 1) AS title, least(i - 1, length(text) // 600)::BIGINT AS page FROM ({LINES}) JOIN documents USING (doc_id)")
+def _(t):
+    return pdf.read_outline(_docs(t).select("doc_id", _pdf("doc_id", "text", "source").alias("content")), "doc_id").drop("error")
+
+
 @query("mobi_sniff", "", "SELECT doc_id, doc_id % 4 = 0 AS is_mobi FROM documents WHERE text IS NOT NULL")
 def _(t):
     rows = _docs(t).select("doc_id", F.when(F.col("doc_id") % 4 == 0, _mobi("text", "source")).otherwise(F.col("text").cast("binary")).alias("content"))

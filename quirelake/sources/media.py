@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from . import pdf
 from .archives import rows
 from .sniff import FORMATS
 
@@ -40,12 +41,11 @@ def audio_tracks(raw: bytes) -> Iterator[tuple]:
 
 
 def pdf_pages(raw: bytes) -> Iterator[tuple]:
-    """(position, fragment, title, bytes) of each page object that is written plainly."""
-    if not raw.startswith(b"%PDF-"):
-        raise ValueError("not a PDF file")
-    title = re.search(rb"/Title\s*\(([^)]*)\)", raw)
-    for i, _ in enumerate(re.finditer(rb"/Type\s*/Page(?![a-zA-Z])", raw)):
-        yield i, f"#page={i + 1}", title[1].decode("latin-1") if title else None, None
+    """(position, fragment, title, bytes) of each page of a PDF file."""
+    d = pdf.Document(raw)
+    title = d.metadata()["title"]
+    for i, _ in enumerate(d.pages()):
+        yield i, f"#page={i + 1}", title, None
 
 
 def plain_font(data: bytes, identifier: str, kind: str = "idpf") -> bytes:

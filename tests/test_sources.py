@@ -1,12 +1,13 @@
 """Document formats by files that the tests write themselves."""
 
 import io
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.sources import archives, charset, feeds, kf8, lexicons, mobi, rules, sniff
+from quirelake.sources import archives, charset, feeds, kf8, lexicons, media, mobi, pdf, rules, sniff
 from quirelake.streaming import rollups
 
 
@@ -172,7 +173,6 @@ def test_media_and_accessibility(spark):
             z.writestr(n, "data")
     assert [r[1] for r in media.comic_pages(out.getvalue())] == ["c/2.jpg", "c/10.jpg"]
     assert [r[2] for r in media.audio_tracks(out.getvalue())] == ["1"]
-    assert len(list(media.pdf_pages(b"%PDF-1.4 /Type /Pages /Type /Page /Type/Page "))) == 2
     font = bytes(range(256)) * 8
     assert media.plain_font(media.plain_font(font, "urn:x y"), "urn:x y") == font
     key = "urn:uuid:00112233-4455-6677-8899-aabbccddeeff"
@@ -227,3 +227,70 @@ def test_kf8_damage(spark):
     files = spark.createDataFrame([("a", raw), ("b", raw.replace(b"FDST", b"xDST")), ("c", raw.replace(b"TAGX", b"xAGX")), ("d", raw[:-40]), ("e", raw[:200])], "path string, content binary")
     found = {r["path"]: r for r in mobi.read_mobi(files).collect()}
     assert found["a"]["title"] == "One" and all(found[k]["error"] for k in "bce")
+
+
+ENTRIES = [(0, "Eins", 0), (1, "a", 1), (2, "b", 1), (1, "c", 2), (0, "Zwei 世", 3)]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_pdf_pages_outline_and_metadata(packed):
+    raw = pdf.write_pdf("Titel ü", "Me", 5, ENTRIES, packed)
+    assert list(pdf.info_items(raw)) == [(5, "Titel ü", "Me", "0102", "ltr")]
+    assert list(pdf.outline_items(raw)) == [(i, *e) for i, e in enumerate(ENTRIES)]
+    assert list(pdf.page_items(raw)) == [(i, 300.0, 400.0) for i in range(5)]
+    # without its cross-references, and with its end cut off, the objects are searched for
+    for damaged in (raw.replace(b"startxref", b"startxxxx"), raw[:-12], raw.replace(b"startxref\n", b"startxref\n9")):
+        assert list(pdf.info_items(damaged))[0][:3] == (5, "Titel ü", "Me")
+    assert list(pdf.info_items(pdf.write_pdf("", "", 0, [], packed))) == [(0, None, None, "0102", "ltr")]
+    assert len(list(media.pdf_pages(raw))) == 5
+    for bad in (raw[:60], raw.replace(b"/Root", b"/Encrypt 4 0 R /Root"), b"no file"):
+        with pytest.raises(ValueError):
+            list(pdf.info_items(bad))
+
+
+def test_pdf_objects():
+    read = lambda raw: pdf.Lexer(raw).object()
+    assert read(b"% note\n<</A#42 [1 -2.5 .5 true null (a\\(b\\)(c)\\101\\\nd) <48 6> 3 0 R]/B/C>>") == {"AB": [1, -2.5, 0.5, True, None, b"a(b)(c)Ad", b"H`", pdf.Ref(3)], "B": "C"}
+    for bad in (b"[1 2", b"(abc", b"<<", b"[" * 500, b""):
+        with pytest.raises(ValueError):
+            read(bad)
+    assert pdf.text(b"\xfe\xff\x4e\x16") == "世" and pdf.text(b"  ") is None and pdf.text(b"\xe9") == "é"
+
+
+def test_pdf_predictors():
+    rows = [bytes([10, 20, 30]), bytes([13, 25, 90]), bytes([1, 2, 250])]
+
+    def written(kind):
+        out, above = b"", bytes(3)
+        for r in rows:
+            paeth = lambda a, b, c: min((a, b, c), key=lambda x: abs(a + b - c - x))
+            guess = [{0: 0, 1: r[i - 1] if i else 0, 2: above[i], 3: ((r[i - 1] if i else 0) + above[i]) // 2, 4: paeth(r[i - 1] if i else 0, above[i], above[i - 1] if i else 0)}[kind] for i in range(3)]
+            out, above = out + bytes([kind]) + bytes((x - g) & 255 for x, g in zip(r, guess)), r
+        return out
+
+    for kind in range(5):
+        assert pdf._unpredicted(written(kind), {"Predictor": 15, "Columns": 3}) == b"".join(rows)
+    assert pdf._unpredicted(bytes([1, 1, 1, 5, 1, 1]), {"Predictor": 2, "Columns": 3}) == bytes([1, 2, 3, 5, 6, 7])
+
+
+def test_pdf_inheritance_updates_and_loops():
+    base = pdf.write_pdf("T", "A", 2, [(0, "x", 1)], packed=False)
+    # an update replaces a page by a node with two pages, one of which is its own parent, and turns the other
+    new = {5: b"<</Type/Pages/Kids[20 0 R 2 0 R]/MediaBox[10 0 110 50]>>", 20: b"<</Type/Page/Rotate 90>>"}
+    out, at = bytearray(base), {}
+    for n, body in new.items():
+        at[n] = len(out)
+        out += b"%d 0 obj " % n + body + b" endobj\n"
+    table = len(out)
+    previous = int(re.findall(rb"startxref\s+(\d+)", base)[-1])
+    out += b"xref\n" + b"".join(b"%d 1\n%010d 00000 n \n" % (n, p) for n, p in at.items()) + b"trailer\n<</Root 1 0 R/Prev %d/Size 21>>\nstartxref\n%d\n%%%%EOF" % (previous, table)
+    assert list(pdf.page_items(bytes(out))) == [(0, 50.0, 100.0), (1, 300.0, 400.0)]
+    assert list(pdf.outline_items(bytes(out))) == [(0, 0, "x", 1)]
+
+
+def test_pdf_tables(spark):
+    good = pdf.write_pdf("T", "A", 3, ENTRIES[:2])
+    files = spark.createDataFrame([("a", good), ("b", b"%PDF-1.4 nothing"), ("c", None)], "path string, content binary")
+    found = {r["path"]: r for r in pdf.read_info(files).collect()}
+    assert found["a"]["pages"] == 3 and found["a"]["error"] is None and found["b"]["error"] and found["c"]["error"]
+    assert pdf.read_outline(files).where("error is null").count() == 2 and pdf.read_pages(files).where("error is null").count() == 3
