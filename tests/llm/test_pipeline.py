@@ -74,7 +74,7 @@ def test_sequences_follow_the_mix(spark, tmp_path):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES) == list(range(1, 14))
     assert toxicity.held_out is not None
 
 
@@ -82,7 +82,7 @@ def test_names():
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "sales", "sale_lines", "clients"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     df = llm.QUERIES[name](spark, DATA)
     want = con.execute(llm.ORACLES[name])
