@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import recommend as rc
+from ..operators import similar_books
 from .registry import query
 
 SEEDS = (3, 14, 15, 92, 65)
@@ -95,4 +96,28 @@ def _(t):
     text = F.concat("title", F.when(F.col("id") % 2 == 0, "书").otherwise(""))
     score, reason = rc.candidate_score(text, F.array("author"), F.log10(F.col("total_characters") + 1.0), [("书", 1.0, "")], [("er", 2.0), ("x", 1.0)], None)
     rows = t.books.where("title is not null and author is not null")
-    return rows.select("id", F.round(score, 5).alias("score"), reason.alias("reason"))
\ No newline at end of file
+    return rows.select("id", F.round(score, 5).alias("score"), reason.alias("reason"))
+
+
+@query("single_book", "books keywords book_tags", """WITH b AS (SELECT id, substr(trim(lower(title)), 1, 24) AS title, author, list_distinct(regexp_extract_all(substr(trim(lower(title)), 1, 24), '[a-z]{4,}')) AS tw,
+  list_distinct(regexp_extract_all(lower(substr(title, 25, 60)), '[a-z]{6,}')) AS dw, coalesce(g.tags, []) AS tags FROM books LEFT JOIN (SELECT book_id, list(tag_id::VARCHAR) AS tags FROM book_tags GROUP BY 1) g ON g.book_id = id WHERE title IS NOT NULL),
+df AS (SELECT keyword, ln(1 + count(*)) AS rare FROM keywords GROUP BY 1), k AS (SELECT book_id, keyword, weight * rare AS w FROM keywords JOIN df USING (keyword)),
+tot AS (SELECT book_id, sum(w) AS total FROM k WHERE book_id % 20 = 0 GROUP BY 1),
+h AS (SELECT x.book_id AS seed, y.book_id AS id, sum(x.w * y.w) AS hit FROM k x JOIN k y USING (keyword) WHERE x.book_id % 20 = 0 AND x.book_id <> y.book_id GROUP BY ALL),
+p AS (SELECT x.id AS seed, y.id, 0.35 * coalesce(len(list_intersect(x.tags, y.tags))::DOUBLE / nullif(len(list_distinct(list_concat(x.tags, y.tags))), 0), 0)
+  + CASE WHEN trim(x.author) NOT IN ('', '未知作者') AND lower(trim(x.author)) = lower(trim(y.author)) THEN 0.2 ELSE 0 END
+  + 0.1 * coalesce(len(list_intersect(x.tw, y.tw))::DOUBLE / nullif(len(list_distinct(list_concat(x.tw, y.tw))), 0), 0)
+  + 0.2 * coalesce(len(list_intersect(x.dw, y.dw))::DOUBLE / nullif(len(list_distinct(list_concat(x.dw, y.dw))), 0), 0)
+  + 0.15 * least(1.0, coalesce(h.hit, 0) / coalesce(t.total, 1)) AS s,
+  length(x.title) >= 2 AND length(y.title) >= 2 AND (contains(x.title, y.title) OR contains(y.title, x.title)) AS held
+  FROM b x JOIN b y ON x.id <> y.id LEFT JOIN h ON h.seed = x.id AND h.id = y.id LEFT JOIN tot t ON t.book_id = x.id WHERE x.id % 20 = 0),
+r AS (SELECT seed, id, round(CASE WHEN held THEN greatest(s, 0.4) ELSE s END, 6) AS score FROM p)
+SELECT seed, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, id)::INT AS rank FROM r WHERE score > 0) WHERE rank <= 10""")
+def _(t):
+    """The ten books most like each book whose id is divisible by 20; a title is the first 24 characters of a first line, a description what follows."""
+    short = F.substring(F.trim(F.lower("title")), 1, 24)
+    tags = t.book_tags.groupBy(F.col("book_id").alias("id")).agg(F.collect_list(F.col("tag_id").cast("string")).alias("tags"))  # 25 brands
+    words = lambda c, n: F.regexp_extract_all(c, F.lit(f"[a-z]{{{n},}}"), F.lit(0))
+    named = t.books.where("title is not null").select("id", short.alias("title"), "author", words(short, 4).alias("title_words"), words(F.lower(F.substring("title", 25, 60)), 6).alias("description_words"))
+    books = named.join(tags, "id", "left")
+    return similar_books.single_book(books, t.keywords, books.where("id % 20 = 0"))
