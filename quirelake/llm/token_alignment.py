@@ -41,7 +41,7 @@ SPACE = chr(0x2581)
 BLANKS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
 CUT = f" (?<=[^{BLANKS}] )"
 #: Rows that are broadcast, and the bytes of their strings; others are shuffled.
-HOT_ROWS, HOT_WORD, HOT_TEXT = 200_000, 64, 256
+HOT_ROWS, HOT_WORD, HOT_TEXT = 400_000, 64, 256
 #: Partitions of the texts' words, for each of the session's.
 WIDER = 4
 
@@ -178,7 +178,7 @@ def weighed(spark: SparkSession, words: DataFrame) -> DataFrame:
     rest = first.where("count is null").select("unit", "a", "b").join(pairs.where(~hot), ["a", "b"])
     found = first.where("count is not null").select("unit", "count", "best").union(rest.select("unit", "count", "best"))
     sums = found.groupBy("unit").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    return written(spark, words.drop("links").join(sums, "unit").drop("unit"), "words")
+    return written(spark, words.drop("links").join(sums, "unit").drop("unit"), "words", "zstd")
 
 
 def align(spark: SparkSession, docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
@@ -216,7 +216,7 @@ def align(spark: SparkSession, docs: DataFrame, a: str = A, b: str = B) -> DataF
     dropped(spark, found)
 
     # the texts, in their partitions by key, look the words up
-    one = written(spark, spoken.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")), "texts")
+    one = written(spark, spoken.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")), "texts", "zstd")
     # rows of words are ten times as large as the texts
     fine = WIDER * partitions
     placed = one.repartition(fine, "k1", "k2").select("k1", "k2", "doc_id", "copies", F.posexplode(parts).alias("pos", "part"))
