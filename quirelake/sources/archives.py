@@ -9,14 +9,19 @@ import posixpath
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import content_elements, percent_decode, resolve_path
 
+#: Rows of parsed files that a task holds before it passes them on.
+HELD_ROWS = 1000
 ITEM = "position long, href string, title string, media_type string, text string"
 
 
@@ -33,6 +38,9 @@ def rows(files: DataFrame, parse: Callable[[bytes], Iterator[tuple]], schema: st
                     out += [(name, *r, None) for r in parse(bytes(raw) if raw is not None else b"")]
                 except Exception as e:  # noqa: BLE001  a damaged file is a row with its error
                     out.append((name, *[None] * len(names), f"{type(e).__name__}: {e}"[:200]))
+                if len(out) >= HELD_ROWS:
+                    yield pd.DataFrame(out, columns=[key, *names, "error"])
+                    out = []
             yield pd.DataFrame(out, columns=[key, *names, "error"])
 
     return files.select(key, "content").mapInPandas(run, f"{key} {kind}, {schema}, error string")
@@ -82,6 +90,71 @@ def write_docx(paragraphs: list[str]) -> bytes:
 # --- EPUB -----------------------------------------------------------------------------------
 
 
+#: Methods that only obfuscate fonts, and where a licence's key is said to be.
+FONT_METHODS = ("http://www.idpf.org/2008/embedding", "http://ns.adobe.com/pdf/enc#RC")
+LICENCE_KEY = "license.lcpl#/encryption/content_key"
+
+
+def archive_kind(raw: bytes | None) -> str | None:
+    """What an archive is by its central directory: epub, webpub_package, lpf or zip; None for bytes that are no whole archive."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
+            names = set(z.namelist())
+            if "META-INF/container.xml" in names or "mimetype" in names and z.read("mimetype")[:64].strip() == b"application/epub+zip":
+                return "epub"
+    except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError, ValueError, zlib.error):
+        return None
+    return next((kind for name, kind in (("manifest.json", "webpub_package"), ("publication.json", "lpf")) if name in names), "zip")
+
+
+@F.pandas_udf(T.StringType())
+def archive_kinds(content: pd.Series) -> pd.Series:
+    return content.map(lambda raw: archive_kind(None if raw is None else bytes(raw)))
+
+
+def encrypted_entries(raw: bytes) -> Iterator[tuple]:
+    """(position, href, algorithm, scheme, compression, original length) of what META-INF/encryption.xml names."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        if "META-INF/encryption.xml" not in z.namelist():
+            return
+        root = read_xml(z.read("META-INF/encryption.xml"))
+    within = lambda e, name: (x for x in e.iter() if local(x.tag) == name)
+    for i, data in enumerate(within(root, "EncryptedData")):
+        method = next((m.get("Algorithm") for m in within(data, "EncryptionMethod")), None)
+        to = next((c.get("URI") for c in within(data, "CipherReference")), None)
+        key = next((k.get("URI") for k in within(data, "RetrievalMethod")), None)
+        packed = next(within(data, "Compression"), None)
+        size = packed.get("OriginalLength", "") if packed is not None else ""
+        if method and to:
+            yield i, percent_decode(to).lstrip("/"), method, "lcp" if key == LICENCE_KEY else None, None if packed is None else "deflate" if packed.get("Method") == "8" else "none", int(size) if size.isdigit() else None
+
+
+def protection(raw: bytes) -> str | None:
+    """lcp, adept or unknown if an archive's contents are encrypted; fonts that are only obfuscated don't count."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = set(z.namelist())
+    if names & {"META-INF/license.lcpl", "license.lcpl"}:
+        return "lcp"
+    real = [e for e in encrypted_entries(raw) if e[2] not in FONT_METHODS]
+    if any(e[3] == "lcp" for e in real):
+        return "lcp"
+    return None if not real else "adept" if "META-INF/rights.xml" in names else "unknown"
+
+
+def protection_items(raw: bytes) -> Iterator[tuple]:
+    yield (protection(raw),)
+
+
+def read_encryption(files: DataFrame, key: str = "path") -> DataFrame:
+    """A row for each encrypted or obfuscated entry of each archive."""
+    return rows(files, encrypted_entries, "position long, href string, algorithm string, scheme string, compression string, original_length long", key)
+
+
+def read_protection(files: DataFrame, key: str = "path") -> DataFrame:
+    """Each archive's protection, null if it has none."""
+    return rows(files, protection_items, "protection string", key)
+
+
 def parse_package(raw: bytes, path: str = "OEBPS/content.opf") -> dict:
     """An OPF package: metadata, manifest (by id), spine (in order), guide, and fallback chains without cycles."""
     root = read_xml(raw)

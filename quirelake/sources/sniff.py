@@ -1,10 +1,12 @@
-"""A file's format from hints (extension, media type) and then from its first bytes. Columns only."""
+"""A file's format from hints (extension, media type) and then from its first bytes; an archive's from its directory."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .archives import archive_kinds
+
 #: Formats by extension and by media type; the order of FORMATS is the order of trial.
 FORMATS: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = [
     ("html", ("htm", "html", "xht", "xhtml"), ("text/html", "application/xhtml+xml")),
@@ -51,9 +53,7 @@ def by_content(content: Column) -> Column:
     zipped = starts(b"PK\x03\x04")
     return (
         F.when(zipped & (F.substring(content, 31, 28) == F.lit(b"mimetypeapplication/epub+zip")), "epub")
-        .when(zipped & F.contains(content, F.lit(b"manifest.json")), "webpub_package")
-        .when(zipped & F.contains(content, F.lit(b"publication.json")), "lpf")
-        .when(zipped, "zip")
+        .when(zipped, F.coalesce(archive_kinds(F.when(zipped, content)), F.lit("zip")))
         .when(starts(b"Rar!\x1a\x07"), "rar")
         .when(starts(b"%PDF-"), "pdf")
         .when(starts(b"BOOKMOBI", 61), "mobi")

@@ -294,3 +294,50 @@ def test_pdf_tables(spark):
     found = {r["path"]: r for r in pdf.read_info(files).collect()}
     assert found["a"]["pages"] == 3 and found["a"]["error"] is None and found["b"]["error"] and found["c"]["error"]
     assert pdf.read_outline(files).where("error is null").count() == 2 and pdf.read_pages(files).where("error is null").count() == 3
+
+
+def zipped(**entries):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in entries.items():
+            z.writestr(name.replace("__", "/").replace("_dot_", "."), data)
+    return out.getvalue()
+
+
+def encryption(*entries):
+    data = "".join(f'<enc:EncryptedData><enc:EncryptionMethod Algorithm="{m}"/>{k}<enc:CipherData><enc:CipherReference URI="{u}"/></enc:CipherData>{p}</enc:EncryptedData>' for u, m, k, p in entries)
+    return f'<encryption xmlns="urn:oasis:names:tc:opendocument:xmlns:container" xmlns:enc="http://www.w3.org/2001/04/xmlenc#" xmlns:ds="http://www.w3.org/2000/09/xmldsig#">{data}</encryption>'
+
+
+AES, IDPF = "http://www.w3.org/2001/04/xmlenc#aes256-cbc", archives.FONT_METHODS[0]
+KEY = f'<ds:KeyInfo><ds:RetrievalMethod URI="{archives.LICENCE_KEY}"/></ds:KeyInfo>'
+PACKED = '<enc:EncryptionProperties><enc:EncryptionProperty><Compression Method="8" OriginalLength="42"/></enc:EncryptionProperty></enc:EncryptionProperties>'
+
+
+def test_archive_kinds(spark):
+    decoy = zipped(a_dot_txt="manifest.json and publication.json are names")
+    files = {
+        "epub": zipped(mimetype="application/epub+zip", a_dot_xhtml="x"),
+        "epub2": zipped(a_dot_xhtml="x", **{"META-INF__container_dot_xml": "<container/>"}),
+        "web": zipped(manifest_dot_json="{}"),
+        "lpf": zipped(publication_dot_json="{}"),
+        "deep": zipped(**{"b__manifest_dot_json": "{}"}),
+        "decoy": decoy,
+        "streamed": decoy[:-30],
+        "text": b"manifest.json",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in files.items()], "path string, content binary")
+    none = F.lit(None).cast("string")
+    got = {r["path"]: r["kind"] for r in rows.select("path", sniff.sniff(none, none, F.col("content")).alias("kind")).collect()}
+    assert got == {"epub": "epub", "epub2": "epub", "web": "webpub_package", "lpf": "lpf", "deep": "zip", "decoy": "zip", "streamed": "zip", "text": None}
+
+
+def test_encryption_of_archives():
+    fonts = encryption(("fonts/a%20b.otf", IDPF, "", ""))
+    book = encryption(("/text/1.xhtml", AES, KEY, PACKED), ("f.otf", IDPF, "", ""))
+    other = encryption(("1.xhtml", AES, "", ""))
+    made = lambda xml, **more: zipped(mimetype="application/epub+zip", **{"META-INF__encryption_dot_xml": xml}, **more)
+    assert list(archives.encrypted_entries(made(book))) == [(0, "text/1.xhtml", AES, "lcp", "deflate", 42), (1, "f.otf", IDPF, None, None, None)]
+    assert list(archives.encrypted_entries(made(fonts))) == [(0, "fonts/a b.otf", IDPF, None, None, None)]
+    kinds = [archives.protection(x) for x in (zipped(a="x"), made(fonts), made(book), made(other), made(other, **{"META-INF__rights_dot_xml": "<r/>"}), zipped(license_dot_lcpl="{}"))]
+    assert kinds == [None, None, "lcp", "unknown", "adept", "lcp"]
