@@ -11,13 +11,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..batches import small_batches  # noqa: F401  the operators take it from here
+
 #: Rows of a narrow (at most about 48 bytes a row) table up to which it is broadcast;
 #: above, the same join shuffles both sides.
 BROADCAST_ROWS = 200_000
 
-#: Bytes in one Arrow batch handed to Python: a batch ends at the row that reaches them.
-ARROW_BYTES = 4 << 20
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -72,13 +71,6 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch; the bound stays with the session, as plans are run after they are made."""
-    bound = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b")
-    if not bound.isdigit() or not 0 < int(bound) <= ARROW_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-
-
 def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df marked for broadcast if it has at most BROADCAST_ROWS rows, else df."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows

@@ -2,62 +2,119 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import chain
+
+import numpy as np
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from .joins import NO_AUTHOR
-from .ranking import cap_by
+from .nearest import best_of, rounded
 from .recommend import SIGNALS
 
 #: A title that holds the other gives a score of so much at least; books in a result.
 CONTAINED, MOST = 0.40, 10
 #: Letters that a title needs for its containment to count.
 LEAST_TITLE = 2
+#: Array columns of which the common words count.
+WORDS = ("tags", "title_words", "description_words")
+#: Words of a block of seeds up to which common ones are counted as a matrix product.
+DENSE = 256
 
 
-def _shared(books: DataFrame, seeds: DataFrame, column: str) -> DataFrame:
-    """seed, id, j: the Jaccard similarity of the array column of seeds and of other books with a common word.
-
-    Words are joined by equality; sizes are read off the arrays, so a pair
-    needs its common words alone. A word of very many books still meets all
-    of the seeds that have it: that is the stated query set against all rows."""
-    words = lambda df, key: df.select(F.col("id").alias(key), F.size(F.array_distinct(column)).alias(f"{key}_n"), F.explode(F.array_distinct(column)).alias("word"))
-    both = words(seeds, "seed").join(words(books, "other"), "word").where("seed <> other").groupBy("seed", "other", "seed_n", "other_n").agg(F.count("*").alias("n"))
-    return both.select("seed", F.col("other").alias("id"), (F.col("n") / (F.col("seed_n") + F.col("other_n") - F.col("n"))).alias("j"))
-
-
-def _contents(keywords: DataFrame, seeds: DataFrame) -> DataFrame:
-    """seed, id, j: the seed's weights, by ln(1 + df), times the other's, over the seed's sum, 1 at most."""
+def _prepared(books: DataFrame, keywords: DataFrame) -> DataFrame:
+    """books -> id, author and title (null where they don't count), and the arrays as hashes; keywords with weights by ln(1 + df)."""
     df = keywords.groupBy("keyword").agg(s.collection_weight(F.count("*")).alias("rare"))
-    weighed = keywords.join(df, "keyword").select("book_id", "keyword", (F.col("weight") * F.col("rare")).alias("w"))
-    mine = weighed.join(seeds.select(F.col("id").alias("book_id")), "book_id", "left_semi").select(F.col("book_id").alias("seed"), "keyword", F.col("w").alias("mine"))
-    total = mine.groupBy("seed").agg(F.sum("mine").alias("total"))
-    hits = mine.join(weighed, "keyword").where("seed <> book_id").groupBy("seed", F.col("book_id").alias("id")).agg(F.sum(F.col("mine") * F.col("w")).alias("hit"))
-    return hits.join(total, "seed").select("seed", "id", F.least(F.lit(1.0), F.col("hit") / F.greatest("total", F.lit(1e-9))).alias("j"))
-
-
-def _contained(books: DataFrame, seeds: DataFrame) -> DataFrame:
-    """seed, id: pairs of which one title holds the other, whatever the case.
-
-    The longer title's substrings of the lengths that short titles have are
-    joined with those titles by equality."""
-    named = lambda df, key: df.select(F.col("id").alias(key), F.lower(F.trim("title")).alias("title")).where(F.length("title") >= LEAST_TITLE)
-    pieces = lambda df, key: df.select(key, F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(LEAST_TITLE), F.length("title")), lambda n: F.transform(F.sequence(F.lit(1), F.length("title") - n + 1), lambda i: F.substring(F.col("title"), i, n)))))).alias("title"))
-    down = pieces(named(seeds, "seed"), "seed").join(named(books, "id"), "title").select("seed", "id")
-    up = named(seeds, "seed").join(pieces(named(books, "id"), "id"), "title").select("seed", "id")
-    return down.union(up).where("seed <> id").distinct()
-
-
-def _same_author(books: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
-    """seed, id of books by the seed's author, so many by id.
-
-    More aren't needed for the best: what an author's other books have beyond
-    the author stands in the other signals, and without more they are alike
-    but for their ids. So a hot author gives no pairs of all its books."""
-    known = lambda df: df.where(~F.trim("author").isin("", NO_AUTHOR[0])).select("id", F.lower(F.trim("author")).alias("author"))
-    first = cap_by(known(books), ["author"], ["id"], most + 1)
-    return known(seeds).withColumnRenamed("id", "seed").join(first, "author").where("seed <> id").select("seed", "id")
+    weighed = keywords.join(df, "keyword").select(F.col("book_id").alias("id"), F.xxhash64("keyword").alias("contents"), (F.col("weight") * F.col("rare")).alias("w"))
+    listed = weighed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("contents", "w"))).alias("_k"))
+    author, title = F.lower(F.trim("author")), F.lower(F.trim("title"))
+    arrays = [F.transform(F.array_distinct(F.coalesce(c, F.array())), lambda x: F.xxhash64(x)).alias(c) for c in WORDS]
+    named = books.where("id is not null").select(F.col("id").cast("long").alias("id"), F.when(~F.trim("author").isin("", NO_AUTHOR[0]), author).alias("author"), F.when(F.length(title) >= LEAST_TITLE, title).alias("title"), *arrays)
+    return named.join(listed, "id", "left").select("id", "author", "title", *WORDS, F.col("_k.contents").alias("contents"), F.col("_k.w").alias("w"))
+
+
+class _Words:
+    """An array column of a block: each word with its row, in the order of words."""
+
+    def __init__(self, column, weights=None):
+        n = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype("i8")
+        words = pc.list_flatten(column).to_numpy()
+        order = np.argsort(words, kind="stable")
+        self.n, self.words, self.row = n, words[order], np.repeat(np.arange(len(n)), n)[order]
+        self.weight = None if weights is None else pc.list_flatten(weights).to_numpy()[order]
+
+    def times(self, other: _Words) -> np.ndarray:
+        """By rows of both, the number of common words, or the sum of products of weights."""
+        if self.weight is None and 0 < len(known := np.unique(self.words)) <= DENSE:
+            return self._dense(known) @ other._dense(known).T
+        first = np.searchsorted(other.words, self.words, "left")
+        n = np.searchsorted(other.words, self.words, "right") - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair = np.repeat(self.row, n) * len(other.n) + other.row[at]
+        weight = None if self.weight is None else np.repeat(self.weight, n) * other.weight[at]
+        return np.bincount(pair, weight, len(self.n) * len(other.n)).reshape(len(self.n), -1)
+
+    def _dense(self, known: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.n), len(known)), "f4")
+        place = np.minimum(np.searchsorted(known, self.words), len(known) - 1)
+        hit = known[place] == self.words
+        out[self.row[hit], place[hit]] = 1
+        return out
+
+    def jaccard(self, other: _Words) -> np.ndarray:
+        both = self.times(other).astype("f8")
+        return both / np.maximum(self.n[:, None] + other.n[None, :] - both, 1)
+
+
+class _Block:
+    def __init__(self, table):
+        self.ids = table["id"].to_numpy()
+        self.author, self.title = table["author"].to_pylist(), table["title"].to_pylist()
+        whole = {c: table[c].combine_chunks() for c in (*WORDS, "contents", "w")}
+        self.arrays = [_Words(whole[c]) for c in WORDS]
+        self.contents = _Words(whole["contents"], whole["w"])
+        self.total = np.bincount(self.contents.row, self.contents.weight, len(self.ids))
+        self.titles: dict[str, list[int]] = {}
+        for i, x in enumerate(self.title):
+            if x is not None:
+                self.titles.setdefault(x, []).append(i)
+        self.lengths: dict[int, list[str]] = {}
+        for x in self.titles:
+            self.lengths.setdefault(len(x), []).append(x)
+
+    def same_author(self, other: _Block) -> np.ndarray:
+        codes = {a: i for i, a in enumerate({*self.author} - {None})}
+        mine, its = (np.array([codes.get(a, none) for a in x.author]) for x, none in ((self, -1), (other, -2)))
+        return mine[:, None] == its[None, :]
+
+    def within(self, other: _Block):
+        """(rows of self, rows of other) of which the ones' title is a part of the others', or the same."""
+        for n, short in self.lengths.items():
+            for m, long in other.lengths.items():
+                if m == n:
+                    pairs = [(x, x) for x in short if x in other.titles]
+                elif m > n and len(short) <= m - n:
+                    pairs = [(x, y) for x in short for y in long if x in y]
+                elif m > n:
+                    known = set(short)
+                    pairs = [(x, y) for y in long for x in {y[i : i + n] for i in range(m - n + 1)} & known]
+                else:
+                    continue
+                yield from ((self.titles[x], other.titles[y]) for x, y in pairs)
+
+
+def _score(seeds: _Block, books: _Block) -> np.ndarray:
+    tags, title, description = (a.jaccard(b) for a, b in zip(seeds.arrays, books.arrays))
+    contents = np.minimum(1.0, seeds.contents.times(books.contents) / np.maximum(seeds.total, 1e-9)[:, None])
+    score = sum((w * x for w, x in zip(SIGNALS, (tags, seeds.same_author(books), title, description, contents))), 0.0)
+    for mine, its in chain(seeds.within(books), ((i, j) for j, i in books.within(seeds))):
+        held = np.ix_(mine, its)
+        score[held] = np.maximum(score[held], CONTAINED)
+    score = rounded(score)
+    score[(score <= 0) | (seeds.ids[:, None] == books.ids[None, :])] = -np.inf
+    return score
 
 
 def single_book(books: DataFrame, keywords: DataFrame, seeds: DataFrame, most: int = MOST) -> DataFrame:
@@ -66,20 +123,9 @@ def single_book(books: DataFrame, keywords: DataFrame, seeds: DataFrame, most: i
 
     The score has five signals (tags, author, title, description, contents) by
     their weights; a title that holds the other makes it CONTAINED at least.
-    Only books that share something with the seed are candidates; there is no
-    cross join. Null arrays count as empty, null texts as ''."""
-    signals = [_shared(books, seeds, c).withColumn("k", F.lit(i)) for i, c in ((0, "tags"), (2, "title_words"), (3, "description_words"))]
-    signals.append(_contents(keywords, seeds).withColumn("k", F.lit(4)))
-    held = _contained(books, seeds)
-    pairs = held.withColumns({"j": F.lit(0.0), "k": F.lit(5)}).select("seed", "id", "j", "k")
-    for one in (*signals, _same_author(books, seeds, most).withColumns({"j": F.lit(0.0), "k": F.lit(6)})):
-        pairs = pairs.unionByName(one)
-    part = lambda k: F.coalesce(F.max(F.when(F.col("k") == k, F.col("j"))), F.lit(0.0))
-    found = pairs.groupBy("seed", "id").agg(*[part(k).alias(f"j{k}") for k in (0, 2, 3, 4)], F.max(F.col("k") == 5).alias("held"))
-    author = lambda df, key: df.select(F.col("id").alias(key), F.lower(F.trim(F.coalesce("author", F.lit("")))).alias(f"{key}_author"))
-    found = found.join(author(seeds, "seed"), "seed").join(author(books, "id"), "id")
-    same = (F.col("seed_author") == F.col("id_author")) & ~F.col("seed_author").isin("", NO_AUTHOR[0])
-    blended: Column = sum((w * x for w, x in zip(SIGNALS, (F.col("j0"), same.cast("double"), F.col("j2"), F.col("j3"), F.col("j4")))), F.lit(0.0))
-    score = F.round(F.when(F.col("held"), F.greatest(blended, F.lit(CONTAINED))).otherwise(blended), 6)
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id"))
-    return found.select("seed", "id", score.alias("score")).where("score > 0").withColumn("rank", rank).where(F.col("rank") <= most)
+    Words are compared by their 64-bit hashes. Every seed meets every book, in
+    blocks; no row is made for a pair. Null arrays count as empty, null texts
+    as ''; rows without an id are left out."""
+    found = best_of(_prepared(seeds, keywords), _prepared(books, keywords), most, _Block, _score)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.select(F.col("query_id").alias("seed"), "id", "score", rank.alias("rank"))

@@ -281,3 +281,45 @@ def test_links_of_author_classes(spark):
 def test_sources_without_a_cap(spark):
     rows = spark.createDataFrame([(f"t{i}", "a", "x" if i % 2 else None, float(i)) for i in range(20)], "title string, author string, source string, score double")
     assert recommend.merge_sources([rows], [0.0], {"x": 2}, 30).count() == 12
+
+
+def test_keywords_of_books_of_one_row_need_no_shuffle_of_words(spark):
+    texts = spark.createDataFrame([(1, "Banana banana cherry x"), (2, None), (3, "orange"), (3, "orange apricot apricot apricot"), (None, "walnut"), (None, "walnut")], "book_id long, text string")
+    rows = {(r["book_id"], r["keyword"]): (r["weight"], r["rank"]) for r in keywords.simple_keywords(texts).collect()}
+    assert rows == {(1, "banana"): (1.0, 0), (1, "cherry"): (0.5, 1), (3, "apricot"): (1.0, 0), (3, "orange"): (round(2 / 3, 6), 1), (None, "walnut"): (1.0, 0)}
+    one = keywords.simple_keywords(texts.where("book_id < 3"))
+    assert one.count() == 2 and "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_books_meet_in_blocks_without_rows_for_pairs(spark, monkeypatch):
+    import random
+
+    from quirelake.operators import nearest, similar_books
+
+    draw = random.Random(7)
+    some = lambda n, of: draw.sample([f"w{i}" for i in range(of)], draw.randint(0, n))
+    books = [(i, draw.choice(["Long Title", "long", "a", None, "other", "the other one"]), draw.choice(["ann", " Ann", "", None, "bob"]), some(4, 6), draw.choice([None, some(3, 9)]), some(5, 30)) for i in range(60)]
+    marks = [(b[0], w, draw.random()) for b in books for w in some(5, 12)]
+    kind = "id long, title string, author string, tags array<string>, title_words array<string>, description_words array<string>"
+    table, keys = spark.createDataFrame(books, kind), spark.createDataFrame(marks, "book_id long, keyword string, weight double")
+    monkeypatch.setattr(nearest, "ROWS", 16)
+    monkeypatch.setattr(nearest, "QUERIES", 4)
+    found = similar_books.single_book(table, keys, table.where("id % 5 = 0"), 7)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Cross") == 1 and "Generate" not in plan  # words aren't joined with words
+    df = {w: sum(k == w for _, k, _ in marks) for w in {k for _, k, _ in marks}}
+    of = {b[0]: {k: w * math.log1p(df[k]) for i, k, w in marks if i == b[0]} for b in books}
+    j = lambda x, y: len({*(x or [])} & {*(y or [])}) / max(1, len({*(x or [])} | {*(y or [])}))
+
+    def score(x, y):
+        a, b = ((z[2] or "").strip().lower() for z in (x, y))
+        hit = sum(w * of[y[0]].get(k, 0) for k, w in of[x[0]].items()) / max(sum(of[x[0]].values()), 1e-9)
+        out = 0.35 * j(x[3], y[3]) + 0.2 * (a != "" and a == b) + 0.1 * j(x[4], y[4]) + 0.2 * j(x[5], y[5]) + 0.15 * min(1.0, hit)
+        s, t = ((z[1] or "").lower() for z in (x, y))
+        return round(max(out, 0.4) if min(len(s), len(t)) >= 2 and (s in t or t in s) else out, 6)
+
+    want = {}
+    for x in books[::5]:
+        best = sorted((-score(x, y), y[0]) for y in books if x[0] != y[0] and score(x, y) > 0)[:7]
+        want |= {(x[0], i + 1): (y, pytest.approx(-v, abs=2e-6)) for i, (v, y) in enumerate(best)}
+    assert {(r["seed"], r["rank"]): (r["id"], r["score"]) for r in found.collect()} == want
