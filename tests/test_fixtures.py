@@ -323,3 +323,20 @@ def test_similar_books_meet_in_blocks_without_rows_for_pairs(spark, monkeypatch)
         best = sorted((-score(x, y), y[0]) for y in books if x[0] != y[0] and score(x, y) > 0)[:7]
         want |= {(x[0], i + 1): (y, pytest.approx(-v, abs=2e-6)) for i, (v, y) in enumerate(best)}
     assert {(r["seed"], r["rank"]): (r["id"], r["score"]) for r in found.collect()} == want
+
+
+def test_nearest_vectors_make_no_row_for_a_pair(spark, monkeypatch):
+    from quirelake.operators import nearest
+
+    monkeypatch.setattr(nearest, "ROWS", 8)
+    monkeypatch.setattr(nearest, "QUERIES", 3)
+    rows = [(i, [math.cos(i % 12), math.sin(i % 12)]) for i in range(40)] + [(50, None), (51, [1.0, None]), (52, [1.0 / 128, 0.0])]
+    vectors = spark.createDataFrame(rows, "id long, v array<float>")
+    queries = vectors.where("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    found = retrieval.vector_top(vectors, queries, 6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    score = F.round(s.dot(F.col("v"), F.col("q")), 6).alias("score")
+    plain = ranking.cap_by(vectors.crossJoin(queries).select("query_id", "id", score), ["query_id"], [F.desc("score"), "id"], 6)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert found.where("query_id = 50").count() == 6
