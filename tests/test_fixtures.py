@@ -340,3 +340,28 @@ def test_nearest_vectors_make_no_row_for_a_pair(spark, monkeypatch):
     plain = ranking.cap_by(vectors.crossJoin(queries).select("query_id", "id", score), ["query_id"], [F.desc("score"), "id"], 6)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
     assert found.where("query_id = 50").count() == 6
+
+
+def test_equal_runs_of_a_book_are_cut_once(spark):
+    texts = spark.createDataFrame([(1, "abc abc abd"), (1, "abc"), (2, "abc")], "book_id long, text string")
+    grams = keywords.ngrams(texts, 2, "[a-z]+")
+    assert grams.count() == 15  # five grams of each of three runs, not of five
+    assert {(r["book_id"], r["gram"], r["n"]) for r in keywords.gram_counts(grams, 3).collect()} == {(1, "a", 4), (1, "b", 4), (1, "ab", 4), (1, "c", 3), (1, "bc", 3)}
+    right = {r["gram"]: r["right_total"] for r in keywords.neighbour_entropy(grams).where("book_id = 1").collect()}
+    assert right["ab"] == 4 and right["d"] == 1
+
+
+def test_documents_reach_python_in_bounded_batches(spark):
+    import os
+
+    from quirelake.batches import ARROW_BYTES
+    from quirelake.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("the driver's tables are not here")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    for name in ("mobi_sniff", "mobi_round_trip", "kf8_round_trip", "kf8_links", "epub_round_trip"):
+        registry.QUERIES[name](spark, data)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(ARROW_BYTES)
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
