@@ -85,12 +85,21 @@ def sync_class_links(relations: DataFrame, books: DataFrame, least: int = 2) ->
     """relations that aren't automatic, classes false, and the automatic links of whole classes, classes true.
 
     A class link stands for a link of each book of one class with each of the
-    other, but for pairs that have a relation of their own, which wins."""
+    other, but for pairs that have a relation of their own, which wins:
+    n_links says how many are left, and a class link without any is none."""
     counts = _author_counts(books)
     named = lambda c, p: counts.select(F.col("author").alias(c), F.col("class_id").alias(p), F.col("n").alias(f"{p}_n"))
-    pairs = class_links(books, least).join(named("author", "a"), "author").join(named("other", "b"), "other").where((F.col("a") != F.col("b")) | (F.col("a_n") > 1))
-    links = pairs.select(F.least("a", "b").alias("book_id"), F.greatest("a", "b").alias("related_id"), F.lit(AUTO).alias("status"), F.lit(True).alias("classes")).distinct()
-    return relations.where(F.col("status") != AUTO).select("book_id", "related_id", "status", F.lit(False).alias("classes")).unionByName(links)
+    pairs = class_links(books, least).join(named("author", "a"), "author").join(named("other", "b"), "other")
+    pair = lambda x, y: (F.least(x, y).alias("book_id"), F.greatest(x, y).alias("related_id"))
+    every = F.when(F.col("a") == F.col("b"), F.expr("a_n * (a_n - 1) div 2")).otherwise(F.col("a_n") * F.col("b_n"))
+    links = pairs.select(*pair("a", "b"), every.alias("n")).distinct()
+    own = relations.where(F.col("status") != AUTO)
+    member = lambda c, p: books.select(F.col("id").alias(c), "author").join(counts, "author").select(c, F.col("class_id").alias(p))
+    taken = own.where("book_id <> related_id").select(*pair("book_id", "related_id")).distinct()
+    taken = taken.join(member("book_id", "a"), "book_id").join(member("related_id", "b"), "related_id").groupBy(*pair("a", "b")).agg(F.count("*").alias("own"))
+    left = links.join(taken, ["book_id", "related_id"], "left").withColumn("n_links", F.col("n") - F.coalesce("own", F.lit(0))).where("n_links > 0")
+    kept = own.select("book_id", "related_id", "status", F.lit(False).alias("classes"), F.lit(1).cast("long").alias("n_links"))
+    return kept.unionByName(left.select("book_id", "related_id", F.lit(AUTO).alias("status"), F.lit(True).alias("classes"), "n_links"))
 
 
 def points_in_spans(points: DataFrame, spans: DataFrame, keys: list[str], at: str, seconds: int) -> DataFrame:

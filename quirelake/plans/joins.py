@@ -162,11 +162,15 @@ fit AS (SELECT DISTINCT x.author AS a, y.author AS b FROM f x JOIN f y ON contai
 
 
 @query("auto_link_sync", "relations books", f"""WITH {AUTHORS},
-c AS (SELECT DISTINCT least(x.id, y.id) AS book_id, greatest(x.id, y.id) AS related_id FROM fit JOIN f x ON x.author = a JOIN f y ON y.author = b WHERE a <> b OR x.n > 1),
-r AS (SELECT DISTINCT * FROM relations)
-SELECT book_id, related_id, status, false AS classes FROM r WHERE status <> 0 UNION ALL SELECT book_id, related_id, 0, true FROM c""")
-def _(t):
-    """Manual and blocked links, and links of whole classes (a class with itself, if it has several books); author_classes has the books of each."""
+k AS (SELECT books.id, f.id AS class FROM books JOIN f ON f.author = books.author),
+c AS (SELECT DISTINCT least(x.id, y.id) AS book_id, greatest(x.id, y.id) AS related_id, CASE WHEN a = b THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS n FROM fit JOIN f x ON x.author = a JOIN f y ON y.author = b),
+r AS (SELECT DISTINCT * FROM relations),
+p AS (SELECT DISTINCT least(book_id, related_id) AS x, greatest(book_id, related_id) AS y FROM r WHERE status <> 0 AND book_id <> related_id),
+o AS (SELECT least(a.class, b.class) AS book_id, greatest(a.class, b.class) AS related_id, count(*) AS own FROM p JOIN k a ON a.id = x JOIN k b ON b.id = y GROUP BY 1, 2)
+SELECT book_id, related_id, status, false AS classes, 1::BIGINT AS n_links FROM r WHERE status <> 0
+UNION ALL SELECT book_id, related_id, 0, true, (n - coalesce(own, 0))::BIGINT FROM c LEFT JOIN o USING (book_id, related_id) WHERE n > coalesce(own, 0)""")
+def _(t):
+    """Manual and blocked links, and links of whole classes (a class with itself, if it has several books) without the pairs that have a link of their own; author_classes has the books of each."""
     return j.sync_class_links(t.relations.distinct(), t.books)
 
 

@@ -365,3 +365,10 @@ def test_documents_reach_python_in_bounded_batches(spark):
         registry.QUERIES[name](spark, data)
         assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(ARROW_BYTES)
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_links_of_their_own_are_left_out_of_class_links(spark):
+    books = spark.createDataFrame([(1, "Ann"), (2, "Ann"), (3, "Ann, Bob"), (4, "Bob")], "id long, author string")
+    own = spark.createDataFrame([(1, 3, 1), (1, 2, 2), (2, 4, 1), (3, 4, 0)], "book_id long, related_id long, status int")
+    links = {(r["book_id"], r["related_id"]): r["n_links"] for r in joins.sync_class_links(own, books).where("classes").collect()}
+    assert links == {(1, 3): 1, (3, 4): 1}  # the only pair of Ann's books is blocked
