@@ -531,6 +531,23 @@ def _meet(similarity: float):
     return run
 
 
+def leaders_of(spark: SparkSession, placed: DataFrame, buckets: DataFrame) -> DataFrame:
+    """placed(key, component, doc_id, size), buckets(key, leader, n) -> doc_id, component, size, leader of the texts' keys that are buckets.
+
+    Texts that have a passage in common share many keys of one leader. So the
+    largest bucket of each leader is joined first; a text's other keys give a
+    row only if they lead to a leader that it doesn't have by then."""
+    few, total = buckets.agg(F.count("*"), F.sum("n")).first()
+    # if buckets are many, those of very many texts are broadcast and the others shuffled
+    led = lambda rows, some: rows.join(F.broadcast(some), "key") if few <= BROADCAST_ROWS else joined_by_count(rows, some, "key", total)
+    largest = written(spark, buckets.groupBy("leader").agg(F.max(F.struct("n", "key")).alias("_most")).select("_most.key", "leader", "_most.n"), "largest-buckets")
+    first = written(spark, led(placed, largest).select("doc_id", "component", "size", "leader").distinct(), "first-leaders")
+    known = first.groupBy("doc_id").agg(F.collect_set(F.struct("leader", "size")).alias("known"))  # one for each of a text's keys at most
+    others = led(placed.join(known, "doc_id", "left"), buckets.join(sized(largest.select("key")), "key", "left_anti"))
+    others = others.where(~F.coalesce(F.array_contains("known", F.struct("leader", "size")), F.lit(False)))
+    return first.union(others.select(first.columns))
+
+
 def _met(spark: SparkSession, texts: DataFrame, near: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between the components of members, from all pairs of near(key, doc_id, size) that share a key."""
     placed = near.select("key", "doc_id", "size").join(sized(members.withColumnRenamed("node", "doc_id")), "doc_id", "left")
@@ -540,10 +557,8 @@ def _met(spark: SparkSession, texts: DataFrame, near: DataFrame, members: DataFr
     buckets = placed.groupBy("key").agg(F.min("component").alias("leader"), F.max("component").alias("last"), F.count("*").alias("n"), *texts_of).where("leader < last")
     # keys of the same texts, as of a long passage, are one bucket
     buckets = written(spark, buckets.groupBy("leader", "last", "n", "texts1", "texts2").agg(F.min("key").alias("key")).select("key", "leader", "n"), "buckets")
-    few, total = buckets.agg(F.count("*"), F.sum("n")).first()
-    # keys of several components; if they are many, those of very many texts are broadcast and the others shuffled
-    led = placed.join(F.broadcast(buckets), "key") if few <= BROADCAST_ROWS else joined_by_count(placed, buckets, "key", total)
-    meeting = led.groupBy("doc_id", "component").agg(F.max("size").alias("size"), F.collect_set("leader").alias("leaders"))
+    every = leaders_of(spark, placed, buckets)
+    meeting = every.groupBy("doc_id", "component").agg(F.max("size").alias("size"), F.collect_set("leader").alias("leaders"))
     meeting = written(spark, meeting, "meetings")  # a leader for each of a text's keys at most
     differ = F.min("component") < F.max("component")
     step = F.lit(float(np.log(1.01 / similarity)))  # similar texts are in one cell or the next

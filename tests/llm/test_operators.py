@@ -491,6 +491,20 @@ def test_texts_of_a_repeated_id(spark):
         assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 1)]
 
 
+def test_a_text_has_a_row_for_a_leader_not_for_each_key(spark, monkeypatch):
+    """30 keys of one leader, of which each lacks another text, and one key of another leader."""
+    texts = range(100, 140)
+    keys = [(k, d, d, 60) for k in range(30) for d in texts if d != 100 + k] + [(99, d, d, 60) for d in (7, 110, 139)]
+    placed = spark.createDataFrame([*keys, *((k, 5, 5, 60) for k in range(30))], "key long, component long, doc_id long, size int")
+    buckets = spark.createDataFrame([*((k, 5, 40) for k in range(30)), (99, 7, 3)], "key long, leader long, n long")
+    wanted = sorted([(d, 5) for d in (5, *texts)] + [(d, 7) for d in (7, 110, 139)])
+    for most in (order_minhash.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(order_minhash, "BROADCAST_ROWS", most)
+        got = sorted((r["doc_id"], r["leader"]) for r in order_minhash.leaders_of(spark, placed, buckets).collect())
+        assert sorted(set(got)) == wanted
+        assert len(got) < 80  # of 1203 texts and keys
+
+
 def test_order_minhash_empty_and_drop(spark, odd):
     assert order_minhash.near_classes(spark, empty(spark)).count() == 0
     df = docs_of(spark, odd)
