@@ -166,7 +166,9 @@ def pair_counts(spark: SparkSession, words: DataFrame) -> DataFrame:
     """words(n, links) -> a, b, count, best (1 if no other a has a higher count with b)."""
     pairs = written(spark, words.select("n", F.inline("links")).groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
     most = pairs.groupBy("b").agg(F.max("count").alias("most"))
-    return written(spark, pairs.join(sized(most), "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("int").alias("best")), "pair-counts")
+    out = written(spark, pairs.join(sized(most), "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("int").alias("best")), "pair-counts")
+    dropped(spark, pairs)
+    return out
 
 
 def weighed(spark: SparkSession, words: DataFrame) -> DataFrame:
@@ -178,7 +180,9 @@ def weighed(spark: SparkSession, words: DataFrame) -> DataFrame:
     rest = first.where("count is null").select("unit", "a", "b").join(pairs.where(~hot), ["a", "b"])
     found = first.where("count is not null").select("unit", "count", "best").union(rest.select("unit", "count", "best"))
     sums = found.groupBy("unit").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    return written(spark, words.drop("links").join(sums, "unit").drop("unit"), "words", "zstd")
+    out = written(spark, words.drop("links").join(sums, "unit").drop("unit"), "words", "zstd")
+    dropped(spark, pairs)
+    return out
 
 
 def align(spark: SparkSession, docs: DataFrame, a: str = A, b: str = B) -> DataFrame:

@@ -126,3 +126,14 @@ def test_query_hashes_the_groups(spark, sides):
     found = ta.op11_token_alignment(spark, "/root/testdata/sf0.001")
     assert found.where("(n_groups = 0) <> (groups_sha256 = '')").count() == 0
     assert found.where(F.length("groups_sha256").isin(0, 64)).count() == found.count()
+
+
+def test_pair_tables_go_when_they_were_read(spark, monkeypatch):
+    from pathlib import Path
+
+    names = []
+    monkeypatch.setattr(ta, "written", lambda s, df, name, *a, f=ta.written: (out := f(s, df, name, *a), names.append((name, out.inputFiles()[0])))[0])
+    words = spark.createDataFrame([(0, "a", 3, [(1, 2)]), (1, "b", 1, [(1, 2), (4, 2)])], "unit long, part string, n long, links array<struct<a int, b int>>")
+    got = {r["part"]: (r["n_best"], r["count_sum"]) for r in ta.weighed(spark, words).collect()}
+    assert got == {"a": (1, 4), "b": (1, 5)}
+    assert [n for n, f in names if Path(f.removeprefix("file://")).exists()] == ["words"]
