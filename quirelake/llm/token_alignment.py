@@ -219,20 +219,24 @@ def align(spark: SparkSession, docs: DataFrame, a: str = A, b: str = B) -> DataF
     words = weighed(spark, found)
     dropped(spark, found)
 
-    # the texts, in their partitions by key, look the words up
-    one = written(spark, spoken.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")), "texts", "zstd")
+    one = spoken.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    one = written(spark, one.select("doc_id", "text", "copies", F.monotonically_increasing_id().alias("row")), "texts", "zstd")
+    placed = lambda texts: texts.select("row", F.posexplode(parts).alias("pos", "part"))
+    hot = hot_rows(words, "n", HOT_ROWS) & (F.octet_length("part") <= HOT_WORD) & (F.octet_length("groups") <= HOT_TEXT)
+    columns = ("row", "pos", *_COUNTS, "groups")
+    common = written(spark, words.where(hot).drop("n"), "common", "zstd")
+    # words that are not broadcast go to theirs and are written: the shuffle files of the way there don't lie beside those of the way back
+    rare = placed(one).join(F.broadcast(common.select("part")), "part", "left_anti").join(words.where(~hot), "part").select(*columns)
+    rare = written(spark, rare, "rare", "zstd")
+    dropped(spark, words)
+
     # rows of words are ten times as large as the texts
     fine = WIDER * partitions
-    placed = one.repartition(fine, "k1", "k2").select("k1", "k2", "doc_id", "copies", F.posexplode(parts).alias("pos", "part"))
-    hot = hot_rows(words, "n", HOT_ROWS) & (F.octet_length("part") <= HOT_WORD) & (F.octet_length("groups") <= HOT_TEXT)
-    names = ("k1", "k2", "doc_id", "copies")
-    columns = (*names, "pos", *_COUNTS, "groups")
-    common = words.where(hot).drop("n")
-    # what is broadcast stays in its partitions by key; the rest joins it there
-    hits = placed.join(F.broadcast(common), "part").select(*columns)
-    rest = placed.join(F.broadcast(common.select("part")), "part", "left_anti").join(words.where(~hot), "part").select(*columns)
-    both = hits.union(rest.repartition(fine, *names[:2]))
-    total = both.groupBy(*names).agg(*[F.sum(c).cast("long").alias(c) for c in _COUNTS], F.collect_list(F.struct("pos", F.col("groups").alias("text"))).alias("texts"))
+    # the texts look the others up, and what is broadcast stays in its partitions by row
+    hits = placed(one.select("row", "text").repartition(fine, "row")).join(F.broadcast(common), "part").select(*columns)
+    whose = one.select("row", "doc_id", "copies").repartition(fine, "row").select("row", *[F.lit(None).alias(c) for c in columns[1:]], "doc_id", "copies")
+    both = whose.unionByName(hits, allowMissingColumns=True).unionByName(rare.repartition(fine, "row"), allowMissingColumns=True)
+    total = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("copies").alias("copies"), *[F.sum(c).cast("long").alias(c) for c in _COUNTS], F.collect_list(F.struct("pos", F.col("groups").alias("text"))).alias("texts"))
     result = total.select("doc_id", *_COUNTS, _in_order(F.col("texts"), ";").alias("groups"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
     none = mute.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in _COUNTS], F.lit("").alias("groups"))
     out = result.drop("_copy").union(none)

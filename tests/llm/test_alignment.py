@@ -137,3 +137,17 @@ def test_pair_tables_go_when_they_were_read(spark, monkeypatch):
     got = {r["part"]: (r["n_best"], r["count_sum"]) for r in ta.weighed(spark, words).collect()}
     assert got == {"a": (1, 4), "b": (1, 5)}
     assert [n for n, f in names if Path(f.removeprefix("file://")).exists()] == ["words"]
+
+
+def test_rare_words_are_written_before_the_texts_are_dealt(spark, sides, monkeypatch):
+    """The way of rare words to their words and the way back are never on disk at once, and a text's rows meet without being dealt again."""
+    from pathlib import Path
+
+    monkeypatch.setattr(ta, "HOT_ROWS", 5)
+    names = []
+    monkeypatch.setattr(ta, "written", lambda s, df, name, *a, f=ta.written: (out := f(s, df, name, *a), names.append((name, out.inputFiles()[0])))[0])
+    found = ta.align(spark, docs_of(spark, [(i, f"word{i} of the text of {i * i}", "en", "a") for i in range(40)]))
+    assert [n for n, f in names if Path(f.removeprefix("file://")).exists()] == ["texts", "common", "rare"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and "SortMergeJoin" not in plan
+    assert found.count() == 40
