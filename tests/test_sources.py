@@ -341,3 +341,28 @@ def test_encryption_of_archives():
     assert list(archives.encrypted_entries(made(fonts))) == [(0, "fonts/a b.otf", IDPF, None, None, None)]
     kinds = [archives.protection(x) for x in (zipped(a="x"), made(fonts), made(book), made(other), made(other, **{"META-INF__rights_dot_xml": "<r/>"}), zipped(license_dot_lcpl="{}"))]
     assert kinds == [None, None, "lcp", "unknown", "adept", "lcp"]
+
+
+def test_pdf_outlines_are_written_and_read_in_proportion(monkeypatch):
+    """Steps of the general lexer don't come up for usual files; odd objects inside lists are read as alone; a long outline takes no search among its later entries."""
+    steps = []
+    monkeypatch.setattr(pdf.Lexer, "skip", lambda self, f=pdf.Lexer.skip: (steps.append(1), f(self))[1])
+    entries = [(0 if i % 50 == 0 else 1 + i % 2, f"line {i}", i % 3) for i in range(6000)]
+
+    class Counted(list):
+        passes = 0
+
+        def __iter__(self):
+            Counted.passes += 1
+            return super().__iter__()
+
+    raw = pdf.write_pdf("T", "A", 3, Counted(entries))
+    assert Counted.passes < 10
+    got = [e for _, *e in pdf.outline_items(raw)]
+    assert len(got) > 100 and got[0] == [0, "line 0", 0] and len(steps) < 2 * len(entries) + 100
+    odd = [b"1", b"-.5", b"2 0 R", b"2 0 Rx", b"/A#42", b"<486>", b"(a\\(b\\)(c)\\101)", b"<</A 1>>", b"[1 [2]]", b"true", b"null"]
+    listed = pdf.Lexer(b"[% x\n" + b" ".join(odd) + b"]").object()
+    assert listed == [1, -0.5, pdf.Ref(2), 2, 0, None, "AB", b"H`", b"a(b)(c)A", {"A": 1}, [1, [2]], True, None]
+    for broken in (b"[1 2", b"[1 >> 2]", b"<</A 1]", b"[" * 300):
+        with pytest.raises(ValueError):
+            pdf.Lexer(broken).object()
