@@ -42,7 +42,9 @@ def expand(keywords: DataFrame, seeds: DataFrame, fraction: float = 0.5, decay:
     """seeds(keyword, weight) with the neighbours of strong ones; seeds are never replaced, and a neighbour of several gets its best weight."""
     strongest = seeds.agg(F.max("weight").alias("_max"))
     strong = seeds.crossJoin(F.broadcast(strongest)).where((F.col("_max") > 0) & (F.col("weight") >= F.col("_max") * fraction))  # one row
-    near = neighbours(keywords.join(seeds.select("keyword"), "keyword", "left_anti").unionByName(keywords.join(strong.select("keyword"), "keyword", "left_semi")), strong)
+    # one pass over the keywords, not one for strong seeds and one for the others
+    weak = seeds.select("keyword").join(strong.select("keyword"), "keyword", "left_anti")
+    near = neighbours(keywords.join(weak, "keyword", "left_anti"), strong)
     near = near.join(seeds.select("keyword"), "keyword", "left_anti")
     new = near.join(strong.select(F.col("keyword").alias("seed"), "weight"), "seed").groupBy("keyword").agg(F.max(F.col("weight") * F.col("jaccard") * decay).alias("weight"))
     return seeds.select("keyword", "weight").unionByName(new)
