@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from hashlib import blake2b
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,29 @@ from .ranking import cap_by
 ROWS, QUERIES, BROADCAST_QUERIES = 4096, 1024, 200_000
 
 
-def packed(df: DataFrame, rows: int) -> DataFrame:
-    """df -> data: its rows as Arrow streams of so many rows at most."""
+def packed(df: DataFrame, rows: int, flag: str | None = None, value: bool = True) -> DataFrame:
+    """df -> data: its rows as Arrow streams of so many rows at most; with a flag, without it and only rows where it has the value.
 
+    Rows are told apart here and not by a filter, which Spark would push below
+    a shuffle: so both values come from one shuffle."""
+
+    def chosen(batch):
+        return batch if flag is None else batch.filter(pc.equal(batch[flag], value)).drop_columns([flag])
+
+    return _packed(df, rows, chosen)
+
+
+def repacked(df: DataFrame, rows: int, parts: int) -> DataFrame:
+    """What ``packed`` gave, dealt to so many partitions, in as few streams of so many rows."""
+
+    def all_of(batch):
+        for data in batch.column("data"):
+            yield from unpacked(data.as_buffer()).to_batches()
+
+    return _packed(df.repartition(parts), rows, None, all_of)
+
+
+def _packed(df: DataFrame, rows: int, chosen: Callable | None, parts: Callable = lambda batch: [batch]) -> DataFrame:
     def run(batches):
         def out(held):
             table = pa.Table.from_batches(held).combine_chunks()
@@ -35,7 +57,8 @@ def packed(df: DataFrame, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
 
         held, n = [], 0
-        for batch in batches:
+        for batch in (part for batch in batches for part in parts(batch)):
+            batch = batch if chosen is None else chosen(batch)
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
                 if n and n + part.num_rows > rows:
@@ -87,6 +110,17 @@ class Best:
         self.score[row[keep], place[keep]] = score[keep]
         self.id[row[keep], place[keep]] = ident[keep]
 
+    def put(self, row: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of one query, none of them -inf."""
+        if self.score[row, 0] == -np.inf:
+            order = np.lexsort((ids, -scores))[: self.k]
+            self.score[row, : len(order)], self.id[row, : len(order)] = scores[order], ids[order]
+            return
+        old = np.count_nonzero(self.score[row] > -np.inf)
+        score, ident = np.concatenate([self.score[row, :old], scores]), np.concatenate([self.id[row, :old], ids])
+        order = np.lexsort((ident, -score))[: self.k]
+        self.score[row, : len(order)], self.id[row, : len(order)] = score[order], ident[order]
+
 
 def best_of(queries: DataFrame, rows: DataFrame, k: int, prepare: Callable[[pa.Table], object], score: Callable[[object, object], np.ndarray]) -> DataFrame:
     """queries and rows (each with a long id, not null) -> query_id, id, score: the k best of each query by score, then id.
@@ -94,11 +128,27 @@ def best_of(queries: DataFrame, rows: DataFrame, k: int, prepare: Callable[[pa.T
     prepare makes a block's table into what score takes; score(query block, row
     block) gives a matrix of doubles, -inf where there is no pair, never NaN."""
     spark = rows.sparkSession
-    small_batches(spark)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     few = queries.select("id").limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    asked = packed(queries, QUERIES).withColumnRenamed("data", "asked")
-    both = packed(rows, ROWS).repartition(n).crossJoin(F.broadcast(asked) if few else asked)
+
+    def whole(table: pa.Table) -> SimpleNamespace:
+        return SimpleNamespace(ids=table["id"].to_numpy(), ready=prepare(table))
+
+    def meet(asked: SimpleNamespace, block: SimpleNamespace, best: Best) -> None:
+        best.add(score(asked.ready, block.ready), block.ids)
+
+    return best_of_blocks(packed(queries, QUERIES), packed(rows, ROWS).repartition(n), k, "broadcast" if few else None, whole, meet)
+
+
+def best_of_blocks(queries: DataFrame, rows: DataFrame, k: int, hint: str | None, prepare: Callable[[pa.Table], object], meet: Callable[[object, object, Best], None]) -> DataFrame:
+    """queries and rows (data: what ``packed`` gives of tables with a long id) -> query_id, id, score, as ``best_of``; hint: how Spark joins blocks.
+
+    prepare makes a block's table into what meet takes, with its ids in the
+    order of its own rows; meet(query block, row block, best) adds what it
+    finds to the best of the query block."""
+    small_batches(rows.sparkSession)
+    asked = queries.withColumnRenamed("data", "asked")
+    both = rows.crossJoin(asked.hint(hint) if hint else asked)
 
     def run(batches):
         blocks: dict[bytes, tuple] = {}
@@ -107,16 +157,14 @@ def best_of(queries: DataFrame, rows: DataFrame, k: int, prepare: Callable[[pa.T
             for data, question in zip(batch.column("data"), batch.column("asked")):
                 data, question = data.as_buffer(), question.as_buffer()
                 if (mark := blake2b(data, digest_size=16).digest()) != name:
-                    table = unpacked(data)
-                    name, block = mark, (table["id"].to_numpy(), prepare(table))
+                    name, block = mark, prepare(unpacked(data))
                 if (mark := blake2b(question, digest_size=16).digest()) not in blocks:
-                    table = unpacked(question)
-                    blocks[mark] = table["id"].to_numpy(), prepare(table), Best(table.num_rows, k)
-                _, ready, best = blocks[mark]
-                best.add(score(ready, block[1]), block[0])
-        for ids, _, best in blocks.values():
+                    ready = prepare(unpacked(question))
+                    blocks[mark] = ready, Best(len(ready.ids), k)
+                meet(blocks[mark][0], block, blocks[mark][1])
+        for ready, best in blocks.values():
             q, place = np.nonzero(best.score > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.id[q, place]), pa.array(best.score[q, place])], ["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ready.ids[q]), pa.array(best.id[q, place]), pa.array(best.score[q, place])], ["query_id", "id", "score"])
 
     found = both.mapInArrow(run, "query_id long, id long, score double")
     return cap_by(found, ["query_id"], [F.desc("score"), "id"], k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -10,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from . import nearest
 from .joins import NO_AUTHOR
-from .nearest import best_of, rounded
+from .nearest import Best, best_of_blocks, packed, repacked, rounded
 from .recommend import SIGNALS
 
 #: A title that holds the other gives a score of so much at least; books in a result.
@@ -20,76 +23,115 @@ CONTAINED, MOST = 0.40, 10
 LEAST_TITLE = 2
 #: Array columns of which the common words count.
 WORDS = ("tags", "title_words", "description_words")
-#: Words of a block of seeds up to which common ones are counted as a matrix product.
-DENSE = 256
+#: A tag that one in so many books has is held as a row of zeros and ones; books in which a first bound is sought; what single precision may be off; less than any score.
+OFTEN, TRIED, SLACK, TINY = 16, 2048, 1e-5, 5e-7
+#: Blocks are so many times those of dense matrices, as no matrix of pairs is made; tasks for each core at least.
+WIDE, TASKS = 32, 2
 
 
-def _prepared(books: DataFrame, keywords: DataFrame) -> DataFrame:
-    """books -> id, author and title (null where they don't count), and the arrays as hashes; keywords with weights by ln(1 + df)."""
-    df = keywords.groupBy("keyword").agg(s.collection_weight(F.count("*")).alias("rare"))
-    weighed = keywords.join(df, "keyword").select(F.col("book_id").alias("id"), F.xxhash64("keyword").alias("contents"), (F.col("weight") * F.col("rare")).alias("w"))
+def _prepared(books: DataFrame, seeds: DataFrame, keywords: DataFrame) -> DataFrame:
+    """asked (false for books, true for seeds), id, author and title (null where they don't count), and the arrays as hashes; keywords with weights by ln(1 + df)."""
+    # counted in the one shuffle that deals the keywords out, so that texts are read for them once
+    df = F.count("*").over(Window.partitionBy("keyword"))
+    weighed = keywords.where("keyword is not null").select(F.col("book_id").alias("id"), F.xxhash64("keyword").alias("contents"), (F.col("weight") * s.collection_weight(df)).alias("w"))
     listed = weighed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("contents", "w"))).alias("_k"))
     author, title = F.lower(F.trim("author")), F.lower(F.trim("title"))
     arrays = [F.transform(F.array_distinct(F.coalesce(c, F.array())), lambda x: F.xxhash64(x)).alias(c) for c in WORDS]
-    named = books.where("id is not null").select(F.col("id").cast("long").alias("id"), F.when(~F.trim("author").isin("", NO_AUTHOR[0]), author).alias("author"), F.when(F.length(title) >= LEAST_TITLE, title).alias("title"), *arrays)
-    return named.join(listed, "id", "left").select("id", "author", "title", *WORDS, F.col("_k.contents").alias("contents"), F.col("_k.w").alias("w"))
+    columns = [F.col("id").cast("long").alias("id"), F.when(~F.trim("author").isin("", NO_AUTHOR[0]), author).alias("author"), F.when(F.length(title) >= LEAST_TITLE, title).alias("title"), *arrays]
+    named = [df.where("id is not null").select(F.lit(asked).alias("asked"), *columns) for asked, df in ((False, books), (True, seeds))]
+    return named[0].union(named[1]).join(listed, "id", "left").select("asked", "id", "author", "title", *WORDS, F.col("_k.contents").alias("contents"), F.col("_k.w").alias("w"))
 
 
 class _Words:
-    """An array column of a block: each word with its row, in the order of words."""
-
-    def __init__(self, column, weights=None):
-        n = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype("i8")
-        words = pc.list_flatten(column).to_numpy()
-        order = np.argsort(words, kind="stable")
-        self.n, self.words, self.row = n, words[order], np.repeat(np.arange(len(n)), n)[order]
-        self.weight = None if weights is None else pc.list_flatten(weights).to_numpy()[order]
-
-    def times(self, other: _Words) -> np.ndarray:
-        """By rows of both, the number of common words, or the sum of products of weights."""
-        if self.weight is None and 0 < len(known := np.unique(self.words)) <= DENSE:
-            return self._dense(known) @ other._dense(known).T
-        first = np.searchsorted(other.words, self.words, "left")
-        n = np.searchsorted(other.words, self.words, "right") - first
-        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pair = np.repeat(self.row, n) * len(other.n) + other.row[at]
-        weight = None if self.weight is None else np.repeat(self.weight, n) * other.weight[at]
-        return np.bincount(pair, weight, len(self.n) * len(other.n)).reshape(len(self.n), -1)
-
-    def _dense(self, known: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(self.n), len(known)), "f4")
-        place = np.minimum(np.searchsorted(known, self.words), len(known) - 1)
-        hit = known[place] == self.words
-        out[self.row[hit], place[hit]] = 1
-        return out
-
-    def jaccard(self, other: _Words) -> np.ndarray:
-        both = self.times(other).astype("f8")
-        return both / np.maximum(self.n[:, None] + other.n[None, :] - both, 1)
+    """An array column of a block, row by row: first and last place of a row's words, and the words' numbers."""
+
+    def __init__(self, column):
+        self.n = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype("i8")
+        self.end = np.cumsum(self.n)
+        self.known, self.word = np.unique(pc.list_flatten(column).to_numpy(), return_inverse=True)
+
+    def of(self, row: int) -> np.ndarray:
+        return self.word[self.end[row] - self.n[row] : self.end[row]]
+
+
+class _Postings:
+    """The same column, word by word: the rows that have it, and their weights if there are any."""
+
+    def __init__(self, words: _Words, weights=None):
+        order = np.argsort(words.word, kind="stable")
+        self.rows = np.repeat(np.arange(len(words.n)), words.n)[order]
+        self.weights = None if weights is None else weights[order]
+        self.end = np.cumsum(np.bincount(words.word, minlength=len(words.known)))
+        self.start = np.concatenate([[0], self.end[:-1]]).astype("i8")
+        self.known = words.known
+
+    def places(self, words: _Words) -> list[list[tuple[int, int]]]:
+        """For each word of another block where its rows begin and end here; both 0 if it isn't here."""
+        if not len(self.known):
+            return [(0, 0)] * len(words.known)
+        place = np.minimum(np.searchsorted(self.known, words.known), len(self.known) - 1)
+        here = self.known[place] == words.known
+        return list(zip(np.where(here, self.start[place], 0).tolist(), np.where(here, self.end[place], 0).tolist()))
 
 
 class _Block:
+    """Books in the order in which authors first come, so that an author's are neighbours."""
+
     def __init__(self, table):
-        self.ids = table["id"].to_numpy()
-        self.author, self.title = table["author"].to_pylist(), table["title"].to_pylist()
-        whole = {c: table[c].combine_chunks() for c in (*WORDS, "contents", "w")}
-        self.arrays = [_Words(whole[c]) for c in WORDS]
-        self.contents = _Words(whole["contents"], whole["w"])
-        self.total = np.bincount(self.contents.row, self.contents.weight, len(self.ids))
+        table = table.take(np.argsort(pc.fill_null(table["author"], "").combine_chunks().dictionary_encode().indices.to_numpy(), kind="stable"))
+        self.ids, self.author, self.title = table["id"].to_numpy(), table["author"].to_pylist(), table["title"].to_pylist()
+        self.arrays = [_Words(table[c].combine_chunks()) for c in WORDS]
+        self.contents, self.w = _Words(table["contents"].combine_chunks()), pc.list_flatten(table["w"].combine_chunks()).to_numpy()
+
+    def weights(self, row: int) -> list[float]:
+        return self.w[self.contents.end[row] - self.contents.n[row] : self.contents.end[row]].tolist()
+
+    @cached_property
+    def tags(self) -> list[bytes]:
+        """A name for each book's set of tags."""
+        return [np.sort(self.arrays[0].of(i)).tobytes() for i in range(len(self.ids))]
+
+    @cached_property
+    def order(self) -> list[int]:
+        """Books of the same tags, then author, are neighbours."""
+        return sorted(range(len(self.ids)), key=lambda i: (self.tags[i], self.author[i] or ""))
+
+    @cached_property
+    def titles(self) -> _Titles:
+        return _Titles(self.title, range(len(self.ids)))
+
+    @cached_property
+    def index(self) -> _Index:
+        return _Index(self)
+
+
+class _Index:
+    """What is asked of a block of books for each seed."""
+
+    def __init__(self, block: _Block):
+        n = len(block.ids)
+        self.tags, self.title, self.description = (_Postings(x) for x in block.arrays)
+        self.contents = _Postings(block.contents, block.w)
+        self.sizes = [x.n.astype("f4") for x in block.arrays]
+        self.often = {int(a): np.bincount(self.tags.rows[a:b], minlength=n).astype("u1") for a, b in zip(self.tags.start, self.tags.end) if b - a > n // OFTEN}
+        self.authors: dict[str, tuple[int, int]] = {}
+        for i, x in enumerate(block.author):
+            self.authors[x] = self.authors.get(x, (i,))[0], i + 1
+        self.authors.pop(None, None)
+        self.sorted_ids = np.sort(block.ids)
+
+
+class _Titles:
+    def __init__(self, titles: list, rows):
         self.titles: dict[str, list[int]] = {}
-        for i, x in enumerate(self.title):
-            if x is not None:
-                self.titles.setdefault(x, []).append(i)
+        for i in rows:
+            if titles[i] is not None:
+                self.titles.setdefault(titles[i], []).append(i)
         self.lengths: dict[int, list[str]] = {}
         for x in self.titles:
             self.lengths.setdefault(len(x), []).append(x)
 
-    def same_author(self, other: _Block) -> np.ndarray:
-        codes = {a: i for i, a in enumerate({*self.author} - {None})}
-        mine, its = (np.array([codes.get(a, none) for a in x.author]) for x, none in ((self, -1), (other, -2)))
-        return mine[:, None] == its[None, :]
-
-    def within(self, other: _Block):
+    def within(self, other: _Titles):
         """(rows of self, rows of other) of which the ones' title is a part of the others', or the same."""
         for n, short in self.lengths.items():
             for m, long in other.lengths.items():
@@ -105,27 +147,151 @@ class _Block:
                 yield from ((self.titles[x], other.titles[y]) for x, y in pairs)
 
 
-def _score(seeds: _Block, books: _Block) -> np.ndarray:
-    tags, title, description = (a.jaccard(b) for a, b in zip(seeds.arrays, books.arrays))
-    contents = np.minimum(1.0, seeds.contents.times(books.contents) / np.maximum(seeds.total, 1e-9)[:, None])
-    score = sum((w * x for w, x in zip(SIGNALS, (tags, seeds.same_author(books), title, description, contents))), 0.0)
-    for mine, its in chain(seeds.within(books), ((i, j) for j, i in books.within(seeds))):
-        held = np.ix_(mine, its)
-        score[held] = np.maximum(score[held], CONTAINED)
-    score = rounded(score)
-    score[(score <= 0) | (seeds.ids[:, None] == books.ids[None, :])] = -np.inf
-    return score
+def _meet(seeds: _Block, books: _Block, best: Best) -> None:
+    """The best books of a block for each seed of another, added to best.
+
+    Books of a common word in title, description or contents are found word by
+    word and scored in single precision. Of the others, whose score is that of
+    tags and author, only those are taken that are as good as the last of the
+    best so far. What may be among the best is scored in double precision."""
+    x, n, k = books.index, len(books.ids), best.k
+    at = [p.places(w) for p, w in zip((x.tags, x.title, x.description, x.contents), (*seeds.arrays, seeds.contents))]
+    own = (np.searchsorted(x.sorted_ids, seeds.ids, "right") - np.searchsorted(x.sorted_ids, seeds.ids, "left")).tolist()
+    total = np.maximum(np.bincount(np.repeat(np.arange(len(seeds.ids)), seeds.contents.n), seeds.w, len(seeds.ids)), 1e-9).tolist()
+    # by book: common tags, their part of the score, common words of title and description, sums of contents; what a seed sets is set back
+    both, tagged, other = np.zeros(n, "u1" if max(seeds.arrays[0].n) < 256 else "i4"), np.zeros(n, "f4"), np.zeros(n, "f4")
+    common, hit, inside, mark = [np.zeros(n, "i4"), np.zeros(n, "i4")], np.zeros(n), np.zeros(n, bool), np.full(n, -1)
+    step, ones = max(1, n // TRIED), np.ones(n, "i4")
+
+    def found(held: dict[int, np.ndarray] | None):
+        """i, scores, rows: of the seeds in held (all: None), with the rows that hold their title or are held by it."""
+        key, author = None, None
+        for i in seeds.order if held is None else (i for i in seeds.order if i in held):
+            if key != seeds.tags[i]:
+                key, author, size = seeds.tags[i], (), float(seeds.arrays[0].n[i])
+                both.fill(0)
+                for w in seeds.arrays[0].of(i).tolist():
+                    a, b = at[0][w]
+                    if b > a and a in x.often:
+                        np.add(both, x.often[a], out=both)
+                    else:
+                        both[x.tags.rows[a:b]] += 1
+                np.copyto(tagged, both)
+                if size:
+                    np.subtract(x.sizes[0], tagged, out=other)
+                    np.add(other, np.float32(size), out=other)
+                    np.divide(tagged, other, out=tagged)
+                    np.multiply(tagged, np.float32(SIGNALS[0]), out=tagged)
+                top = float(tagged.max())
+            if author != seeds.author[i]:
+                author, bounds = seeds.author[i], {}
+                first, last = x.authors.get(author, (0, 0))
+            if (m := k + own[i]) not in bounds:
+                tried = tagged[::step].copy()
+                tried[-(-first // step) : -(-last // step)] += np.float32(SIGNALS[1])
+                bounds[m] = _kth(tried, m)
+            least = max(float(best.score[i, -1]), bounds[m]) - SLACK
+            words = [_joined([p.rows[a:b] for a, b in map(places.__getitem__, w.of(i).tolist()) if b > a]) for p, places, w in ((x.title, at[1], seeds.arrays[1]), (x.description, at[2], seeds.arrays[2]))]
+            for count, rows in zip(common, words):
+                np.add.at(count, rows, ones[: len(rows)] if len(rows) <= n else np.ones(len(rows), "i4"))
+            spans = [(*at[3][w], y) for w, y in zip(seeds.contents.of(i).tolist(), seeds.weights(i)) if at[3][w][1]]
+            words.append(_joined([x.contents.rows[a:b] for a, b, _ in spans]))
+            if spans:
+                np.add.at(hit, words[2], np.concatenate([x.contents.weights[a:b] * y for a, b, y in spans]))
+            if held is not None:
+                inside[held[i]] = True
+
+            def score(rows: np.ndarray, kind: type, worded: bool = True) -> np.ndarray:
+                out = rows >= first
+                out &= rows < last
+                out = out * kind(SIGNALS[1])
+                if kind is np.float64:
+                    y = both.take(rows).astype(kind)
+                    out = SIGNALS[0] * (y / np.maximum(x.sizes[0].take(rows) + size - y, 1)) + out
+                else:
+                    out += tagged.take(rows)
+                for weight, count, sizes, a in zip(SIGNALS[2:], common, x.sizes[1:], seeds.arrays[1:]):
+                    if worded and a.n[i]:
+                        y = count.take(rows).astype(kind)
+                        out += kind(weight) * (y / np.maximum(sizes.take(rows) + kind(a.n[i]) - y, 1))
+                if spans:
+                    out += kind(SIGNALS[4]) * np.minimum(1, hit.take(rows) / total[i]).astype(kind)
+                if held is not None:
+                    out = np.where(inside[rows], np.maximum(out, kind(CONTAINED)), out)
+                return out
+
+            # books of common words in title or description come last, so that their full score counts
+            near = _joined([*words[:2], *([] if held is None else [held[i]])])
+            rough = np.concatenate([score(words[2], np.float32, False), score(near, np.float32)])
+            keep = rough >= least
+            rows, rough = np.concatenate([words[2], near]).compress(keep), rough.compress(keep)
+            mark[rows] = places = np.arange(len(rows))
+            keep = mark.take(rows) == places
+            rows, rough = rows.compress(keep), rough.compress(keep)
+            least = max(least, _kth(rough, m) - SLACK)
+            plain = [first + np.flatnonzero(tagged[first:last] >= least - SIGNALS[1])]
+            if top >= least:
+                others = np.flatnonzero(tagged >= max(least, TINY))
+                plain.append(others[(others < first) | (others >= last)])
+            plain = _joined(plain)
+            fit = np.concatenate([rows.compress(rough >= least), plain.compress(mark.take(plain) < 0)])
+            fit = fit[books.ids[fit] != seeds.ids[i]]
+            scores = rounded(score(fit, np.float64))
+            keep = scores >= max(_kth(scores, k), TINY)
+            fit, scores = fit[keep], scores[keep]
+            order = np.lexsort((books.ids[fit], -scores))[:k]
+            mark[rows] = -1
+            for count, rows in zip((*common, hit), words):
+                count[rows] = 0
+            if held is not None:
+                inside[held[i]] = False
+            yield i, scores[order], fit[order]
+
+    late = {}
+    for i, scores, rows in found(None):
+        # a title that holds the other changes nothing above CONTAINED
+        if seeds.title[i] is not None and best.score[i, -1] <= CONTAINED and (len(rows) < k or scores[-1] <= CONTAINED):
+            late[i] = scores, rows
+        else:
+            best.put(i, scores, books.ids[rows])
+    if late:
+        titles, held = _Titles(seeds.title, late), {}
+        for mine, its in chain(titles.within(books.titles), ((i, j) for j, i in books.titles.within(titles))):
+            for i in mine:
+                held.setdefault(i, []).append(its)
+        for i in late.keys() - held.keys():
+            best.put(i, late[i][0], books.ids[late[i][1]])
+        for i, scores, rows in found({i: np.unique(np.concatenate(lists)) for i, lists in held.items()}):
+            best.put(i, scores, books.ids[rows])
+
+
+def _joined(lists: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(lists) if len(lists) > 1 else lists[0] if lists else np.empty(0, "i8")
+
+
+def _kth(values: np.ndarray, k: int) -> float:
+    """The k-th largest value, or -inf."""
+    return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else -np.inf
 
 
-def single_book(books: DataFrame, keywords: DataFrame, seeds: DataFrame, most: int = MOST) -> DataFrame:
+def single_book(books: DataFrame, keywords: DataFrame, seeds: DataFrame, most: int = MOST, counts: tuple[int, int] | None = None) -> DataFrame:
     """books and seeds (id, title, author, tags, title_words, description_words), keywords(book_id, keyword, weight)
     -> seed, id, score, rank: the ``most`` best of each seed, ties by id.
 
     The score has five signals (tags, author, title, description, contents) by
     their weights; a title that holds the other makes it CONTAINED at least.
     Words are compared by their 64-bit hashes. Every seed meets every book, in
-    blocks; no row is made for a pair. Null arrays count as empty, null texts
-    as ''; rows without an id are left out."""
-    found = best_of(_prepared(seeds, keywords), _prepared(books, keywords), most, _Block, _score)
+    blocks; no row is made for a pair, and only pairs that may be among the
+    best are scored in full. Null arrays count as empty, null texts as '';
+    rows without an id are left out. counts: how many books and seeds there
+    are at most, if that is known."""
+    n, asked = counts or (books.count(), seeds.count())
+    rows, queries = WIDE * nearest.ROWS, WIDE * nearest.QUERIES
+    tasks = TASKS * books.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-n // rows), math.isqrt(tasks))
+    asked_parts = max(-(-asked // queries), -(-tasks // parts))
+    # books and seeds come from one shuffle, so what is before it runs once; Python parts them
+    both = _prepared(books, seeds, keywords).repartition(parts, "id")
+    found = best_of_blocks(repacked(packed(both, queries, "asked", True), queries, asked_parts), packed(both, rows, "asked", False), most, "shuffle_replicate_nl", _Block, _meet)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.select(F.col("query_id").alias("seed"), "id", "score", rank.alias("rank"))

@@ -325,6 +325,48 @@ def test_similar_books_meet_in_blocks_without_rows_for_pairs(spark, monkeypatch)
     assert {(r["seed"], r["rank"]): (r["id"], r["score"]) for r in found.collect()} == want
 
 
+def test_similar_books_score_few_pairs_in_full(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from quirelake.operators import similar_books
+    from quirelake.operators.nearest import Best
+
+    draw = random.Random(3)
+    some = lambda least, most, of: draw.sample(range(of), draw.randint(least, most))
+    word = lambda: "".join(draw.choice("ab") for _ in range(draw.randint(3, 9)))
+    books = []
+    for i in range(4000):
+        keys = sorted(some(0, 8, 300))
+        books.append((i, draw.choice(["ann", "bob", None, "cleo", "ann"]), draw.choice([None, word()]), some(0, 5, 12), some(0, 3, 200), some(0, 4, 200), keys, [draw.random() for _ in keys]))
+    books += [(i, *books[i % 7][1:]) for i in range(4000, 4060)]  # copies: ties go by id
+    books += [(12, *books[40][1:]), (9000, None, None, [], [], [], [], [])]  # an id twice, and a book like none
+    lists = pa.list_(pa.int64())
+    kind = pa.schema([("id", pa.int64()), ("author", pa.string()), ("title", pa.string()), ("tags", lists), ("title_words", lists), ("description_words", lists), ("contents", lists), ("w", pa.list_(pa.float64()))])
+    table = lambda rows: pa.Table.from_pylist([dict(zip(kind.names, r)) for r in rows], kind).combine_chunks()
+    seeds = books[::100] + [books[-1]]
+    full = []
+    monkeypatch.setattr(similar_books, "rounded", lambda x, rounded=similar_books.rounded: full.append(len(x)) or rounded(x))
+    asked, best = similar_books._Block(table(seeds)), Best(len(seeds), 10)
+    half = len(books) // 2
+    for part in (books[:half], books[half:]):  # a later block adds to what an earlier one gave
+        similar_books._meet(asked, similar_books._Block(table(part)), best)
+    assert sum(full) < len(seeds) * len(books) / 10
+    j = lambda x, y: len({*x} & {*y}) / max(1, len({*x} | {*y}))
+
+    def score(x, y):
+        hit = sum(w * dict(zip(y[6], y[7])).get(k, 0) for k, w in zip(x[6], x[7])) / max(sum(x[7]), 1e-9)
+        out = 0.35 * j(x[3], y[3]) + 0.2 * (x[1] is not None and x[1] == y[1]) + 0.1 * j(x[4], y[4]) + 0.2 * j(x[5], y[5]) + 0.15 * min(1.0, hit)
+        return max(out, 0.4) if x[2] and y[2] and (x[2] in y[2] or y[2] in x[2]) else out
+
+    of = {x[0]: x for x in seeds}
+    for q, i in enumerate(asked.ids.tolist()):
+        want = sorted((-round(score(of[i], y), 6), y[0]) for y in books if y[0] != i and score(of[i], y) > 0)[:10]
+        got = [(-s, int(b)) for s, b in zip(best.score[q], best.id[q]) if s > -float("inf")]
+        assert [b for _, b in got] == [b for _, b in want] and [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=2e-6), i
+
+
 def test_nearest_vectors_make_no_row_for_a_pair(spark, monkeypatch):
     from quirelake.operators import nearest
 
