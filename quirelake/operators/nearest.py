@@ -24,8 +24,9 @@ from .ranking import cap_by
 ROWS, QUERIES, BROADCAST_QUERIES = 4096, 1024, 200_000
 
 
-def packed(df: DataFrame, rows: int, flag: str | None = None, value: bool = True) -> DataFrame:
-    """df -> data: its rows as Arrow streams of so many rows at most; with a flag, without it and only rows where it has the value.
+def packed(df: DataFrame, rows: int, flag: str | None = None, value: bool = True, first: int | None = None) -> DataFrame:
+    """df -> data: its rows as Arrow streams of so many rows at most (the first of a task of so many, the next twice as many);
+    with a flag, without it and only rows where it has the value.
 
     Rows are told apart here and not by a filter, which Spark would push below
     a shuffle: so both values come from one shuffle."""
@@ -33,7 +34,7 @@ def packed(df: DataFrame, rows: int, flag: str | None = None, value: bool = True
     def chosen(batch):
         return batch if flag is None else batch.filter(pc.equal(batch[flag], value)).drop_columns([flag])
 
-    return _packed(df, rows, chosen)
+    return _packed(df, rows, chosen, first=first)
 
 
 def repacked(df: DataFrame, rows: int, parts: int) -> DataFrame:
@@ -46,28 +47,27 @@ def repacked(df: DataFrame, rows: int, parts: int) -> DataFrame:
     return _packed(df.repartition(parts), rows, None, all_of)
 
 
-def _packed(df: DataFrame, rows: int, chosen: Callable | None, parts: Callable = lambda batch: [batch]) -> DataFrame:
+def _packed(df: DataFrame, rows: int, chosen: Callable | None, parts: Callable = lambda batch: [batch], first: int | None = None) -> DataFrame:
     def run(batches):
         def out(held):
             table = pa.Table.from_batches(held).combine_chunks()
-            for start in range(0, table.num_rows, rows):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, table.schema) as stream:
-                    stream.write_table(table.slice(start, rows))
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as stream:
+                stream.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
 
-        held, n = [], 0
+        held, n, limit = [], 0, min(first or rows, rows)
         for batch in (part for batch in batches for part in parts(batch)):
             batch = batch if chosen is None else chosen(batch)
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                if n and n + part.num_rows > rows:
-                    yield from out(held)
-                    held, n = [], 0
-                held.append(part)
-                n += part.num_rows
+            while batch.num_rows:
+                held.append(batch.slice(0, limit - n))
+                n += held[-1].num_rows
+                batch = batch.slice(held[-1].num_rows)
+                if n == limit:
+                    yield out(held)
+                    held, n, limit = [], 0, min(2 * limit, rows)
         if n:
-            yield from out(held)
+            yield out(held)
 
     return df.mapInArrow(run, "data binary")
 
@@ -99,10 +99,20 @@ class Best:
         q, r = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
         if not len(q):
             return
-        old = np.nonzero(self.score > -np.inf)
-        row = np.concatenate([old[0], q])
-        score = np.concatenate([self.score[old], scores[q, r]])
-        ident = np.concatenate([self.id[old], ids[r]])
+        self.put(q, scores[q, r], ids[r])
+
+    def put(self, q: np.ndarray, score: np.ndarray, ident: np.ndarray) -> None:
+        """Scores and ids of queries q; none is -inf."""
+        worst = self.score[q, -1]
+        fit = (score > worst) | ((score == worst) & (ident < self.id[q, -1]))
+        if not fit.any():
+            return
+        q, score, ident = q[fit], score[fit], ident[fit]
+        known = np.unique(q)
+        at, place = np.nonzero(self.score[known] > -np.inf)
+        row = np.concatenate([known[at], q])
+        score = np.concatenate([self.score[known[at], place], score])
+        ident = np.concatenate([self.id[known[at], place], ident])
         order = np.lexsort((ident, -score, row))
         row, score, ident = row[order], score[order], ident[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -110,17 +120,6 @@ class Best:
         self.score[row[keep], place[keep]] = score[keep]
         self.id[row[keep], place[keep]] = ident[keep]
 
-    def put(self, row: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Scores of one query, none of them -inf."""
-        if self.score[row, 0] == -np.inf:
-            order = np.lexsort((ids, -scores))[: self.k]
-            self.score[row, : len(order)], self.id[row, : len(order)] = scores[order], ids[order]
-            return
-        old = np.count_nonzero(self.score[row] > -np.inf)
-        score, ident = np.concatenate([self.score[row, :old], scores]), np.concatenate([self.id[row, :old], ids])
-        order = np.lexsort((ident, -score))[: self.k]
-        self.score[row, : len(order)], self.id[row, : len(order)] = score[order], ident[order]
-
 
 def best_of(queries: DataFrame, rows: DataFrame, k: int, prepare: Callable[[pa.Table], object], score: Callable[[object, object], np.ndarray]) -> DataFrame:
     """queries and rows (each with a long id, not null) -> query_id, id, score: the k best of each query by score, then id.

@@ -23,10 +23,13 @@ CONTAINED, MOST = 0.40, 10
 LEAST_TITLE = 2
 #: Array columns of which the common words count.
 WORDS = ("tags", "title_words", "description_words")
-#: A tag that one in so many books has is held as a row of zeros and ones; books in which a first bound is sought; what single precision may be off; less than any score.
-OFTEN, TRIED, SLACK, TINY = 16, 2048, 1e-5, 5e-7
-#: Blocks are so many times those of dense matrices, as no matrix of pairs is made; tasks for each core at least.
-WIDE, TASKS = 32, 2
+#: A tag that one in so many books has is held as a row of zeros and ones; books in which a first bound is sought; what rounding may be off; less than any score.
+OFTEN, TRIED, SLACK, TINY = 16, 2048, 2e-6, 5e-7
+#: Seeds of a group at most, and places of their words, unless one seed has more.
+GROUP, HITS = 32, 1 << 18
+#: Blocks are so many times those of dense matrices, as no matrix of pairs is made; rows of a task's first block, which gives
+#: later ones their bounds; blocks of books in a task at most; tasks for each core at least.
+WIDE, FIRST, BLOCKS, TASKS = 16, 4096, 16, 4
 
 
 def _prepared(books: DataFrame, seeds: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -43,48 +46,60 @@ def _prepared(books: DataFrame, seeds: DataFrame, keywords: DataFrame) -> DataFr
 
 
 class _Words:
-    """An array column of a block, row by row: first and last place of a row's words, and the words' numbers."""
+    """An array column of a block, row by row: how many words a row has, where they end, and the words' numbers."""
 
     def __init__(self, column):
         self.n = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype("i8")
         self.end = np.cumsum(self.n)
-        self.known, self.word = np.unique(pc.list_flatten(column).to_numpy(), return_inverse=True)
+        words = pc.list_flatten(column).to_numpy()
+        self.by_word = np.argsort(words, kind="stable")
+        words = words[self.by_word]
+        new = np.ones(len(words), bool)
+        np.not_equal(words[1:], words[:-1], out=new[1:])
+        self.known, self.word = words[new], np.empty(len(words), "i8")
+        self.word[self.by_word] = np.cumsum(new) - 1
 
     def of(self, row: int) -> np.ndarray:
         return self.word[self.end[row] - self.n[row] : self.end[row]]
 
 
 class _Postings:
-    """The same column, word by word: the rows that have it, and their weights if there are any."""
+    """The same column, word by word: the rows that have it, in order."""
 
-    def __init__(self, words: _Words, weights=None):
-        order = np.argsort(words.word, kind="stable")
-        self.rows = np.repeat(np.arange(len(words.n)), words.n)[order]
-        self.weights = None if weights is None else weights[order]
+    def __init__(self, words: _Words):
+        self.rows = np.repeat(np.arange(len(words.n)), words.n)[words.by_word]
         self.end = np.cumsum(np.bincount(words.word, minlength=len(words.known)))
         self.start = np.concatenate([[0], self.end[:-1]]).astype("i8")
         self.known = words.known
 
-    def places(self, words: _Words) -> list[list[tuple[int, int]]]:
-        """For each word of another block where its rows begin and end here; both 0 if it isn't here."""
+    def places(self, words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word of another block its number here, and where its rows begin and end; both 0 if it isn't here."""
         if not len(self.known):
-            return [(0, 0)] * len(words.known)
+            return (np.zeros(len(words.known), "i8"),) * 3
         place = np.minimum(np.searchsorted(self.known, words.known), len(self.known) - 1)
         here = self.known[place] == words.known
-        return list(zip(np.where(here, self.start[place], 0).tolist(), np.where(here, self.end[place], 0).tolist()))
+        return place, np.where(here, self.start[place], 0), np.where(here, self.end[place], 0)
 
 
 class _Block:
-    """Books in the order in which authors first come, so that an author's are neighbours."""
+    """Books in the order in which authors first come, then by how many tags they have."""
 
     def __init__(self, table):
-        table = table.take(np.argsort(pc.fill_null(table["author"], "").combine_chunks().dictionary_encode().indices.to_numpy(), kind="stable"))
-        self.ids, self.author, self.title = table["id"].to_numpy(), table["author"].to_pylist(), table["title"].to_pylist()
+        author = pc.fill_null(table["author"], "").combine_chunks().dictionary_encode()
+        tags, code = pc.fill_null(pc.list_value_length(table["tags"]), 0).to_numpy(), author.indices.to_numpy()
+        order = np.lexsort((tags, code))
+        table = table.take(order)
+        self.ids, self.code, self.authors, self._title = table["id"].to_numpy(), code[order], [a or None for a in author.dictionary.to_pylist()], table["title"]
         self.arrays = [_Words(table[c].combine_chunks()) for c in WORDS]
         self.contents, self.w = _Words(table["contents"].combine_chunks()), pc.list_flatten(table["w"].combine_chunks()).to_numpy()
 
-    def weights(self, row: int) -> list[float]:
-        return self.w[self.contents.end[row] - self.contents.n[row] : self.contents.end[row]].tolist()
+    @cached_property
+    def author(self) -> list[str | None]:
+        return [self.authors[c] for c in self.code.tolist()]
+
+    @cached_property
+    def title(self) -> list[str | None]:
+        return self._title.to_pylist()
 
     @cached_property
     def tags(self) -> list[bytes]:
@@ -110,14 +125,19 @@ class _Index:
 
     def __init__(self, block: _Block):
         n = len(block.ids)
-        self.tags, self.title, self.description = (_Postings(x) for x in block.arrays)
-        self.contents = _Postings(block.contents, block.w)
-        self.sizes = [x.n.astype("f4") for x in block.arrays]
-        self.often = {int(a): np.bincount(self.tags.rows[a:b], minlength=n).astype("u1") for a, b in zip(self.tags.start, self.tags.end) if b - a > n // OFTEN}
-        self.authors: dict[str, tuple[int, int]] = {}
-        for i, x in enumerate(block.author):
-            self.authors[x] = self.authors.get(x, (i,))[0], i + 1
-        self.authors.pop(None, None)
+        self.postings = [_Postings(x) for x in (*block.arrays, block.contents)]
+        self.sizes = [x.n.astype("f8") for x in block.arrays]
+        tags, contents = self.postings[0], self.postings[3]
+        self.often = {int(a): np.bincount(tags.rows[a:b], minlength=n).astype("u1") for a, b in zip(tags.start, tags.end) if b - a > n // OFTEN}
+        # word and row of each place of contents as one ascending number
+        self.order = np.repeat(np.arange(len(contents.known)), contents.end - contents.start) * n + contents.rows
+        # by author (tags, first, last): books of so many tags are neighbours
+        self.spans: dict[str | None, list[tuple[int, int, int]]] = {}
+        edges = [0, *(1 + np.flatnonzero((np.diff(block.code) != 0) | (np.diff(block.arrays[0].n) != 0))).tolist(), n]
+        for i, j in zip(edges, edges[1:]):
+            self.spans.setdefault(block.authors[block.code[i]], []).append((int(block.arrays[0].n[i]), i, j))
+        self.authors = {a: (spans[0][1], spans[-1][2]) for a, spans in self.spans.items() if a is not None}
+        self.by_id = {a: first + np.argsort(block.ids[first:last], kind="stable") for a, (first, last) in self.authors.items()}
         self.sorted_ids = np.sort(block.ids)
 
 
@@ -150,128 +170,202 @@ class _Titles:
 def _meet(seeds: _Block, books: _Block, best: Best) -> None:
     """The best books of a block for each seed of another, added to best.
 
-    Books of a common word in title, description or contents are found word by
-    word and scored in single precision. Of the others, whose score is that of
-    tags and author, only those are taken that are as good as the last of the
-    best so far. What may be among the best is scored in double precision."""
-    x, n, k = books.index, len(books.ids), best.k
-    at = [p.places(w) for p, w in zip((x.tags, x.title, x.description, x.contents), (*seeds.arrays, seeds.contents))]
-    own = (np.searchsorted(x.sorted_ids, seeds.ids, "right") - np.searchsorted(x.sorted_ids, seeds.ids, "left")).tolist()
-    total = np.maximum(np.bincount(np.repeat(np.arange(len(seeds.ids)), seeds.contents.n), seeds.w, len(seeds.ids)), 1e-9).tolist()
-    # by book: common tags, their part of the score, common words of title and description, sums of contents; what a seed sets is set back
-    both, tagged, other = np.zeros(n, "u1" if max(seeds.arrays[0].n) < 256 else "i4"), np.zeros(n, "f4"), np.zeros(n, "f4")
-    common, hit, inside, mark = [np.zeros(n, "i4"), np.zeros(n, "i4")], np.zeros(n), np.zeros(n, bool), np.full(n, -1)
-    step, ones = max(1, n // TRIED), np.ones(n, "i4")
-
-    def found(held: dict[int, np.ndarray] | None):
-        """i, scores, rows: of the seeds in held (all: None), with the rows that hold their title or are held by it."""
-        key, author = None, None
-        for i in seeds.order if held is None else (i for i in seeds.order if i in held):
-            if key != seeds.tags[i]:
-                key, author, size = seeds.tags[i], (), float(seeds.arrays[0].n[i])
-                both.fill(0)
-                for w in seeds.arrays[0].of(i).tolist():
-                    a, b = at[0][w]
-                    if b > a and a in x.often:
-                        np.add(both, x.often[a], out=both)
-                    else:
-                        both[x.tags.rows[a:b]] += 1
-                np.copyto(tagged, both)
-                if size:
-                    np.subtract(x.sizes[0], tagged, out=other)
-                    np.add(other, np.float32(size), out=other)
-                    np.divide(tagged, other, out=tagged)
-                    np.multiply(tagged, np.float32(SIGNALS[0]), out=tagged)
-                top = float(tagged.max())
-            if author != seeds.author[i]:
-                author, bounds = seeds.author[i], {}
-                first, last = x.authors.get(author, (0, 0))
-            if (m := k + own[i]) not in bounds:
-                tried = tagged[::step].copy()
-                tried[-(-first // step) : -(-last // step)] += np.float32(SIGNALS[1])
-                bounds[m] = _kth(tried, m)
-            least = max(float(best.score[i, -1]), bounds[m]) - SLACK
-            words = [_joined([p.rows[a:b] for a, b in map(places.__getitem__, w.of(i).tolist()) if b > a]) for p, places, w in ((x.title, at[1], seeds.arrays[1]), (x.description, at[2], seeds.arrays[2]))]
-            for count, rows in zip(common, words):
-                np.add.at(count, rows, ones[: len(rows)] if len(rows) <= n else np.ones(len(rows), "i4"))
-            spans = [(*at[3][w], y) for w, y in zip(seeds.contents.of(i).tolist(), seeds.weights(i)) if at[3][w][1]]
-            words.append(_joined([x.contents.rows[a:b] for a, b, _ in spans]))
-            if spans:
-                np.add.at(hit, words[2], np.concatenate([x.contents.weights[a:b] * y for a, b, y in spans]))
-            if held is not None:
-                inside[held[i]] = True
-
-            def score(rows: np.ndarray, kind: type, worded: bool = True) -> np.ndarray:
-                out = rows >= first
-                out &= rows < last
-                out = out * kind(SIGNALS[1])
-                if kind is np.float64:
-                    y = both.take(rows).astype(kind)
-                    out = SIGNALS[0] * (y / np.maximum(x.sizes[0].take(rows) + size - y, 1)) + out
-                else:
-                    out += tagged.take(rows)
-                for weight, count, sizes, a in zip(SIGNALS[2:], common, x.sizes[1:], seeds.arrays[1:]):
-                    if worded and a.n[i]:
-                        y = count.take(rows).astype(kind)
-                        out += kind(weight) * (y / np.maximum(sizes.take(rows) + kind(a.n[i]) - y, 1))
-                if spans:
-                    out += kind(SIGNALS[4]) * np.minimum(1, hit.take(rows) / total[i]).astype(kind)
-                if held is not None:
-                    out = np.where(inside[rows], np.maximum(out, kind(CONTAINED)), out)
-                return out
-
-            # books of common words in title or description come last, so that their full score counts
-            near = _joined([*words[:2], *([] if held is None else [held[i]])])
-            rough = np.concatenate([score(words[2], np.float32, False), score(near, np.float32)])
-            keep = rough >= least
-            rows, rough = np.concatenate([words[2], near]).compress(keep), rough.compress(keep)
-            mark[rows] = places = np.arange(len(rows))
-            keep = mark.take(rows) == places
-            rows, rough = rows.compress(keep), rough.compress(keep)
-            least = max(least, _kth(rough, m) - SLACK)
-            plain = [first + np.flatnonzero(tagged[first:last] >= least - SIGNALS[1])]
-            if top >= least:
-                others = np.flatnonzero(tagged >= max(least, TINY))
-                plain.append(others[(others < first) | (others >= last)])
-            plain = _joined(plain)
-            fit = np.concatenate([rows.compress(rough >= least), plain.compress(mark.take(plain) < 0)])
-            fit = fit[books.ids[fit] != seeds.ids[i]]
-            scores = rounded(score(fit, np.float64))
-            keep = scores >= max(_kth(scores, k), TINY)
-            fit, scores = fit[keep], scores[keep]
-            order = np.lexsort((books.ids[fit], -scores))[:k]
-            mark[rows] = -1
-            for count, rows in zip((*common, hit), words):
-                count[rows] = 0
-            if held is not None:
-                inside[held[i]] = False
-            yield i, scores[order], fit[order]
-
-    late = {}
-    for i, scores, rows in found(None):
-        # a title that holds the other changes nothing above CONTAINED
-        if seeds.title[i] is not None and best.score[i, -1] <= CONTAINED and (len(rows) < k or scores[-1] <= CONTAINED):
-            late[i] = scores, rows
-        else:
-            best.put(i, scores, books.ids[rows])
+    A book's score is bounded by that of tags and author with, if a word of
+    title or description is common, that of both, and what contents can add.
+    Only books of which this reaches the last of the best so far are scored in
+    full. Seeds are taken in groups, whose common words are found together."""
+    meeting = _Meeting(seeds, books, best)
+    before = best.score.copy(), best.id.copy()
+    meeting.run(seeds.order, None)
+    # a title that holds the other changes nothing above CONTAINED
+    late = [i for i in np.flatnonzero(best.score[:, -1] <= CONTAINED).tolist() if seeds.title[i] is not None]
     if late:
         titles, held = _Titles(seeds.title, late), {}
         for mine, its in chain(titles.within(books.titles), ((i, j) for j, i in books.titles.within(titles))):
             for i in mine:
                 held.setdefault(i, []).append(its)
-        for i in late.keys() - held.keys():
-            best.put(i, late[i][0], books.ids[late[i][1]])
-        for i, scores, rows in found({i: np.unique(np.concatenate(lists)) for i, lists in held.items()}):
-            best.put(i, scores, books.ids[rows])
-
-
-def _joined(lists: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(lists) if len(lists) > 1 else lists[0] if lists else np.empty(0, "i8")
-
-
-def _kth(values: np.ndarray, k: int) -> float:
-    """The k-th largest value, or -inf."""
-    return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else -np.inf
+        again = list(held)
+        best.score[again], best.id[again] = before[0][again], before[1][again]
+        meeting.run([i for i in seeds.order if i in held], {i: np.unique(np.concatenate(lists)) for i, lists in held.items()})
+
+
+def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (n of them) of each."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class _Meeting:
+    def __init__(self, seeds: _Block, books: _Block, best: Best):
+        x = books.index
+        self.seeds, self.books, self.best, self.n = seeds, books, best, len(books.ids)
+        self.shift = max(1, (self.n - 1).bit_length())
+        self.places = [p.places(w) for p, w in zip(x.postings, (*seeds.arrays, seeds.contents))]
+        self.own = np.searchsorted(x.sorted_ids, seeds.ids, "right") - np.searchsorted(x.sorted_ids, seeds.ids, "left")
+        self.total = np.maximum(np.bincount(np.repeat(np.arange(len(seeds.ids)), seeds.contents.n), seeds.w, len(seeds.ids)), 1e-9)
+        span = np.array([x.authors.get(a, (0, 0)) for a in seeds.author])
+        self.first, self.last = span[:, 0], span[:, 1]
+        self.both = np.zeros((GROUP, self.n), "u1" if max(seeds.arrays[0].n) < 256 else "i4")
+        self.local = np.full(len(books.contents.known), -1)
+
+    def hits(self, signal: int) -> np.ndarray:
+        """For each seed, how many places of its words there are in the block."""
+        words, (_, start, end) = (*self.seeds.arrays, self.seeds.contents)[signal], self.places[signal]
+        return np.bincount(np.repeat(np.arange(len(words.n)), words.n), (end - start)[words.word], len(words.n))
+
+    def run(self, order: list[int], held: dict[int, np.ndarray] | None) -> None:
+        weight = 1 + sum(self.hits(s) for s in (1, 2, 3))
+        group, n = [], 0
+        for i in order:
+            if group and (len(group) == GROUP or n + weight[i] > HITS):
+                self.meet(np.array(group), held)
+                group, n = [], 0
+            group.append(i)
+            n += weight[i]
+        if group:
+            self.meet(np.array(group), held)
+
+    def common(self, g: np.ndarray, signal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each word of each seed of g that the block has: which of g, place of the word among the seeds' words, number among the block's, and rows from and to."""
+        words, (number, start, end) = (*self.seeds.arrays, self.seeds.contents)[signal], self.places[signal]
+        at = _ragged(words.end[g] - words.n[g], words.n[g])
+        word, which = words.word[at], np.repeat(np.arange(len(g)), words.n[g])
+        here = end[word] > start[word]
+        word = word[here]
+        return which[here], at[here], number[word], start[word], end[word]
+
+    def meet(self, g: np.ndarray, held: dict[int, np.ndarray] | None) -> None:
+        seeds, books, x, n, shift, best = self.seeds, self.books, self.books.index, self.n, self.shift, self.best
+        sizes = [a.n[g].astype("f8") for a in seeds.arrays]
+        first, last = self.first[g], self.last[g]
+        line = self.tags(g)  # of both, by seed
+        least = best.score[g, -1]
+        for j in np.flatnonzero(least == -np.inf).tolist():
+            least[j] = self.bound(self.both[line[j]], sizes[0][j], first[j], last[j], best.k + self.own[g[j]])
+        least -= SLACK
+        # books of another author without a common word in title or description can't reach the best
+        alone = least > SIGNALS[0] * (sizes[0] > 0) + SIGNALS[4]
+        flat = self.both.reshape(-1)
+
+        def plain(which: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            """The score by tags and author."""
+            y = flat.take(line[which] * n + rows).astype("f8")
+            return SIGNALS[0] * (y / np.maximum(sizes[0][which] + x.sizes[0].take(rows) - y, 1)) + SIGNALS[1] * ((rows >= first[which]) & (rows < last[which]))
+
+        # pairs as (seed, row, kind): a common word of the title is 0, one of the description 1, a title that holds the other 2
+        pairs = []
+        for kind, signal in enumerate((1, 2)):
+            which, _, _, start, end = self.common(g, signal)
+            which, rows = np.repeat(which, end - start), x.postings[signal].rows[_ragged(start, end - start)]
+            keep = plain(which, rows) >= least[which] - sum(SIGNALS[2:])
+            pairs.append((((which[keep] << shift) + rows[keep]) << 2) + kind)
+        if held is not None:
+            pairs += [(((j << shift) + held[i]) << 2) + 2 for j, i in enumerate(g.tolist())]
+        pairs = np.sort(np.concatenate(pairs))
+        key, kind = pairs >> 2, pairs & 3
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        near = key[begin]
+        which, rows = near >> shift, near & ((1 << shift) - 1)
+        score = plain(which, rows)
+        counts = [np.add.reduceat(kind == c, begin, dtype="i8") if len(begin) else begin for c in (0, 1, 2)]
+        for signal in (1, 2):
+            y = counts[signal - 1]
+            score += SIGNALS[signal + 1] * (y / np.maximum(sizes[signal][which] + x.sizes[signal].take(rows) - y, 1))
+        inside = counts[2] > 0
+        keep = (score >= least[which] - SIGNALS[4]) | inside
+        found, score, inside = near[keep], score[keep], inside[keep]
+
+        # common words of contents; of seeds that are alone, only in books of their author
+        which, at, number, start, end = self.common(g, 3)
+        lone = np.flatnonzero(alone[which])
+        start[lone] = np.searchsorted(x.order, number[lone] * n + first[which[lone]])
+        end[lone] = np.searchsorted(x.order, number[lone] * n + last[which[lone]])
+        known, local = np.unique(number, return_inverse=True)
+        weights = np.zeros((len(g), max(1, len(known))))
+        weights[which, local] = seeds.w[at]
+        far_rows, far = x.postings[3].rows[_ragged(start, end - start)], np.repeat(which, end - start)
+        keep = plain(far, far_rows) >= least[far] - SIGNALS[4]
+        far = np.unique((far[keep] << shift) + far_rows[keep])
+        if len(near) and len(far):
+            far = far[near[np.minimum(np.searchsorted(near, far), len(near) - 1)] != far]
+        score = np.concatenate([score, plain(far >> shift, far & ((1 << shift) - 1))])
+        found, inside = np.concatenate([found, far]), np.concatenate([inside, np.zeros(len(far), bool)])
+
+        # contents of what is left
+        which, rows = found >> shift, found & ((1 << shift) - 1)
+        self.local[known] = np.arange(len(known))
+        words = books.contents
+        at = _ragged(words.end[rows] - words.n[rows], words.n[rows])
+        local = self.local.take(words.word.take(at)) if len(at) else at
+        pair = np.repeat(np.arange(len(rows)), words.n[rows])[local >= 0]
+        at, local = at[local >= 0], local[local >= 0]
+        self.local[known] = -1
+        score += SIGNALS[4] * np.minimum(1.0, np.bincount(pair, weights[which[pair], local] * books.w[at], len(rows)) / self.total[g[which]])
+        score[inside] = np.maximum(score[inside], CONTAINED)
+        keep = score >= least[which]
+        self.add(g, which[keep], rows[keep], score[keep])
+
+        # books without a common word
+        found, mine = np.sort(found), np.bincount(which, minlength=len(g))
+        least, lists = np.maximum(least, best.score[g, -1] - SLACK), []
+        for j, i in enumerate(g.tolist()):
+            lists += [(j << shift) + rows for rows in self.without(self.both[line[j]], int(sizes[0][j]), seeds.author[i], float(least[j]), best.k + int(self.own[i] + mine[j]))]
+        if lists:
+            rest = np.concatenate(lists)
+            if len(found):
+                rest = rest[found[np.minimum(np.searchsorted(found, rest), len(found) - 1)] != rest]
+            which, rows = rest >> shift, rest & ((1 << shift) - 1)
+            self.add(g, which, rows, plain(which, rows))
+
+    def tags(self, g: np.ndarray) -> np.ndarray:
+        """The numbers of common tags of each book go to a line of both for each set of tags; which line is a seed's."""
+        tags, (_, starts, ends), x, line, key = self.seeds.arrays[0], self.places[0], self.books.index, -1, None
+        lines = []
+        for i in g.tolist():
+            if key != self.seeds.tags[i]:
+                key, line = self.seeds.tags[i], line + 1
+                both = self.both[line]
+                both.fill(0)
+                for w in tags.of(i).tolist():
+                    a, b = int(starts[w]), int(ends[w])
+                    if b > a and a in x.often:
+                        np.add(both, x.often[a], out=both)
+                    elif b > a:
+                        both[x.postings[0].rows[a:b]] += 1
+            lines.append(line)
+        return np.array(lines)
+
+    def bound(self, both: np.ndarray, size: float, first: int, last: int, k: int) -> float:
+        """What k books of some reach by tags and author."""
+        step = max(1, self.n // TRIED)
+        y = both[::step].astype("f8")
+        tried = SIGNALS[0] * (y / np.maximum(self.books.index.sizes[0][::step] + size - y, 1))
+        tried[-(-first // step) : -(-last // step)] += SIGNALS[1]
+        return float(np.partition(tried, len(tried) - k)[len(tried) - k]) if len(tried) >= k else -np.inf
+
+    def without(self, both: np.ndarray, size: int, author: str | None, least: float, k: int):
+        """Rows of which tags and author alone reach least, and more than nothing; of those of the author alone the k of least id."""
+        x = self.books.index
+        if author in x.authors and (reach := least - SIGNALS[1]) <= SIGNALS[0]:
+            if reach <= 0:
+                rows = x.by_id[author]
+                yield rows[both.take(rows) == 0][:k] if size else rows[:k]
+            yield from self._within(both, size, x.spans[author], max(reach, TINY))
+        if size and least <= SIGNALS[0]:
+            for name, spans in x.spans.items():
+                if name is None or name != author:
+                    yield from self._within(both, size, spans, max(least, TINY))
+
+    def _within(self, both: np.ndarray, size: int, spans: list[tuple[int, int, int]], reach: float):
+        for n, first, last in spans:
+            # common / (size + n - common) * SIGNALS[0] >= reach
+            common = max(1, math.ceil(reach * (size + n) / (SIGNALS[0] + reach) - 1e-9))
+            if common <= min(size, n) and len(rows := np.flatnonzero(both[first:last] >= common)):
+                yield first + rows
+
+    def add(self, g: np.ndarray, which: np.ndarray, rows: np.ndarray, score: np.ndarray) -> None:
+        score, q = rounded(score), g[which]
+        keep = (score > TINY) & (self.books.ids[rows] != self.seeds.ids[q])
+        self.best.put(q[keep], score[keep], self.books.ids[rows[keep]])
 
 
 def single_book(books: DataFrame, keywords: DataFrame, seeds: DataFrame, most: int = MOST, counts: tuple[int, int] | None = None) -> DataFrame:
@@ -288,10 +382,12 @@ def single_book(books: DataFrame, keywords: DataFrame, seeds: DataFrame, most: i
     n, asked = counts or (books.count(), seeds.count())
     rows, queries = WIDE * nearest.ROWS, WIDE * nearest.QUERIES
     tasks = TASKS * books.sparkSession.sparkContext.defaultParallelism
-    parts = max(-(-n // rows), math.isqrt(tasks))
+    parts = max(-(-n // (BLOCKS * rows)), math.isqrt(tasks // 4))
     asked_parts = max(-(-asked // queries), -(-tasks // parts))
     # books and seeds come from one shuffle, so what is before it runs once; Python parts them
     both = _prepared(books, seeds, keywords).repartition(parts, "id")
-    found = best_of_blocks(repacked(packed(both, queries, "asked", True), queries, asked_parts), packed(both, rows, "asked", False), most, "shuffle_replicate_nl", _Block, _meet)
+    # small blocks of seeds, so that they are dealt out evenly
+    dealt = repacked(packed(both, min(queries, -(-asked // (8 * asked_parts)) or 1), "asked", True), queries, asked_parts)
+    found = best_of_blocks(dealt, packed(both, rows, "asked", False, FIRST), most, "shuffle_replicate_nl", _Block, _meet)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.select(F.col("query_id").alias("seed"), "id", "score", rank.alias("rank"))
