@@ -129,6 +129,7 @@ class _Index:
         self.sizes = [x.n.astype("f8") for x in block.arrays]
         tags, contents = self.postings[0], self.postings[3]
         self.often = {int(a): np.bincount(tags.rows[a:b], minlength=n).astype("u1") for a, b in zip(tags.start, tags.end) if b - a > n // OFTEN}
+        self.weights = block.w[block.contents.by_word]
         # word and row of each place of contents as one ascending number
         self.order = np.repeat(np.arange(len(contents.known)), contents.end - contents.start) * n + contents.rows
         # by author (tags, first, last): books of so many tags are neighbours
@@ -273,33 +274,31 @@ class _Meeting:
         inside = counts[2] > 0
         keep = (score >= least[which] - SIGNALS[4]) | inside
         found, score, inside = near[keep], score[keep], inside[keep]
-
-        # common words of contents; of seeds that are alone, only in books of their author
-        which, at, number, start, end = self.common(g, 3)
-        lone = np.flatnonzero(alone[which])
-        start[lone] = np.searchsorted(x.order, number[lone] * n + first[which[lone]])
-        end[lone] = np.searchsorted(x.order, number[lone] * n + last[which[lone]])
-        known, local = np.unique(number, return_inverse=True)
-        weights = np.zeros((len(g), max(1, len(known))))
-        weights[which, local] = seeds.w[at]
-        far_rows, far = x.postings[3].rows[_ragged(start, end - start)], np.repeat(which, end - start)
-        keep = plain(far, far_rows) >= least[far] - SIGNALS[4]
-        far = np.unique((far[keep] << shift) + far_rows[keep])
-        if len(near) and len(far):
-            far = far[near[np.minimum(np.searchsorted(near, far), len(near) - 1)] != far]
-        score = np.concatenate([score, plain(far >> shift, far & ((1 << shift) - 1))])
-        found, inside = np.concatenate([found, far]), np.concatenate([inside, np.zeros(len(far), bool)])
-
-        # contents of what is left
         which, rows = found >> shift, found & ((1 << shift) - 1)
-        self.local[known] = np.arange(len(known))
-        words = books.contents
-        at = _ragged(words.end[rows] - words.n[rows], words.n[rows])
-        local = self.local.take(words.word.take(at)) if len(at) else at
-        pair = np.repeat(np.arange(len(rows)), words.n[rows])[local >= 0]
-        at, local = at[local >= 0], local[local >= 0]
-        self.local[known] = -1
-        score += SIGNALS[4] * np.minimum(1.0, np.bincount(pair, weights[which[pair], local] * books.w[at], len(rows)) / self.total[g[which]])
+        own, at, number, start, end = self.common(g, 3)
+        score += SIGNALS[4] * np.minimum(1.0, self.contents(rows, which, own, at, number, len(g)) / self.total[g[which]])
+
+        # books that have only contents in common; of seeds that are alone, only those of their author
+        lone = np.flatnonzero(alone[own])
+        start[lone] = np.searchsorted(x.order, number[lone] * n + first[own[lone]])
+        end[lone] = np.searchsorted(x.order, number[lone] * n + last[own[lone]])
+        place, far, weight = _ragged(start, end - start), np.repeat(own, end - start), np.repeat(seeds.w[at], end - start)
+        far_rows = x.postings[3].rows[place]
+        base = plain(far, far_rows)
+        keep = np.flatnonzero(base >= least[far] - SIGNALS[4])
+        far = (far[keep] << shift) + far_rows[keep]
+        order = np.argsort(far, kind="stable")
+        far, keep = far[order], keep[order]
+        begin = np.flatnonzero(np.diff(far, prepend=-1))
+        hit = np.add.reduceat(weight[keep] * x.weights[place[keep]], begin) if len(begin) else np.empty(0)
+        far, base = far[begin], base[keep[begin]]
+        base += SIGNALS[4] * np.minimum(1.0, hit / self.total[g[far >> shift]])
+        keep = base >= least[far >> shift]
+        if len(near):
+            keep &= near[np.minimum(np.searchsorted(near, far), len(near) - 1)] != far
+        far = far[keep]
+        found, score, inside = np.concatenate([found, far]), np.concatenate([score, base[keep]]), np.concatenate([inside, np.zeros(len(far), bool)])
+        which, rows = found >> shift, found & ((1 << shift) - 1)
         score[inside] = np.maximum(score[inside], CONTAINED)
         keep = score >= least[which]
         self.add(g, which[keep], rows[keep], score[keep])
@@ -316,6 +315,20 @@ class _Meeting:
             which, rows = rest >> shift, rest & ((1 << shift) - 1)
             self.add(g, which, rows, plain(which, rows))
 
+    def contents(self, rows: np.ndarray, which: np.ndarray, own: np.ndarray, at: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+        """Sums of products of weights of pairs of a row and one of n seeds; own, at and number are ``common``'s."""
+        known, local = np.unique(number, return_inverse=True)
+        weights = np.zeros((n, max(1, len(known))))
+        weights[own, local] = self.seeds.w[at]
+        self.local[known] = np.arange(len(known))
+        words = self.books.contents
+        at = _ragged(words.end[rows] - words.n[rows], words.n[rows])
+        local = self.local.take(words.word.take(at)) if len(at) else at
+        here = np.flatnonzero(local >= 0)
+        pair = np.repeat(np.arange(len(rows)), words.n[rows])[here]
+        self.local[known] = -1
+        return np.bincount(pair, weights[which[pair], local[here]] * self.books.w[at[here]], len(rows))
+
     def tags(self, g: np.ndarray) -> np.ndarray:
         """The numbers of common tags of each book go to a line of both for each set of tags; which line is a seed's."""
         tags, (_, starts, ends), x, line, key = self.seeds.arrays[0], self.places[0], self.books.index, -1, None
