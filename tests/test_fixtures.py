@@ -367,6 +367,36 @@ def test_similar_books_score_few_pairs_in_full(monkeypatch):
         assert [b for _, b in got] == [b for _, b in want] and [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=2e-6), i
 
 
+def test_similar_books_read_texts_for_keywords_once(spark):
+    from quirelake.plans import registry
+
+    found = registry.QUERIES["single_book"](spark, "/root/testdata/sf0.001")
+    assert found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Final Plan" in final and final.count("ArrowEvalPython") == 1
+
+
+def test_packed_blocks_grow_and_flags_part_them(spark):
+    from quirelake.operators import nearest
+
+    rows = spark.range(40, numPartitions=1).selectExpr("id", "id % 4 = 0 as asked")
+    blocks = [nearest.unpacked(r["data"]) for r in nearest.packed(rows, 8, "asked", False, 2).collect()]
+    assert [b.num_rows for b in blocks] == [2, 4, 8, 8, 8] and blocks[0].column_names == ["id"]
+    assert sorted(x for b in blocks for x in b["id"].to_pylist()) == [i for i in range(40) if i % 4]
+    asked = nearest.repacked(nearest.packed(rows, 3, "asked", True), 100, 1).collect()
+    assert [nearest.unpacked(r["data"])["id"].to_pylist() for r in asked] == [list(range(0, 40, 4))]
+
+
+def test_most_frequent_words_by_count_then_word():
+    import random
+
+    draw = random.Random(5)
+    for n in (0, 1, 5, 60):
+        counts = {f"w{draw.randrange(1000)}": draw.randint(1, 4) for _ in range(n)}
+        for most in (0, 1, 3, 10, 100):
+            assert keywords.most_frequent(counts, most) == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
+
+
 def test_nearest_vectors_make_no_row_for_a_pair(spark, monkeypatch):
     from quirelake.operators import nearest
 
