@@ -156,7 +156,8 @@ def best_of_blocks(queries: DataFrame, rows: DataFrame, k: int, hint: str | None
             for data, question in zip(batch.column("data"), batch.column("asked")):
                 data, question = data.as_buffer(), question.as_buffer()
                 if (mark := blake2b(data, digest_size=16).digest()) != name:
-                    name, block = mark, prepare(unpacked(data))
+                    name, block = mark, None  # the last one goes before the next comes
+                    block = prepare(unpacked(data))
                 if (mark := blake2b(question, digest_size=16).digest()) not in blocks:
                     ready = prepare(unpacked(question))
                     blocks[mark] = ready, Best(len(ready.ids), k)

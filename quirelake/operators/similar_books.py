@@ -26,10 +26,10 @@ WORDS = ("tags", "title_words", "description_words")
 #: A tag that one in so many books has is held as a row of zeros and ones; books in which a first bound is sought; what rounding may be off; less than any score.
 OFTEN, TRIED, SLACK, TINY = 16, 2048, 2e-6, 5e-7
 #: Seeds of a group at most, and places of their words, unless one seed has more.
-GROUP, HITS = 32, 1 << 18
+GROUP, HITS = 32, 1 << 17
 #: Blocks are so many times those of dense matrices, as no matrix of pairs is made; rows of a task's first block, which gives
 #: later ones their bounds; blocks of books in a task at most; tasks for each core at least.
-WIDE, FIRST, BLOCKS, TASKS = 16, 4096, 16, 4
+WIDE, FIRST, BLOCKS, TASKS = 8, 4096, 32, 4
 
 
 def _prepared(books: DataFrame, seeds: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -397,10 +397,11 @@ def single_book(books: DataFrame, keywords: DataFrame, seeds: DataFrame, most: i
     tasks = TASKS * books.sparkSession.sparkContext.defaultParallelism
     parts = max(-(-n // (BLOCKS * rows)), math.isqrt(tasks // 4))
     asked_parts = max(-(-asked // queries), -(-tasks // parts))
-    # books and seeds come from one shuffle, so what is before it runs once; Python parts them
-    both = _prepared(books, seeds, keywords).repartition(parts, "id")
+    # books and seeds come from one shuffle, so what is before it runs once; Python parts them. The key isn't that of the
+    # join before it, or Spark would leave the shuffle out and run the join for each pair of partitions
+    both = _prepared(books, seeds, keywords).repartition(parts, F.xxhash64("id"))
     # small blocks of seeds, so that they are dealt out evenly
-    dealt = repacked(packed(both, min(queries, -(-asked // (8 * asked_parts)) or 1), "asked", True), queries, asked_parts)
-    found = best_of_blocks(dealt, packed(both, rows, "asked", False, FIRST), most, "shuffle_replicate_nl", _Block, _meet)
+    dealt = repacked(packed(both, min(queries, -(-asked // (8 * asked_parts)) or 1), "asked", True), queries, asked_parts).coalesce(asked_parts)
+    found = best_of_blocks(dealt, packed(both, rows, "asked", False, FIRST).coalesce(parts), most, "shuffle_replicate_nl", _Block, _meet)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.select(F.col("query_id").alias("seed"), "id", "score", rank.alias("rank"))
